@@ -37,10 +37,14 @@ def strip(value: Column) -> Column:
 def title_case(value: Column) -> Column:
     """Capital first letter in every run of letters, also after apostrophes and digits."""
     runs = F.split(F.lower(value), rf"(?<=[^{_CASED}])(?=[{_CASED}])")
-    capital = F.transform(
-        runs, lambda run: F.concat(F.upper(F.substring(run, 1, 1)), F.substring(run, 2, 2**31 - 1))
-    )
-    return F.array_join(capital, "")
+    longest = 2**31 - 1
+
+    def capital(run: Column) -> Column:
+        # Upper case may be longer than the letter: only its first letter stays large.
+        first = F.upper(F.substring(run, 1, 1))
+        return F.concat(F.substring(first, 1, 1), F.lower(F.substring(first, 2, longest)), F.substring(run, 2, longest))
+
+    return F.array_join(F.transform(runs, capital), "")
 
 
 def parse_float(value: Column) -> Column:

@@ -122,6 +122,13 @@ def discovery_rules(config: Mapping) -> Mapping[str, Mapping]:
     return discovery
 
 
+def _as_links(found: Column, relation: Column, delta: Column) -> Column:
+    return F.transform(
+        found,
+        lambda u: F.struct(u.alias("url"), relation.alias("relationship_type"), delta.alias("priority_delta")),
+    )
+
+
 def discover_links(page: Page, rules: Mapping[str, Mapping]) -> Column:
     """Array of url, relationship_type and priority_delta over all rules, in rule order."""
     found = []
@@ -131,15 +138,7 @@ def discover_links(page: Page, rules: Mapping[str, Mapping]) -> Column:
         relation = urls.relationship_of(F.lit(name))
         delta = urls.relationship_delta(relation)
         values = extract_all(page, {"selector": rule["selector"], "attr": rule.get("attr", "href")})
-        web = F.filter(values, lambda u: u.startswith("http"))
-        found.append(
-            F.transform(
-                web,
-                lambda u, relation=relation, delta=delta: F.struct(
-                    u.alias("url"), relation.alias("relationship_type"), delta.alias("priority_delta")
-                ),
-            )
-        )
+        found.append(_as_links(F.filter(values, lambda u: u.startswith("http")), relation, delta))
     if not found:
         return F.array().cast("array<struct<url:string,relationship_type:string,priority_delta:int>>")
     return F.concat(*found)

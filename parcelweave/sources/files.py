@@ -92,9 +92,14 @@ def flatten_json(df: DataFrame, separator: str = ".") -> DataFrame:
     return df.select(*leaves(df.schema, []))
 
 
-def read_geojson(spark: SparkSession, path: str | Sequence[str], properties: T.StructType | str) -> DataFrame:
+def read_geojson(
+    spark: SparkSession, path: str | Sequence[str], properties: T.StructType | str, lines: bool = False
+) -> DataFrame:
     """Features as rows: properties, then feature_id, longitude and latitude.
 
+    A file holds one collection and is parsed in one task; with ``lines`` every line holds
+    one, and large files are split.
+
     Only points have coordinates. An id of 0 or an empty one counts as none. Coordinates of
     other shapes differ in depth, so they are read as text and parsed for points alone.
     """
@@ -102,7 +107,7 @@ def read_geojson(spark: SparkSession, path: str | Sequence[str], properties: T.S
     geometry = "struct<type:string,coordinates:string>"
     feature = f"struct<id:string,geometry:{geometry},properties:{fields.simpleString()}>"
     collection = T.StructType.fromDDL(f"type string, features array<{feature}>")
-    files = spark.read.schema(collection).option("multiLine", True).json(path)
+    files = spark.read.schema(collection).option("multiLine", not lines).json(path)
     rows = files.select(F.explode("features").alias("f"))
     is_point = F.coalesce(F.col("f.geometry.type") == "Point", F.lit(False))
     point = F.when(is_point, F.from_json("f.geometry.coordinates", "array<double>"))

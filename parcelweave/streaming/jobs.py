@@ -129,6 +129,21 @@ def stream_task_state(events: DataFrame, key: str = "id") -> DataFrame:
     return folded.select(key, status.alias("status"), "retry_count")
 
 
+def write_versions(
+    updates: DataFrame, key: Sequence[str], table_path: Callable[[int], str], checkpoint: str
+) -> StreamingQuery:
+    """Keep a table of updated rows: batch n replaces rows of version n - 1 by their key."""
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        rows = batch
+        if batch_id > 0:
+            rows = upsert(batch.sparkSession.read.parquet(table_path(batch_id - 1)), batch, key, "replace")
+        rows.write.mode("overwrite").parquet(table_path(batch_id))
+
+    writer = updates.writeStream.outputMode("update").foreachBatch(apply).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
+
+
 def signal_join(tasks: DataFrame, signals: DataFrame, late: str = "10 minutes", valid: str = "1 hour") -> DataFrame:
     """Arriving tasks matched with signals of their region from the hour before.
 
