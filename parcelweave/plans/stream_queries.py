@@ -13,7 +13,8 @@ from parcelweave.streaming import jobs as K
 
 def _stream(spark: SparkSession, sf: str, table: str) -> DataFrame:
     schema = load(spark, sf, table).schema
-    return K.read_stream(spark, f"{sf}/{table}.parquet", schema)
+    # A glob, so that the table may be one file as well as a directory of parts.
+    return K.read_stream(spark, f"{sf}/{table}.parque[t]", schema)
 
 
 def _drain(spark: SparkSession, stream: DataFrame, label: str) -> DataFrame:
