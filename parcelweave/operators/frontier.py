@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from parcelweave.operators.ranking import top_per_group
 from parcelweave.operators.upsert import first_write_wins
-from parcelweave.session import cut_lineage, salted_join
+from parcelweave.session import cut_lineage, heavy_keys, salted_join
 
 MAX_RETRIES = 3
 
@@ -160,7 +160,7 @@ def cancel_tasks(tasks: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def delete_tasks(tasks: DataFrame, ids: DataFrame) -> DataFrame:
-    return tasks.join(ids.select("id"), ["id"], "left_anti")
+    return tasks.join(ids.select("id").distinct(), ["id"], "left_anti")
 
 
 def add_links(links: DataFrame, added: DataFrame) -> DataFrame:
@@ -220,9 +220,10 @@ def ripple(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     reached = seeds.select("id", F.lit(0).alias("hop"), F.lit(0).cast("bigint").alias("delta")).distinct()
     visited = frontier = cut_lineage(reached)
     links = edges.select(F.col("parent_id").alias("id"), "child_id", F.col("delta").cast("bigint").alias("step"))
+    heavy = heavy_keys(links, ["id"])
     for hop in range(1, hops + 1):
         # A parent may own most edges; the frontier holds one row per task.
-        arrivals = salted_join(links, frontier.select("id", "delta"), ["id"], salt_by=["child_id"])
+        arrivals = salted_join(links, frontier.select("id", "delta"), ["id"], heavy=heavy)
         best = arrivals.groupBy(F.col("child_id").alias("id")).agg(F.max(F.col("delta") + F.col("step")).alias("delta"))
         fresh = best.join(visited.select("id"), ["id"], "left_anti")
         frontier = cut_lineage(fresh.select("id", F.lit(hop).alias("hop"), "delta"))

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from parcelweave.session import estimated_bytes
+
 # Fixed values of HTML: elements without content, and elements whose text is not page text.
 VOID_TAGS = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
@@ -185,6 +187,20 @@ def shred(html: str | None) -> tuple[list[dict], str]:
     return page.nodes, "".join(page.pieces)
 
 
+SMALL_BYTES = 256 * 1024 * 1024
+
+
+def _spread_small(pages: DataFrame) -> DataFrame:
+    """A small table in a few splits would leave most cores idle in Python: spread its rows."""
+    if pages.isStreaming:
+        return pages
+    size = estimated_bytes(pages)
+    wanted = pages.sparkSession.sparkContext.defaultParallelism
+    if size is None or size > SMALL_BYTES or pages.rdd.getNumPartitions() >= wanted:
+        return pages
+    return pages.repartition(wanted)
+
+
 def shred_html(
     df: DataFrame, html_col: str = "html", keep: Sequence[str] = ("page_id", "url"), keep_html: bool = True
 ) -> DataFrame:
@@ -192,7 +208,7 @@ def shred_html(
 
     Only kept columns and the page reach Python. Output batches hold a few megabytes of pages.
     """
-    source = df.select(*keep, html_col)
+    source = _spread_small(df.select(*keep, html_col))
     kept = [*keep, *([html_col] if keep_html else [])]
     fields = [source.schema[c] for c in kept]
     schema = T.StructType(

@@ -134,7 +134,7 @@ def resolve_overrides(
     """
     names = list(defaults)
     renamed = overrides.select(*on, *[F.col(n).alias(f"__o_{n}") for n in names])
-    joined = salted_join(df, renamed, on, "left")
+    joined = salted_join(df, renamed, on, "left", spread="all")
     return joined.select(
         *df.columns, *[F.coalesce(F.col(f"__o_{n}"), F.lit(defaults[n])).alias(n) for n in names]
     )

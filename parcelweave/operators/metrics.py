@@ -206,7 +206,7 @@ def range_stats(events: DataFrame, as_of: Column) -> DataFrame:
         F.max(timed).alias("max_runtime"),
     )
     medians = exact_quantiles(cube.where(done), dims, "runtime", {"median_runtime": 0.5})
-    joined = salted_join(stats, medians, dims, "left", null_safe=True)
+    joined = salted_join(stats, medians, dims, "left", null_safe=True, heavy=[])
     return joined.select(
         *dims, "total", "succeeded", "failed", success_rate(F.col("succeeded"), F.col("failed")).alias("success_rate"),
         "avg_runtime", F.round("median_runtime", 4).alias("median_runtime"), "min_runtime", "max_runtime",
@@ -293,7 +293,7 @@ def parse_duration_stats(parses: DataFrame, keys: Sequence[str] = ("platform", "
         F.max("parse_duration_ms").alias("max_ms"),
     )
     tails = exact_quantiles(parses, list(keys), "parse_duration_ms", {"p50_ms": 0.5, "p95_ms": 0.95})
-    joined = salted_join(stats, tails, list(keys), "left", null_safe=True)
+    joined = salted_join(stats, tails, list(keys), "left", null_safe=True, heavy=[])
     return joined.select(
         *keys, "parses", "avg_ms", "max_ms", F.round("p50_ms", 4).alias("p50_ms"), F.round("p95_ms", 4).alias("p95_ms")
     )

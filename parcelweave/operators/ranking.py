@@ -30,15 +30,15 @@ def global_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], nam
     offsets = sizes.select(
         *keys, "__part", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset")
     )
-    ranked = salted_join(placed, offsets, [*keys, "__part"], null_safe=True)
+    ranked = salted_join(placed, offsets, [*keys, "__part"], spread="all", null_safe=True)
     return ranked.select(*df.columns, (F.col("__offset") + F.col("__at") - F.col("__first") + 1).alias(name))
 
 
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """The first ``n`` rows per key.
 
-    Spark limits each group on the map side before the shuffle (window group limit), so a hot
-    key sends at most ``n`` rows per task.
+    Spark limits each group on the map side before the shuffle (window group limit, for ``n``
+    up to ``spark.sql.window.group.limit.threshold``), so a hot key sends ``n`` rows per task.
     """
     ranked = df.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return ranked.where(F.col("__rn") <= n).drop("__rn")
@@ -75,7 +75,7 @@ def exact_quantiles(
 
     brackets = sketch.select(*keys, F.array(*[bracket(i) for i in range(len(names))]).alias("__brackets"))
     if keys:
-        joined = salted_join(data, brackets, list(keys), null_safe=True)
+        joined = salted_join(data, brackets, list(keys), spread="all", null_safe=True)
     else:
         joined = data.withColumn("__brackets", brackets.select("__brackets").scalar())
     placed = joined.select(
@@ -94,7 +94,7 @@ def exact_quantiles(
     ranked = counted.withColumn("__cum", F.sum("__c").over(upto.rowsBetween(Window.unboundedPreceding, 0)))
     totals = sketch.select(*keys, F.col("__n"))
     if keys:
-        ranked = salted_join(ranked, totals, list(keys), null_safe=True)
+        ranked = salted_join(ranked, totals, list(keys), spread="all", null_safe=True)
     else:
         ranked = ranked.withColumn("__n", totals.select("__n").scalar())
     chosen = F.element_at(F.array(*[F.lit(float(quantiles[n])) for n in names]), F.col("__q") + 1)

@@ -203,7 +203,7 @@ def event_triggers(parcels: DataFrame, calendar: DataFrame, auction_files: DataF
         auction_files.where(F.col("released_at") <= as_of)
         .select("parcel_id").distinct().withColumn("__listed", F.lit(True))
     )
-    joined = salted_join(parcels, due, ["state", "county"], "left").join(released, ["parcel_id"], "left")
+    joined = salted_join(parcels, due, ["state", "county"], "left", spread="all").join(released, ["parcel_id"], "left")
     tier = (
         F.when(F.col("__listed"), F.lit("CRITICAL"))
         .when(F.col("__due") & F.col("status").startswith("paid"), at_least(F.col("tier"), "HIGH"))

@@ -37,7 +37,7 @@ def hotspot(tasks: DataFrame, signals: DataFrame, as_of: Column, n: int) -> Data
         .groupBy(F.col("region").alias("county"))
         .agg(F.max("signal_strength").alias("signal_strength"))
     )
-    hot = salted_join(tasks, live, ["county"])
+    hot = salted_join(tasks, live, ["county"], spread="all")
     return hot.orderBy(
         F.col("signal_strength").desc(), F.col("last_scraped_at").asc_nulls_first(), F.col("id").asc()
     ).limit(n)
@@ -53,7 +53,7 @@ def targeted(tasks: DataFrame, as_of: Column, days: int = 30, path: str = "$.auc
 def sweeper_next(ids: DataFrame, checked: DataFrame) -> DataFrame:
     """Ids beyond the last one checked in their region (all ids of unchecked regions)."""
     last = checked.groupBy("region").agg(F.max("last_checked_id").alias("__last"))
-    joined = salted_join(ids, last, ["region"], "left")
+    joined = salted_join(ids, last, ["region"], "left", spread="all")
     return joined.where(F.col("__last").isNull() | (F.col("id") > F.col("__last"))).select(*ids.columns)
 
 
@@ -81,7 +81,7 @@ def seeded(tasks: DataFrame, text_col: str, keywords: DataFrame, keyword_col: st
     words = F.array_distinct(F.split(F.lower(text_col), r"[^\p{L}\p{N}]+"))
     tokens = tasks.select("id", F.explode(words).alias("__word")).where(F.col("__word") != "")
     known = keywords.select(F.lower(keyword_col).alias("__word")).distinct()
-    return salted_join(tokens, known, ["__word"]).groupBy("id").agg(F.count("*").alias("hits"))
+    return salted_join(tokens, known, ["__word"], spread="all").groupBy("id").agg(F.count("*").alias("hits"))
 
 
 def risk(tasks: DataFrame, n: int, tags_col: str = "tags") -> DataFrame:

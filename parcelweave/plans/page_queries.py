@@ -12,7 +12,7 @@ from parcelweave.operators.html import shred_html
 from parcelweave.operators.selectors import Page, extract, extract_all, pick, select_regex
 from parcelweave.operators.validation import validate_records
 from parcelweave.plans.registry import query
-from parcelweave.plans.tables import load
+from parcelweave.plans.tables import decoded_sql, load
 
 # Words that occur in the advertising blocks of these pages stand in for block markers.
 MARKERS = ("nicht", "ction", "pour")
@@ -21,8 +21,8 @@ _HREF = r'<a href="(/[^"]*)"'
 _HOST_SQL = "regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)"
 _LINKS_SQL = r"""regexp_extract_all(html, '<a href="(/[^"]*)"', 1)"""
 _TITLE_SQL = "trim(regexp_extract(html, '(?i)<title>(.*?)</title>', 1))"
-_DECODED_H1_SQL = """trim(replace(replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1),
-  '&lt;', '<'), '&gt;', '>'), '&amp;', '&'))"""
+_DECODED_H1_SQL = decoded_sql("regexp_extract(html, '<h1>(.*?)</h1>', 1)")
+_DECODED_TITLE_SQL = decoded_sql("regexp_extract(html, '<title>(.*?)</title>', 1)")
 
 
 @query(
@@ -245,8 +245,7 @@ PAGE_CONFIG = {
 @query(
     r"""
 WITH p AS (SELECT page_id, regexp_extract_all(html, '<a href="(/[^"]*)"', 1) AS links,
-  nullif(trim(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'),
-    '&amp;', '&')), '') AS title FROM pages),
+  nullif(__TITLE__, '') AS title FROM pages),
 q AS (SELECT *, nullif(upper(replace(regexp_replace(regexp_replace(replace(links[len(links)], 'ß', 'SS'), '(?i)^(APN|PARCEL|ID)[:\s]*', ''),
   '[^\p{L}\p{N}_-]', '', 'g'), '_', '-')), '') AS account FROM p)
 SELECT page_id,
@@ -257,7 +256,7 @@ SELECT page_id,
     CASE WHEN account IS NULL THEN 'Missing required field: account' END,
     CASE WHEN length(account) < 4 THEN 'Field ''account'' must be at least 4 characters' END) AS errors,
   CAST(0 AS BIGINT) AS web_links
-FROM q"""
+FROM q""".replace("__TITLE__", _DECODED_TITLE_SQL)
 )
 def parse_pages(spark: SparkSession, sf: str) -> DataFrame:
     records = P.parse_pages(load(spark, sf, "pages"), PAGE_CONFIG)

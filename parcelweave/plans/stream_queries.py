@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelweave.plans.registry import query
-from parcelweave.plans.tables import LOG_SQL, MICRO, TELEMETRY_SQL, event_log, load, telemetry, text
+from parcelweave.plans.tables import LOG_SQL, MICRO, TELEMETRY_SQL, decoded_sql, event_log, load, telemetry, text
 from parcelweave.session import fresh_dir
 from parcelweave.streaming import jobs as K
 
@@ -71,10 +71,9 @@ SELECT user_id, event_id, value FROM r WHERE rn = 1"""
 def stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
     base = fresh_dir(spark, "upsert")
     rows = _stream(spark, sf, "events").select("user_id", "event_id", "ts", "value")
-    job = K.stream_upsert(rows, ["user_id"], ["ts", "event_id"], lambda n: f"{base}/v{n}", f"{base}/checkpoint")
-    job.awaitTermination()
-    last = job.lastProgress["batchId"] if job.lastProgress else 0
-    return spark.read.parquet(f"{base}/v{last}").select("user_id", "event_id", "value")
+    K.stream_upsert(rows, ["user_id"], ["ts", "event_id"], f"{base}/deltas", f"{base}/checkpoint").awaitTermination()
+    table = K.read_upserted(spark, f"{base}/deltas", ["user_id"], order=["ts", "event_id"])
+    return table.select("user_id", "event_id", "value")
 
 
 @query(
@@ -84,13 +83,11 @@ SELECT id, CASE WHEN set_type = 'complete' THEN 'completed' WHEN set_type = 'fai
   WHEN run_seq > coalesce(set_seq, -1) THEN 'processing' ELSE 'pending' END AS status, CAST(retries AS BIGINT) AS retry_count FROM f"""
 )
 def stream_task_state(spark: SparkSession, sf: str) -> DataFrame:
-    """Task states kept up to date batch by batch; the last version is read."""
+    """Task states kept up to date batch by batch; the last update of each is read."""
     base = fresh_dir(spark, "state")
     log = event_log(_stream(spark, sf, "events")).where(F.col("type").isNotNull())
-    job = K.write_versions(K.stream_task_state(log), ["id"], lambda n: f"{base}/v{n}", f"{base}/checkpoint")
-    job.awaitTermination()
-    last = job.lastProgress["batchId"] if job.lastProgress else 0
-    return spark.read.parquet(f"{base}/v{last}")
+    K.write_updates(K.stream_task_state(log), f"{base}/deltas", f"{base}/checkpoint").awaitTermination()
+    return K.read_upserted(spark, f"{base}/deltas", ["id"])
 
 
 @query(
@@ -108,10 +105,10 @@ def stream_signal_join(spark: SparkSession, sf: str) -> DataFrame:
     return _drain(spark, K.signal_join(views, clicks).select("id", "signal_id"), "signals")
 
 
-@query(
-    """SELECT page_id, nullif(trim(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&lt;', '<'),
-  '&gt;', '>'), '&amp;', '&')), '') AS title, CAST(0 AS BIGINT) AS errors FROM pages"""
-)
+_TITLE_SQL = decoded_sql("regexp_extract(html, '<title>(.*?)</title>', 1)")
+
+
+@query(f"SELECT page_id, nullif({_TITLE_SQL}, '') AS title, CAST(0 AS BIGINT) AS errors FROM pages")
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """Pages parsed as they arrive, drained, and read back."""
     base = fresh_dir(spark, "ingest")

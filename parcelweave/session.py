@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SESSION_DEFAULTS = {
@@ -13,6 +13,7 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     # HTML rows are wide: bound Arrow batches by bytes as well as by rows.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(32 * 1024 * 1024),
@@ -53,7 +54,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _estimated_bytes(df: DataFrame) -> int | None:
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Spark's own size estimate of a plan, if it can be had."""
     try:
         return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
     except Exception:
@@ -64,36 +66,64 @@ def _broadcast_limit(spark: SparkSession) -> int:
     return int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
 
 
+def heavy_keys(df: DataFrame, keys: list[str], share: float = 0.005, tracked: int = 8192) -> list[int]:
+    """Hashes of the keys that hold at least ``share`` of the rows: never more than 1 / share.
+
+    One mergeable sketch over the key columns alone. The result only steers how a join is
+    spread; it has no part in what the join returns.
+    """
+    most = int(1 / share)
+    hashed = df.select(F.xxhash64(*keys).alias("h"))
+    row = hashed.agg(
+        F.count("*").alias("n"), F.expr(f"approx_top_k(h, {most}, {tracked})").alias("top")
+    ).first()
+    return [t["item"] for t in row["top"] if t["count"] >= share * row["n"]]
+
+
 def salted_join(
     big: DataFrame,
     small: DataFrame,
     on: list[str],
     how: str = "inner",
+    spread: str = "hot",
     salts: int = 16,
-    salt_by: list[str] | None = None,
     null_safe: bool = False,
+    heavy: list[int] | None = None,
 ) -> DataFrame:
     """Equi join where a single key of ``big`` may hold a large share of its rows.
 
     ``small`` must hold few rows per key. When Spark's own estimate lets it broadcast
-    ``small``, no salt is added; otherwise each ``small`` row is repeated once per salt and
-    the rows of one ``big`` key spread over ``salts`` tasks. ``null_safe`` lets null match null.
+    ``small``, no salt is added. Otherwise rows of a heavy key in ``big`` spread over
+    ``salts`` tasks and its rows in ``small`` are repeated once per salt. With ``spread`` at
+    ``hot`` only keys found heavy are salted (give ``heavy`` to reuse an earlier finding);
+    ``all`` salts every key, for sides of few keys. ``null_safe`` lets null match null.
     """
     if how not in {"inner", "left", "left_semi", "left_anti"}:
         raise ValueError(f"salting does not preserve a {how} join")
+    mine = [f"__k{i}" for i in range(len(on))]
     left = big
     right = small.select(
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(on)], *[c for c in small.columns if c not in on]
+        *[F.col(k).cast(big.schema[k].dataType).alias(m) for k, m in zip(on, mine)],
+        *[c for c in small.columns if c not in on],
     )
     matched = F.lit(True)
-    for i, key in enumerate(on):
-        matched = matched & (F.col(key).eqNullSafe(F.col(f"__k{i}")) if null_safe else F.col(key) == F.col(f"__k{i}"))
-    size = _estimated_bytes(small)
+    for key, own in zip(on, mine):
+        matched = matched & (F.col(key).eqNullSafe(F.col(own)) if null_safe else F.col(key) == F.col(own))
+    size = estimated_bytes(small)
     if size is None or size > _broadcast_limit(big.sparkSession):
-        spread = [F.col(c) for c in (salt_by or [c for c in big.columns if c not in on] or on)]
-        left = big.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-        right = right.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        matched = matched & (F.col("__salt") == F.col("__copy"))
+        if spread == "hot" and heavy is None:
+            heavy = heavy_keys(big, on)
+        if spread == "all" or heavy:
+            rest = [F.col(c) for c in big.columns if c not in on] or [F.monotonically_increasing_id()]
+            salt = F.pmod(F.xxhash64(*rest), F.lit(salts)).cast("int")
+            every, first = F.sequence(F.lit(0), F.lit(salts - 1)), F.array(F.lit(0))
+            if spread == "hot":
+                hot = F.array(*[F.lit(h) for h in heavy])
+                salt = F.when(F.array_contains(hot, F.xxhash64(*on)), salt).otherwise(0)
+                every = F.when(F.array_contains(hot, F.xxhash64(*mine)), every).otherwise(first)
+            left = big.withColumn("__salt", salt)
+            right = right.withColumn("__copy", F.explode(every))
+            matched = matched & (F.col("__salt") == F.col("__copy"))
     joined = left.join(right, matched, how)
     extra = [c for c in small.columns if c not in on] if how in {"inner", "left"} else []
     return joined.select(*big.columns, *extra)

@@ -9,26 +9,22 @@ from pyspark.sql import functions as F
 
 from parcelweave.operators.upsert import last_write_wins
 
-WRITE_SALTS = 32
-
-
 def result_id(parcel_id: Column, fallback: Column) -> Column:
     """``bulk_{parcel_id}``, or a hash of ``fallback`` for records without one."""
     return F.when(parcel_id != "", F.concat(F.lit("bulk_"), parcel_id)).otherwise(F.sha2(fallback, 256))
 
 
 def write_results(
-    records: DataFrame, path: str, order: Sequence[str], form: str = "parquet", files_per_platform: int = WRITE_SALTS
+    records: DataFrame, path: str, order: Sequence[str], form: str = "parquet", rows_per_file: int = 5_000_000
 ) -> None:
     """Last record per (platform, id), partitioned by platform.
 
-    Rows are spread by platform and a salt, so that a large platform is written by several
-    tasks while a small one makes few files. Writes a new directory; switch readers to it.
+    Rebalancing gives a large platform as many tasks as its size asks for and packs small
+    ones together. Writes a new directory; switch readers to it.
     """
-    latest = last_write_wins(records, ["platform", "id"], order)
-    salt = F.pmod(F.xxhash64("id"), F.lit(files_per_platform))
-    placed = latest.repartition("platform", salt)
-    placed.write.partitionBy("platform").format(form).mode("error").save(path)
+    latest = last_write_wins(records, ["platform", "id"], order).hint("rebalance", "platform")
+    writer = latest.write.partitionBy("platform").option("maxRecordsPerFile", rows_per_file)
+    writer.format(form).mode("error").save(path)
 
 
 def read_result(spark: SparkSession, path: str, platform: str, record_id: str, form: str = "parquet") -> DataFrame:

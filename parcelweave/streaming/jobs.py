@@ -46,34 +46,48 @@ def drain_to(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
+def _write_delta(path: str) -> Callable[[DataFrame, int], None]:
+    """Batch n goes to its own partition, overwritten when the batch is replayed."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return write
+
+
 def stream_upsert(
-    stream: DataFrame,
-    key: Sequence[str],
-    order: Sequence[str],
-    table_path: Callable[[int], str],
-    checkpoint: str,
-    strategy: str = "merge",
-    prepare: Callable[[DataFrame], DataFrame] | None = None,
+    stream: DataFrame, key: Sequence[str], order: Sequence[str], path: str, checkpoint: str
 ) -> StreamingQuery:
-    """Upsert every batch into a versioned table: batch n writes ``table_path(n)``.
+    """Write the newest row per key of every batch as a delta; work is bound by the batch.
 
-    Version n is built from version n - 1 and overwritten when the batch is replayed, so a
-    retried batch gives the same table.
+    ``read_upserted`` resolves deltas on reading, and its result can be written as a new base.
     """
+    write = _write_delta(path)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = prepare(batch) if prepare else batch
-        latest = last_write_wins(reject_keyless(rows, key), key, order)
-        if batch_id > 0:
-            existing = spark.read.parquet(table_path(batch_id - 1))
-            latest = upsert(existing, latest, key, strategy)
-        latest.write.mode("overwrite").parquet(table_path(batch_id))
+        write(last_write_wins(reject_keyless(batch, key), key, order), batch_id)
 
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()
 
 
+def read_upserted(
+    spark: SparkSession,
+    path: str,
+    key: Sequence[str],
+    base: DataFrame | None = None,
+    strategy: str = "merge",
+    order: Sequence[str] = (),
+) -> DataFrame:
+    """The table after all deltas: the row of the last batch per key, over an optional base.
+
+    Give ``order`` when a late batch may hold older rows than an earlier one.
+    """
+    deltas = spark.read.option("basePath", path).parquet(path)
+    latest = last_write_wins(deltas, key, [*order, "batch"]).drop("batch")
+    return latest if base is None else upsert(base, latest, key, strategy)
+
+
 def stream_dedup(links: DataFrame, event_time: str, horizon: str, key: Sequence[str] = ("url",)) -> DataFrame:
     """First arrival of each URL within the horizon; state is dropped behind the watermark."""
     return links.withWatermark(event_time, horizon).dropDuplicatesWithinWatermark(list(key))
@@ -129,31 +143,27 @@ def stream_task_state(events: DataFrame, key: str = "id") -> DataFrame:
     return folded.select(key, status.alias("status"), "retry_count")
 
 
-def write_versions(
-    updates: DataFrame, key: Sequence[str], table_path: Callable[[int], str], checkpoint: str
-) -> StreamingQuery:
-    """Keep a table of updated rows: batch n replaces rows of version n - 1 by their key."""
+def write_updates(updates: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write updated rows of every batch as a delta, to be read by ``read_upserted``."""
+    writer = updates.writeStream.outputMode("update").foreachBatch(_write_delta(path))
+    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        rows = batch
-        if batch_id > 0:
-            rows = upsert(batch.sparkSession.read.parquet(table_path(batch_id - 1)), batch, key, "replace")
-        rows.write.mode("overwrite").parquet(table_path(batch_id))
 
-    writer = updates.writeStream.outputMode("update").foreachBatch(apply).option("checkpointLocation", checkpoint)
-    return writer.trigger(availableNow=True).start()
-
-
-def signal_join(tasks: DataFrame, signals: DataFrame, late: str = "10 minutes", valid: str = "1 hour") -> DataFrame:
+def signal_join(
+    tasks: DataFrame, signals: DataFrame, late: str = "10 minutes", valid: str = "1 hour", salts: int = 8
+) -> DataFrame:
     """Arriving tasks matched with signals of their region from the hour before.
 
-    Both sides carry watermarks and the time bound, so expired signals leave the state.
+    Both sides carry watermarks and the time bound, so expired signals leave the state. Tasks
+    of one region spread over ``salts`` partitions; signals, the short side, are repeated.
     Tasks: id, county, ts. Signals: region, signal_ts, signal_strength.
     """
-    left = tasks.withWatermark("ts", late)
-    right = signals.withWatermark("signal_ts", late)
+    left = tasks.withWatermark("ts", late).withColumn("__salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
+    copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
+    right = signals.withWatermark("signal_ts", late).withColumn("__copy", copies)
     recent = (F.col("signal_ts") <= F.col("ts")) & (F.col("signal_ts") > F.col("ts") - F.expr(f"INTERVAL {valid}"))
-    return left.join(right, (F.col("county") == F.col("region")) & recent)
+    same = (F.col("county") == F.col("region")) & (F.col("__salt") == F.col("__copy"))
+    return left.join(right, same & recent).drop("__salt", "__copy")
 
 
 def event_time(column: str) -> Column:
