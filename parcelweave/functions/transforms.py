@@ -27,7 +27,7 @@ _INFINITE = r"(?i)^[+-]?inf(?:inity)?$"
 
 
 def empty_to_null(value: Column) -> Column:
-    return F.when(value != "", value)
+    return F.nullif(value, F.lit(""))
 
 
 def strip(value: Column) -> Column:

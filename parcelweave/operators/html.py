@@ -191,14 +191,14 @@ SMALL_BYTES = 256 * 1024 * 1024
 
 
 def _spread_small(pages: DataFrame) -> DataFrame:
-    """A small table in a few splits would leave most cores idle in Python: spread its rows."""
-    if pages.isStreaming:
-        return pages
-    size = estimated_bytes(pages)
-    wanted = pages.sparkSession.sparkContext.defaultParallelism
-    if size is None or size > SMALL_BYTES or pages.rdd.getNumPartitions() >= wanted:
+    """A small table may lie in one split and leave most cores idle in Python: spread its rows.
+
+    Larger tables have splits enough and are not shuffled.
+    """
+    size = None if pages.isStreaming else estimated_bytes(pages)
+    if size is None or size > SMALL_BYTES:
         return pages
-    return pages.repartition(wanted)
+    return pages.repartition(pages.sparkSession.sparkContext.defaultParallelism)
 
 
 def shred_html(

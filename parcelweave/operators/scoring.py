@@ -70,10 +70,11 @@ def task_priority(
     deltas: Mapping[str, int] | None = None,
 ) -> Column:
     """Base, relationship delta, one per hour of age up to 10, two per retry, and a boost."""
-    age = F.least(F.timestamp_diff("HOUR", created_at, as_of), F.lit(10))
+    # least() skips nulls: a task without creation time has no age.
+    age = F.least(F.coalesce(F.timestamp_diff("HOUR", created_at, as_of), F.lit(0)), F.lit(10))
     related = F.coalesce(relationship_delta(relationship, dict(deltas or {})), F.lit(0))
     tries = F.greatest(F.coalesce(retry_count, F.lit(0)), F.lit(0)) * 2
-    return (F.lit(base) + related + F.coalesce(age, F.lit(0)) + tries + boost).cast("bigint")
+    return (F.lit(base) + related + age + tries + boost).cast("bigint")
 
 
 def boost_priority(priority: Column, factor: float = 1.5, most: int = 20) -> Column:
@@ -104,7 +105,9 @@ def delinquency_score(df: DataFrame, as_of: Column) -> DataFrame:
         {"raw_score": base * by_state * by_ratio * by_interest + gravity}
     ).withColumns(
         {
-            "priority_score": F.least(F.greatest(F.col("raw_score"), F.lit(0.0)), F.lit(10.0)),
+            "priority_score": F.when(
+                F.col("raw_score").isNotNull(), F.least(F.greatest(F.col("raw_score"), F.lit(0.0)), F.lit(10.0))
+            ),
             "tier": lookup(status, {s: v[1] for s, v in STATUS_SCORES.items()}),
         }
     )
