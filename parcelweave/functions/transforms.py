@@ -35,16 +35,12 @@ def strip(value: Column) -> Column:
 
 
 def title_case(value: Column) -> Column:
-    """Capital first letter in every run of letters, also after apostrophes and digits."""
-    runs = F.split(F.lower(value), rf"(?<=[^{_CASED}])(?=[{_CASED}])")
-    longest = 2**31 - 1
-
-    def capital(run: Column) -> Column:
-        # Upper case may be longer than the letter: only its first letter stays large.
-        first = F.upper(F.substring(run, 1, 1))
-        return F.concat(F.substring(first, 1, 1), F.lower(F.substring(first, 2, longest)), F.substring(run, 2, longest))
+    """Capital first letter in every run of letters, also after apostrophes and digits.
 
-    return F.array_join(F.transform(runs, capital), "")
+    The text is cut before each run, so a piece holds one word for ``initcap`` to raise.
+    """
+    runs = F.split(F.lower(value), rf"(?<=[^{_CASED}])(?=[{_CASED}])")
+    return F.array_join(F.transform(runs, lambda run: F.initcap(run)), "")
 
 
 def parse_float(value: Column) -> Column:

@@ -12,6 +12,7 @@ from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parcelweave.session import estimated_bytes
@@ -237,3 +238,8 @@ def shred_html(
                 yield emit(batch.slice(begin), nodes, texts)
 
     return source.mapInArrow(run, schema)
+
+
+def node_table(shredded: DataFrame, keep: Sequence[str] = ("page_id",)) -> DataFrame:
+    """Elements as rows, one per element."""
+    return shredded.select(*keep, F.explode("nodes").alias("n")).select(*keep, "n.*")

@@ -14,8 +14,11 @@ from parcelweave.plans.tables import (
     LINKS_SQL,
     LOG_SQL,
     MICRO,
+    BARE_TASKS_SQL,
+    REGION_OF_EVENT,
     TASKS_SQL,
     as_ts,
+    bare_tasks,
     by_value,
     edges,
     event_log,
@@ -24,15 +27,17 @@ from parcelweave.plans.tables import (
     load,
     tasks,
     text,
+    with_platform,
 )
-from parcelweave.plans.tables import REGION_OF_EVENT
 
 _PULL = "ORDER BY priority DESC, created_at ASC, id ASC"
 
 
 @query(f"WITH {TASKS_SQL} SELECT id, url, platform, CAST(priority AS INT) AS priority FROM tasks WHERE status = 'pending' {_PULL} LIMIT 100")
 def next_tasks(spark: SparkSession, sf: str) -> DataFrame:
-    return R.next_tasks(tasks(spark, sf), 100).select("id", "url", "platform", "priority")
+    # The pick is a top-k over one scan; only its rows are given a platform.
+    picked = R.next_tasks(bare_tasks(spark, sf), 100)
+    return with_platform(spark, sf, picked).select("id", "url", "platform", "priority")
 
 
 @query(
@@ -52,20 +57,20 @@ def task_list(spark: SparkSession, sf: str) -> DataFrame:
     return listed.select("id", "status", text("created_at").alias("created_at"))
 
 
-@query(f"WITH {TASKS_SQL} SELECT status, CAST(count(*) AS BIGINT) AS n FROM tasks GROUP BY 1")
+@query(f"WITH {BARE_TASKS_SQL} SELECT status, CAST(count(*) AS BIGINT) AS n FROM tasks GROUP BY 1")
 def count_by_status(spark: SparkSession, sf: str) -> DataFrame:
-    return R.count_by_status(tasks(spark, sf))
+    return R.count_by_status(bare_tasks(spark, sf))
 
 
 @query(
-    f"""WITH {TASKS_SQL}, {LINKS_SQL} SELECT CAST(count(*) FILTER (WHERE status = 'pending') AS BIGINT) AS pending,
+    f"""WITH {BARE_TASKS_SQL}, {LINKS_SQL} SELECT CAST(count(*) FILTER (WHERE status = 'pending') AS BIGINT) AS pending,
   CAST(count(*) FILTER (WHERE status = 'processing') AS BIGINT) AS processing,
   CAST(count(*) FILTER (WHERE status = 'completed') AS BIGINT) AS completed,
   CAST(count(*) FILTER (WHERE status = 'failed') AS BIGINT) AS failed, CAST(count(*) AS BIGINT) AS total,
   (SELECT CAST(count(*) AS BIGINT) FROM links WHERE NOT processed) AS unprocessed_links FROM tasks"""
 )
 def queue_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return R.queue_stats(tasks(spark, sf), links(spark, sf))
+    return R.queue_stats(bare_tasks(spark, sf), links(spark, sf))
 
 
 @query(
@@ -159,20 +164,20 @@ def marked_links(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {TASKS_SQL} SELECT id, status FROM tasks WHERE NOT (status = 'pending' AND id IN (SELECT l_partkey FROM lineitem
+    f"""WITH {BARE_TASKS_SQL} SELECT id, status FROM tasks WHERE NOT (status = 'pending' AND id IN (SELECT l_partkey FROM lineitem
   WHERE l_returnflag = 'R'))"""
 )
 def cancel_tasks(spark: SparkSession, sf: str) -> DataFrame:
     doomed = load(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("id"))
-    return R.cancel_tasks(tasks(spark, sf), doomed).select("id", "status")
+    return R.cancel_tasks(bare_tasks(spark, sf), doomed).select("id", "status")
 
 
 @query(
-    f"""WITH {TASKS_SQL} SELECT id, CASE WHEN status = 'processing' AND
+    f"""WITH {BARE_TASKS_SQL} SELECT id, CASE WHEN status = 'processing' AND
   date_sub('second', created_at, TIMESTAMP '2001-01-01') > 31536000 THEN 'pending' ELSE status END AS status FROM tasks"""
 )
 def recover_stale(spark: SparkSession, sf: str) -> DataFrame:
-    held = tasks(spark, sf).withColumn("started_at", F.col("created_at"))
+    held = bare_tasks(spark, sf).withColumn("started_at", F.col("created_at"))
     return R.recover_stale(held, as_ts("2001-01-01"), 365 * 86400).select("id", "status")
 
 
@@ -191,12 +196,12 @@ def ripple_2hop(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {TASKS_SQL}, {EDGES_SQL}, d AS (SELECT child_id AS id, sum(delta) AS delta FROM edges GROUP BY 1)
+    f"""WITH {BARE_TASKS_SQL}, {EDGES_SQL}, d AS (SELECT child_id AS id, sum(delta) AS delta FROM edges GROUP BY 1)
 SELECT t.id, CAST(t.priority + coalesce(d.delta, 0) AS BIGINT) AS priority FROM tasks t LEFT JOIN d USING (id)"""
 )
 def recalculate_priorities(spark: SparkSession, sf: str) -> DataFrame:
     deltas = edges(spark, sf).select(F.col("child_id").alias("id"), "delta")
-    return R.recalculate_priorities(tasks(spark, sf), deltas).select("id", "priority")
+    return R.recalculate_priorities(bare_tasks(spark, sf), deltas).select("id", "priority")
 
 
 @query(
@@ -223,9 +228,9 @@ def inbound_events(spark: SparkSession, sf: str) -> DataFrame:
 # --- strategies ---------------------------------------------------------------------------
 
 
-@query(f"WITH {TASKS_SQL} SELECT id FROM tasks WHERE status <> 'processing' ORDER BY last_scraped_at ASC NULLS FIRST, id LIMIT 2000")
+@query(f"WITH {BARE_TASKS_SQL} SELECT id FROM tasks WHERE status <> 'processing' ORDER BY last_scraped_at ASC NULLS FIRST, id LIMIT 2000")
 def chronos(spark: SparkSession, sf: str) -> DataFrame:
-    return S.chronos(tasks(spark, sf), 2000).select("id")
+    return S.chronos(bare_tasks(spark, sf), 2000).select("id")
 
 
 def _signals(spark: SparkSession, sf: str) -> DataFrame:
@@ -302,16 +307,16 @@ def seeded(spark: SparkSession, sf: str) -> DataFrame:
     return S.seeded(docs, "text", known)
 
 
-def _tagged(spark: SparkSession, sf: str) -> DataFrame:
+def _tagged(rows: DataFrame) -> DataFrame:
     tags = F.array_compact(
         F.array(F.when(F.col("amount") > 400000, "delinquent"), F.when(F.col("level") == 4, "slow"))
     )
-    return tasks(spark, sf).withColumn("tags", tags)
+    return rows.withColumn("tags", tags)
 
 
-@query(f"WITH {TASKS_SQL} SELECT id FROM tasks ORDER BY amount > 400000 DESC, priority DESC, id LIMIT 3000")
+@query(f"WITH {BARE_TASKS_SQL} SELECT id FROM tasks ORDER BY amount > 400000 DESC, priority DESC, id LIMIT 3000")
 def risk(spark: SparkSession, sf: str) -> DataFrame:
-    return S.risk(_tagged(spark, sf), 3000).select("id")
+    return S.risk(_tagged(bare_tasks(spark, sf)), 3000).select("id")
 
 
 @query(
@@ -326,7 +331,7 @@ m AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY rank, id) AS rn
 SELECT id, url, strategy FROM m WHERE rn = 1"""
 )
 def strategy_mix(spark: SparkSession, sf: str) -> DataFrame:
-    pool = _tagged(spark, sf)
+    pool = _tagged(bare_tasks(spark, sf))
     limit, weights = 100, {"risk": 0.5, "chronos": 0.3, "hotspot": 0.2}
     oldest = [F.col("last_scraped_at").asc_nulls_first(), F.col("id").asc()]
     tagged = F.arrays_overlap("tags", F.array(*[F.lit(t) for t in S.RISK_TAGS]))
@@ -335,7 +340,7 @@ def strategy_mix(spark: SparkSession, sf: str) -> DataFrame:
             "risk": (pool, [tagged.desc(), F.col("priority").desc(), F.col("id").asc()]),
             "chronos": (pool.where("status <> 'processing'"), oldest),
             "hotspot": (
-                S.hotspot(pool, _signals(spark, sf), as_ts("2024-01-30 23:58:00"), limit),
+                S.hotspot(tasks(spark, sf), _signals(spark, sf), as_ts("2024-01-30 23:58:00"), limit),
                 [F.col("signal_strength").desc(), *oldest],
             ),
         },

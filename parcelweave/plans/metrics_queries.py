@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parcelweave.operators import metrics as I
 from parcelweave.plans.registry import query
-from parcelweave.plans.tables import TASKS_SQL, TELEMETRY_SQL, as_ts, links, load, tasks, telemetry, text
+from parcelweave.plans.tables import BARE_TASKS_SQL, TASKS_SQL, TELEMETRY_SQL, as_ts, bare_tasks, links, load, tasks, telemetry, text
 
 BOUNDS = (1.0, 2.5, 5.0, 10.0, 25.0, 50.0)
 _T = f"WITH {TELEMETRY_SQL}"
@@ -172,12 +172,12 @@ def queue_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {TASKS_SQL}, w AS (SELECT id, level, date_sub('second', created_at, TIMESTAMP '1998-01-01 00:04:00') AS waited FROM tasks WHERE status = 'pending')
+    f"""WITH {BARE_TASKS_SQL}, w AS (SELECT id, level, date_sub('second', created_at, TIMESTAMP '1998-01-01 00:04:00') AS waited FROM tasks WHERE status = 'pending')
 SELECT id, CAST(level AS INT) AS level, CAST(waited AS BIGINT) AS waited_seconds FROM w
 WHERE waited > CASE level WHEN 1 THEN 30 WHEN 2 THEN 300 WHEN 3 THEN 3600 ELSE 86400 END"""
 )
 def sla_breach(spark: SparkSession, sf: str) -> DataFrame:
-    late = I.sla_breaches(tasks(spark, sf), as_ts("1998-01-01 00:04:00"))
+    late = I.sla_breaches(bare_tasks(spark, sf), as_ts("1998-01-01 00:04:00"))
     return late.select("id", "level", "waited_seconds")
 
 

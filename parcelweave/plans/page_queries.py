@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parcelweave.functions import urls
 from parcelweave.functions.transforms import normalize_name, strip
 from parcelweave.operators import pages as P
-from parcelweave.operators.html import shred_html
+from parcelweave.operators.html import node_table, shred_html
 from parcelweave.operators.selectors import Page, extract, extract_all, pick, select_regex
 from parcelweave.operators.validation import validate_records
 from parcelweave.plans.registry import query
@@ -86,6 +86,18 @@ def xpath_h1(spark: SparkSession, sf: str) -> DataFrame:
     return shredded.select("page_id", heading.alias("heading"))
 
 
+@query(
+    r"""SELECT tag, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT page_id) AS BIGINT) AS pages
+FROM (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '<script>.*?</script>', '<script>', 'g'),
+  '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) GROUP BY 1"""
+)
+def node_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Elements per tag over all pages."""
+    nodes = node_table(shred_html(load(spark, sf, "pages"), keep=["page_id"], keep_html=False))
+    per_page = nodes.groupBy("tag", "page_id").agg(F.count("*").alias("n"))
+    return per_page.groupBy("tag").agg(F.sum("n").alias("n"), F.count("*").alias("pages"))
+
+
 @query()
 def css_paragraph_index(spark: SparkSession, sf: str) -> DataFrame:
     shredded = shred_html(load(spark, sf, "pages"), keep=["page_id"])
