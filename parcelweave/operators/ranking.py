@@ -44,6 +44,10 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
     return ranked.where(F.col("__rn") <= n).drop("__rn")
 
 
+# Sketch rows of fewer keys than this are broadcast; at some 200 bytes each they stay small.
+BROADCAST_KEYS = 100_000
+
+
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float], accuracy: int = 10_000
 ) -> DataFrame:
@@ -65,53 +69,56 @@ def exact_quantiles(
         F.min("__v").alias("__min"),
         F.max("__v").alias("__max"),
     )
-    small_n = F.col("__n") <= 2 * accuracy
+    # Small groups need no sketch: their bracket is the whole group.
+    small_group = F.col("__n") <= 2 * accuracy
 
     def bracket(i: int) -> Column:
-        # Small groups need no sketch: their bracket is the whole group.
-        low = F.when(small_n | (F.lit(probes[2 * i]) <= 0), F.col("__min")).otherwise(F.col("__probe")[2 * i])
-        high = F.when(small_n | (F.lit(probes[2 * i + 1]) >= 1), F.col("__max")).otherwise(F.col("__probe")[2 * i + 1])
-        return F.struct(F.lit(i).alias("q"), low.alias("low"), high.alias("high"))
-
-    brackets = sketch.select(*keys, F.array(*[bracket(i) for i in range(len(names))]).alias("__brackets"))
-    if keys:
-        joined = salted_join(data, brackets, list(keys), spread="all", null_safe=True)
+        low = F.when(small_group | (F.lit(probes[2 * i]) <= 0), F.col("__min")).otherwise(F.col("__probe")[2 * i])
+        high = F.when(small_group | (F.lit(probes[2 * i + 1]) >= 1), F.col("__max")).otherwise(F.col("__probe")[2 * i + 1])
+        return F.struct(F.lit(i).alias("q"), F.col("__n").alias("n"), low.alias("low"), high.alias("high"))
+
+    brackets = cut_lineage(
+        sketch.where("__n > 0").select(*keys, F.array(*[bracket(i) for i in range(len(names))]).alias("__brackets"))
+    )
+    if not keys:
+        joined = data.withColumns({"__brackets": brackets.scalar(), "__c": F.lit(1).cast("bigint")})
+    elif brackets.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        named = brackets.select(*[F.col(k).alias(f"__b{i}") for i, k in enumerate(keys)], "__brackets")
+        same = F.lit(True)
+        for i, key in enumerate(keys):
+            same = same & F.col(key).eqNullSafe(F.col(f"__b{i}"))
+        joined = data.join(F.broadcast(named), same).withColumn("__c", F.lit(1).cast("bigint"))
     else:
-        joined = data.withColumn("__brackets", brackets.select("__brackets").scalar())
+        # Copies of one value collapse first, so the values of a heavy key can be spread.
+        distinct = data.groupBy(*keys, "__v").agg(F.count("*").alias("__c"))
+        joined = salted_join(distinct, brackets, list(keys), spread="all", null_safe=True)
     placed = joined.select(
-        *keys, "__v", F.explode(F.filter("__brackets", lambda b: F.col("__v") <= b["high"])).alias("__b")
+        *keys, "__v", "__c", F.explode(F.filter("__brackets", lambda b: F.col("__v") <= b["high"])).alias("__b")
     )
     # Rows below a bracket collapse to one counted row, marked by a null value.
     counted = (
         placed.select(
-            *keys, F.col("__b.q").alias("__q"),
+            *keys, "__c", F.col("__b.q").alias("__q"), F.col("__b.n").alias("__n"),
             F.when(F.col("__v") >= F.col("__b.low"), F.col("__v")).alias("__v"),
         )
-        .groupBy(*keys, "__q", "__v")
-        .agg(F.count("*").alias("__c"))
+        .groupBy(*keys, "__q", "__n", "__v")
+        .agg(F.sum("__c").alias("__c"))
     )
-    upto = Window.partitionBy(*keys, "__q").orderBy(F.col("__v").asc_nulls_first())
+    upto = Window.partitionBy(*keys, "__q", "__n").orderBy(F.col("__v").asc_nulls_first())
     ranked = counted.withColumn("__cum", F.sum("__c").over(upto.rowsBetween(Window.unboundedPreceding, 0)))
-    totals = sketch.select(*keys, F.col("__n"))
-    if keys:
-        ranked = salted_join(ranked, totals, list(keys), spread="all", null_safe=True)
-    else:
-        ranked = ranked.withColumn("__n", totals.select("__n").scalar())
     chosen = F.element_at(F.array(*[F.lit(float(quantiles[n])) for n in names]), F.col("__q") + 1)
-    ranked = ranked.withColumn("__rank", chosen * (F.col("__n") - 1))
+    rank = chosen * (F.col("__n") - 1)
 
     def value_at(index: Column) -> Column:
         return F.min(F.when(F.col("__cum") > index, F.struct(F.col("__cum"), F.col("__v"))))["__v"]
 
-    points = ranked.groupBy(*keys, "__q").agg(
-        value_at(F.floor("__rank")).alias("__lo"),
-        value_at(F.ceil("__rank")).alias("__hi"),
-        F.max("__rank").alias("__rank"),
+    points = ranked.groupBy(*keys, "__q", "__n").agg(
+        value_at(F.floor(rank)).alias("__lo"), value_at(F.ceil(rank)).alias("__hi")
+    )
+    missed = F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")
+    interpolated = F.when(F.col("__lo").isNull() | F.col("__hi").isNull(), missed).otherwise(
+        F.col("__lo") + (F.col("__hi") - F.col("__lo")) * (rank - F.floor(rank))
     )
-    fraction = F.col("__rank") - F.floor("__rank")
-    interpolated = F.when(
-        F.col("__lo").isNull() | F.col("__hi").isNull(), F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")
-    ).otherwise(F.col("__lo") + (F.col("__hi") - F.col("__lo")) * fraction)
     quantile = points.select(*keys, "__q", interpolated.alias("__value"))
     return quantile.groupBy(*keys).agg(
         *[F.max(F.when(F.col("__q") == i, F.col("__value"))).alias(name) for i, name in enumerate(names)]

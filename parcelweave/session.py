@@ -100,6 +100,12 @@ def salted_join(
     """
     if how not in {"inner", "left", "left_semi", "left_anti"}:
         raise ValueError(f"salting does not preserve a {how} join")
+    if set(big.columns) == set(on):
+        # Rows differ in nothing a salt could use: join one of each and repeat it afterwards.
+        counted = big.groupBy(*on).agg(F.count("*").alias("__n"))
+        joined = salted_join(counted, small, on, how, spread, salts, null_safe, heavy=[])
+        copies = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__n"))))
+        return copies.drop("__n", "__copy")
     mine = [f"__k{i}" for i in range(len(on))]
     left = big
     right = small.select(
@@ -114,7 +120,7 @@ def salted_join(
         if spread == "hot" and heavy is None:
             heavy = heavy_keys(big, on)
         if spread == "all" or heavy:
-            rest = [F.col(c) for c in big.columns if c not in on] or [F.monotonically_increasing_id()]
+            rest = [F.col(c) for c in big.columns if c not in on]
             salt = F.pmod(F.xxhash64(*rest), F.lit(salts)).cast("int")
             every, first = F.sequence(F.lit(0), F.lit(salts - 1)), F.array(F.lit(0))
             if spread == "hot":

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
+from parcelweave.operators import ranking
 from parcelweave.operators.ranking import exact_quantiles, global_rank, top_per_group
 from parcelweave.session import heavy_keys, salted_join
 
@@ -31,6 +32,13 @@ def test_salted_join_equals_plain_join(spark, skewed, no_broadcast, how, spread,
     assert rows(got) == rows(want)
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_salted_join_of_bare_keys(spark, skewed, no_broadcast, how):
+    small = spark.createDataFrame([(7, "x"), (7, "y"), (8, "z")], "k int, w string")
+    keys = skewed.select("k")
+    assert rows(salted_join(keys, small, ["k"], how)) == rows(keys.join(small, ["k"], how))
+
+
 def test_salting_spreads_the_heavy_key(spark, skewed, no_broadcast):
     small = spark.createDataFrame([(7, "x")], "k int, w string")
     plan = salted_join(skewed, small, ["k"], salts=4)._jdf.queryExecution().toString()
@@ -55,9 +63,10 @@ def test_top_per_group_limits_before_the_shuffle(skewed):
 
 @pytest.mark.parametrize("accuracy", [50, 10_000])
 @pytest.mark.parametrize("broadcast", [True, False])
-def test_exact_quantiles(spark, accuracy, broadcast, request):
+def test_exact_quantiles(spark, accuracy, broadcast, request, monkeypatch):
     if not broadcast:
         request.getfixturevalue("no_broadcast")
+        monkeypatch.setattr(ranking, "BROADCAST_KEYS", 0)
     rng = np.random.default_rng(3)
     data = {"a": rng.lognormal(0, 3, 6000), "b": np.repeat([1.0, 2.0], [900, 100]), None: rng.normal(size=777), "c": np.array([5.0])}
     flat = [(k, float(v)) for k, vs in data.items() for v in vs] + [("a", None)]
