@@ -10,30 +10,47 @@ from pyspark.sql import functions as F
 from parcelweave.session import cut_lineage, salted_join
 
 
-def global_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "rn") -> DataFrame:
-    """1-based position of every row within its key, whatever the size of the key.
+def _in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """Rows sorted by key and order over all tasks, with their task and position.
 
-    ``order`` must end in a unique column. Rows are range partitioned on key and order, so a
-    large key spans many tasks. Each task numbers its own rows; offsets come from one count
-    per key and task. The numbered rows are checkpointed: a retry must not draw new ranges.
+    A large key spans many tasks. Checkpointed: a retry must not draw other ranges.
     """
-    placed = (
-        df.repartitionByRange(*[F.col(k).asc() for k in keys], *order)
-        .sortWithinPartitions(*[F.col(k).asc() for k in keys], *order)
-        .withColumn("__at", F.monotonically_increasing_id())
-        .withColumn("__part", F.spark_partition_id())
+    by = [*[F.col(k).asc() for k in keys], *order]
+    placed = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    return cut_lineage(
+        placed.withColumns({"__at": F.monotonically_increasing_id(), "__part": F.spark_partition_id()})
     )
-    placed = cut_lineage(placed)
-    sizes = placed.groupBy(*keys, "__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
-    # One row per key and task: bounded by the number of tasks.
+
+
+def _offsets(placed: DataFrame, keys: Sequence[str], total: Column) -> DataFrame:
+    """Per key and task: what all earlier tasks of the key add up to. One row per key and task."""
+    sizes = placed.groupBy(*keys, "__part").agg(total.alias("__total"), F.min("__at").alias("__first"))
     before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        *keys, "__part", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset")
-    )
+    return sizes.select(*keys, "__part", "__first", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__offset"))
+
+
+def global_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "rn") -> DataFrame:
+    """1-based position of every row within its key, whatever the size of the key.
+
+    ``order`` must end in a unique column. Each task numbers its own sorted rows; offsets come
+    from one count per key and task.
+    """
+    placed = _in_ranges(df, keys, order)
+    offsets = _offsets(placed, keys, F.count("*"))
     ranked = salted_join(placed, offsets, [*keys, "__part"], spread="all", null_safe=True)
     return ranked.select(*df.columns, (F.col("__offset") + F.col("__at") - F.col("__first") + 1).alias(name))
 
 
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column], weight: str, name: str) -> DataFrame:
+    """Sum of ``weight`` up to and including each row of its key, whatever the size of the key."""
+    placed = _in_ranges(df, keys, order)
+    offsets = _offsets(placed, keys, F.sum(weight)).drop("__first")
+    joined = salted_join(placed, offsets, [*keys, "__part"], heavy=[], null_safe=True)
+    # A group is the share of one key that lies in one range.
+    within = Window.partitionBy(*keys, "__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    return joined.select(*df.columns, (F.col("__offset") + F.sum(weight).over(within)).alias(name))
+
+
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """The first ``n`` rows per key.
 
@@ -46,6 +63,8 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
 
 # Sketch rows of fewer keys than this are broadcast; at some 200 bytes each they stay small.
 BROADCAST_KEYS = 100_000
+# Brackets that may hold more values than this are ranked over many tasks.
+WINDOW_ROWS = 1_000_000
 
 
 def exact_quantiles(
@@ -55,7 +74,8 @@ def exact_quantiles(
 
     A mergeable sketch brackets every quantile. A second pass counts the rows below each
     bracket and ranks only the distinct values inside it, a few ten-thousandths of the group.
-    The brackets have the sketch's guaranteed rank error on both sides; a miss raises.
+    The brackets have the sketch's guaranteed rank error on both sides; a miss raises. The
+    sketch is checkpointed, since its size decides how the second pass is run.
     """
     data = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
     margin = 3.0 / accuracy
@@ -80,9 +100,10 @@ def exact_quantiles(
     brackets = cut_lineage(
         sketch.where("__n > 0").select(*keys, F.array(*[bracket(i) for i in range(len(names))]).alias("__brackets"))
     )
+    size = brackets.agg(F.count("*").alias("keys"), F.max(F.get("__brackets", F.lit(0))["n"]).alias("rows")).first()
     if not keys:
         joined = data.withColumns({"__brackets": brackets.scalar(), "__c": F.lit(1).cast("bigint")})
-    elif brackets.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+    elif size["keys"] <= BROADCAST_KEYS:
         named = brackets.select(*[F.col(k).alias(f"__b{i}") for i, k in enumerate(keys)], "__brackets")
         same = F.lit(True)
         for i, key in enumerate(keys):
@@ -104,8 +125,12 @@ def exact_quantiles(
         .groupBy(*keys, "__q", "__n", "__v")
         .agg(F.sum("__c").alias("__c"))
     )
-    upto = Window.partitionBy(*keys, "__q", "__n").orderBy(F.col("__v").asc_nulls_first())
-    ranked = counted.withColumn("__cum", F.sum("__c").over(upto.rowsBetween(Window.unboundedPreceding, 0)))
+    group, ascending = [*keys, "__q", "__n"], [F.col("__v").asc_nulls_first()]
+    if (size["rows"] or 0) * 2 * margin > WINDOW_ROWS:
+        ranked = running_sum(counted, group, ascending, "__c", "__cum")
+    else:
+        upto = Window.partitionBy(*group).orderBy(*ascending).rowsBetween(Window.unboundedPreceding, 0)
+        ranked = counted.withColumn("__cum", F.sum("__c").over(upto))
     chosen = F.element_at(F.array(*[F.lit(float(quantiles[n])) for n in names]), F.col("__q") + 1)
     rank = chosen * (F.col("__n") - 1)
 

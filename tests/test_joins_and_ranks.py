@@ -55,6 +55,14 @@ def test_global_rank(spark, skewed):
     assert {(r["k"], r["v"]): r["rn"] for r in got.collect()} == want
 
 
+def test_running_sum(skewed):
+    got = ranking.running_sum(skewed.repartition(5), ["k"], [F.col("v").asc()], "v", "total")
+    sums, want = {}, {}
+    for k, v in sorted(((r["k"], r["v"]) for r in skewed.collect()), key=lambda r: r[1]):
+        sums[k] = want[k, v] = sums.get(k, 0) + v
+    assert {(r["k"], r["v"]): r["total"] for r in got.collect()} == want
+
+
 def test_top_per_group_limits_before_the_shuffle(skewed):
     top = top_per_group(skewed, ["k"], [F.col("v").asc()], 2)
     assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
@@ -67,6 +75,7 @@ def test_exact_quantiles(spark, accuracy, broadcast, request, monkeypatch):
     if not broadcast:
         request.getfixturevalue("no_broadcast")
         monkeypatch.setattr(ranking, "BROADCAST_KEYS", 0)
+        monkeypatch.setattr(ranking, "WINDOW_ROWS", 0)
     rng = np.random.default_rng(3)
     data = {"a": rng.lognormal(0, 3, 6000), "b": np.repeat([1.0, 2.0], [900, 100]), None: rng.normal(size=777), "c": np.array([5.0])}
     flat = [(k, float(v)) for k, vs in data.items() for v in vs] + [("a", None)]
