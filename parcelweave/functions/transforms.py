@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 Transform = Callable[[Column, Mapping], Column]
 
 # What counts as white space, id prefixes, and company suffixes.
-WHITESPACE = r"[\s\x1c-\x1f]"
+WHITESPACE_CHARS = r"\s\x1c-\x1f\x85\p{Z}"
+WHITESPACE = f"[{WHITESPACE_CHARS}]"
 ID_PREFIXES = ("APN", "PARCEL", "ID")
 COMPANY_SUFFIXES = ("LLC", r"L\.L\.C\.", "INC", "CORP", "CO", "TRUST", "TRUSTEE")
 TRUE_WORDS = ("true", "1", "yes")
@@ -31,7 +32,7 @@ def empty_to_null(value: Column) -> Column:
 
 
 def strip(value: Column) -> Column:
-    return F.regexp_replace(value, rf"(?U)^{WHITESPACE}+|{WHITESPACE}+$", "")
+    return F.regexp_replace(value, rf"^{WHITESPACE}+|{WHITESPACE}+$", "")
 
 
 def title_case(value: Column) -> Column:
@@ -64,15 +65,15 @@ def parse_int(value: Column) -> Column:
 def clean_parcel_id(value: Column, config: Mapping) -> Column:
     # ``strict`` asks for a boundary after the prefix, so that IDAHO-1 stays whole.
     boundary = r"(?![\p{L}\p{N}_])" if config.get("strict") else ""
-    prefix = rf"(?iU)^(?:{'|'.join(ID_PREFIXES)}){boundary}[:\s]*"
+    prefix = rf"(?i)^(?:{'|'.join(ID_PREFIXES)}){boundary}[:{WHITESPACE_CHARS}]*"
     bare = F.regexp_replace(value, prefix, "")
     kept = F.regexp_replace(bare, r"[^\p{L}\p{N}_\-]", "")
     return F.upper(F.translate(kept, "_", "-"))
 
 
 def normalize_name(value: Column, config: Mapping) -> Column:
-    suffix = rf"(?iU)\s+(?:{'|'.join(COMPANY_SUFFIXES)})\.?$"
-    single_spaced = F.regexp_replace(F.regexp_replace(value, suffix, ""), rf"(?U){WHITESPACE}+", " ")
+    suffix = rf"(?i){WHITESPACE}+(?:{'|'.join(COMPANY_SUFFIXES)})\.?$"
+    single_spaced = F.regexp_replace(F.regexp_replace(value, suffix, ""), rf"{WHITESPACE}+", " ")
     return strip(title_case(single_spaced))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from parcelweave.functions.transforms import parse_float, strip
+from parcelweave.functions.transforms import WHITESPACE, parse_float, strip
 
 # Image URLs containing one of these words are decoration or trackers.
 IMAGE_EXCLUDE_WORDS = (
@@ -39,7 +39,7 @@ def absolute_scheme(url: Column) -> Column:
 
 def parse_srcset(srcset: Column) -> Column:
     first_words = F.transform(
-        F.split(srcset, ","), lambda item: absolute_scheme(F.split(strip(item), r"(?U)\s+")[0])
+        F.split(srcset, ","), lambda item: absolute_scheme(F.split(strip(item), rf"{WHITESPACE}+")[0])
     )
     return F.filter(first_words, lambda u: u != "")
 

@@ -14,7 +14,7 @@ from parcelweave.operators import validation as V
 from parcelweave.plans.bulk import bulk_load as run_bulk_load
 from parcelweave.plans.registry import query
 from parcelweave.plans.tables import SECOND, load, text
-from parcelweave.session import fresh_dir
+from parcelweave.session import fresh_dir, salted_join
 from parcelweave.sources import files, sinks
 
 # --- mapping and transforms ---------------------------------------------------------------
@@ -609,5 +609,5 @@ def ingest_new_files(spark: SparkSession, sf: str) -> DataFrame:
         spark.read.options(header=True, recursiveFileLookup=True).schema("c_custkey bigint, c_name string").csv(base)
         .withColumn("path", F.col("_metadata.file_path"))
     )
-    kept = rows.join(fresh.select("path"), ["path"], "left_semi")
+    kept = salted_join(rows, fresh.select("path"), ["path"], "left_semi", spread="all")
     return kept.groupBy("c_custkey", "c_name").agg(F.count("*").alias("n"))

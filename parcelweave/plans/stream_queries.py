@@ -28,8 +28,8 @@ def _timed(events: DataFrame) -> DataFrame:
 
 @query("SELECT DISTINCT user_id FROM events")
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    arrivals = _stream(spark, sf, "events").select("user_id", K.event_time("ts").alias("ts"))
-    unique = K.stream_dedup(arrivals, "ts", "40 days", ["user_id"])
+    arrivals = _stream(spark, sf, "events").select("user_id", "event_id", K.event_time("ts").alias("ts"))
+    unique = K.stream_dedup(arrivals, "ts", "40 days", ["user_id"], spread_by="event_id")
     return _drain(spark, unique.select("user_id"), "dedup")
 
 

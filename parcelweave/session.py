@@ -13,6 +13,10 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Stream state that outgrows the heap, and sessions merged before the shuffle.
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     # HTML rows are wide: bound Arrow batches by bytes as well as by rows.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",

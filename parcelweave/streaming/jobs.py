@@ -88,9 +88,19 @@ def read_upserted(
     return latest if base is None else upsert(base, latest, key, strategy)
 
 
-def stream_dedup(links: DataFrame, event_time: str, horizon: str, key: Sequence[str] = ("url",)) -> DataFrame:
-    """First arrival of each URL within the horizon; state is dropped behind the watermark."""
-    return links.withWatermark(event_time, horizon).dropDuplicatesWithinWatermark(list(key))
+def stream_dedup(
+    links: DataFrame, event_time: str, horizon: str, key: Sequence[str] = ("url",), spread_by: str | None = None, salts: int = 16
+) -> DataFrame:
+    """First arrival of each URL within the horizon; state is dropped behind the watermark.
+
+    ``spread_by`` names a column that differs between arrivals of one URL. Arrivals then
+    shrink to one per URL and salt before they meet, so a hot URL is spread over tasks.
+    """
+    marked = links.withWatermark(event_time, horizon)
+    if spread_by is not None:
+        salted = marked.withColumn("__salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)))
+        marked = salted.dropDuplicatesWithinWatermark([*key, "__salt"]).drop("__salt")
+    return marked.dropDuplicatesWithinWatermark(list(key))
 
 
 def stream_metrics(events: DataFrame, size: str, slide: str | None = None, late: str = "10 minutes") -> DataFrame:

@@ -44,9 +44,11 @@ def test_late_rows_are_dropped_and_windows_close(feed):
     assert got == [(0, 0, 1, 0.0), (1, 1, 0, 1.0)]
 
 
-def test_dedup_across_restarts(feed):
+@pytest.mark.parametrize("spread_by", [None, "seq"])
+def test_dedup_across_restarts(feed, spread_by):
     add, stream, base = feed
-    unique = lambda: K.stream_dedup(stream().select("detail", "ts"), "ts", "1 day", ["detail"]).select("detail")
+    arrivals = lambda: stream().select("detail", "ts", "seq")
+    unique = lambda: K.stream_dedup(arrivals(), "ts", "1 day", ["detail"], spread_by).select("detail")
     add([(1, at(0), 1, "x", "u1"), (2, at(0), 2, "x", "u1"), (3, at(0), 3, "x", "u2")])
     K.drain_to(unique(), f"{base}/out", f"{base}/cp")
     add([(4, at(5), 4, "x", "u1"), (5, at(5), 5, "x", "u3")])
