@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelweave.functions import urls
-from parcelweave.functions.transforms import normalize_name, strip
+from parcelweave.functions.transforms import empty_to_null, normalize_name, strip
 from parcelweave.operators import pages as P
 from parcelweave.operators.html import node_table, shred_html
 from parcelweave.operators.selectors import Page, extract, extract_all, pick, select_regex
@@ -98,13 +98,28 @@ def node_counts(spark: SparkSession, sf: str) -> DataFrame:
     return per_page.groupBy("tag").agg(F.sum("n").alias("n"), F.count("*").alias("pages"))
 
 
-@query()
+def _paragraph_sql(which: str) -> str:
+    """Text of one piece of the article: tags cut it into text nodes, which are stripped and joined."""
+    piece = f"regexp_replace(({which}), '(?s)</p>.*$', '')"
+    nodes = f"regexp_split_to_array({piece}, '<[^>]*>')"
+    node = decoded_sql("x").removeprefix("trim(").removesuffix(")")
+    stripped = f"regexp_replace({node}, '^\\s+|\\s+$', '', 'g')"
+    return f"array_to_string(list_transform({nodes}, lambda x: {stripped}), '')"
+
+
+@query(
+    f"""
+WITH p AS (SELECT page_id, string_split(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<p>') AS pieces,
+  regexp_extract(html, '(?s)<div class="ad">.*?</div>') AS ad FROM pages)
+SELECT page_id, nullif({_paragraph_sql("pieces[3]")}, '') AS second,
+  CASE WHEN len(pieces) > 1 THEN {_paragraph_sql("pieces[len(pieces)]")} END AS last, nullif(ad, '') AS ad_html FROM p"""
+)
 def css_paragraph_index(spark: SparkSession, sf: str) -> DataFrame:
     shredded = shred_html(load(spark, sf, "pages"), keep=["page_id"])
     page = Page.columns()
     return shredded.select(
         "page_id",
-        extract(page, {"selector": "article p", "index": 1}).alias("second"),
+        empty_to_null(extract(page, {"selector": "article p", "index": 1})).alias("second"),
         extract(page, {"selector": "article > p", "index": -1}).alias("last"),
         extract(page, {"selector": "div.ad", "attr": "html"}).alias("ad_html"),
     )
