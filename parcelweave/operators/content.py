@@ -15,7 +15,7 @@ def content_hash(content: Column) -> Column:
 
 
 def content_map(df: DataFrame, id_col: str, content_col: str) -> DataFrame:
-    """Every id with the hash of its content: the reference from record to stored text."""
+    """Every id with the hash of its content: the link from record to stored text."""
     return df.select(id_col, content_hash(F.col(content_col)).alias("content_hash"))
 
 

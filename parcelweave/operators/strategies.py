@@ -115,15 +115,15 @@ def quotas(weights: Mapping[str, float], limit: int, min_share: Mapping[str, flo
 
 def strategy_mix(
     candidates: Mapping[str, tuple[DataFrame, Sequence[Column]]],
-    weights: Mapping[str, float],
     limit: int,
+    weights: Mapping[str, float] | None = None,
     min_share: Mapping[str, float] | None = None,
 ) -> DataFrame:
     """Up to the quota of each strategy in its own order; a URL stays with the first strategy.
 
     Candidates give (rows with id and url, order). Every branch is a distributed top-k.
     """
-    share = quotas(weights, limit, MIN_SHARE if min_share is None else min_share)
+    share = quotas(weights or DEFAULT_WEIGHTS, limit, MIN_SHARE if min_share is None else min_share)
     mixed = None
     for rank, (name, (rows, order)) in enumerate(candidates.items()):
         picked = rows.orderBy(*order).limit(share.get(name, 0)).select(

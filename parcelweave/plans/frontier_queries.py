@@ -296,13 +296,13 @@ def sweeper_next(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     r"""WITH words AS (SELECT DISTINCT doc_id AS id, w FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS w
   FROM documents) WHERE w <> ''),
-k AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS w FROM benchmark) WHERE length(w) >= 9)
+k AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS w FROM benchmark) WHERE w <> '')
 SELECT id, CAST(count(*) AS BIGINT) AS hits FROM words JOIN k USING (w) GROUP BY 1"""
 )
 def seeded(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents that hold a known long word, over whole texts."""
+    """Known words each document holds, over whole texts."""
     split = F.split(F.lower("text"), r"[^\p{L}\p{N}]+")
-    known = load(spark, sf, "benchmark").select(F.explode(split).alias("keyword")).where(F.length("keyword") >= 9)
+    known = load(spark, sf, "benchmark").select(F.explode(split).alias("keyword")).where(F.col("keyword") != "")
     docs = load(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     return S.seeded(docs, "text", known)
 
@@ -344,8 +344,8 @@ def strategy_mix(spark: SparkSession, sf: str) -> DataFrame:
                 [F.col("signal_strength").desc(), *oldest],
             ),
         },
-        weights,
         limit,
+        weights,
     )
 
 

@@ -317,12 +317,17 @@ def bulk_job_report(spark: SparkSession, sf: str) -> DataFrame:
     return V.bulk_job_report(V.validate_records(_contacts(spark, sf), RULES))
 
 
-@query("SELECT c_custkey, concat_ws(';', CASE WHEN c_nationkey = 0 THEN 'county' END, 'state') AS missing FROM customer WHERE c_nationkey <= 5")
+@query(
+    """
+SELECT c_custkey, concat_ws(';', CASE WHEN c_mktsegment = 'FURNITURE' THEN 'parcel_id' END,
+  CASE WHEN c_nationkey = 0 THEN 'county' END, 'state') AS missing FROM customer"""
+)
 def key_check(spark: SparkSession, sf: str) -> DataFrame:
-    rows = load(spark, sf, "customer").where(F.col("c_nationkey") <= 5).select(
-        "c_custkey", F.col("c_name").alias("parcel_id"),
+    rows = load(spark, sf, "customer").select(
+        "c_custkey",
+        F.when(F.col("c_mktsegment") == "FURNITURE", "").otherwise(F.col("c_name")).alias("parcel_id"),
         F.when(F.col("c_nationkey") > 0, F.col("c_mktsegment")).alias("county"),
-    )
+    )
     missing = U.missing_key_fields(U.PARCEL_KEY, rows.columns)
     return rows.select("c_custkey", F.array_join(missing, ";").alias("missing"))
 
@@ -399,6 +404,32 @@ def upsert_actions(spark: SparkSession, sf: str) -> DataFrame:
     return U.batch_upsert(load(spark, sf, "supplier").select(F.col("s_suppkey").alias("id")), new, ["id"])
 
 
+@query(
+    """
+SELECT CASE WHEN s_suppkey IS NULL THEN 'inserted' ELSE 'updated' END AS action, CAST(count(*) AS BIGINT) AS n
+FROM (SELECT DISTINCT o_custkey FROM orders) LEFT JOIN supplier ON o_custkey = s_suppkey GROUP BY 1"""
+)
+def upsert_action_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders give many new rows per key: they are reduced to one before they are labelled."""
+    new = load(spark, sf, "orders").select(F.col("o_custkey").alias("id"), "o_orderdate", "o_orderkey")
+    latest = U.last_write_wins(new, ["id"], ["o_orderdate", "o_orderkey"])
+    known = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"))
+    return U.action_counts(U.batch_upsert(known, latest, ["id"]))
+
+
+@query(
+    """
+SELECT c_custkey || '|' || c_mktsegment || '|' || n_name AS record_key, c_acctbal FROM customer
+JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment <> 'MACHINERY'"""
+)
+def business_keys(spark: SparkSession, sf: str) -> DataFrame:
+    nation = load(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("state"))
+    rows = load(spark, sf, "customer").join(nation, ["c_nationkey"]).select(
+        F.col("c_custkey").alias("parcel_id"), F.nullif("c_mktsegment", F.lit("MACHINERY")).alias("county"), "state", "c_acctbal"
+    )
+    return U.apply_profile_key(rows).select("record_key", "c_acctbal")
+
+
 @query(
     """
 SELECT l_orderkey, l_partkey, l_linenumber, l_extendedprice, CAST(n AS BIGINT) AS n FROM (

@@ -125,6 +125,15 @@ def test_links(spark):
     assert R.delete_by_source(links, gone).count() == 2
 
 
+def test_add_links_and_enqueue(spark, tasks):
+    links = spark.createDataFrame([("s", "u")], "source_id string, url string")
+    more = spark.createDataFrame([("s", "v", False)], "source_id string, url string, processed boolean")
+    assert R.add_links(links, more).count() == 2
+    added = R.new_tasks(spark.createDataFrame([("z", "p")], "url string, platform string"), F.lit(T0))
+    queued = R.enqueue(tasks, added)
+    assert queued.where("status = 'pending' AND priority = 0 AND url = 'z'").count() == 1
+
+
 def test_sync(spark):
     now = T0 + timedelta(seconds=100)
     data = [(1, False, 0, None), (2, False, 1, T0), (3, False, 2, T0), (4, True, 0, None)]
@@ -189,5 +198,5 @@ def test_seeded_and_targeted(spark):
 
 def test_mix_gives_a_url_to_the_first_strategy(spark):
     pool = spark.createDataFrame([(i, f"u{i}", i) for i in range(20)], "id int, url string, p int")
-    mixed = S.strategy_mix({"risk": (pool, [F.col("p").desc()]), "chronos": (pool, [F.col("p").desc()])}, {"risk": 0.5, "chronos": 0.5}, 8)
+    mixed = S.strategy_mix({"risk": (pool, [F.col("p").desc()]), "chronos": (pool, [F.col("p").desc()])}, 8, {"risk": 0.5, "chronos": 0.5})
     assert rows(mixed, "id", "strategy") == [(i, "risk") for i in (16, 17, 18, 19)]
