@@ -52,11 +52,14 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column], wei
 
 
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
-    """The first ``n`` rows per key.
+    """The first ``n`` rows per key; ``order`` must end in a unique column.
 
-    Spark limits each group on the map side before the shuffle (window group limit, for ``n``
-    up to ``spark.sql.window.group.limit.threshold``), so a hot key sends ``n`` rows per task.
+    Up to its threshold Spark limits each group on the map side (window group limit), so a hot
+    key sends ``n`` rows per task. Beyond it, groups are ranked over many tasks.
     """
+    most = int(df.sparkSession.conf.get("spark.sql.window.group.limit.threshold", "1000"))
+    if n > most:
+        return global_rank(df, keys, order, "__rn").where(F.col("__rn") <= n).drop("__rn")
     ranked = df.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return ranked.where(F.col("__rn") <= n).drop("__rn")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from parcelweave.operators.upsert import last_write_wins
@@ -37,7 +37,22 @@ def append_csv_sink(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("header", False).csv(path)
 
 
-def write_quarantine(good: DataFrame, bad: DataFrame, good_path: str, bad_path: str) -> None:
-    """Good rows as Parquet and bad rows, with their errors, as JSON."""
-    good.write.mode("error").parquet(good_path)
-    bad.write.mode("error").json(bad_path)
+def write_checked(validated: DataFrame, path: str, form: str = "parquet") -> dict[str, int]:
+    """Write validated records once, split into ``is_valid=true`` and ``is_valid=false``.
+
+    Records are counted on the way, so neither the split nor the report reads the source again.
+    """
+    seen = Observation("checked")
+    counted = validated.observe(
+        seen, F.count("*").alias("total_rows"), F.count_if(~F.col("is_valid")).alias("error_rows")
+    )
+    counted.write.partitionBy("is_valid").format(form).mode("error").save(path)
+    return seen.get
+
+
+def read_checked(spark: SparkSession, path: str, form: str = "parquet") -> tuple[DataFrame, DataFrame]:
+    """Good records without check columns, and quarantined ones with their errors."""
+    rows = spark.read.format(form).load(path)
+    # Partition values are read back as text.
+    valid = F.col("is_valid").cast("string") == "true"
+    return rows.where(valid).drop("is_valid", "errors"), rows.where(~valid).drop("is_valid")

@@ -67,6 +67,8 @@ def test_top_per_group_limits_before_the_shuffle(skewed):
     top = top_per_group(skewed, ["k"], [F.col("v").asc()], 2)
     assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
     assert top.where("k = 7").count() == 2
+    many = top_per_group(skewed.where("k IS NOT NULL"), ["k"], [F.col("v").asc()], 1001)
+    assert many.where("k = 7").count() == 1001
 
 
 @pytest.mark.parametrize("accuracy", [50, 10_000])

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
+from parcelweave.operators.validation import validate_records
 from parcelweave.sources import files, sinks
 
 
@@ -95,11 +96,18 @@ def test_results(spark, tmp_path):
     assert got[0] == "bulk_7" and got[1] == got[2] and len(got[1]) == 64
 
 
-def test_append_and_quarantine(spark, tmp_path):
+def test_append(spark, tmp_path):
     path = str(tmp_path / "log")
     df = spark.createDataFrame([(1, "a")], "i int, s string")
     sinks.append_csv_sink(df, path)
     sinks.append_csv_sink(df, path)
     assert rows(spark.read.csv(path)) == [("1", "a")] * 2
-    sinks.write_quarantine(df, df, str(tmp_path / "g"), str(tmp_path / "b"))
-    assert spark.read.json(str(tmp_path / "b")).count() == 1
+
+
+def test_checked_write_reads_the_source_once(spark, tmp_path):
+    path = str(tmp_path / "checked")
+    df = spark.createDataFrame([(1, "a"), (2, ""), (3, "c")], "i int, s string")
+    counts = sinks.write_checked(validate_records(df, {"required": ["s"]}), path)
+    assert counts == {"total_rows": 3, "error_rows": 1}
+    good, bad = sinks.read_checked(spark, path)
+    assert rows(good) == [(1, "a"), (3, "c")] and rows(bad, "i", "errors") == [(2, ["Missing required field: s"])]
