@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parcelweave.session import estimated_bytes
+from parcelweave.session import spread_small
 
 # Fixed values of HTML: elements without content, and elements whose text is not page text.
 VOID_TAGS = frozenset(
@@ -188,20 +188,6 @@ def shred(html: str | None) -> tuple[list[dict], str]:
     return page.nodes, "".join(page.pieces)
 
 
-SMALL_BYTES = 256 * 1024 * 1024
-
-
-def _spread_small(pages: DataFrame) -> DataFrame:
-    """A small table may lie in one split and leave most cores idle in Python: spread its rows.
-
-    Larger tables have splits enough and are not shuffled.
-    """
-    size = None if pages.isStreaming else estimated_bytes(pages)
-    if size is None or size > SMALL_BYTES:
-        return pages
-    return pages.repartition(pages.sparkSession.sparkContext.defaultParallelism)
-
-
 def shred_html(
     df: DataFrame, html_col: str = "html", keep: Sequence[str] = ("page_id", "url"), keep_html: bool = True
 ) -> DataFrame:
@@ -209,7 +195,7 @@ def shred_html(
 
     Only kept columns and the page reach Python. Output batches hold a few megabytes of pages.
     """
-    source = _spread_small(df.select(*keep, html_col))
+    source = spread_small(df.select(*keep, html_col))
     kept = [*keep, *([html_col] if keep_html else [])]
     fields = [source.schema[c] for c in kept]
     schema = T.StructType(

@@ -29,6 +29,7 @@ from parcelweave.plans.tables import (
     text,
     with_platform,
 )
+from parcelweave.session import spread_small
 
 _PULL = "ORDER BY priority DESC, created_at ASC, id ASC"
 
@@ -303,7 +304,7 @@ def seeded(spark: SparkSession, sf: str) -> DataFrame:
     """Known words each document holds, over whole texts."""
     split = F.split(F.lower("text"), r"[^\p{L}\p{N}]+")
     known = load(spark, sf, "benchmark").select(F.explode(split).alias("keyword")).where(F.col("keyword") != "")
-    docs = load(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = spread_small(load(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
     return S.seeded(docs, "text", known)
 
 

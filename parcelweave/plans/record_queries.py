@@ -14,7 +14,7 @@ from parcelweave.operators import validation as V
 from parcelweave.plans.bulk import bulk_load as run_bulk_load
 from parcelweave.plans.registry import query
 from parcelweave.plans.tables import SECOND, load, text
-from parcelweave.session import fresh_dir, salted_join
+from parcelweave.session import fresh_dir, salted_join, spread_small
 from parcelweave.sources import files, sinks
 
 # --- mapping and transforms ---------------------------------------------------------------
@@ -98,7 +98,8 @@ FROM documents"""
 )
 def document_titles(spark: SparkSession, sf: str) -> DataFrame:
     """Title case over whole texts."""
-    return load(spark, sf, "documents").select("doc_id", F.md5(title_case(F.col("text"))).alias("titled_md5"))
+    docs = spread_small(load(spark, sf, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.md5(title_case(F.col("text"))).alias("titled_md5"))
 
 
 PART_PROFILE = M.BulkProfile(

@@ -70,6 +70,20 @@ def _broadcast_limit(spark: SparkSession) -> int:
     return int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
 
 
+SMALL_BYTES = 256 * 1024 * 1024
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Rows of a small table over all cores, for work that costs far more than a shuffle of it.
+
+    A small table may lie in one split. Larger ones have splits enough and are left alone.
+    """
+    size = None if df.isStreaming else estimated_bytes(df)
+    if size is None or size > SMALL_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def heavy_keys(df: DataFrame, keys: list[str], share: float = 0.005, tracked: int = 8192) -> list[int]:
     """Hashes of the keys that hold at least ``share`` of the rows: never more than 1 / share.
 
