@@ -82,49 +82,53 @@ def task_state_fold(events: DataFrame, key: str = "id", chunk: str = "1 hour") -
 
     Types are start, complete, fail and retry; others are ignored. A start counts only when
     the task is pending, that is when the event before it is a retry or there is none. Events
-    are reduced per key and time chunk first, so a busy task is spread over its chunks.
+    of a task are reduced in one step; those of a heavy task per time chunk first, so that
+    its log is spread over tasks.
     """
     known = events.where(F.col("type").isin("start", "complete", "fail", "retry"))
-    at = F.struct("ts", "seq")
-    keyed = known.withColumn("__chunk", F.window("ts", chunk)["start"])
+    heavy = heavy_keys(known, [key])
+    slot = F.lit(None).cast("timestamp")
+    if heavy:
+        hot = F.array_contains(F.array(*[F.lit(h) for h in heavy]), F.xxhash64(key))
+        slot = F.when(hot, F.window("ts", chunk)["start"])
+    at, event = F.struct("ts", "seq"), F.struct("ts", "seq", "type")
+    starts, is_end = F.col("type") == "start", F.col("type").isin("complete", "fail")
+
+    def latest(kind: str) -> Column:
+        return F.max(F.when(F.col("type") == kind, F.struct("ts", "seq", "detail")))
+
     inside = Window.partitionBy(key, "__chunk").orderBy("ts", "seq")
-    prior = keyed.withColumn("__prior", F.lag("type").over(inside))
-    is_end = F.col("type").isin("complete", "fail")
-    starts = F.col("type") == "start"
+    prior = known.withColumn("__chunk", slot).withColumn("__prior", F.lag("type").over(inside))
     chunks = prior.groupBy(key, "__chunk").agg(
-        F.min_by("type", at).alias("first_type"),
-        F.min(at).alias("first_at"),
-        F.max_by("type", at).alias("last_type"),
-        F.max(F.when(~starts, at)).alias("set_at"),
-        F.max_by("type", F.when(~starts, at)).alias("set_type"),
+        F.min(event).alias("first"),
+        F.max(event).alias("last"),
+        F.max(F.when(~starts, event)).alias("set"),
         F.max(F.when(starts & (F.col("__prior") == "retry"), at)).alias("accepted"),
         F.count_if(F.col("type") == "retry").alias("retries"),
         F.max(F.when(is_end, F.col("ts"))).alias("completed_at"),
-        F.max_by("detail", F.when(F.col("type") == "complete", at)).alias("result_path"),
-        F.max(F.when(F.col("type") == "complete", at)).alias("result_at"),
-        F.max_by("detail", F.when(F.col("type") == "fail", at)).alias("error"),
-        F.max(F.when(F.col("type") == "fail", at)).alias("error_at"),
+        latest("complete").alias("result"),
+        latest("fail").alias("failure"),
     )
-    along = Window.partitionBy(key).orderBy("__chunk")
-    before = F.lag("last_type").over(along)
-    linked = chunks.withColumn(
-        "first_accepted",
-        F.when((F.col("first_type") == "start") & F.coalesce(before == "retry", F.lit(True)), F.col("first_at")),
+    # The first event of a chunk follows the last one of the chunk before.
+    before = F.lag("last.type").over(Window.partitionBy(key).orderBy("__chunk"))
+    follows_retry = F.coalesce(before == "retry", F.lit(True))
+    first_accepted = F.when(
+        (F.col("first.type") == "start") & follows_retry, F.struct(F.col("first.ts"), F.col("first.seq"))
     )
-    folded = linked.groupBy(key).agg(
-        F.max("set_at").alias("set_at"),
-        F.max_by("set_type", "set_at").alias("set_type"),
+    folded = chunks.withColumn("first_accepted", first_accepted).groupBy(key).agg(
+        F.max("set").alias("set"),
         F.max(F.greatest("accepted", "first_accepted")).alias("accepted"),
         F.sum("retries").alias("retry_count"),
         F.max("completed_at").alias("completed_at"),
-        F.max_by("result_path", "result_at").alias("result_path"),
-        F.max_by("error", "error_at").alias("error"),
+        F.max("result")["detail"].alias("result_path"),
+        F.max("failure")["detail"].alias("error"),
     )
-    running = F.col("accepted").isNotNull() & (F.col("set_at").isNull() | (F.col("accepted") > F.col("set_at")))
+    set_at = F.struct(F.col("set.ts"), F.col("set.seq"))
+    running = F.col("accepted").isNotNull() & (F.col("set").isNull() | (F.col("accepted") > set_at))
     status = (
         F.when(running, "processing")
-        .when(F.col("set_type") == "complete", "completed")
-        .when(F.col("set_type") == "fail", "failed")
+        .when(F.col("set.type") == "complete", "completed")
+        .when(F.col("set.type") == "fail", "failed")
         .otherwise("pending")
     )
     return folded.select(

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 SESSION_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -98,6 +99,11 @@ def heavy_keys(df: DataFrame, keys: list[str], share: float = 0.005, tracked: in
     return [t["item"] for t in row["top"] if t["count"] >= share * row["n"]]
 
 
+def _hashable(kind: DataType) -> bool:
+    """Maps and variants have no hash."""
+    return not any(word in kind.simpleString() for word in ("map<", "variant"))
+
+
 def salted_join(
     big: DataFrame,
     small: DataFrame,
@@ -138,8 +144,8 @@ def salted_join(
         if spread == "hot" and heavy is None:
             heavy = heavy_keys(big, on)
         if spread == "all" or heavy:
-            rest = [F.col(c) for c in big.columns if c not in on]
-            salt = F.pmod(F.xxhash64(*rest), F.lit(salts)).cast("int")
+            rest = [F.col(f.name) for f in big.schema if f.name not in on and _hashable(f.dataType)]
+            salt = F.pmod(F.xxhash64(*(rest or on)), F.lit(salts)).cast("int")
             every, first = F.sequence(F.lit(0), F.lit(salts - 1)), F.array(F.lit(0))
             if spread == "hot":
                 hot = F.array(*[F.lit(h) for h in heavy])

@@ -39,6 +39,12 @@ def test_salted_join_of_bare_keys(spark, skewed, no_broadcast, how):
     assert rows(salted_join(keys, small, ["k"], how)) == rows(keys.join(small, ["k"], how))
 
 
+def test_salted_join_keeps_map_columns(spark, skewed, no_broadcast):
+    small = spark.createDataFrame([(7, "x")], "k int, w string")
+    big = skewed.withColumn("m", F.create_map(F.lit("a"), F.col("v")))
+    assert salted_join(big, small, ["k"], spread="all").count() == skewed.where("k = 7").count()
+
+
 def test_salting_spreads_the_heavy_key(spark, skewed, no_broadcast):
     small = spark.createDataFrame([(7, "x")], "k int, w string")
     plan = salted_join(skewed, small, ["k"], salts=4)._jdf.queryExecution().toString()
