@@ -7,16 +7,21 @@ kept once per page; an element holds the range of it that lies inside.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parcelweave.session import spread_small
 
+# The tokeniser travels with its tasks, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Fixed values of HTML: elements without content, and elements whose text is not page text.
 VOID_TAGS = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()

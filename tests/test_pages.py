@@ -1,3 +1,7 @@
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,3 +151,18 @@ def test_parse_pages_reports_errors_and_keeps_records(spark):
     assert got[1]["external_links"]["apple_maps"] == "https://maps.apple.com/?ll=33.5,-112.25"
     # No id field holds a value, so the first field that looks like an id is taken.
     assert got[2]["parcel_id"] == "-112.25" and got[2]["errors"] == ["Missing required field: owner_name"]
+
+
+def test_the_tokeniser_travels_without_the_package(tmp_path):
+    """Workers of a session started elsewhere cannot import this package."""
+    script = tmp_path / "job.py"
+    script.write_text(
+        f"import sys; sys.path.insert(0, {str(Path(__file__).resolve().parents[1])!r})\n"
+        "from pyspark.sql import SparkSession\n"
+        "from parcelweave.operators.html import shred_html\n"
+        "spark = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "df = spark.createDataFrame([(1, '<p>x')], 'page_id int, html string')\n"
+        "print('TEXT', shred_html(df, keep=['page_id']).first()['page_text'])\n"
+    )
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert "TEXT x" in done.stdout, done.stderr[-2000:]
