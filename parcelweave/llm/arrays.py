@@ -14,8 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_BYTES = 2_000_000
-_BASE = 0x9E3779B97F4A7C15
-_BACK = pow(_BASE, -1, 1 << 64)
+BASE = 0x9E3779B97F4A7C15
+BACK = pow(BASE, -1, 1 << 64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,7 +33,7 @@ _SMALL = mix(np.arange(1, 65537, dtype=np.uint64))
 _powers: dict[int, np.ndarray] = {}
 
 
-def _power(base: int, n: int) -> np.ndarray:
+def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1), modulo 2 ** 64; kept for the next block of the process."""
     have = _powers.get(base)
     if have is None or len(have) < n:
@@ -114,8 +114,8 @@ class Texts:
             else:
                 values = _SMALL[c]
             self._sums = np.zeros(len(c) + 1, np.uint64)
-            np.cumsum(values * _power(_BASE, len(c)), out=self._sums[1:])
-        back = _power(_BACK, len(self._sums))
+            np.cumsum(values * powers(BASE, len(c)), out=self._sums[1:])
+        back = powers(BACK, len(self._sums))
         spans = (self._sums[ends] - self._sums[begins]) * back[begins]
         return mix(spans + (ends - begins).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelweave.llm import bpe, packing
+from parcelweave.llm import bpe, packing, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -22,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, repetition coverage and verdict of every document."""
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a packed sequence."""
@@ -32,6 +38,24 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def span_text(spans: str) -> Column:
+    """kind:start:end of every span of an array, comma-joined in its order."""
+    return F.expr(f"array_join(transform({spans}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')")
+
+
+@query
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digests of the secrets of every document."""
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    count = {kind: F.expr(f"cast(size(filter(spans, s -> s.kind = '{kind}')) as bigint)") for kind in secrets.KINDS}
+    return found.select(
+        "doc_id",
+        *[count[kind].alias(f"n_{kind}") for kind in secrets.KINDS],
+        F.sha2(span_text("filter(spans, s -> s.kind <> 'entropy')"), 256).alias("base_sha256"),
+        span_text("spans").alias("spans"),
+    )
+
+
 @query
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the bytes they decode to."""
