@@ -132,3 +132,20 @@ def per_text(owners: np.ndarray, n: int, weights: np.ndarray | None = None) -> n
     sums = np.concatenate(([0], np.cumsum(weights.astype(np.int64))))
     cuts = np.searchsorted(owners, np.arange(n + 1))
     return sums[cuts[1:]] - sums[cuts[:-1]]
+
+
+def _lower_table() -> np.ndarray:
+    table = np.arange(65536, dtype=np.uint32)
+    for code in range(65536):
+        small = chr(code).lower()
+        if len(small) == 1:
+            table[code] = ord(small)
+    return table
+
+
+_LOWER = _lower_table()
+
+
+def lower(codes: np.ndarray) -> np.ndarray:
+    """Simple lower case, one code point for one; what lies beyond the basic plane stays."""
+    return np.where(codes < 65536, _LOWER[np.minimum(codes, 65535)], codes)

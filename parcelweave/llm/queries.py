@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelweave.llm import bpe, packing, quality, secrets
+from parcelweave.llm import bpe, lm, packing, quality, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -28,6 +28,21 @@ def op1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def remainder(folds: int) -> Column:
+    """crc32 of doc_id as text, modulo ``folds``; null for a null id."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
+
+
+@query
+def op2_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by a model of those whose remainder by 7 isn't 2."""
+    held_out = F.coalesce(remainder(7) == 2, F.lit(False))
+    scores = lm.score(table(spark, sf_dir, "documents"), ~held_out)
+    return scores.withColumn("held_out", ~F.col("learnt")).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 @query
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a packed sequence."""
@@ -38,6 +53,17 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learnt from labels whose remainder by 5 isn't 0."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = toxicity.is_held_out(F.col("doc_id"))
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").filter(~held_out))
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def span_text(spans: str) -> Column:
     """kind:start:end of every span of an array, comma-joined in its order."""
     return F.expr(f"array_join(transform({spans}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')")
