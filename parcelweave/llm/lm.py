@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ from parcelweave.session import fresh_dir
 
 END = 0x5851F42D4C957F2D
 #: Bytes of text of a record, and hashes that one task counts: what bounds memory.
-RECORD_BYTES = 5_000_000
+RECORD_BYTES = 8_000_000
 RANGE_KEYS = 1_500_000
 
 
@@ -76,26 +77,33 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
 def token_records(docs: DataFrame, id_col: str, text_col: str, learn: Column, dev: Column) -> DataFrame:
     """Tokenised texts in records, written to the shared folder and read back. Runs a job.
 
-    A record has ``record`` (unique), ``ids`` (an Arrow file of the id column and both flags),
-    ``sizes`` (tokens per text, its end included), ``words`` (distinct hashes, sorted) and ``tokens``
-    (their places).
+    A record holds texts of one value of ``dev`` and has ``record`` (unique), ``ids`` (an Arrow stream
+    of the id column and ``learn``), ``sizes`` (tokens per text, its end included), ``words`` (distinct
+    hashes, the most frequent first) and ``tokens`` (their places).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 24
-        waiting: list[pa.RecordBatch] = []
-        held = 0
+        waiting: dict[bool, list[pa.RecordBatch]] = {False: [], True: []}
+        held = {False: 0, True: 0}
         for batch in batches:
             for block in blocks(batch, 1, RECORD_BYTES // 4):
-                waiting.append(block)
-                held += block.column(1).nbytes
-                if held >= RECORD_BYTES:
-                    yield record(number, waiting)
-                    number, waiting, held = number + 1, [], 0
-        if waiting:
-            yield record(number, waiting)
-
-    def record(number: int, waiting: list[pa.RecordBatch]) -> pa.RecordBatch:
+                for kind in waiting:
+                    flag = block.column(3)
+                    part = block.filter(flag if kind else pc.invert(flag))
+                    if not part.num_rows:
+                        continue
+                    waiting[kind].append(part)
+                    held[kind] += part.column(1).nbytes
+                    if held[kind] >= RECORD_BYTES:
+                        yield record(number, kind, waiting[kind])
+                        number, waiting[kind], held[kind] = number + 1, [], 0
+        for kind, rest in waiting.items():
+            if rest:
+                yield record(number, kind, rest)
+                number += 1
+
+    def record(number: int, kind: bool, waiting: list[pa.RecordBatch]) -> pa.RecordBatch:
         words, sizes = [], []
         for block in waiting:
             texts = Texts(block.column(1))
@@ -105,13 +113,16 @@ def token_records(docs: DataFrame, id_col: str, text_col: str, learn: Column, de
             each = np.bincount(texts.owners(begins), minlength=texts.n)
             words.append(np.insert(hashes, np.cumsum(each), np.uint64(END)))
             sizes.append(each + 1)
-        distinct, tokens = np.unique(np.concatenate(words), return_inverse=True)
+        distinct, tokens, times = np.unique(np.concatenate(words), return_inverse=True, return_counts=True)
+        frequent = np.argsort(-times, kind="stable")
+        place = np.empty(len(frequent), np.uint32)
+        place[frequent] = np.arange(len(frequent), dtype=np.uint32)
         sink = pa.BufferOutputStream()
-        facts = pa.Table.from_batches(waiting).select([0, 2, 3])
+        facts = pa.Table.from_batches(waiting).select([0, 2])
         with pa.ipc.new_stream(sink, facts.schema) as stream:
             stream.write_table(facts)
-        row = [number, sink.getvalue().to_pybytes(), _pack(np.concatenate(sizes).astype(np.uint32))]
-        row += [_pack(distinct), _pack(tokens.astype(np.uint32)), len(tokens)]
+        row = [number, kind, sink.getvalue().to_pybytes(), _pack(np.concatenate(sizes).astype(np.uint32))]
+        row += [_pack(distinct[frequent]), _pack(place[tokens]), len(tokens)]
         return pa.RecordBatch.from_pydict({k: [v] for k, v in zip(RECORD.names, row)})
 
     spark, at = docs.sparkSession, fresh_dir(docs.sparkSession, "token-records")
@@ -121,8 +132,9 @@ def token_records(docs: DataFrame, id_col: str, text_col: str, learn: Column, de
 
 
 RECORD = StructType([
-    StructField("record", LongType()), StructField("ids", BinaryType()), StructField("sizes", BinaryType()),
-    StructField("words", BinaryType()), StructField("tokens", BinaryType()), StructField("n_tokens", LongType()),
+    StructField("record", LongType()), StructField("dev", BooleanType()), StructField("ids", BinaryType()),
+    StructField("sizes", BinaryType()), StructField("words", BinaryType()), StructField("tokens", BinaryType()),
+    StructField("n_tokens", LongType()),
 ])
 
 
@@ -133,20 +145,18 @@ class Record:
         with pa.ipc.open_stream(row["ids"]) as stream:
             facts = stream.read_all()
         self.ids = facts.column(0)
-        learn, dev = (facts.column(i).to_numpy() for i in (1, 2))
+        self.learn = facts.column(1).to_numpy()
         self.sizes = _unpack(row["sizes"], np.uint32).astype(np.int64)
         self.words = _unpack(row["words"], np.uint64)
         self.tokens = _unpack(row["tokens"], np.uint32).astype(np.int64)
         self.ends = np.cumsum(self.sizes)
         self.first = np.zeros(len(self.tokens), bool)
         self.first[self.ends - self.sizes] = True
-        self.main = np.repeat(learn & ~dev, self.sizes)
-        self.dev = np.repeat(learn & dev, self.sizes)
+        self.counts = np.repeat(self.learn, self.sizes)
 
     def grams(self, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For order 1, 2, ...: sorted distinct hashes, and each token's place among them."""
         key = mix(self.words)
-        # Words are told apart by their places already; sort by the mixed hash instead.
         rank = np.argsort(key)
         place = np.empty(len(rank), np.int64)
         place[rank] = np.arange(len(rank))
@@ -169,13 +179,12 @@ def _sent(settings: Settings, bits: int):
             for row in _rows(batch):
                 record = Record(row)
                 for order, (keys, places) in enumerate(record.grams(settings.order), 1):
-                    main = np.bincount(places[record.main], minlength=len(keys)).astype(np.uint32)
-                    dev = np.bincount(places[record.dev], minlength=len(keys)).astype(np.uint32)
+                    times = np.bincount(places[record.counts], minlength=len(keys)).astype(np.uint32)
                     span = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
                     cuts = np.flatnonzero(np.diff(span, prepend=-1, append=-1))
                     out: dict[str, list] = {name: [] for name in SENT.names}
                     for a, b in zip(cuts[:-1], cuts[1:]):
-                        values = (order, int(span[a]), row["record"], _pack(keys[a:b]), _pack(main[a:b]), _pack(dev[a:b]))
+                        values = (order, int(span[a]), row["record"], row["dev"], _pack(keys[a:b]), _pack(times[a:b]))
                         for name, value in zip(SENT.names, values):
                             out[name].append(value)
                     yield pa.RecordBatch.from_pydict(out, SENT_ARROW)
@@ -185,57 +194,48 @@ def _sent(settings: Settings, bits: int):
 
 SENT = StructType([
     StructField("n", IntegerType()), StructField("span", LongType()), StructField("record", LongType()),
-    StructField("keys", BinaryType()), StructField("main", BinaryType()), StructField("dev", BinaryType()),
+    StructField("dev", BooleanType()), StructField("keys", BinaryType()), StructField("times", BinaryType()),
 ])
-SENT_ARROW = pa.schema([("n", pa.int32()), ("span", pa.int64()), ("record", pa.int64()), ("keys", pa.binary()), ("main", pa.binary()), ("dev", pa.binary())])
-COUNTED = StructType([*SENT.fields[:3], *SENT.fields[4:], *[StructField(c, LongType()) for c in ("seen", "seen_main", "total", "total_main")]])
-
-
-def _counted(table: pa.Table) -> pa.Table:
-    """Totals of one range of hashes over all records, returned in each record's own order."""
-    raw = [[_unpack(v, kind) for v in table.column(c).to_pylist()] for c, kind in (("keys", np.uint64), ("main", np.uint32), ("dev", np.uint32))]
-    keys, main, dev = (np.concatenate(v) for v in raw)
-    distinct, inverse = np.unique(keys, return_inverse=True)
-    main_sum = np.bincount(inverse, weights=main, minlength=len(distinct)).astype(np.int64)
-    dev_sum = np.bincount(inverse, weights=dev, minlength=len(distinct)).astype(np.int64)
-    cuts = np.cumsum([0, *map(len, raw[0])])
-    blobs = [[_pack(v[inverse[a:b]]) for a, b in zip(cuts[:-1], cuts[1:])] for v in (main_sum, dev_sum)]
-    rest = [0] * (len(cuts) - 2)  # the range's own numbers go with its first row
-    facts = [int((main_sum + dev_sum > 0).sum()), int((main_sum > 0).sum()), int((main_sum + dev_sum).sum()), int(main_sum.sum())]
-    columns = [table.column(c) for c in ("n", "span", "record")] + [pa.array(b, pa.binary()) for b in blobs]
-    return pa.table(columns + [pa.array([f, *rest], pa.int64()) for f in facts], names=COUNTED.names)
-
-
-FULL = StructType([
-    *RECORD.fields, *[StructField(c, BinaryType()) for c in ("main", "dev")],
-    *[StructField(c, LongType()) for c in ("seen", "seen_main", "total", "total_main")],
+SENT_ARROW = pa.schema([
+    ("n", pa.int32()), ("span", pa.int64()), ("record", pa.int64()), ("dev", pa.bool_()),
+    ("keys", pa.binary()), ("times", pa.binary()),
+])
+FACTS = ("total", "total_main", "seen", "seen_main")
+COUNTED = StructType([
+    *SENT.fields[:4], StructField("all", BinaryType()), StructField("main", BinaryType()),
+    *[StructField(c, LongType()) for c in FACTS],
 ])
 
 
-def _returned(settings: Settings):
-    """A record with the totals of all its n-grams, orders one after the other."""
-
-    def run(records: pa.Table, counts: pa.Table) -> pa.Table:
-        order = counts.sort_by([("n", "ascending"), ("span", "ascending")])
-        row = records.to_pylist()[0]
-        for name in ("main", "dev"):
-            row[name] = _pack(np.concatenate([_unpack(v, np.int64) for v in order.column(name).to_pylist()]))
-        first = np.array(order.column("n").to_pylist()) == 1
-        for name in ("seen", "seen_main", "total", "total_main"):
-            row[name] = int(np.array(order.column(name).to_pylist())[first].sum())
-        return pa.table({name: [row[name]] for name in FULL.names})
+def _counted(table: pa.Table) -> pa.Table:
+    """Totals of one range of hashes over all records, returned in each record's own order.
 
-    return run
+    ``all`` counts every text to learn from; ``main``, which only held-out records need, those that
+    were not held out.
+    """
+    parts = [_unpack(v, np.uint64) for v in table.column("keys").to_pylist()]
+    times = np.concatenate([_unpack(v, np.uint32) for v in table.column("times").to_pylist()])
+    dev = table.column("dev").to_pylist()
+    cuts = np.cumsum([0, *map(len, parts)])
+    distinct, inverse = np.unique(np.concatenate(parts), return_inverse=True)
+    every = np.bincount(inverse, weights=times, minlength=len(distinct)).astype(np.int64)
+    times[np.repeat(dev, np.diff(cuts))] = 0
+    main = np.bincount(inverse, weights=times, minlength=len(distinct)).astype(np.int64)
+    own = [inverse[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+    blobs = [[_pack(every[i]) for i in own], [_pack(main[i]) if d else b"" for i, d in zip(own, dev)]]
+    rest = [0] * (len(own) - 1)  # the range's own numbers go with its first row
+    facts = [int(every.sum()), int(main.sum()), int((every > 0).sum()), int((main > 0).sum())]
+    columns = [table.column(c) for c in ("n", "span", "record", "dev")] + [pa.array(b, pa.binary()) for b in blobs]
+    return pa.table(columns + [pa.array([f, *rest], pa.int64()) for f in facts], names=COUNTED.names)
 
 
 class Counts:
     """Counts of every token of a record, by order: its n-gram's and its context's."""
 
-    def __init__(self, row: dict, settings: Settings, learnt: int, with_dev: bool):
-        self.record = Record(row)
-        totals = _unpack(row["main"], np.int64)
-        if with_dev:
-            totals = totals + _unpack(row["dev"], np.int64)
+    def __init__(self, records: pa.Table, counts: pa.Table, settings: Settings, learnt: int, of: str):
+        self.record = Record(records.to_pylist()[0])
+        order = counts.sort_by([("n", "ascending"), ("span", "ascending")])
+        totals = np.concatenate([_unpack(v, np.int64) for v in order.column(of).to_pylist()])
         self.gram, self.context = [], [None]
         begin = 0
         for keys, places in self.record.grams(settings.order):
@@ -280,24 +280,29 @@ def first_weights(settings: Settings) -> np.ndarray:
     return weights
 
 
-def learn_weights(full: DataFrame, settings: Settings, total: int, seen: int, learnt: int) -> np.ndarray:
+def learn_weights(
+    records: DataFrame, counted: DataFrame, settings: Settings, total: int, seen: int, learnt: int
+) -> np.ndarray:
     """Expectation-maximisation over the tokens of held-out texts. Each round is one job."""
     names = [f"p{i}" for i in range(settings.order + 1)]
-    schema = StructType([StructField("level", IntegerType()), *[StructField(c, DoubleType()) for c in names], StructField("times", LongType())])
+    schema = StructType([
+        StructField("level", IntegerType()), *[StructField(c, DoubleType()) for c in names], StructField("times", LongType()),
+    ])
 
-    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in _rows(batch):
-                counts = Counts(row, settings, learnt, with_dev=False)
-                part, level = counts.parts(total, seen)
-                part, level = part[counts.record.dev], level[counts.record.dev]
-                table, times = np.unique(np.column_stack([np.minimum(level, settings.levels), part]), axis=0, return_counts=True)
-                columns = [pa.array(table[:, 0].astype(np.int32)), *[pa.array(table[:, 1 + i]) for i in range(len(names))]]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(times.astype(np.int64))], names=schema.names)
-
-    at = fresh_dir(full.sparkSession, "held-out-shares")
-    full.mapInArrow(shares, schema).write.parquet(at)
-    table = full.sparkSession.read.schema(schema).parquet(at)
+    def shares(record: pa.Table, counts: pa.Table) -> pa.Table:
+        counts = Counts(record, counts, settings, learnt, of="main")
+        part, level = counts.parts(total, seen)
+        use = counts.record.counts
+        rows = np.column_stack([np.minimum(level[use], settings.levels), part[use]])
+        table, times = np.unique(rows, axis=0, return_counts=True)
+        columns = [pa.array(table[:, 0].astype(np.int32)), *[pa.array(table[:, 1 + i]) for i in range(len(names))]]
+        return pa.table([*columns, pa.array(times.astype(np.int64))], names=schema.names)
+
+    spark = records.sparkSession
+    held_out = records.filter("dev").groupBy("record").cogroup(counted.filter("dev").groupBy("record"))
+    at = fresh_dir(spark, "held-out-shares")
+    held_out.applyInArrow(shares, schema).write.parquet(at)
+    table = spark.read.schema(schema).parquet(at)
     weights = first_weights(settings)
     for _ in range(settings.rounds):
         own = F.element_at(
@@ -328,18 +333,14 @@ def learn_weights(full: DataFrame, settings: Settings, total: int, seen: int, le
     return weights / weights.sum(axis=1, keepdims=True)
 
 
-def counted_records(docs: DataFrame, id_col: str, text_col: str, learn: Column, dev: Column, settings: Settings) -> DataFrame:
-    """Records with the corpus counts of all their n-grams, written once to the shared folder. Runs jobs."""
-    spark = docs.sparkSession
-    records = token_records(docs, id_col, text_col, learn, dev)
+def corpus_counts(records: DataFrame, settings: Settings) -> DataFrame:
+    """Corpus counts of the n-grams of every record, written once to the shared folder. Runs jobs."""
     tokens = records.agg(F.sum("n_tokens")).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(tokens / RANGE_KEYS, 1)))))
-    sent = records.mapInArrow(_sent(settings, bits), SENT)
-    counted = sent.groupBy("n", "span").applyInArrow(_counted, COUNTED)
-    full = records.groupBy("record").cogroup(counted.groupBy("record")).applyInArrow(_returned(settings), FULL)
-    at = fresh_dir(spark, "counted-records")
-    full.write.option("compression", "none").parquet(at)
-    return spark.read.schema(FULL).parquet(at)
+    counted = records.mapInArrow(_sent(settings, bits), SENT).groupBy("n", "span").applyInArrow(_counted, COUNTED)
+    spark, at = records.sparkSession, fresh_dir(records.sparkSession, "n-gram-counts")
+    counted.write.option("compression", "none").parquet(at)
+    return spark.read.schema(COUNTED).parquet(at)
 
 
 def score(
@@ -358,37 +359,29 @@ def score(
     learn = F.coalesce(learn, F.lit(False))
     if dev is None:
         dev = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(settings.dev_folds)) == 0
-    full = counted_records(docs, id_col, text_col, learn, F.coalesce(dev, F.lit(False)), settings)
-    facts = full.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "total_main", "seen", "seen_main")]).first()
-    learnt = docs.agg(
-        F.count(F.when(learn, 1)).alias("all"), F.count(F.when(learn & ~F.coalesce(dev, F.lit(False)), 1)).alias("main")
-    ).first()
-    weights = learn_weights(full, settings, facts["total_main"], facts["seen_main"], learnt["main"])
+    dev = learn & F.coalesce(dev, F.lit(False))
+    records = token_records(docs, id_col, text_col, learn, dev)
+    counted = corpus_counts(records, settings)
+    facts = counted.filter("n = 1").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in FACTS]).first()
+    learnt = docs.agg(F.count(F.when(learn, 1)).alias("all"), F.count(F.when(learn & ~dev, 1)).alias("main")).first()
+    weights = learn_weights(records, counted, settings, facts["total_main"], facts["seen_main"], learnt["main"])
     model = Model(settings, weights, facts["total"], facts["seen"], learnt["all"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in _rows(batch):
-                counts = Counts(row, settings, model.learnt, with_dev=True)
-                part, level = counts.parts(model.total, model.seen)
-                chance = (part * model.of_levels(level)).sum(axis=1)
-                record, single = counts.record, counts.gram[0]
-                begins = record.ends - record.sizes
-                add = lambda values: np.add.reduceat(values, begins) if len(begins) else np.zeros(0)
-                base = np.log10((single + 1) / (model.total + model.seen + 1))
-                with pa.ipc.open_stream(row["ids"]) as stream:
-                    known = stream.read_all()
-                columns = [
-                    known.column(0).combine_chunks(), known.column(1).combine_chunks(), pa.array(record.sizes),
-                    pa.array(add((single > 0).astype(np.int64))), pa.array(np.full(len(begins), model.total, np.int64)),
-                    pa.array(add(base)), pa.array(add(np.log10(chance))),
-                ]
-                columns = [pa.concat_arrays(c.chunks) if isinstance(c, pa.ChunkedArray) else c for c in columns]
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+    def run(record: pa.Table, counts: pa.Table) -> pa.Table:
+        counts = Counts(record, counts, settings, model.learnt, of="all")
+        part, level = counts.parts(model.total, model.seen)
+        chance = (part * model.of_levels(level)).sum(axis=1)
+        record, single = counts.record, counts.gram[0]
+        begins = record.ends - record.sizes
+        base = np.log10((single + 1) / (model.total + model.seen + 1))
+        sums = [np.add.reduceat(v, begins) for v in ((single > 0).astype(np.int64), base, np.log10(chance))]
+        total = np.full(len(begins), model.total, np.int64)
+        columns = [record.ids, pa.array(record.learn), pa.array(record.sizes), pa.array(sums[0]), pa.array(total)]
+        return pa.table([*columns, pa.array(sums[1]), pa.array(sums[2])], names=schema.names)
 
     schema = StructType([
         StructField(id_col, docs.schema[id_col].dataType), StructField("learnt", BooleanType()),
         StructField("n_tokens", LongType()), StructField("n_known", LongType()), StructField("train_tokens", LongType()),
         StructField("base_score", DoubleType()), StructField("score", DoubleType()),
     ])
-    return full.mapInArrow(run, schema)
+    return records.groupBy("record").cogroup(counted.groupBy("record")).applyInArrow(run, schema)
