@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelweave.llm import bpe, lm, near, packing, quality, secrets, toxicity
+from parcelweave.llm import bpe, lm, near, packing, preference, quality, secrets, sharding, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -71,6 +71,90 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best inner products of every vector whose id is divisible by 20."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+SQL["op6_top_k"] = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+  FROM whole q JOIN whole c ON q.vec_id <> c.vec_id
+  WHERE q.vec_id % 20 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+@query
+def op7_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation against itself with another's last answer: one prompt, two masked completions."""
+    turns = preference.turns_of(table(spark, sf_dir, "conversations"), "conv_id")
+    chosen = turns.withColumn("pair", F.col("pair").cast("long"))
+    found = preference.format_preferences(chosen, preference.swapped_answers(chosen))
+
+    def ranges(mask: str) -> Column:
+        return F.expr(f"array_join(transform({mask}, r -> concat_ws('-', r.begin, r.end)), ',')").alias(mask)
+
+    return found.select(
+        F.col("pair").alias("conv_id"), "prompt_turns", "prompt", "chosen", "rejected",
+        ranges("chosen_mask"), ranges("rejected_mask"),
+    )
+
+
+SQL["op7_preferences"] = """
+WITH turns AS (
+  SELECT conv_id, turn, said.role AS role, said.text AS text FROM (
+    SELECT conv_id, turn, min({'role': coalesce(role, ''), 'text': coalesce(text, '')}) AS said
+    FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn)
+), last AS (
+  SELECT conv_id, max(turn) AS final, arg_max(text, turn) AS answer FROM turns WHERE role = 'assistant' GROUP BY conv_id
+), swap AS (
+  SELECT a.conv_id, a.final, b.answer AS other FROM last a JOIN last b ON b.conv_id = xor(a.conv_id, 1)
+), sides AS (
+  SELECT 'chosen' AS side, conv_id, turn, role, text FROM turns
+  UNION ALL
+  SELECT 'rejected', t.conv_id, turn, role, CASE WHEN turn = final THEN other ELSE text END
+  FROM turns t JOIN swap s USING (conv_id) WHERE turn <= final
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, side ORDER BY turn) - 1 AS position FROM sides
+), met AS (
+  SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, coalesce(a.position, b.position) AS position,
+    coalesce(a.role = b.role AND a.text = b.text, false) AS same
+  FROM (SELECT * FROM placed WHERE side = 'chosen') a
+  FULL JOIN (SELECT * FROM placed WHERE side = 'rejected') b ON a.conv_id = b.conv_id AND a.position = b.position
+), common AS (
+  SELECT conv_id, coalesce(min(position) FILTER (NOT same), count(*)) AS common FROM met GROUP BY conv_id
+), rendered AS (
+  SELECT conv_id, CASE WHEN position < common THEN 'prompt' ELSE side END AS part, position,
+    '<|' || role || '|>' || chr(10) AS head, text || '<|end|>' || chr(10) AS body,
+    position >= common AND role = 'assistant' AS trained
+  FROM placed JOIN common USING (conv_id) WHERE position >= common OR side = 'chosen'
+), ranged AS (
+  SELECT *, coalesce(sum(length(head) + length(body)) OVER (
+    PARTITION BY conv_id, part ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS begin
+  FROM rendered
+)
+SELECT conv_id, count(*) FILTER (part = 'prompt') AS prompt_turns,
+  coalesce(string_agg(head || body, '' ORDER BY position) FILTER (part = 'prompt'), '') AS prompt,
+  CASE WHEN count(*) FILTER (part IN ('prompt', 'chosen')) > 0
+    THEN coalesce(string_agg(head || body, '' ORDER BY position) FILTER (part = 'chosen'), '') END AS chosen,
+  CASE WHEN count(*) FILTER (part IN ('prompt', 'rejected')) > 0
+    THEN coalesce(string_agg(head || body, '' ORDER BY position) FILTER (part = 'rejected'), '') END AS rejected,
+  coalesce(string_agg(begin || '-' || begin + length(body), ',' ORDER BY begin) FILTER (part = 'chosen' AND trained), '') AS chosen_mask,
+  coalesce(string_agg(begin || '-' || begin + length(body), ',' ORDER BY begin) FILTER (part = 'rejected' AND trained), '') AS rejected_mask
+FROM ranged GROUP BY conv_id
+"""
+
+
 def span_text(spans: str) -> Column:
     """kind:start:end of every span of an array, comma-joined in its order."""
     return F.expr(f"array_join(transform({spans}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')")
@@ -89,6 +173,40 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Bytes of text of a shard.
+SHARD_BYTES = 1 << 20
+
+
+@query
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document."""
+    return sharding.shard_rows(table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
+SQL["op9_sharding"] = f"""
+WITH hashed AS (
+  SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS bytes,
+    ((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT >> 2) << 30)
+      | (('0x' || substr(md5(coalesce(text, '')), 1, 8))::BIGINT >> 2) AS hash
+  FROM documents
+), cells AS (
+  SELECT hash, sum(bytes) AS b, count(*) AS n FROM hashed GROUP BY hash
+), levels AS (
+  SELECT hash, depth, hash >> (60 - depth) AS prefix, b, n FROM cells, range(0, 61) AS r(depth)
+), sums AS (
+  SELECT depth, prefix, sum(b)::BIGINT AS shard_bytes, sum(n)::BIGINT AS shard_rows FROM levels GROUP BY ALL
+), leaves AS (
+  SELECT hash, min(depth) AS depth FROM levels JOIN sums USING (depth, prefix)
+  WHERE shard_bytes <= {SHARD_BYTES} OR depth = 60 GROUP BY hash
+)
+SELECT h.doc_id, h.bytes, l.depth::INTEGER AS depth, s.prefix,
+  CASE WHEN s.shard_bytes <= {SHARD_BYTES} THEN 0 ELSE
+    (row_number() OVER (PARTITION BY h.hash ORDER BY h.bytes) - 1) // greatest({SHARD_BYTES} // greatest(h.bytes, 1), 1)
+  END::BIGINT AS part, s.shard_bytes, s.shard_rows
+FROM hashed h JOIN leaves l USING (hash) JOIN sums s ON s.depth = l.depth AND s.prefix = h.hash >> (60 - l.depth)
+"""
+
+
 @query
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the bytes they decode to."""
