@@ -72,7 +72,7 @@ def window_entropy(text: str, window: int) -> float:
     window = min(window, len(text))
     if not window:
         return 0.0
-    part = [0.0, *(c * math.log2(c) for c in range(1, window + 1))]
+    part = [0.0, *(c * math.log2(c) for c in range(1, window + 2))]  # one more enters before one leaves
     counts: dict[str, int] = {}
     total = 0.0  # sum of c * log2(c) over the counts c in the window
     least = math.inf
