@@ -55,9 +55,11 @@ class Settings:
         """Bands and rows a band: the longest rows whose bands fit in ``hashes`` at the target recall."""
         best = (self.hashes, 1)
         for rows in range(1, self.hashes + 1):
-            bands = math.ceil(math.log(1 - self.recall) / math.log(1 - self.threshold**rows))
-            if bands * rows <= self.hashes:
-                best = (bands, rows)
+            missed = 1 - self.threshold**rows  # a band's chance to miss a pair at the threshold
+            bands = math.ceil(math.log(1 - self.recall) / math.log(missed)) if missed > 0 else 1
+            if bands * rows > self.hashes:
+                break
+            best = (bands, rows)
         return best
 
 
