@@ -6,10 +6,11 @@ compiles to one projection. Missing values stay null throughout.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 Transform = Callable[[Column, Mapping], Column]
@@ -188,12 +189,36 @@ def default_if_empty(value: Column, config: Mapping) -> Column:
     return F.coalesce(empty_to_null(value), F.lit(None if default is None else str(default)))
 
 
+@functools.cache
+def java_pattern(pattern: str) -> str:
+    """A pattern in Java's syntax for named groups; refused here if Java cannot compile it.
+
+    The check evaluates a constant in the active session, if there is one.
+    """
+    names: dict[str, str] = {}
+
+    def group(found: re.Match) -> str:
+        names[found[1]] = f"g{len(names) + 1}"
+        return f"(?<{names[found[1]]}>"
+
+    text = re.sub(r"\(\?P<(\w+)>", group, pattern)
+    text = re.sub(r"\(\?P=(\w+)\)", lambda found: rf"\k<{names.get(found[1], found[1])}>", text)
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        try:
+            session.sql("SELECT '' RLIKE :pattern", args={"pattern": text}).collect()
+        except Exception as error:
+            raise ValueError(f"pattern {pattern!r} cannot be used: {str(error).splitlines()[0]}") from None
+    return text
+
+
 def regex_extract(value: Column, config: Mapping) -> Column:
     pattern = config.get("pattern")
     present = empty_to_null(value)
     if not pattern:
         return present
     group = 1 if re.compile(pattern).groups else 0
+    pattern = java_pattern(pattern)
     return F.when(present.rlike(pattern), F.regexp_extract(present, pattern, group)).otherwise(present)
 
 

@@ -1,8 +1,10 @@
 """Pages to element tables: the one Python stage of extraction.
 
-Each page becomes an array of elements in document order. An element knows its parent, its
-ancestors and its previous sibling by position, so selectors are array expressions. Text is
-kept once per page; an element holds the range of it that lies inside.
+Each page becomes an array of elements in document order. An element knows its parent and its
+previous sibling by position, and the position of its last descendant, so an element lies inside
+another if its position lies in the other's range: any depth costs the same. It also knows its
+place among its siblings. Text is kept once per page; an element holds the range of it that lies
+inside.
 """
 
 from __future__ import annotations
@@ -42,15 +44,17 @@ IMPLIED_ENDS = (
     (frozenset(("tbody", "thead", "tfoot")), frozenset(("tbody", "thead", "tfoot")), frozenset(("table",))),
     (frozenset(("option",)), frozenset(("option",)), frozenset(("select",))),
 )
-# Elements nested deeper than this become children of the element at this depth.
-MAX_DEPTH = 256
 
 _NODE = pa.struct(
     [
         ("pre", pa.int32()),
         ("parent", pa.int32()),
         ("prev", pa.int32()),
-        ("anc", pa.list_(pa.int32())),
+        ("post", pa.int32()),
+        ("nth", pa.int32()),
+        ("siblings", pa.int32()),
+        ("nth_of_type", pa.int32()),
+        ("siblings_of_type", pa.int32()),
         ("tag", pa.string()),
         ("attrs", pa.map_(pa.string(), pa.string())),
         ("classes", pa.list_(pa.string())),
@@ -68,7 +72,11 @@ NODES_TYPE = T.ArrayType(
             T.StructField("pre", T.IntegerType()),
             T.StructField("parent", T.IntegerType()),
             T.StructField("prev", T.IntegerType()),
-            T.StructField("anc", T.ArrayType(T.IntegerType())),
+            T.StructField("post", T.IntegerType()),
+            T.StructField("nth", T.IntegerType()),
+            T.StructField("siblings", T.IntegerType()),
+            T.StructField("nth_of_type", T.IntegerType()),
+            T.StructField("siblings_of_type", T.IntegerType()),
             T.StructField("tag", T.StringType()),
             T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
             T.StructField("classes", T.ArrayType(T.StringType())),
@@ -95,7 +103,11 @@ class _Shredder(HTMLParser):
             at = html.find("\n", at + 1)
         self.nodes: list[dict] = []
         self.open: list[dict] = []
+        # Open elements by tag, as places in ``open``: ends are found without walking up.
+        self.open_at: dict[str, list[int]] = {}
         self.last_child: dict[int, int] = {}
+        self.children: dict[int, int] = {}
+        self.children_of_type: dict[tuple[int, str], int] = {}
         self.pieces: list[str] = []
         self.text_size = 0
         self.pending: list[str] = []
@@ -104,6 +116,9 @@ class _Shredder(HTMLParser):
         self._flush()
         while self.open:
             self._end(len(html))
+        for node in self.nodes:
+            node["siblings"] = self.children[node["parent"]]
+            node["siblings_of_type"] = self.children_of_type[node["parent"], node["tag"]]
 
     def _at(self) -> int:
         line, column = self.getpos()
@@ -124,7 +139,12 @@ class _Shredder(HTMLParser):
 
     def _end(self, at: int) -> None:
         node = self.open.pop()
-        node["text_to"], node["html_to"] = self.text_size, at
+        self.open_at[node["tag"]].pop()
+        node["text_to"], node["html_to"], node["post"] = self.text_size, at, len(self.nodes)
+
+    def _innermost(self, tags: frozenset[str]) -> int:
+        """Place in ``open`` of the innermost open element with one of the tags, or -1."""
+        return max((places[-1] for tag in tags if (places := self.open_at.get(tag))), default=-1)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self._flush()
@@ -132,24 +152,27 @@ class _Shredder(HTMLParser):
         for starts, closes, stops in IMPLIED_ENDS:
             if tag not in starts:
                 continue
-            for depth in range(len(self.open) - 1, -1, -1):
-                if self.open[depth]["tag"] in closes:
-                    while len(self.open) > depth:
-                        self._end(at)
-                    break
-                if self.open[depth]["tag"] in stops:
-                    break
+            depth = self._innermost(closes)
+            if depth >= 0 and depth > self._innermost(stops):
+                while len(self.open) > depth:
+                    self._end(at)
         parent = self.open[-1]["pre"] if self.open else 0
         pre = len(self.nodes) + 1
         known: dict[str, str] = {}
         for name, value in attrs:
             known.setdefault(name, value or "")
         source_end = at + len(self.get_starttag_text() or "")
+        self.children[parent] = self.children.get(parent, 0) + 1
+        self.children_of_type[parent, tag] = self.children_of_type.get((parent, tag), 0) + 1
         node = {
             "pre": pre,
             "parent": parent,
             "prev": self.last_child.get(parent, 0),
-            "anc": [n["pre"] for n in self.open],
+            "post": pre,
+            "nth": self.children[parent],
+            "siblings": 0,
+            "nth_of_type": self.children_of_type[parent, tag],
+            "siblings_of_type": 0,
             "tag": tag,
             "attrs": list(known.items()),
             "classes": known.get("class", "").split(),
@@ -161,7 +184,8 @@ class _Shredder(HTMLParser):
         }
         self.nodes.append(node)
         self.last_child[parent] = pre
-        if tag not in VOID_TAGS and len(self.open) < MAX_DEPTH:
+        if tag not in VOID_TAGS:
+            self.open_at.setdefault(tag, []).append(len(self.open))
             self.open.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -170,13 +194,12 @@ class _Shredder(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         self._flush()
         at = self._at()
-        for depth in range(len(self.open) - 1, -1, -1):
-            if self.open[depth]["tag"] == tag:
-                while len(self.open) > depth + 1:
-                    self._end(at)
-                close = self.html.find(">", at)
-                self._end(len(self.html) if close < 0 else close + 1)
-                return
+        depth = self._innermost(frozenset((tag,)))
+        if depth >= 0:
+            while len(self.open) > depth + 1:
+                self._end(at)
+            close = self.html.find(">", at)
+            self._end(len(self.html) if close < 0 else close + 1)
 
     def handle_data(self, data: str) -> None:
         self.pending.append(data)

@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelweave.functions import urls
-from parcelweave.functions.transforms import empty_to_null
+from parcelweave.functions.transforms import empty_to_null, strip
 from parcelweave.operators.html import shred_html
 from parcelweave.operators.mapping import apply_mapping
-from parcelweave.operators.selectors import Page, extract_all, extract_fields, select
+from parcelweave.operators.selectors import Page, bound, extract_all, extract_fields, select
 from parcelweave.operators.validation import validation_errors
 
 # Texts that mark a blocked page.
@@ -50,7 +50,7 @@ def block_type(html: Column, types: Mapping[str, Sequence[str]] = BLOCK_TYPES) -
 
 
 def page_title(html: Column) -> Column:
-    return F.trim(F.regexp_extract(html, r"(?i)<title>(.*?)</title>", 1))
+    return strip(F.regexp_extract(html, r"(?i)<title>(.*?)</title>", 1))
 
 
 def page_profile(
@@ -196,9 +196,11 @@ def table_extract(page: Page, row_selector: str, cell_selector: str, nth: int) -
     """Text of the first matching cell inside the nth matching row."""
     rows = select(page, row_selector)
     cells = select(page, cell_selector)
-    row = pick_row(rows, nth)
-    inside = F.filter(cells, lambda c: F.array_contains(c["anc"], row["pre"]))
-    value = F.transform(F.slice(inside, 1, 1), page.node_text)
+    near = bound(
+        pick_row(rows, nth),
+        lambda row: F.filter(cells, lambda c: (row["pre"] < c["pre"]) & (c["pre"] <= row["post"])),
+    )
+    value = F.transform(F.slice(near, 1, 1), page.node_text)
     return F.get(value, F.lit(0))
 
 

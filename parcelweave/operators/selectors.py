@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
@@ -9,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from parcelweave.functions.transforms import empty_to_null, strip
+from parcelweave.functions.transforms import empty_to_null, java_pattern, strip
 
 Test = Callable[[Column], Column]
 
@@ -35,9 +36,20 @@ class Page:
 
 
 class SelectorError(ValueError):
-    """The selector is outside the supported subset."""
+    """The selector is no valid selector."""
 
 
+class UnsupportedSelector(SelectorError):
+    """The selector is valid, but asks for something that a stored page cannot tell or that is not built."""
+
+
+# Fixed values of CSS: pseudo-classes that are valid but not supported here.
+OTHER_PSEUDO_CLASSES = frozenset(
+    "active any-link checked current default defined dir disabled enabled focus focus-visible focus-within "
+    "future has host host-context hover in-range indeterminate is lang link local-link matches optional "
+    "out-of-range past paused placeholder-shown playing read-only read-write required target "
+    "target-within user-invalid visited where".split()
+)
 _STRING = r"\"[^\"]*\"|'[^']*'"
 _NAME = r"[\w\-]|[^\x00-\x7f]|\\."
 _SIMPLE = re.compile(
@@ -46,8 +58,11 @@ _SIMPLE = re.compile(
     rf"|\.(?P<cls>(?:{_NAME})+)"
     rf"|\[\s*(?P<attr>[\w\-:]+)\s*(?:(?P<op>[~^$*|]?=)\s*(?P<value>{_STRING}|[^\]\s]+)\s*)?\]"
     rf"|:(?:-soup-)?contains\(\s*(?P<text>{_STRING}|[^)]*)\s*\)"
+    r"|:not\((?P<not>(?:[^()]|\([^()]*\))*)\)"
+    r"|:(?P<pseudo>[a-zA-Z-]+)(?:\((?P<argument>[^()]*)\))?"
 )
-_BETWEEN = re.compile(r"\s*([>+,])\s*|\s+")
+_BETWEEN = re.compile(r"\s*([>+~,])\s*|\s+")
+_STEPS = re.compile(r"(?P<sign>[+-]?)(?P<a>\d*)n\s*(?:(?P<plus>[+-])\s*(?P<b>\d+))?|(?P<only>[+-]?\d+)")
 
 
 def _unquoted(text: str) -> str:
@@ -68,6 +83,11 @@ def _simple_test(page: Page, match: re.Match) -> Test:
         return lambda n: F.array_contains(n["classes"], wanted)
     if "text" in part:
         return lambda n: page.node_text(n).contains(_unquoted(part["text"]))
+    if "not" in part:
+        options = [_compound(page, option) for option in part["not"].split(",")]
+        return lambda n: ~_any(options, n)
+    if "pseudo" in part:
+        return _pseudo_test(part["pseudo"].lower(), part.get("argument"))
     name, value = part["attr"].lower(), _unquoted(part.get("value", ""))
     operators: dict[str | None, Callable[[Column], Column]] = {
         None: lambda held: held.isNotNull(),
@@ -81,6 +101,69 @@ def _simple_test(page: Page, match: re.Match) -> Test:
     return lambda n: F.coalesce(operators[part.get("op")](n["attrs"][name]), F.lit(False))
 
 
+def _any(options: list[Test], node: Column) -> Column:
+    return functools.reduce(lambda a, b: a | b, [option(node) for option in options])
+
+
+def _all(tests: list[Test], node: Column) -> Column:
+    return functools.reduce(lambda a, b: a & b, [test(node) for test in tests])
+
+
+def _compound(page: Page, css: str) -> Test:
+    """Tests of one element without relations to others."""
+    at, text, tests = 0, css.strip(), []
+    while at < len(text):
+        simple = _SIMPLE.match(text, at)
+        if not simple:
+            if _BETWEEN.match(text, at):
+                raise UnsupportedSelector(f"relations inside :not() are not supported: {css!r}")
+            raise SelectorError(f"selector {css!r} is not valid")
+        tests.append(_simple_test(page, simple))
+        at = simple.end()
+    if not tests:
+        raise SelectorError("an empty selector")
+    return lambda n: _all(tests, n)
+
+
+def _pseudo_test(name: str, argument: str | None) -> Test:
+    """Places among siblings, and empty elements."""
+    plain: dict[str, Test] = {
+        "first-child": lambda n: n["nth"] == 1,
+        "last-child": lambda n: n["nth"] == n["siblings"],
+        "only-child": lambda n: n["siblings"] == 1,
+        "first-of-type": lambda n: n["nth_of_type"] == 1,
+        "last-of-type": lambda n: n["nth_of_type"] == n["siblings_of_type"],
+        "only-of-type": lambda n: n["siblings_of_type"] == 1,
+        "root": lambda n: n["parent"] == 0,
+        "empty": lambda n: (n["post"] == n["pre"]) & (n["text_from"] == n["text_to"]),
+    }
+    counted: dict[str, Test] = {
+        "nth-child": lambda n: n["nth"],
+        "nth-last-child": lambda n: n["siblings"] - n["nth"] + 1,
+        "nth-of-type": lambda n: n["nth_of_type"],
+        "nth-last-of-type": lambda n: n["siblings_of_type"] - n["nth_of_type"] + 1,
+    }
+    if name in plain and argument is None:
+        return plain[name]
+    if name in counted and argument is not None:
+        text = {"odd": "2n+1", "even": "2n"}.get(argument.strip().lower(), argument.strip().lower())
+        steps = _STEPS.fullmatch(text)
+        if steps:
+            if steps["only"]:
+                return lambda n: counted[name](n) == int(steps["only"])
+            a = int(steps["sign"] + (steps["a"] or "1"))
+            b = int((steps["plus"] or "") + (steps["b"] or "0"))
+            if a == 0:
+                return lambda n: counted[name](n) == b
+            # place = a * k + b for some k of at least 0
+            return lambda n: ((counted[name](n) - b) % a == 0) & ((counted[name](n) - b) * (1 if a > 0 else -1) >= 0)
+        if " of " in text:
+            raise UnsupportedSelector(f":{name}(... of ...) is not supported")
+    if name in OTHER_PSEUDO_CLASSES:
+        raise UnsupportedSelector(f":{name} is not supported")
+    raise SelectorError(f":{name} is no pseudo-class")
+
+
 def _read(page: Page, css: str) -> list[list[tuple[str, list[Test]]]]:
     """Alternatives, each a list of (relation to the previous step, tests)."""
     at, text = 0, css.strip()
@@ -88,7 +171,7 @@ def _read(page: Page, css: str) -> list[list[tuple[str, list[Test]]]]:
 
     def step() -> None:
         if not tests:
-            raise SelectorError(f"selector {css!r} is not supported")
+            raise SelectorError(f"selector {css!r} is not valid")
         alternatives[-1].append((relation, tests))
 
     while at < len(text):
@@ -99,7 +182,7 @@ def _read(page: Page, css: str) -> list[list[tuple[str, list[Test]]]]:
             continue
         between = _BETWEEN.match(text, at)
         if not between:
-            raise SelectorError(f"selector {css!r} is not supported at {text[at:]!r}")
+            raise SelectorError(f"selector {css!r} is not valid at {text[at:]!r}")
         step()
         relation, tests = between.group(1) or " ", []
         if relation == ",":
@@ -110,35 +193,39 @@ def _read(page: Page, css: str) -> list[list[tuple[str, list[Test]]]]:
     return alternatives
 
 
-def compile_css(page: Page, css: str) -> Test:
-    """Predicate on an element. Ancestors are looked up by position, never by scanning the page."""
-    nodes = page.nodes
+# How an element ``n`` stands to an earlier one ``e``.
+_RELATIONS: dict[str, Callable[[Column, Column], Column]] = {
+    " ": lambda e, n: (e["pre"] < n["pre"]) & (n["pre"] <= e["post"]),
+    ">": lambda e, n: e["pre"] == n["parent"],
+    "+": lambda e, n: e["pre"] == n["prev"],
+    "~": lambda e, n: (e["parent"] == n["parent"]) & (e["pre"] < n["pre"]),
+}
 
-    def chain(steps: list[tuple[str, list[Test]]], last: int) -> Test:
-        relation, tests = steps[last]
 
-        def matches(node: Column) -> Column:
-            result = F.lit(True)
-            for test in tests:
-                result = result & test(node)
-            if last == 0:
-                return result
-            earlier = chain(steps, last - 1)
-            where = {" ": node["anc"], ">": F.array(node["parent"]), "+": F.array(node["prev"])}[relation]
-            # Position 0 means there is no such element.
-            return result & F.exists(where, lambda i: (i > 0) & F.coalesce(earlier(F.get(nodes, i - 1)), F.lit(False)))
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is referred to."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-        return matches
 
-    options = [chain(steps, len(steps) - 1) for steps in _read(page, css)]
+def _matches(page: Page, steps: list[tuple[str, list[Test]]]) -> Column:
+    """Elements that match the last step, worked out from the first step on."""
+    relation, tests = steps[-1]
+    if len(steps) == 1:
+        return F.filter(page.nodes, lambda n: _all(tests, n))
+    near = _RELATIONS[relation]
+    return bound(
+        _matches(page, steps[:-1]),
+        lambda earlier: F.filter(page.nodes, lambda n: _all(tests, n) & F.exists(earlier, lambda e: near(e, n))),
+    )
 
-    def any_of(node: Column) -> Column:
-        result = options[0](node)
-        for option in options[1:]:
-            result = result | option(node)
-        return result
 
-    return any_of
+def select_css(page: Page, css: str) -> Column:
+    """Matching elements in document order."""
+    options = [_matches(page, steps) for steps in _read(page, css)]
+    if len(options) == 1:
+        return options[0]
+    places = F.concat(*[F.transform(option, lambda n: n["pre"]) for option in options])
+    return bound(places, lambda found: F.filter(page.nodes, lambda n: F.array_contains(found, n["pre"])))
 
 
 def xpath_to_css(xpath: str) -> str | None:
@@ -153,10 +240,15 @@ def xpath_to_css(xpath: str) -> str | None:
 
 
 def select(page: Page, selector: str, kind: str = "css") -> Column:
-    """Matching elements in document order; none for a selector outside the subset."""
+    """Matching elements in document order; none for an invalid selector.
+
+    A valid selector that is not supported raises ``UnsupportedSelector`` when the plan is built.
+    """
     css = xpath_to_css(selector) if kind == "xpath" else selector
     try:
-        return F.filter(page.nodes, compile_css(page, css or ""))
+        return select_css(page, css or "")
+    except UnsupportedSelector:
+        raise
     except SelectorError:
         return F.filter(page.nodes, lambda n: F.lit(False))
 
@@ -164,7 +256,7 @@ def select(page: Page, selector: str, kind: str = "css") -> Column:
 def select_regex(page: Page, pattern: str) -> Column:
     """Texts found in the page source: the first group if there is one, else the whole match."""
     group = 1 if re.compile(pattern).groups else 0
-    found = F.regexp_extract_all(page.html, F.lit(f"(?im){pattern}"), F.lit(group))
+    found = F.regexp_extract_all(page.html, F.lit(java_pattern(f"(?im){pattern}")), F.lit(group))
     return F.transform(found, strip)
 
 
@@ -189,9 +281,7 @@ def extract(page: Page, config: Mapping) -> Column:
     if config.get("type", "css") == "regex":
         return pick(select_regex(page, selector), index)
     node = pick(select(page, selector, config.get("type", "css")), index)
-    # Bind the element once: its value refers to it several times.
-    value = F.transform(F.array(node), lambda n: F.when(n.isNotNull(), node_value(page, n, config.get("attr"))))
-    return F.get(value, F.lit(0))
+    return bound(node, lambda n: F.when(n.isNotNull(), node_value(page, n, config.get("attr"))))
 
 
 def extract_all(page: Page, config: Mapping) -> Column:

@@ -9,7 +9,7 @@ from parcelweave.functions import urls
 from parcelweave.functions.transforms import empty_to_null, normalize_name, strip
 from parcelweave.operators import pages as P
 from parcelweave.operators.html import node_table, shred_html
-from parcelweave.operators.selectors import Page, extract, extract_all, pick, select_regex
+from parcelweave.operators.selectors import Page, extract, extract_all, pick, select, select_regex
 from parcelweave.operators.validation import validate_records
 from parcelweave.plans.registry import query
 from parcelweave.plans.tables import decoded_sql, load
@@ -79,6 +79,64 @@ def css_nav_links(spark: SparkSession, sf: str) -> DataFrame:
     return shredded.select("page_id", F.array_join(values, " ").alias("links"))
 
 
+@query(
+    f"""
+SELECT page_id, l[2] AS second, CASE WHEN len(l) > 0 THEN l[len(l)] END AS last, array_to_string(l[1:len(l):2], ' ') AS odd
+FROM (SELECT page_id, {_LINKS_SQL} AS l FROM pages)"""
+)
+def css_nth_child(spark: SparkSession, sf: str) -> DataFrame:
+    """Links by their place in the list."""
+    shredded = shred_html(load(spark, sf, "pages"), keep=["page_id"], keep_html=False)
+    page = Page.columns()
+    return shredded.select(
+        "page_id",
+        extract(page, {"selector": "nav li:nth-child(2) > a", "attr": "href"}).alias("second"),
+        extract(page, {"selector": "nav li:last-child a", "attr": "href"}).alias("last"),
+        F.array_join(extract_all(page, {"selector": "nav li:nth-child(odd) a", "attr": "href"}), " ").alias("odd"),
+    )
+
+
+@query(
+    f"""
+SELECT page_id, array_to_string(l[2:], ' ') AS later,
+  CAST(len(regexp_extract_all(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<p>')) AS INT) AS paragraphs
+FROM (SELECT page_id, html, {_LINKS_SQL} AS l FROM pages)"""
+)
+def css_not(spark: SparkSession, sf: str) -> DataFrame:
+    """Links but the first, and paragraphs that follow the heading."""
+    shredded = shred_html(load(spark, sf, "pages"), keep=["page_id"], keep_html=False)
+    page = Page.columns()
+    return shredded.select(
+        "page_id",
+        F.array_join(extract_all(page, {"selector": "nav li:not(:first-child) a:not([name], .x)", "attr": "href"}), " ").alias("later"),
+        F.size(select(page, "article h1 ~ p:not(.ad)")).alias("paragraphs"),
+    )
+
+
+@query(f"SELECT page_id, array_to_string({_LINKS_SQL}, ' ') AS links FROM pages")
+def regex_named_group(spark: SparkSession, sf: str) -> DataFrame:
+    page = Page(F.lit(None), F.lit(None), F.col("html"))
+    found = select_regex(page, r'<a href=(?P<quote_mark>")(?:/[^"]*)(?P=quote_mark)')
+    whole = select_regex(page, r'<a href="(?P<path_part>/[^"]*)"')
+    # The first group counts: a quotation mark for each link there, the path here.
+    same = F.size(found) == F.size(whole)
+    return load(spark, sf, "pages").select("page_id", F.when(same, F.array_join(whole, " ")).alias("links"))
+
+
+@query(f"SELECT page_id, {_DECODED_H1_SQL} AS heading, array_to_string({_LINKS_SQL}, ' ') AS links, 299 AS inner_wrappers FROM pages")
+def deep_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages inside 300 nested elements: text, links and nesting are found at any depth."""
+    wrapped = F.concat(F.repeat(F.lit('<div class="wrap">'), 300), "html", F.repeat(F.lit("</div>"), 300))
+    pages = load(spark, sf, "pages").select("page_id", wrapped.alias("html"))
+    shredded, page = shred_html(pages, keep=["page_id"], keep_html=False), Page.columns()
+    return shredded.select(
+        "page_id",
+        extract(page, {"selector": "div.wrap article h1"}).alias("heading"),
+        F.array_join(extract_all(page, {"selector": "div.wrap div.wrap nav > ul li a", "attr": "href"}), " ").alias("links"),
+        F.size(select(page, "div.wrap > div.wrap")).alias("inner_wrappers"),
+    )
+
+
 @query(f"SELECT page_id, {_DECODED_H1_SQL} AS heading FROM pages")
 def xpath_h1(spark: SparkSession, sf: str) -> DataFrame:
     shredded = shred_html(load(spark, sf, "pages"), keep=["page_id"], keep_html=False)

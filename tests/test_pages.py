@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from parcelweave.functions import urls
 from parcelweave.operators import pages as P
 from parcelweave.operators.html import shred, shred_html
-from parcelweave.operators.selectors import Page, extract, extract_all, xpath_to_css
+from parcelweave.operators.selectors import Page, UnsupportedSelector, extract, extract_all, xpath_to_css
 
 HTML = """<html><head><title> Record </title><style>.x{background:url('//cdn.a/bg.png')} .logo{background:url(logo.png)}</style>
 <script>var a = "</p><b>";</script></head><body>
-<div id="parcel_id">12345-67890</div><div id="owner"> John <i>Doe</i> </div><div class="address big">123 Main St</div>
+<div id="lot">77-0420-9</div><div id="holder"> Ada <i>Lovelace</i> </div><div class="address big">8 Mill Lane</div>
 <a href="https://example.com/owner/1" class="own">O</a><a href="/local">L</a><a>none</a>
 <table class="tabular-data-two-column"><tr><td id="ctl_lblParcelID">R-1<tr><td id="ctl_lblOther">two</table>
 <table id="ctl_grdValuation"><tr class="double-total-line"><td class="value-column">1</td></tr>
@@ -37,9 +37,9 @@ def one(page, column):
 @pytest.mark.parametrize(
     ("selector", "want"),
     [
-        ({"selector": "#parcel_id"}, "12345-67890"),
-        ({"selector": "#owner"}, "JohnDoe"),
-        ({"selector": "div.address.big"}, "123 Main St"),
+        ({"selector": "#lot"}, "77-0420-9"),
+        ({"selector": "#holder"}, "AdaLovelace"),
+        ({"selector": "div.address.big"}, "8 Mill Lane"),
         ({"selector": "a", "attr": "href"}, "https://example.com/owner/1"),
         ({"selector": "a", "attr": "href", "index": 2}, ""),
         ({"selector": "a", "index": -1}, "none"),
@@ -51,17 +51,28 @@ def one(page, column):
         ({"selector": "table > tr > td"}, "R-1"),
         ({"selector": "body table tr td.value-column", "index": 1}, "2"),
         ({"selector": "h9, th , #nope"}, "t"),
-        ({"selector": "div:contains('Main')"}, "123 Main St"),
+        ({"selector": "div:contains('Mill')"}, "8 Mill Lane"),
         ({"selector": "title"}, "Record"),
         ({"selector": "p", "index": 1}, "twobold"),
         ({"selector": "p", "index": 2}, "three"),
-        ({"selector": "p:nth-child(2)"}, None),
-        ({"selector": "i", "attr": "html"}, "<i>Doe</i>"),
+        ({"selector": "td:nth-child(2)"}, "30"),
+        ({"selector": "p ~ p"}, "twobold"),
+        ({"selector": "p ~ p", "index": 1}, "three"),
+        ({"selector": "div:not(.address):not(#lot)", "index": 0}, "AdaLovelace"),
+        ({"selector": "td:last-of-type", "index": -1}, "31"),
+        ({"selector": "tr:nth-child(2n+1) > .value-column", "index": 1}, "30"),
+        ({"selector": "tr:nth-last-child(-n+1) td"}, "two"),
+        ({"selector": "p:first-of-type"}, "one"),
+        ({"selector": "p:only-child"}, None),
+        ({"selector": "p:nonsense"}, None),
+        ({"selector": "p >> a"}, None),
+        ({"selector": r"(?P<a_id>id)=\"(?P<b>lot)\"", "type": "regex"}, "id"),
+        ({"selector": "i", "attr": "html"}, "<i>Lovelace</i>"),
         ({"selector": "img[data-zoom]", "attr": "data-zoom"}, "/z.jpeg"),
-        ({"selector": '//div[@id="owner"]', "type": "xpath"}, "JohnDoe"),
-        ({"selector": '//div[@class="address"]', "type": "xpath"}, "123 Main St"),
+        ({"selector": '//div[@id="holder"]', "type": "xpath"}, "AdaLovelace"),
+        ({"selector": '//div[@class="address"]', "type": "xpath"}, "8 Mill Lane"),
         ({"selector": "//table/tr/th", "type": "xpath"}, "R-1two"),
-        ({"selector": r"PARCEL_ID\">([\d-]+)<", "type": "regex"}, "12345-67890"),
+        ({"selector": r"LOT\">([\d-]+)<", "type": "regex"}, "77-0420-9"),
         ({"selector": ""}, None),
     ],
 )
@@ -99,9 +110,41 @@ def test_shred_positions():
     assert shred(None) == ([], "")
 
 
-def test_deep_nesting_is_bounded():
-    nodes, _ = shred("<i>" * 5000)
-    assert len(nodes) == 5000 and max(len(n["anc"]) for n in nodes) <= 256
+@pytest.mark.parametrize("depth", [300, 5000])
+def test_any_depth_keeps_text_source_and_parents(depth):
+    html = "<div>" * depth + "<p>DEEP TEXT</p>" + "</div>" * depth + "<b>after</b>"
+    nodes, text = shred(html)
+    assert len(nodes) == depth + 2 and [n["parent"] for n in nodes] == [*range(depth + 1), 0]
+    deep = nodes[depth]
+    assert text[deep["text_from"] : deep["text_to"]] == "DEEP TEXT"
+    assert html[deep["html_from"] : deep["html_to"]] == "<p>DEEP TEXT</p>"
+    assert all(n["post"] == depth + 1 for n in nodes[: depth + 1]) and nodes[-1]["post"] == depth + 2
+    outer = nodes[0]
+    assert html[outer["html_from"] : outer["html_to"]] == html[: -len("<b>after</b>")]
+    # A fixed number of values an element, whatever the depth.
+    assert {len(n) for n in nodes} == {16}
+
+
+def test_many_open_elements_stay_cheap():
+    nodes, _ = shred("<i>" * 20_000 + "<p>x" * 2_000)
+    assert len(nodes) == 22_000
+
+
+def test_places_among_siblings():
+    nodes, _ = shred("<ul><li>a<li>b<p>c</ul><ul></ul>")
+    got = [(n["tag"], n["nth"], n["siblings"], n["nth_of_type"], n["siblings_of_type"]) for n in nodes]
+    assert got == [("ul", 1, 2, 1, 2), ("li", 1, 2, 1, 2), ("li", 2, 2, 2, 2), ("p", 1, 1, 1, 1), ("ul", 2, 2, 2, 2)]
+
+
+def test_valid_but_unsupported_selectors_are_refused():
+    for css in ("p:hover", "a:is(b)", "p:not(a b)", "p:nth-child(2 of .x)"):
+        with pytest.raises(UnsupportedSelector):
+            extract(Page.columns(), {"selector": css})
+
+
+def test_patterns_java_cannot_compile_are_refused(spark):
+    with pytest.raises(ValueError, match="cannot be used"):
+        extract(Page.columns(), {"selector": r"a(b)?(?(1)c|d)", "type": "regex"})
 
 
 def test_block_types(spark):
@@ -133,7 +176,7 @@ def test_record_id_and_urls(spark):
 def test_parse_pages_reports_errors_and_keeps_records(spark):
     df = spark.createDataFrame([(1, HTML), (2, "<p>x")], "page_id int, html string")
     config = {
-        "selectors": {"parcel_id": {"selector": "#parcel_id"}, "owner": {"selector": "#owner"}},
+        "selectors": {"parcel_id": {"selector": "#lot"}, "owner": {"selector": "#holder"}},
         "mapping": {
             "fields": {
                 "parcel_id": {"source": "parcel_id", "transform": "clean_parcel_id"},
@@ -146,7 +189,7 @@ def test_parse_pages_reports_errors_and_keeps_records(spark):
         "discovery": {"parcel_links": {"selector": "a.own"}},
     }
     got = {r["page_id"]: r for r in P.parse_pages(df, config).collect()}
-    assert got[1]["parcel_id"] == "12345-67890" and got[1]["errors"] == []
+    assert got[1]["parcel_id"] == "77-0420-9" and got[1]["errors"] == []
     assert got[1]["links"][0]["relationship_type"] == "parcel"
     assert got[1]["external_links"]["apple_maps"] == "https://maps.apple.com/?ll=33.5,-112.25"
     # No id field holds a value, so the first field that looks like an id is taken.
