@@ -65,7 +65,7 @@ def raw_manifest(
     has_id = F.col(id_col).isNotNull() & (F.col(id_col).cast("string") != "")
     stamp = F.date_format(timestamp_col, "yyyyMMdd'T'HHmmss")
     name = F.when(has_id, sanitize_id(F.col(id_col).cast("string"))).otherwise(
-        F.concat_ws("_", stamp, F.substring("sha256", 1, 12))
+        F.concat_ws("_", stamp, "sha256")
     )
     hashed = df.withColumn("sha256", digest).withColumn("__name", name)
     full = F.concat_ws("/", F.lit(root), *[F.col(p).cast("string") for p in path_parts], "__name")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parcelweave.functions.signing import sign
 from parcelweave.operators.frontier import cancel_tasks, enqueue, new_tasks
@@ -50,10 +51,50 @@ def keep_last_failure(outcomes: DataFrame, key: str = "parcel_id") -> DataFrame:
     return newest.where(stands).select(key, F.col("failed.ts").alias("ts"), F.col("failed.seq").alias("seq"))
 
 
-def json_object(members: dict[str, Column]) -> Column:
-    """Compact JSON text with members in sorted order and explicit nulls."""
-    fields = [members[name].alias(name) for name in sorted(members)]
-    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+def canonical(value: Column, kind: T.DataType) -> Column:
+    """The value with struct fields and map entries in the order of their names, at every depth."""
+    if isinstance(kind, T.StructType):
+        fields = [canonical(value[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]
+        return F.when(value.isNotNull(), F.struct(*fields)) if fields else value
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda v: canonical(v, kind.elementType))
+    if isinstance(kind, T.MapType):
+        keys = F.array_sort(F.map_keys(value))
+        return F.map_from_arrays(keys, F.transform(keys, lambda k: canonical(value[k], kind.valueType)))
+    return value
+
+
+def ascii_json(text: Column) -> Column:
+    """JSON text with everything outside printable ASCII as lower-case escapes, in UTF-16 units."""
+
+    def escape(unit: Column) -> Column:
+        return F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(unit)), 4, "0"))
+
+    code = lambda c: F.ascii(c)
+    high = lambda c: F.shiftright(code(c) - 0x10000, 10) + 0xD800
+    low = lambda c: (code(c) - 0x10000).bitwiseAND(F.lit(0x3FF)) + 0xDC00
+    escaped = F.transform(
+        F.split(text, ""),
+        lambda c: F.when(c.rlike("^[ -~]*$"), c)
+        .when(code(c) > 0xFFFF, F.concat(escape(high(c)), escape(low(c))))
+        .otherwise(escape(code(c))),
+    )
+    plain = F.when(text.rlike("[^ -~]"), F.array_join(escaped, "")).otherwise(text)
+    # The writer's own escapes of control characters have capitals.
+    for control in (0x0B, 0x0E, 0x0F, *range(0x1A, 0x20)):
+        plain = F.regexp_replace(plain, rf"(?<!\\)((?:\\\\)*)\\u{control:04X}", rf"$1\\u{control:04x}")
+    return plain
+
+
+def json_object(members: dict[str, Column], kinds: Mapping[str, T.DataType] | None = None) -> Column:
+    """Compact JSON text as a receiver rebuilds it: sorted members at every depth, explicit nulls, ASCII only.
+
+    ``kinds`` gives the types of nested members; without it only the outermost order is set. Doubles
+    are written as Spark writes them.
+    """
+    kinds = kinds or {}
+    fields = [(canonical(members[n], kinds[n]) if n in kinds else members[n]).alias(n) for n in sorted(members)]
+    return ascii_json(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}))
 
 
 def notification_outbox(ended: DataFrame, secret: str | None = None) -> DataFrame:
@@ -65,7 +106,8 @@ def notification_outbox(ended: DataFrame, secret: str | None = None) -> DataFram
     names = ("event", "task_id", "job_id", "platform", "timestamp", "result", "raw_paths", "stats", "error")
     members = {n: F.col(n) if n in ended.columns else F.lit(None).cast("string") for n in names}
     keys = [c for c in ("task_id", "job_id") if c in ended.columns]
-    out = ended.select(*keys, "event", json_object(members).alias("payload"))
+    kinds = {n: ended.schema[n].dataType for n in names if n in ended.columns}
+    out = ended.select(*keys, "event", json_object(members, kinds).alias("payload"))
     return out if secret is None else out.withColumn("signature", sign(F.col("payload"), secret))
 
 

@@ -519,7 +519,7 @@ WITH p AS (SELECT page_id, sha256(html) AS h, CAST(strlen(html) AS BIGINT) AS si
   nullif(regexp_extract(url, '^[a-z]+://[^/]+/[a-z]+/(.*)$', 1), '') AS raw_id,
   regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host FROM pages),
 q AS (SELECT *, 'raw/1/' || scheme || '/' || host || '/' || coalesce(regexp_replace(raw_id, '[/\\<>:"|?*]', '_', 'g'),
-    '20240102T030405_' || left(h, 12)) AS full_path FROM p)
+    '20240102T030405_' || h) AS full_path FROM p)
 SELECT page_id, h AS sha256, size_bytes,
   CASE WHEN length(full_path) > 255 THEN 'raw/' || sha256(full_path) ELSE full_path END AS parcel_dir,
   raw_id IS NULL AS id_missing
@@ -542,10 +542,14 @@ def raw_manifest(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT p_partkey, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size, p_retailprice FROM part")
 def csv_source(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of two column orders, read by name."""
     path = fresh_dir(spark, "csv")
-    load(spark, sf, "part").write.option("header", True).csv(path)
     columns = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
-    rows = files.read_csv_source(spark, path, columns=columns)
+    part = load(spark, sf, "part")
+    odd = F.col("p_partkey") % 2 == 1
+    part.where(odd).select(*columns).write.option("header", True).csv(f"{path}/a")
+    part.where(~odd).select(*columns[::-1]).write.option("header", True).csv(f"{path}/b")
+    rows = files.read_csv_source(spark, [f"{path}/a", f"{path}/b"], columns=columns, by_name=True)
     profile = M.BulkProfile(
         mappings={c: c for c in columns},
         transforms={"p_partkey": "to_int", "p_size": "to_int", "p_retailprice": "to_float"},
@@ -553,10 +557,18 @@ def csv_source(spark: SparkSession, sf: str) -> DataFrame:
     return M.bulk_map(rows, profile)
 
 
-@query("SELECT CAST(4 AS BIGINT) AS columns, CAST(count(*) AS BIGINT) AS rows, CAST(0 AS BIGINT) AS wide_rows, true AS is_valid FROM supplier")
+@query(
+    """SELECT CAST(4 AS BIGINT) AS columns, CAST(count(*) AS BIGINT) AS rows,
+  CAST(count(*) FILTER (WHERE s_nationkey = 7) AS BIGINT) AS wide_rows,
+  count(*) FILTER (WHERE s_nationkey = 7) = 0 AND count(*) > 0 AS is_valid FROM supplier"""
+)
 def csv_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of one nation have a field too many."""
     path = fresh_dir(spark, "csv")
-    load(spark, sf, "supplier").write.options(header=True, sep=";").csv(path)
+    fields = F.concat_ws(";", "s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+    lines = load(spark, sf, "supplier").select(F.concat(fields, F.when(F.col("s_nationkey") == 7, ";extra").otherwise("")).alias("value"))
+    header = spark.range(1).select(F.lit("s_suppkey;s_name;s_nationkey;s_acctbal").alias("value"))
+    header.unionAll(lines).coalesce(1).write.text(path)
     return files.csv_profile(spark, path, delimiter=";")
 
 
@@ -570,8 +582,31 @@ def jsonl_source(spark: SparkSession, sf: str) -> DataFrame:
         F.struct(F.col("o_orderkey").alias("key"), F.struct(F.col("o_orderpriority").alias("priority")).alias("meta")).alias("order"),
         "o_custkey", F.col("o_totalprice").alias("price"),
     ).write.json(path)
-    schema = "order struct<key:bigint,meta:struct<priority:string>>, o_custkey bigint, price double"
-    return files.read_json_source(spark, path, "lines", schema, flatten=True)
+    return files.read_json_source(spark, path, "lines", ORDER_LINES, flatten=True)
+
+
+ORDER_LINES = "order struct<key:bigint,meta:struct<priority:string>>, o_custkey bigint, price double"
+
+
+@query(
+    """SELECT CAST(count(*) FILTER (WHERE o_orderkey % 10 <> 3) AS BIGINT) AS rows,
+  CAST(sum(o_totalprice) FILTER (WHERE o_orderkey % 10 <> 3) AS DECIMAL(20, 2)) AS price,
+  CAST(count(*) FILTER (WHERE o_orderkey % 10 = 3) AS BIGINT) AS bad_lines,
+  CAST(sum(o_orderkey) FILTER (WHERE o_orderkey % 10 = 3) AS BIGINT) AS bad_keys FROM orders"""
+)
+def jsonl_bad_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Every tenth line is cut off: the rest is read, the cut ones are kept and counted."""
+    path = fresh_dir(spark, "jsonl")
+    line = F.to_json(
+        F.struct(F.struct(F.col("o_orderkey").alias("key")).alias("order"), "o_custkey", F.col("o_totalprice").alias("price"))
+    )
+    cut = F.when(F.col("o_orderkey") % 10 == 3, F.substring(line, 1, 30)).otherwise(line)
+    load(spark, sf, "orders").select(cut.alias("value")).write.text(path)
+    rows, rejects = files.split_json_lines(spark, path, ORDER_LINES)
+    good = rows.agg(F.count("*").alias("rows"), F.sum(F.col("price").cast("decimal(12,2)")).cast("decimal(20,2)").alias("price"))
+    key = F.regexp_extract("line", r'"key":(\d+)', 1).cast("bigint")
+    bad = rejects.agg(F.count("*").alias("bad_lines"), F.sum(key).alias("bad_keys"))
+    return good.join(bad, F.lit(True))
 
 
 @query(
@@ -635,17 +670,18 @@ def source_row_count(spark: SparkSession, sf: str) -> DataFrame:
     return files.source_row_count(load(spark, sf, "orders"))
 
 
-@query("SELECT c_custkey, c_name, CAST(count(*) AS BIGINT) AS n FROM customer GROUP BY 1, 2")
+@query("SELECT c_custkey, c_name, CAST(count(*) AS BIGINT) AS n FROM customer WHERE c_custkey % 3 <> 0 GROUP BY 1, 2")
 def ingest_new_files(spark: SparkSession, sf: str) -> DataFrame:
-    """The same drop delivered twice: files known by content are left out on reading."""
+    """A drop delivered twice beside one that the ledger holds: files known by content are left out."""
     base = fresh_dir(spark, "drops")
     # Files are hashed whole, so they are kept small.
     drop = load(spark, sf, "customer").select("c_custkey", "c_name")
-    for delivery in ("first", "second"):
-        drop.write.options(header=True, maxRecordsPerFile=200_000).csv(f"{base}/{delivery}")
+    known = F.col("c_custkey") % 3 == 0
+    for delivery, rows in (("first", ~known), ("second", ~known), ("earlier", known), ("again", known)):
+        drop.where(rows).write.options(header=True, maxRecordsPerFile=200_000).csv(f"{base}/{delivery}")
     hashes = files.file_hashes(spark, base, "*.csv", recursive=True)
-    ledger = hashes.where(F.col("path").contains("/second/"))
-    fresh = files.new_files(hashes, ledger.where(F.col("file_hash") == ""))
+    ledger = hashes.where(F.col("path").contains("/earlier/"))
+    fresh = files.new_files(hashes, ledger)
     rows = (
         spark.read.options(header=True, recursiveFileLookup=True).schema("c_custkey bigint, c_name string").csv(base)
         .withColumn("path", F.col("_metadata.file_path"))

@@ -240,8 +240,10 @@ def _ended(spark: SparkSession, sf: str) -> DataFrame:
         F.col("id").cast("string").alias("task_id"), "platform",
         F.when(good, "task.completed").otherwise("task.failed").alias("event"),
         F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"),
-        F.when(good, F.struct(F.col("county").alias("county"), F.col("priority").alias("priority"))).alias("result"),
-        F.when(good, F.create_map(F.lit("html"), F.concat(F.lit("raw/"), F.col("id").cast("string")))).alias("raw_paths"),
+        F.when(good, F.struct(F.col("priority").alias("priority"), F.concat(F.lit("Señor 😀 "), "county").alias("county"))).alias("result"),
+        F.when(
+            good, F.create_map(F.lit("pdf"), F.lit("raw/p"), F.lit("html"), F.concat(F.lit("raw/"), F.col("id").cast("string")))
+        ).alias("raw_paths"),
         F.when(~good, F.concat(F.lit("level "), F.col("level").cast("string"))).alias("error"),
     )
 
@@ -251,8 +253,8 @@ _OUTBOX_SQL = f"""{TASKS_SQL}, o AS (SELECT CAST(id AS VARCHAR) AS task_id,
   '{{"error":' || CASE WHEN status = 'completed' THEN 'null' ELSE '"level ' || level || '"' END ||
   ',"event":"' || CASE WHEN status = 'completed' THEN 'task.completed' ELSE 'task.failed' END ||
   '","job_id":null,"platform":"' || platform || '","raw_paths":' ||
-  CASE WHEN status = 'completed' THEN '{{"html":"raw/' || id || '"}}' ELSE 'null' END || ',"result":' ||
-  CASE WHEN status = 'completed' THEN '{{"county":"' || county || '","priority":' || priority || '}}' ELSE 'null' END ||
+  CASE WHEN status = 'completed' THEN '{{"html":"raw/' || id || '","pdf":"raw/p"}}' ELSE 'null' END || ',"result":' ||
+  CASE WHEN status = 'completed' THEN '{{"county":"Se\\u00f1or \\ud83d\\ude00 ' || county || '","priority":' || priority || '}}' ELSE 'null' END ||
   ',"stats":null,"task_id":"' || id || '","timestamp":"' || strftime(created_at, '%Y-%m-%dT%H:%M:%S') || '"}}' AS payload
   FROM tasks WHERE status <> 'pending')"""
 
@@ -272,9 +274,13 @@ def _pad_sql(mask: int) -> str:
 
 @query(
     f"""WITH {_OUTBOX_SQL} SELECT task_id,
-  'sha256=' || sha256({_pad_sql(0x5C)} || unhex(sha256({_pad_sql(0x36)} || encode(payload)))) AS signature, true AS verified FROM o"""
+  'sha256=' || sha256({_pad_sql(0x5C)} || unhex(sha256({_pad_sql(0x36)} || encode(payload)))) AS signature,
+  CAST(task_id AS BIGINT) % 10 <> 0 AS verified FROM o"""
 )
 def signed_outbox(spark: SparkSession, sf: str) -> DataFrame:
     signed = L.notification_outbox(_ended(spark, sf), _DEMO_KEY)
-    ok = verify(F.col("payload"), F.col("signature"), _DEMO_KEY)
+    # One payload in ten arrives changed.
+    changed = F.col("task_id").cast("bigint") % 10 == 0
+    arrived = F.when(changed, F.concat("payload", F.lit(" "))).otherwise(F.col("payload"))
+    ok = verify(arrived, F.col("signature"), _DEMO_KEY)
     return signed.select("task_id", "signature", ok.alias("verified"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 from pathlib import PurePosixPath
 
@@ -10,12 +11,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 OVERFLOW = "__overflow"
+BAD_LINE = "__bad_line"
 
 
 def _header(spark: SparkSession, path: str | Sequence[str], **options: str) -> list[str]:
     """Column names of the first line; reads one row, not the data."""
-    frame = spark.read.options(header="true", inferSchema="false", **options).csv(path)
-    return frame.columns
+    return spark.read.options(**{**options, "header": "true", "inferSchema": "false"}).csv(path).columns
+
+
+def _headers(spark: SparkSession, path: str | Sequence[str], delimiter: str) -> dict[tuple[str, ...], list[str]]:
+    """Files by their header. One pass over the first block of every file; paths come to the driver, as listings do."""
+    lines = spark.read.text(path).where("_metadata.file_block_start = 0").select(
+        F.col("_metadata.file_path").alias("path"), "value", F.monotonically_increasing_id().alias("at")
+    )
+    first = lines.groupBy("path").agg(F.min_by("value", "at").alias("line"))
+    found: dict[tuple[str, ...], list[str]] = {}
+    for row in first.collect():
+        names = next(csv.reader([row["line"].removeprefix("\ufeff")], delimiter=delimiter), [])
+        found.setdefault(tuple(names), []).append(row["path"])
+    return found
 
 
 def read_csv_source(
@@ -26,19 +40,39 @@ def read_csv_source(
     columns: Sequence[str] | None = None,
     multiline: bool = False,
     with_overflow: bool = False,
+    by_name: bool = False,
 ) -> DataFrame:
     """Rows of a CSV with header, every value text; short rows get nulls.
 
+    All files must have one header, or reading fails. ``by_name`` admits files whose columns differ in
+    order or are missing: it reads all headers first (UTF-8 only) and then every file by its own.
     Give ``columns`` to skip the look at the header. ``multiline`` admits line breaks inside
     quotes, at the price of one task per file. ``with_overflow`` adds a column that is not
     null when a row is wider than the header.
     """
     options = {"sep": delimiter, "encoding": encoding, "quote": '"', "escape": '"', "multiLine": str(multiline).lower()}
-    names = list(columns) if columns is not None else _header(spark, path, **options)
-    if with_overflow:
-        names = [*names, OVERFLOW]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return spark.read.options(header="true", mode="PERMISSIVE", **options).schema(schema).csv(path)
+    options |= {"header": "true", "mode": "PERMISSIVE"}
+
+    def read(names: Sequence[str], files: str | Sequence[str], check: bool) -> DataFrame:
+        extra = [OVERFLOW] if with_overflow else []
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, *extra]])
+        return spark.read.options(enforceSchema=str(not check).lower(), **options).schema(schema).csv(files)
+
+    if not by_name and not with_overflow:
+        return read(columns if columns is not None else _header(spark, path, **options), path, check=True)
+    groups = _headers(spark, path, delimiter)
+    if not groups:
+        return read(columns or [], path, check=False)
+    wanted = list(columns) if columns is not None else list(max(groups, key=lambda names: len(names)))
+    if not by_name and set(groups) != {tuple(wanted)}:
+        raise ValueError(f"files differ in their headers: {sorted(groups)}; read them by name")
+    whole = None
+    for names, files in groups.items():
+        rows = read(names, files, check=False)
+        picked = [F.col(f"`{n}`") if n in names else F.lit(None).cast("string").alias(n) for n in wanted]
+        rows = rows.select(*picked, *([OVERFLOW] if with_overflow else []))
+        whole = rows if whole is None else whole.unionAll(rows)
+    return whole
 
 
 def csv_profile(spark: SparkSession, path: str | Sequence[str], **options) -> DataFrame:
@@ -63,7 +97,7 @@ def read_json_source(
 ) -> DataFrame:
     """JSON objects as rows.
 
-    ``lines`` skips blank and malformed lines and splits large files. ``array`` and ``object``
+    ``lines`` skips blank and malformed lines (``split_json_lines`` keeps them) and splits large files. ``array`` and ``object``
     parse a whole file in one task, so lines are the form for large drops. Without a schema
     Spark makes one more pass to infer it.
     """
@@ -76,6 +110,22 @@ def read_json_source(
     return flatten_json(rows) if flatten else rows
 
 
+def split_json_lines(
+    spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str, flatten: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Rows of JSON lines, and the lines that are none: (file, line).
+
+    Blank lines are neither. The rejects can be counted, written to quarantine, or named in a report.
+    """
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    marked = T.StructType([*fields.fields, T.StructField(BAD_LINE, T.StringType())])
+    lines = spark.read.text(path).where(F.trim("value") != "").select(F.col("_metadata.file_path").alias("file"), "value")
+    parsed = lines.withColumn("row", F.from_json("value", marked, {"columnNameOfCorruptRecord": BAD_LINE}))
+    bad = F.col("row").isNull() | F.col(f"row.{BAD_LINE}").isNotNull()
+    rows = parsed.where(~bad).select("row.*").drop(BAD_LINE)
+    return (flatten_json(rows) if flatten else rows), parsed.where(bad).select("file", F.col("value").alias("line"))
+
+
 def flatten_json(df: DataFrame, separator: str = ".") -> DataFrame:
     """Nested objects as columns named by their path; arrays stay as they are."""
 

@@ -72,6 +72,21 @@ def test_outbox_payload(spark):
     assert json.loads(row["payload"])["stats"] is None and row["signature"].startswith("sha256=")
 
 
+def test_payload_equals_what_a_receiver_rebuilds(spark):
+    result = {"b": 1, "a": {"z": [{"y": "ñ", "x": None}], "k": "tab\t\x1f\x0b \U0001f600 \x7f \\u001F"}}
+    schema = (
+        "task_id string, event string, result struct<b:int,a:struct<z:array<struct<y:string,x:string>>,k:string>>, "
+        "stats map<string,struct<q:int,p:int>>"
+    )
+    rows_ = [("7", "task.completed", result, {"ü": {"q": 1, "p": 2}, "a": None}), ("8", "task.failed", None, None)]
+    df = spark.createDataFrame([(i, e, json.loads(json.dumps(r)) if r else None, m) for i, e, r, m in rows_], schema)
+    for row in L.notification_outbox(df, "k").collect():
+        rebuilt = json.dumps(json.loads(row["payload"]), sort_keys=True, separators=(",", ":"))
+        assert row["payload"] == rebuilt
+        assert row["signature"] == "sha256=" + hmac.new(b"k", rebuilt.encode(), hashlib.sha256).hexdigest()
+    assert json.loads(L.notification_outbox(df).where("task_id = '7'").first()["payload"])["result"] == result
+
+
 def test_retention(spark):
     now = F.lit(T0).cast("timestamp_ntz")
     df = spark.createDataFrame([(d, T0 - timedelta(d)) for d in (0, 29, 30, 364, 365)], "d int, at timestamp_ntz")

@@ -22,6 +22,27 @@ def test_csv(spark, tmp_path):
     assert rows(files.read_csv_source(spark, quoted, delimiter=";", multiline=True)) == [("1", "two\nlines")]
 
 
+def test_csv_columns_go_by_name(spark, tmp_path):
+    for name, text in (("1.csv", "id,name\n1,ann\n"), ("2.csv", 'name,id\n"bob, b",2\n'), ("3.csv", "id\n3\n")):
+        put(tmp_path, f"d/{name}", text)
+    path = str(tmp_path / "d")
+    want = [("1", "ann"), ("2", "bob, b"), ("3", None)]
+    assert rows(files.read_csv_source(spark, path, by_name=True, columns=["id", "name"])) == want
+    assert rows(files.read_csv_source(spark, path, by_name=True), "id", "name") == want
+    with pytest.raises(Exception, match="(?i)header"):
+        files.read_csv_source(spark, path, columns=["id", "name"]).collect()
+    with pytest.raises(ValueError, match="headers"):
+        files.csv_profile(spark, path)
+
+
+def test_bad_json_lines_are_kept(spark, tmp_path):
+    text = '{"a":1}\n\n{"a":\nnot json\n{"a":"x"}\n{"a":2,"b":{"c":"y"}}\n'
+    good, bad = files.split_json_lines(spark, put(tmp_path, "l.jsonl", text), "a int, b struct<c:string>", flatten=True)
+    assert rows(good) == [(1, None), (2, "y")]
+    assert sorted(r["line"] for r in bad.collect()) == ["not json", '{"a":', '{"a":"x"}']
+    assert all(r["file"].endswith("l.jsonl") for r in bad.collect())
+
+
 @pytest.mark.parametrize(
     ("text", "want"),
     [
