@@ -118,20 +118,45 @@ def strategy_mix(
     limit: int,
     weights: Mapping[str, float] | None = None,
     min_share: Mapping[str, float] | None = None,
+    forced: Sequence[str] = (),
 ) -> DataFrame:
-    """Up to the quota of each strategy in its own order; a URL stays with the first strategy.
+    """``limit`` picks as long as there are as many URLs: (id, url, strategy).
 
-    Candidates give (rows with id and url, order). Every branch is a distributed top-k.
+    Candidates give (rows with id and url, order). Strategies take turns in the given order: each
+    takes its best URLs that none before it took, up to its quota. Slots left over go to the best
+    URLs that nobody took, again in the order of strategies. ``forced`` names starved strategies (see
+    ``starvation_check``): each gets one slot at least. Every list is a distributed top-k of ``limit``
+    rows, so what follows works on ``limit`` rows per strategy; URLs should be unique in a list.
     """
-    share = quotas(weights or DEFAULT_WEIGHTS, limit, MIN_SHARE if min_share is None else min_share)
-    mixed = None
-    for rank, (name, (rows, order)) in enumerate(candidates.items()):
-        picked = rows.orderBy(*order).limit(share.get(name, 0)).select(
-            "id", "url", F.lit(name).alias("strategy"), F.lit(rank).alias("__rank")
-        )
-        mixed = picked if mixed is None else mixed.unionAll(picked)
-    first = F.min_by(F.struct("id", "strategy"), F.struct("__rank", "id")).alias("__pick")
-    return mixed.groupBy("url").agg(first).select("__pick.id", "url", "__pick.strategy")
+    least = {**(MIN_SHARE if min_share is None else min_share)}
+    for name in forced:
+        least[name] = max(least.get(name, 0.0), 1 / limit)
+    share = quotas(weights or DEFAULT_WEIGHTS, limit, least)
+    lists = None
+    for rank, (_, (rows, order)) in enumerate(candidates.items()):
+        best = rows.orderBy(*order).limit(limit).withColumn("__pos", F.row_number().over(Window.orderBy(*order)))
+        best = best.select("id", "url", F.lit(rank).alias("__rank"), "__pos")
+        lists = best if lists is None else lists.unionAll(best)
+    # Of one strategy's rows of a URL the best one counts.
+    own = Window.partitionBy("__rank", "url").orderBy("__pos", "id")
+    state = lists.withColumn("__own", F.row_number().over(own)).where("__own = 1").drop("__own")
+    state = state.withColumns({"__picked": F.lit(False), "__taken": F.lit(False)})
+    turn = Window.partitionBy("__rank").orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0)
+    for rank, name in enumerate(candidates):
+        free = (F.col("__rank") == rank) & ~F.col("__taken")
+        so_far = F.sum(F.when(free, 1).otherwise(0)).over(turn)
+        state = state.withColumn("__picked", F.col("__picked") | (free & (so_far <= share.get(name, 0))))
+        state = state.withColumn("__taken", F.max("__picked").over(Window.partitionBy("url")))
+    first = Window.partitionBy("url").orderBy("__rank", "__pos")
+    rest = ~F.col("__taken") & (F.row_number().over(first) == 1)
+    names = F.array(*[F.lit(n) for n in candidates])
+    return (
+        state.withColumn("__rest", rest)
+        .where("__picked or __rest")
+        .orderBy(F.col("__picked").desc(), "__rank", "__pos")
+        .limit(limit)
+        .select("id", "url", names[F.col("__rank")].alias("strategy"))
+    )
 
 
 def starvation_check(picks: DataFrame, cycles: int = 10) -> DataFrame:

@@ -322,17 +322,26 @@ def risk(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""WITH {TASKS_SQL}, {_SIGNALS_SQL}, {_LIVE_SQL},
-r AS (SELECT id, url, 'risk' AS strategy, 0 AS rank FROM tasks ORDER BY amount > 400000 DESC, priority DESC, id LIMIT 50),
-c AS (SELECT id, url, 'chronos' AS strategy, 1 AS rank FROM tasks WHERE status <> 'processing'
-  ORDER BY last_scraped_at ASC NULLS FIRST, id LIMIT 30),
-h AS (SELECT id, url, 'hotspot' AS strategy, 2 AS rank FROM tasks JOIN live USING (county)
-  ORDER BY signal_strength DESC, last_scraped_at ASC NULLS FIRST, id LIMIT 20),
-m AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY rank, id) AS rn
-  FROM (SELECT * FROM r UNION ALL SELECT * FROM c UNION ALL SELECT * FROM h))
-SELECT id, url, strategy FROM m WHERE rn = 1"""
+lists AS (
+  SELECT id, url, 0 AS rank, row_number() OVER (ORDER BY amount > 400000 DESC, priority DESC, id) AS pos FROM tasks
+  UNION ALL SELECT id, url, 1, row_number() OVER (ORDER BY last_scraped_at ASC NULLS FIRST, id) FROM tasks WHERE status <> 'processing'
+  UNION ALL SELECT id, url, 2, row_number() OVER (ORDER BY signal_strength DESC, last_scraped_at ASC NULLS FIRST, id)
+    FROM tasks JOIN live USING (county)),
+l AS (SELECT * FROM lists WHERE pos <= 100),
+r AS (SELECT * FROM l WHERE rank = 0 ORDER BY pos LIMIT 50),
+c AS (SELECT * FROM l WHERE rank = 1 AND url NOT IN (SELECT url FROM r) ORDER BY pos LIMIT 30),
+h AS (SELECT * FROM l WHERE rank = 2 AND url NOT IN (SELECT url FROM r UNION ALL SELECT url FROM c) ORDER BY pos LIMIT 20),
+m AS (SELECT * FROM r UNION ALL SELECT * FROM c UNION ALL SELECT * FROM h),
+x AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY rank, pos) AS rn FROM l WHERE url NOT IN (SELECT url FROM m)) WHERE rn = 1),
+o AS (SELECT id, url, rank, pos, 0 AS late FROM m UNION ALL SELECT id, url, rank, pos, 1 FROM x ORDER BY late, rank, pos LIMIT 100)
+SELECT id, url, ['risk', 'chronos', 'hotspot'][rank + 1] AS strategy FROM o"""
 )
 def strategy_mix(spark: SparkSession, sf: str) -> DataFrame:
-    pool = _tagged(bare_tasks(spark, sf))
+    """A hundred picks; no list is joined to more than the segments of its customers."""
+    bare = bare_tasks(spark, sf)
+    pool = _tagged(bare)
+    segment = load(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("county"))
+    placed = bare.select("id", "url", "last_scraped_at", "o_custkey").join(segment, "o_custkey")
     limit, weights = 100, {"risk": 0.5, "chronos": 0.3, "hotspot": 0.2}
     oldest = [F.col("last_scraped_at").asc_nulls_first(), F.col("id").asc()]
     tagged = F.arrays_overlap("tags", F.array(*[F.lit(t) for t in S.RISK_TAGS]))
@@ -341,7 +350,7 @@ def strategy_mix(spark: SparkSession, sf: str) -> DataFrame:
             "risk": (pool, [tagged.desc(), F.col("priority").desc(), F.col("id").asc()]),
             "chronos": (pool.where("status <> 'processing'"), oldest),
             "hotspot": (
-                S.hotspot(tasks(spark, sf), _signals(spark, sf), as_ts("2024-01-30 23:58:00"), limit),
+                S.hotspot(placed, _signals(spark, sf), as_ts("2024-01-30 23:58:00"), limit),
                 [F.col("signal_strength").desc(), *oldest],
             ),
         },

@@ -199,4 +199,19 @@ def test_seeded_and_targeted(spark):
 def test_mix_gives_a_url_to_the_first_strategy(spark):
     pool = spark.createDataFrame([(i, f"u{i}", i) for i in range(20)], "id int, url string, p int")
     mixed = S.strategy_mix({"risk": (pool, [F.col("p").desc()]), "chronos": (pool, [F.col("p").desc()])}, 8, {"risk": 0.5, "chronos": 0.5})
-    assert rows(mixed, "id", "strategy") == [(i, "risk") for i in (16, 17, 18, 19)]
+    assert rows(mixed, "id", "strategy") == [(i, "chronos" if i < 16 else "risk") for i in range(12, 20)]
+
+
+def test_mix_fills_its_limit_and_forces_the_starved(spark):
+    pool = spark.createDataFrame([(i, f"u{i}", i) for i in range(20)], "id int, url string, p int")
+    order = [F.col("p").desc()]
+    lists = {"risk": (pool.where("p > 17"), order), "ripple": (pool.where("p < 0"), order), "chronos": (pool, order)}
+    mixed = S.strategy_mix(lists, 10, {"risk": 0.5, "ripple": 0.3, "chronos": 0.2}, {})
+    assert rows(mixed, "id", "strategy") == [(i, "chronos" if i < 18 else "risk") for i in range(10, 20)]
+    short = S.strategy_mix({"risk": (pool.limit(4), order)}, 10, {"risk": 1.0}, {})
+    assert short.count() == 4
+    weights = {"risk": 1.0, "ripple": 0.0}
+    both = {"risk": (pool, order), "ripple": (pool, order)}
+    assert {r["strategy"] for r in S.strategy_mix(both, 10, weights, {}).collect()} == {"risk"}
+    forced = S.strategy_mix(both, 10, weights, {}, forced=["ripple"])
+    assert rows(forced.groupBy("strategy").count()) == [("ripple", 1), ("risk", 9)]
