@@ -76,6 +76,41 @@ def stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return table.select("user_id", "event_id", "value")
 
 
+@query(
+    """WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events)
+SELECT user_id, event_id, value FROM r WHERE rn = 1"""
+)
+def stream_compacted(spark: SparkSession, sf: str) -> DataFrame:
+    """Deltas of a first delivery are compacted into a base; those of a second one come on top."""
+    base = fresh_dir(spark, "compacted")
+    events = load(spark, sf, "events").select("user_id", "event_id", "ts", "value")
+    key, order = ["user_id"], ["ts", "event_id"]
+    for delivery in (0, 1):
+        events.where(F.col("event_id") % 2 == delivery).write.mode("append").parquet(f"{base}/in")
+        rows = K.read_stream(spark, f"{base}/in", events.schema)
+        K.stream_upsert(rows, key, order, f"{base}/deltas", f"{base}/checkpoint").awaitTermination()
+        if delivery == 0:
+            K.compact(spark, f"{base}/deltas", key, order)
+    return K.read_upserted(spark, f"{base}/deltas", key, order=order).select("user_id", "event_id", "value")
+
+
+@query(
+    """SELECT event_type, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT event_id) AS BIGINT) AS ids,
+  CAST(sum(event_id) AS BIGINT) AS id_sum FROM events GROUP BY 1"""
+)
+def stream_resume(spark: SparkSession, sf: str) -> DataFrame:
+    """A job that stops and starts again from its checkpoint: every row arrives once."""
+    base = fresh_dir(spark, "resume")
+    events = load(spark, sf, "events").select("event_id", "event_type")
+    for delivery in (0, 1, 2):
+        events.where(F.col("event_id") % 3 == delivery).write.mode("append").parquet(f"{base}/in")
+        arrived = K.drain_to(K.read_stream(spark, f"{base}/in", events.schema), f"{base}/out", f"{base}/checkpoint")
+    per_id = arrived.groupBy("event_type", "event_id").agg(F.count("*").alias("n"))
+    return per_id.groupBy("event_type").agg(
+        F.sum("n").alias("n"), F.count("*").alias("ids"), F.sum(F.col("event_id") * F.col("n")).alias("id_sum")
+    )
+
+
 @query(
     f"""WITH {LOG_SQL}, f AS (SELECT id, arg_max(type, seq) FILTER (WHERE type <> 'start') AS set_type, max(seq) FILTER (WHERE type <> 'start') AS set_seq,
   max(seq) FILTER (WHERE type = 'start') AS run_seq, count(*) FILTER (WHERE type = 'retry') AS retries FROM log GROUP BY 1)
@@ -90,6 +125,20 @@ def stream_task_state(spark: SparkSession, sf: str) -> DataFrame:
     return K.read_upserted(spark, f"{base}/deltas", ["id"])
 
 
+@query(
+    f"""WITH {LOG_SQL}, f AS (SELECT id, arg_max(type, seq) FILTER (WHERE type <> 'start') AS set_type, max(seq) FILTER (WHERE type <> 'start') AS set_seq,
+  max(seq) FILTER (WHERE type = 'start') AS run_seq, count(*) FILTER (WHERE type = 'retry') AS retries FROM log GROUP BY 1)
+SELECT id, CASE WHEN set_type = 'complete' THEN 'completed' WHEN set_type = 'fail' THEN 'failed'
+  WHEN run_seq > coalesce(set_seq, -1) THEN 'processing' ELSE 'pending' END AS status, CAST(retries AS BIGINT) AS retry_count FROM f"""
+)
+def stream_expiring_state(spark: SparkSession, sf: str) -> DataFrame:
+    """Task states that leave the store after silence; the updates written before stay."""
+    base = fresh_dir(spark, "expiring")
+    log = event_log(_stream(spark, sf, "events")).where(F.col("type").isNotNull()).withColumn("ts", K.event_time("ts"))
+    K.write_updates(K.expiring_task_state(log), f"{base}/deltas", f"{base}/checkpoint").awaitTermination()
+    return K.read_upserted(spark, f"{base}/deltas", ["id"])
+
+
 @query(
     """SELECT t.event_id AS id, s.event_id AS signal_id FROM events t JOIN events s ON t.user_id = s.user_id
 WHERE t.event_type = 'view' AND s.event_type = 'click' AND s.ts <= t.ts AND s.ts > t.ts - INTERVAL 1 HOUR"""

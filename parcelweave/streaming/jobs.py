@@ -6,12 +6,15 @@ a restart resumes where the last batch was committed.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from parcelweave.operators.pages import parse_pages
 from parcelweave.operators.upsert import last_write_wins, reject_keyless, upsert
@@ -84,10 +87,40 @@ def read_upserted(
     Give ``order`` when a late batch may hold older rows than an earlier one.
     """
     deltas = spark.read.option("basePath", path).parquet(path)
+    compacted = _compacted(spark, path)
+    if compacted is not None:
+        table, upto = compacted
+        # Deltas that the base holds are pruned by their folder.
+        deltas = deltas.where(F.col("batch") > upto).unionByName(table.withColumn("batch", F.lit(upto).cast(deltas.schema["batch"].dataType)))
     latest = last_write_wins(deltas, key, [*order, "batch"]).drop("batch")
     return latest if base is None else upsert(base, latest, key, strategy)
 
 
+def _compacted(spark: SparkSession, path: str) -> tuple[DataFrame, int] | None:
+    """The newest base that ``compact`` wrote, and the last batch it holds."""
+    try:
+        bases = spark.read.option("basePath", f"{path}/_base").parquet(f"{path}/_base")
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    upto = bases.agg(F.max("upto")).first()[0]
+    return bases.where(F.col("upto") == upto).drop("upto"), int(upto)
+
+
+def compact(spark: SparkSession, path: str, key: Sequence[str], order: Sequence[str] = ()) -> int:
+    """Resolve all deltas so far into one base; returns the last batch it holds.
+
+    Run it between runs of the job. A base appears when its write is committed and never changes;
+    readers then skip the deltas it holds, which may be deleted. The work is that of one read.
+    """
+    upto = spark.read.option("basePath", path).parquet(path).agg(F.max("batch")).first()[0]
+    known = _compacted(spark, path)
+    if known is None or known[1] < upto:
+        read_upserted(spark, path, key, order=order).write.mode("overwrite").parquet(f"{path}/_base/upto={upto}")
+    return int(upto)
+
+
 def stream_dedup(
     links: DataFrame, event_time: str, horizon: str, key: Sequence[str] = ("url",), spread_by: str | None = None, salts: int = 16
 ) -> DataFrame:
@@ -153,6 +186,47 @@ def stream_task_state(events: DataFrame, key: str = "id") -> DataFrame:
     return folded.select(key, status.alias("status"), "retry_count")
 
 
+def expiring_task_state(
+    events: DataFrame, key: str = "id", silence: str = "7 days", late: str = "10 minutes"
+) -> DataFrame:
+    """As ``stream_task_state``, but the state of a task is dropped once it was silent for ``silence``.
+
+    Events later than ``late`` are dropped, and a task that speaks again after its state is gone starts
+    anew, so the state holds only what was active within the time named. ``ts`` is a timestamp.
+    """
+    wait = int(pd.Timedelta(silence).total_seconds() * 1000)
+    fields = "set_us long, set_seq long, set_type string, start_us long, start_seq long, retries long"
+    kind = events.schema[key].dataType.simpleString()
+
+    def fold(
+        keys: tuple, parts: Iterator[pd.DataFrame], state: GroupState
+    ) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        set_us, set_seq, set_type, start_us, start_seq, retries = state.get if state.exists else (-1, -1, None, -1, -1, 0)
+        newest = 0
+        for part in parts:
+            stamps = part["ts"].astype("datetime64[us]").astype("int64")
+            for us, seq, what in zip(stamps.tolist(), part["seq"].tolist(), part["type"]):
+                newest = max(newest, us)
+                if what == "start":
+                    start_us, start_seq = max((start_us, start_seq), (us, seq))
+                elif what in ("complete", "fail", "retry"):
+                    retries += what == "retry"
+                    if (us, seq) > (set_us, set_seq):
+                        set_us, set_seq, set_type = us, seq, what
+        state.update((set_us, set_seq, set_type, start_us, start_seq, retries))
+        state.setTimeoutTimestamp(max(newest // 1000, state.getCurrentWatermarkMs()) + wait)
+        running = set_type in (None, "retry") and (start_us, start_seq) > (set_us, set_seq)
+        idle = {"complete": "completed", "fail": "failed"}.get(set_type, "pending")
+        yield pd.DataFrame({key: [keys[0]], "status": ["processing" if running else idle], "retry_count": [retries]})
+
+    marked = events.where(F.col("type").isNotNull()).withWatermark("ts", late).select(key, "ts", F.col("seq").cast("long"), "type")
+    output = f"`{key}` {kind}, status string, retry_count long"
+    return marked.groupBy(key).applyInPandasWithState(fold, output, fields, "update", GroupStateTimeout.EventTimeTimeout)
+
+
 def write_updates(updates: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Write updated rows of every batch as a delta, to be read by ``read_upserted``."""
     writer = updates.writeStream.outputMode("update").foreachBatch(_write_delta(path))

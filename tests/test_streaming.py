@@ -95,3 +95,40 @@ def test_signal_join_honours_validity(feed):
     signals = stream().where("type = 'signal'").select(F.col("id").alias("sid"), F.col("detail").alias("region"), F.col("ts").alias("signal_ts"))
     out = K.drain_to(K.signal_join(tasks, signals).select("id", "sid"), f"{base}/out", f"{base}/cp")
     assert rows(out) == [(2, 1)]
+
+
+def test_compaction_changes_no_row_and_skips_old_deltas(spark, feed, capsys):
+    add, stream, base = feed
+    run = lambda: K.stream_upsert(stream(), ["id"], ["ts", "seq"], f"{base}/d", f"{base}/cp").awaitTermination()
+    read = lambda: K.read_upserted(spark, f"{base}/d", ["id"], order=["ts", "seq"])
+    add([(1, at(0), 1, "a", None), (2, at(0), 1, "a", None)])
+    run()
+    add([(1, at(5), 2, "b", None)])
+    run()
+    before = rows(read())
+    assert K.compact(spark, f"{base}/d", ["id"], ["ts", "seq"]) == 1
+    assert rows(read()) == before and K.compact(spark, f"{base}/d", ["id"], ["ts", "seq"]) == 1
+    add([(2, at(9), 3, "c", None), (1, at(1), 9, "late", None), (3, at(1), 1, "n", None)])
+    run()
+    assert rows(read(), "id", "type") == [(1, "b"), (2, "c"), (3, "n")]
+    read().explain("formatted")
+    filters = [line for line in capsys.readouterr().out.splitlines() if line.startswith("PartitionFilters")]
+    assert any("batch#" in line and "> 1)" in line for line in filters), filters
+    assert K.compact(spark, f"{base}/d", ["id"], ["ts", "seq"]) == 2 and rows(read(), "id", "type") == [(1, "b"), (2, "c"), (3, "n")]
+
+
+def test_silent_tasks_leave_the_state(spark, feed):
+    add, stream, base = feed
+    state = lambda: K.expiring_task_state(stream(), silence="1 hour", late="1 minute")
+    run = lambda: K.write_updates(state(), f"{base}/d", f"{base}/cp").awaitTermination()
+    add([(1, at(0), 1, "retry", None), (1, at(1), 2, "start", None), (2, at(1), 1, "complete", None)])
+    run()
+    assert rows(K.read_upserted(spark, f"{base}/d", ["id"])) == [(1, "processing", 1), (2, "completed", 0)]
+    add([(1, at(30), 3, "retry", None)])
+    run()
+    add([(3, at(300), 1, "start", None)])
+    run()
+    add([(1, at(301), 4, "retry", None), (3, at(301), 2, "fail", None)])
+    run()
+    # Task 1 was silent for hours: its two tries are forgotten.
+    assert rows(K.read_upserted(spark, f"{base}/d", ["id"])) == [(1, "pending", 1), (2, "completed", 0), (3, "failed", 0)]
