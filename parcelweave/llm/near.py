@@ -323,10 +323,16 @@ def near_duplicates(
         .groupBy("set_key")
         .agg(F.sum("links").alias("n_links"))
     )
-    labelled = nodes.join(classes_.select(F.col("node").alias("set_key"), "label"), "set_key", "left").join(counts, "set_key", "left")
-    labelled = labelled.select("set_key", "me", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("label", "set_key").alias("label"))
-    heads = labelled.groupBy("label").agg(F.min("me").alias("head"))
-    answers = labelled.join(heads, "label").select("set_key", "head", "n_links", "n_copies")
+    # Linked sets alone; written, so that the join back to a large class can be split.
+    at = fresh_dir(spark, "linked-sets")
+    linked = classes_.select(F.col("node").alias("set_key"), "label").join(nodes.select("set_key", "me"), "set_key").join(counts, "set_key")
+    linked.write.parquet(at)
+    linked = spark.read.parquet(at)
+    heads = linked.groupBy("label").agg(F.min("me").alias("head"))
+    headed = linked.join(heads, "label").select("set_key", "head", "n_links")
+    answers = nodes.select("set_key", "me", "n_copies").join(headed, "set_key", "left").select(
+        "set_key", F.coalesce("head", "me").alias("head"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"
+    )
     joined = rows.join(answers, "set_key", "left")
     return joined.select(
         F.col("id").alias(id_col),
