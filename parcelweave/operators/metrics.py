@@ -192,20 +192,33 @@ def range_stats(events: DataFrame, as_of: Column) -> DataFrame:
         F.struct(F.lit(None).cast("string").alias("t"), F.col("platform").alias("p")),
         F.struct(F.lit(None).cast("string").alias("t"), F.lit(None).cast("string").alias("p")),
     )
-    cube = ranged.select("range", F.explode(all_kinds).alias("k"), "type", "runtime").select(
-        "range", F.col("k.t").alias("task_type"), F.col("k.p").alias("platform"), "type", "runtime"
-    )
     done = F.col("type").isin("succeeded", "failed")
     timed = F.when(done, F.col("runtime"))
-    stats = cube.groupBy(*dims).agg(
+    # Events are aggregated once; subtotals come from the few rows that are left.
+    finest = ranged.groupBy(*dims).agg(
         F.count_if(done).alias("total"),
         _count("succeeded").alias("succeeded"),
         _count("failed").alias("failed"),
-        F.round(F.avg(timed), 4).alias("avg_runtime"),
+        F.sum(timed).alias("runtime"),
+        F.count(timed).alias("timed"),
         F.min(timed).alias("min_runtime"),
         F.max(timed).alias("max_runtime"),
     )
-    medians = exact_quantiles(cube.where(done), dims, "runtime", {"median_runtime": 0.5})
+
+    def every_kind(rows: DataFrame, *columns: str) -> DataFrame:
+        exploded = rows.select("range", F.explode(all_kinds).alias("k"), *columns)
+        return exploded.select("range", F.col("k.t").alias("task_type"), F.col("k.p").alias("platform"), *columns)
+
+    sums = ["total", "succeeded", "failed", "runtime", "timed"]
+    stats = every_kind(finest, *sums, "min_runtime", "max_runtime").groupBy(*dims).agg(
+        *[F.sum(c).alias(c) for c in sums],
+        F.min("min_runtime").alias("min_runtime"),
+        F.max("max_runtime").alias("max_runtime"),
+    )
+    stats = stats.withColumn("avg_runtime", F.round(F.try_divide("runtime", "timed"), 4))
+    # Only a median needs the values themselves.
+    values = ranged.where(done & F.col("runtime").isNotNull())
+    medians = exact_quantiles(every_kind(values, "runtime"), dims, "runtime", {"median_runtime": 0.5})
     joined = salted_join(stats, medians, dims, "left", null_safe=True, heavy=[])
     return joined.select(
         *dims, "total", "succeeded", "failed", success_rate(F.col("succeeded"), F.col("failed")).alias("success_rate"),

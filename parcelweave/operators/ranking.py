@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from parcelweave.session import cut_lineage, salted_join
 
 
-def _in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Rows sorted by key and order over all tasks, with their task and position.
 
     A large key spans many tasks. Checkpointed: a retry must not draw other ranges.
@@ -35,15 +35,16 @@ def global_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], nam
     ``order`` must end in a unique column. Each task numbers its own sorted rows; offsets come
     from one count per key and task.
     """
-    placed = _in_ranges(df, keys, order)
+    placed = in_ranges(df, keys, order)
     offsets = _offsets(placed, keys, F.count("*"))
-    ranked = salted_join(placed, offsets, [*keys, "__part"], spread="all", null_safe=True)
+    # A key's rows of one task are no more than that task held.
+    ranked = salted_join(placed, offsets, [*keys, "__part"], heavy=[], null_safe=True)
     return ranked.select(*df.columns, (F.col("__offset") + F.col("__at") - F.col("__first") + 1).alias(name))
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column], weight: str, name: str) -> DataFrame:
     """Sum of ``weight`` up to and including each row of its key, whatever the size of the key."""
-    placed = _in_ranges(df, keys, order)
+    placed = in_ranges(df, keys, order)
     offsets = _offsets(placed, keys, F.sum(weight)).drop("__first")
     joined = salted_join(placed, offsets, [*keys, "__part"], heavy=[], null_safe=True)
     # A group is the share of one key that lies in one range.
@@ -115,7 +116,7 @@ def exact_quantiles(
     else:
         # Copies of one value collapse first, so the values of a heavy key can be spread.
         distinct = data.groupBy(*keys, "__v").agg(F.count("*").alias("__c"))
-        joined = salted_join(distinct, brackets, list(keys), spread="all", null_safe=True)
+        joined = salted_join(distinct, brackets, list(keys), null_safe=True, unique="__v")
     placed = joined.select(
         *keys, "__v", "__c", F.explode(F.filter("__brackets", lambda b: F.col("__v") <= b["high"])).alias("__b")
     )

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelweave.operators.ranking import global_rank
+from parcelweave.operators.ranking import global_rank, in_ranges
 from parcelweave.session import salted_join
 
 # Tags that mark risky tasks, and the default weights of the mix.
@@ -37,7 +37,7 @@ def hotspot(tasks: DataFrame, signals: DataFrame, as_of: Column, n: int) -> Data
         .groupBy(F.col("region").alias("county"))
         .agg(F.max("signal_strength").alias("signal_strength"))
     )
-    hot = salted_join(tasks, live, ["county"], spread="all")
+    hot = salted_join(tasks, live, ["county"], spread="all", unique="id")
     return hot.orderBy(
         F.col("signal_strength").desc(), F.col("last_scraped_at").asc_nulls_first(), F.col("id").asc()
     ).limit(n)
@@ -53,21 +53,22 @@ def targeted(tasks: DataFrame, as_of: Column, days: int = 30, path: str = "$.auc
 def sweeper_next(ids: DataFrame, checked: DataFrame) -> DataFrame:
     """Ids beyond the last one checked in their region (all ids of unchecked regions)."""
     last = checked.groupBy("region").agg(F.max("last_checked_id").alias("__last"))
-    joined = salted_join(ids, last, ["region"], "left", spread="all")
+    joined = salted_join(ids, last, ["region"], "left", spread="all", unique="id")
     return joined.where(F.col("__last").isNull() | (F.col("id") > F.col("__last"))).select(*ids.columns)
 
 
-def sweeper_gaps(ids: DataFrame, block: int = 1_000_000) -> DataFrame:
+def sweeper_gaps(ids: DataFrame) -> DataFrame:
     """Missing id ranges per region: (region, gap_start, gap_end).
 
-    Distinct ids are split into fixed blocks, so one task sorts at most ``block`` ids however
-    large a region is. Gaps between blocks come from one row per block.
+    Distinct ids are sorted over all tasks by range, so a region of any size, dense or sparse, spans
+    as many tasks as it needs. Gaps between tasks come from one row per region and task. Runs a job
+    when called: the ranges are checkpointed.
     """
-    distinct = ids.select("region", "id").distinct().withColumn("__block", F.floor(F.col("id") / block))
-    inside = Window.partitionBy("region", "__block").orderBy("id")
-    within = distinct.select("region", "id", F.lead("id").over(inside).alias("__next"))
-    edges = distinct.groupBy("region", "__block").agg(F.min("id").alias("__low"), F.max("id").alias("id"))
-    along = Window.partitionBy("region").orderBy("__block")
+    placed = in_ranges(ids.select("region", "id").distinct(), ["region"], [F.col("id").asc()])
+    inside = Window.partitionBy("region", "__part").orderBy("id")
+    within = placed.select("region", "id", F.lead("id").over(inside).alias("__next"))
+    edges = placed.groupBy("region", "__part").agg(F.min("id").alias("__low"), F.max("id").alias("id"))
+    along = Window.partitionBy("region").orderBy("__part")
     between = edges.select("region", "id", F.lead("__low").over(along).alias("__next"))
     return (
         within.unionAll(between)

@@ -276,7 +276,7 @@ SELECT region, id + 1 AS gap_start, nxt - 1 AS gap_end FROM n WHERE nxt - id > 1
 )
 def sweeper_gaps(spark: SparkSession, sf: str) -> DataFrame:
     ids = load(spark, sf, "orders").select(F.col("o_orderpriority").alias("region"), F.col("o_custkey").alias("id"))
-    return S.sweeper_gaps(ids, block=256)
+    return S.sweeper_gaps(ids)
 
 
 @query(

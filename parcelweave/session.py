@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import math
+import re
+import shutil
 import tempfile
 import uuid
+from collections.abc import Collection, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +40,8 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
 def work_root(spark: SparkSession) -> str:
     """Folder shared by all executors, as named by ``spark.checkpoint.dir``.
 
-    Only a local session without that setting falls back to a temporary folder.
+    Only a local session without that setting falls back to a temporary folder, which goes when
+    the process ends. What lies in a shared folder belongs to whoever set it.
     """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
@@ -43,6 +49,7 @@ def work_root(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="parcelweave-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
     return root.rstrip("/")
@@ -67,8 +74,14 @@ def estimated_bytes(df: DataFrame) -> int | None:
         return None
 
 
+_UNITS = {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+
+
 def _broadcast_limit(spark: SparkSession) -> int:
-    return int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
+    """The size up to which Spark broadcasts a side by itself; -1 for never."""
+    text = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10m").strip().lower()
+    found = re.fullmatch(r"(-?\d+)\s*([bkmgt]?)b?", text)
+    return int(found[1]) * _UNITS[found[2]] if found else 10 << 20
 
 
 SMALL_BYTES = 256 * 1024 * 1024
@@ -85,18 +98,25 @@ def spread_small(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
-def heavy_keys(df: DataFrame, keys: list[str], share: float = 0.005, tracked: int = 8192) -> list[int]:
-    """Hashes of the keys that hold at least ``share`` of the rows: never more than 1 / share.
+def shuffle_parts(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
 
-    One mergeable sketch over the key columns alone. The result only steers how a join is
-    spread; it has no part in what the join returns.
+def heavy_keys(df: DataFrame, keys: list[str], parts: int | None = None, tracked: int = 8192) -> dict[int, int]:
+    """Hashes of the keys with more rows than an even share of a shuffle partition, and their shares.
+
+    ``parts`` is the number of partitions to be even over, by default the session's, so both the
+    threshold and the shares follow from the rows and the cluster; there are at most ``parts`` such keys.
+    One mergeable sketch over the key columns alone, which runs when called. The result only steers
+    how a join is spread; it has no part in what the join returns.
     """
-    most = int(1 / share)
+    parts = parts or shuffle_parts(df.sparkSession)
     hashed = df.select(F.xxhash64(*keys).alias("h"))
     row = hashed.agg(
-        F.count("*").alias("n"), F.expr(f"approx_top_k(h, {most}, {tracked})").alias("top")
+        F.count("*").alias("n"), F.expr(f"approx_top_k(h, {parts}, {max(tracked, 8 * parts)})").alias("top")
     ).first()
-    return [t["item"] for t in row["top"] if t["count"] >= share * row["n"]]
+    even = max(1.0, row["n"] / parts)
+    return {t["item"]: min(parts, math.ceil(t["count"] / even)) for t in row["top"] if t["count"] > even}
 
 
 def _hashable(kind: DataType) -> bool:
@@ -104,32 +124,44 @@ def _hashable(kind: DataType) -> bool:
     return not any(word in kind.simpleString() for word in ("map<", "variant"))
 
 
+#: Copies of one row that a task makes at a time when equal rows are dealt out again.
+COPIES = 100_000
+
+
 def salted_join(
     big: DataFrame,
     small: DataFrame,
     on: list[str],
     how: str = "inner",
     spread: str = "hot",
-    salts: int = 16,
+    salts: int | None = None,
     null_safe: bool = False,
-    heavy: list[int] | None = None,
+    heavy: Mapping[int, int] | Collection[int] | None = None,
+    unique: str | None = None,
 ) -> DataFrame:
     """Equi join where a single key of ``big`` may hold a large share of its rows.
 
     ``small`` must hold few rows per key. When Spark's own estimate lets it broadcast
     ``small``, no salt is added. Otherwise rows of a heavy key in ``big`` spread over
     ``salts`` tasks and its rows in ``small`` are repeated once per salt. With ``spread`` at
-    ``hot`` only keys found heavy are salted (give ``heavy`` to reuse an earlier finding);
-    ``all`` salts every key, for sides of few keys. ``null_safe`` lets null match null.
+    ``hot`` only keys found heavy are salted, in as many parts as their rows ask for (give ``heavy`` to
+    reuse an earlier finding; else one job runs when this is called); ``all`` salts every key, for
+    sides of few keys. The salt of a row is a hash of its other columns, or of ``unique``, a column that
+    differs from row to row: name it where the others repeat. ``null_safe`` lets null match null.
     """
     if how not in {"inner", "left", "left_semi", "left_anti"}:
         raise ValueError(f"salting does not preserve a {how} join")
+    parts = shuffle_parts(big.sparkSession)
     if set(big.columns) == set(on):
-        # Rows differ in nothing a salt could use: join one of each and repeat it afterwards.
+        # Rows differ in nothing a salt could use: join one of each and repeat it afterwards,
+        # in steps that are dealt out, so that no task makes all copies of a row.
         counted = big.groupBy(*on).agg(F.count("*").alias("__n"))
         joined = salted_join(counted, small, on, how, spread, salts, null_safe, heavy=[])
-        copies = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__n"))))
-        return copies.drop("__n", "__copy")
+        steps = joined.withColumn("__step", F.explode(F.expr(f"sequence(0L, (__n - 1) div {COPIES})")))
+        dealt = steps.repartition(*[F.col(c) for c in on], "__step")
+        rest = F.least(F.lit(COPIES).cast("bigint"), F.col("__n") - F.col("__step") * COPIES)
+        copies = dealt.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), rest)))
+        return copies.drop("__n", "__step", "__copy")
     mine = [f"__k{i}" for i in range(len(on))]
     left = big
     right = small.select(
@@ -144,13 +176,16 @@ def salted_join(
         if spread == "hot" and heavy is None:
             heavy = heavy_keys(big, on)
         if spread == "all" or heavy:
+            if salts is None:
+                salts = max(heavy.values()) if spread == "hot" and isinstance(heavy, Mapping) else parts
             rest = [F.col(f.name) for f in big.schema if f.name not in on and _hashable(f.dataType)]
-            salt = F.pmod(F.xxhash64(*(rest or on)), F.lit(salts)).cast("int")
+            from_row = [F.col(unique)] if unique else rest or [F.col(k) for k in on]
+            salt = F.pmod(F.xxhash64(*from_row), F.lit(salts)).cast("int")
             every, first = F.sequence(F.lit(0), F.lit(salts - 1)), F.array(F.lit(0))
             if spread == "hot":
-                hot = F.array(*[F.lit(h) for h in heavy])
-                salt = F.when(F.array_contains(hot, F.xxhash64(*on)), salt).otherwise(0)
-                every = F.when(F.array_contains(hot, F.xxhash64(*mine)), every).otherwise(first)
+                hot = list(heavy)
+                salt = F.when(F.xxhash64(*on).isin(hot), salt).otherwise(0)
+                every = F.when(F.xxhash64(*mine).isin(hot), every).otherwise(first)
             left = big.withColumn("__salt", salt)
             right = right.withColumn("__copy", F.explode(every))
             matched = matched & (F.col("__salt") == F.col("__copy"))

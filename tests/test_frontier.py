@@ -174,11 +174,13 @@ def test_hotspot_ignores_repeated_and_old_signals(spark, no_broadcast):
     assert [(r["id"], r["signal_strength"]) for r in hot.collect()] == [(2, 50), (1, 9)]
 
 
-def test_gaps_do_not_depend_on_blocks(spark):
-    ids = spark.createDataFrame([("r", i) for i in (1, 2, 5, 9, 10, 30, 30)] + [("q", 4)], "region string, id long")
-    want = sorted([("r", 3, 4), ("r", 6, 8), ("r", 11, 29)], key=repr)
-    for block in (1, 4, 10, 1000):
-        assert rows(S.sweeper_gaps(ids, block)) == want
+def test_gaps_of_dense_and_sparse_ids(spark):
+    sparse = [10_000_000 * i for i in range(1, 200)]
+    ids = spark.createDataFrame(
+        [("r", i) for i in (1, 2, 5, 9, 10, 30, 30)] + [("q", 4)] + [("s", i) for i in sparse], "region string, id long"
+    )
+    want = [("r", 3, 4), ("r", 6, 8), ("r", 11, 29)] + [("s", a + 1, b - 1) for a, b in zip(sparse, sparse[1:])]
+    assert rows(S.sweeper_gaps(ids.repartition(3))) == sorted(want, key=repr)
 
 
 def test_starvation(spark):

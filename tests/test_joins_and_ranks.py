@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from parcelweave.operators import ranking
 from parcelweave.operators.ranking import exact_quantiles, global_rank, top_per_group
+from parcelweave import session
 from parcelweave.session import heavy_keys, salted_join
 
 
@@ -16,8 +17,35 @@ def skewed(spark):
     return spark.range(3000).select(key.cast("int").alias("k"), F.col("id").alias("v")).cache()
 
 
-def test_heavy_keys_are_found(skewed):
-    assert len(heavy_keys(skewed, ["k"], share=0.1)) == 1
+def test_heavy_keys_follow_from_rows_per_partition(spark, skewed):
+    """A third of the rows and nulls in 50 of 3000: more partitions find more keys and more parts."""
+    assert list(heavy_keys(skewed, ["k"], parts=10).values()) == [4]
+    assert sorted(heavy_keys(skewed, ["k"], parts=100).values()) == [2, 34]
+    assert heavy_keys(skewed.limit(0), ["k"]) == {}
+
+
+def test_a_hot_key_of_equal_rows_is_dealt_out(spark, no_broadcast):
+    """Half the rows hold one key, and their other column has two values: ``unique`` splits them all the same."""
+    big = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, 1).otherwise(F.col("id")).alias("k"), (F.col("id") % 4).alias("r"), "id")
+    small = big.select("k").distinct().withColumn("w", F.lit(1))
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = salted_join(big, small, ["k"], unique="id")
+        per_task = joined.groupBy(F.spark_partition_id().alias("p")).count()
+        most = per_task.agg(F.max("count")).first()[0]
+        assert joined.count() == 20_000 and most < 4 * 20_000 / 32
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_copies_of_a_row_are_made_in_steps(spark, no_broadcast, monkeypatch):
+    monkeypatch.setattr(session, "COPIES", 7)
+    keys = spark.createDataFrame([(1,)] * 50 + [(2,)] * 7 + [(3,)], "k int")
+    small = spark.createDataFrame([(1, "x"), (2, "y")], "k int, w string")
+    got = salted_join(keys, small, ["k"], "left").groupBy("k", "w").count()
+    assert rows(got) == [(1, "x", 50), (2, "y", 7), (3, None, 1)]
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
