@@ -333,7 +333,10 @@ def near_duplicates(
     answers = nodes.select("set_key", "me", "n_copies").join(headed, "set_key", "left").select(
         "set_key", F.coalesce("head", "me").alias("head"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"
     )
-    joined = rows.join(answers, "set_key", "left")
+    # Written as well: the rows of a set with very many copies can then be split in the join.
+    at = fresh_dir(spark, "set-answers")
+    answers.write.parquet(at)
+    joined = rows.join(spark.read.parquet(at), "set_key", "left")
     return joined.select(
         F.col("id").alias(id_col),
         F.when(F.col("head").isNull(), F.col("id")).otherwise(F.col("head.id")).alias("class_id"),
