@@ -124,6 +124,35 @@ def retry_schedule(spark: SparkSession, sf: str) -> DataFrame:
     return R.unsynced_results(results, as_ts("2024-01-30 23:59:00")).select("id", "sync_attempts")
 
 
+@query(
+    """SELECT event_id AS id, event_type IN ('purchase', 'view') AS synced FROM events"""
+)
+def synced_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Results after those that were sent are marked; one is sent twice."""
+    events = load(spark, sf, "events")
+    results = events.select(F.col("event_id").alias("id"), (F.col("event_type") == "purchase").alias("synced"))
+    sent = events.where("event_type = 'view'").select(F.col("event_id").alias("id"))
+    return R.mark_synced(results, sent.unionAll(sent))
+
+
+@query(
+    f"""WITH {LINKS_SQL} SELECT source_id, CAST(count(*) AS BIGINT) AS links, CAST(sum(CASE WHEN added THEN 1 ELSE 0 END) AS BIGINT) AS added
+FROM (SELECT source_id, false AS added FROM links UNION ALL
+  SELECT o_orderkey, true FROM orders WHERE o_orderstatus = 'P') GROUP BY 1"""
+)
+def added_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Links found later, without a time yet, beside the known ones."""
+    found = load(spark, sf, "orders").where("o_orderstatus = 'P'").select(
+        F.col("o_orderkey").alias("source_id"),
+        F.concat(F.lit("https://records.example.com/new/"), F.col("o_orderkey").cast("string")).alias("url"),
+        F.lit(False).alias("processed"),
+    )
+    every = R.add_links(links(spark, sf), found)
+    return every.groupBy("source_id").agg(
+        F.count("*").alias("links"), F.count_if(F.col("url").contains("/new/")).alias("added")
+    )
+
+
 @query(
     f"""WITH {LINKS_SQL}, f AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY added_at, source_id, priority_delta, platform) AS rn
   FROM links)

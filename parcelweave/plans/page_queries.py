@@ -307,12 +307,57 @@ def nav_cell(spark: SparkSession, sf: str) -> DataFrame:
     return shredded.select("page_id", P.table_extract(Page.columns(), "nav ul li", "li a", 2).alias("cell"))
 
 
+# What these pages lack: pictures of all four kinds, absolute links, and a place, made of their own links.
+_EXTRA_SQL = """list_transform(range(1, 7), lambda i: 'host.example' || coalesce(links[i], '/none'))"""
+
+
+def _with_media(pages: DataFrame) -> DataFrame:
+    hrefs = F.regexp_extract_all("html", F.lit(_HREF), F.lit(1))
+    at = lambda i: F.concat(F.lit("host.example"), F.coalesce(F.get(hrefs, F.lit(i)), F.lit("/none")))
+    plain = lambda url: F.regexp_replace(url, ",", "")  # noqa: E731  commas part the entries of a srcset
+    pieces = [
+        '<img src="//', at(0), '.jpg"><img srcset="//', plain(at(1)), ".png 1x, https://", plain(at(2)), '.WEBP?w=2 2x, data:x 3x" src="">',
+        "<div style=\"background-image: url('//", at(3), ".gif')\"></div><style>.b{background:url(//", at(4), ".svg)}</style>",
+        '<a class="far" href="http://', at(5), '">far</a><a class="far" href="/near">near</a>',
+        '<span id="lat">', F.lit(-40) + F.col("page_id") % 80, '.5</span><span id="lon">', F.col("page_id") % 170, ".25</span>",
+    ]
+    built = F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in pieces])
+    return pages.withColumn("html", F.concat("html", built))
+
+
+_MEDIA_CTE = f"""p AS (SELECT page_id, html, {_LINKS_SQL} AS links FROM pages),
+m AS (SELECT *, {_EXTRA_SQL} AS x FROM p),
+c AS (SELECT *, ['https://' || x[1] || '.jpg', 'https://' || replace(x[2], ',', '') || '.png',
+  'https://' || replace(x[3], ',', '') || '.WEBP?w=2',
+  'https://' || x[4] || '.gif', 'https://' || x[5] || '.svg'] AS u FROM m),
+k AS (SELECT *, list_filter(u, lambda y: NOT regexp_matches(y,
+  '(?i)icon|logo|spinner|loader|avatar|thumb|pixel|analytics|tracking|doubleclick|googletagmanager')) AS images FROM c)"""
+
+
+@query(f"WITH {_MEDIA_CTE} SELECT page_id, array_to_string(images, ' ') AS images FROM k")
+def page_images(spark: SparkSession, sf: str) -> DataFrame:
+    """Pictures from img tags, their srcset, inline styles and style blocks."""
+    shredded = shred_html(_with_media(load(spark, sf, "pages")), keep=["page_id"], keep_html=False)
+    return shredded.select("page_id", F.array_join(P.extract_images(Page.columns()), " ").alias("images"))
+
+
+@query(f"WITH {_MEDIA_CTE} SELECT page_id, 'http://' || x[6] AS url, 'parcel' AS relationship_type, CAST(2 AS INT) AS priority_delta FROM k")
+def page_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Absolute links by rule; what does not lead to the web is left out."""
+    shredded = shred_html(_with_media(load(spark, sf, "pages")), keep=["page_id"], keep_html=False)
+    rules = {"parcel_links": {"selector": "a.far"}, "owner_links": {"selector": "nav a"}}
+    found = P.discover_links(Page.columns(), rules)
+    return shredded.select("page_id", F.explode(found).alias("l")).select("page_id", "l.*")
+
+
 PAGE_CONFIG = {
     "selectors": {
         "title": {"selector": "title"},
         "heading": {"selector": "article h1"},
         "account": {"selector": "nav li a", "attr": "href", "index": -1},
         "first_link": {"selector": r'<a href="(/[^"]*)"', "type": "regex"},
+        "lat": {"selector": "#lat"},
+        "lon": {"selector": "#lon"},
     },
     "mapping": {
         "fields": {
@@ -320,6 +365,8 @@ PAGE_CONFIG = {
             "account": {"source": "account", "transform": "clean_parcel_id"},
             "first_link": {"source": "first_link"},
             "lang": {"const": "mixed"},
+            "lat": {"source": "lat"},
+            "lon": {"source": "lon"},
         }
     },
     "business_rules": {"required": ["title", "account"], "fields": {"account": {"min_length": 4}}},
@@ -329,10 +376,11 @@ PAGE_CONFIG = {
 
 @query(
     r"""
-WITH p AS (SELECT page_id, regexp_extract_all(html, '<a href="(/[^"]*)"', 1) AS links,
-  nullif(__TITLE__, '') AS title FROM pages),
-q AS (SELECT *, nullif(upper(replace(regexp_replace(regexp_replace(replace(links[len(links)], 'ß', 'SS'), '(?i)^(APN|PARCEL|ID)[:\s]*', ''),
-  '[^\p{L}\p{N}_-]', '', 'g'), '_', '-')), '') AS account FROM p)
+WITH __MEDIA__,
+q AS (SELECT *, nullif(__TITLE__, '') AS title,
+  nullif(upper(replace(regexp_replace(regexp_replace(replace(links[len(links)], 'ß', 'SS'), '(?i)^(APN|PARCEL|ID)[:\s]*', ''),
+  '[^\p{L}\p{N}_-]', '', 'g'), '_', '-')), '') AS account,
+  CASE WHEN page_id % 80 - 40 = -40 THEN '-40.5' ELSE (page_id % 80 - 40) || '.5' END AS lat, (page_id % 170) || '.25' AS lon FROM k)
 SELECT page_id,
   coalesce(account, CASE WHEN length(title) >= 6 AND regexp_matches(title, '[0-9]') THEN title END,
     CASE WHEN length(links[1]) >= 6 AND regexp_matches(links[1], '[0-9]') THEN links[1] END, 'unknown') AS parcel_id,
@@ -340,15 +388,21 @@ SELECT page_id,
   concat_ws('; ', CASE WHEN title IS NULL THEN 'Missing required field: title' END,
     CASE WHEN account IS NULL THEN 'Missing required field: account' END,
     CASE WHEN length(account) < 4 THEN 'Field ''account'' must be at least 4 characters' END) AS errors,
-  CAST(0 AS BIGINT) AS web_links
-FROM q""".replace("__TITLE__", _DECODED_TITLE_SQL)
+  array_to_string(images, ' ') AS images,
+  'https://maps.apple.com/?ll=' || CAST(CAST(lat AS DOUBLE) AS VARCHAR) || ',' || CAST(CAST(lon AS DOUBLE) AS VARCHAR) AS apple,
+  'http://' || x[6] || ' parcel 2' AS web_links
+FROM q""".replace("__TITLE__", _DECODED_TITLE_SQL).replace("__MEDIA__", _MEDIA_CTE)
 )
 def parse_pages(spark: SparkSession, sf: str) -> DataFrame:
-    records = P.parse_pages(load(spark, sf, "pages"), PAGE_CONFIG)
+    """The whole record: data, errors, pictures, map links and links."""
+    records = P.parse_pages(_with_media(load(spark, sf, "pages")), PAGE_CONFIG)
+    web = F.transform("links", lambda link: F.concat_ws(" ", link["url"], link["relationship_type"], link["priority_delta"].cast("string")))
     return records.select(
         "page_id", "parcel_id", "data.title", "data.account", "data.first_link",
         F.array_join("errors", "; ").alias("errors"),
-        F.size("links").cast("bigint").alias("web_links"),
+        F.array_join("image_urls", " ").alias("images"),
+        F.col("external_links")["apple_maps"].alias("apple"),
+        F.array_join(web, "; ").alias("web_links"),
     )
 
 

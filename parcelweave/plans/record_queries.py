@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelweave.functions.transforms import timestamp_from, title_case, transform_column
+from parcelweave.functions.transforms import register_transform, timestamp_from, title_case, transform_column
+from parcelweave.functions.validators import register_rule
 from parcelweave.operators import content as C
 from parcelweave.operators import mapping as M
 from parcelweave.operators import pages as P
@@ -665,6 +666,74 @@ def results_written(spark: SparkSession, sf: str) -> DataFrame:
     return back.select("platform", "id", "o_orderkey", "o_totalprice")
 
 
+@query(
+    """WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority, o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders)
+SELECT o_orderpriority AS platform, 'bulk_' || o_custkey AS id, o_orderkey FROM r
+WHERE rn = 1 AND o_custkey IN (0, 3) AND o_orderpriority IN ('1-URGENT', '2-HIGH')"""
+)
+def result_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Single results by platform and id, out of all that were written."""
+    path = fresh_dir(spark, "results")
+    records = load(spark, sf, "orders").select(
+        F.col("o_orderpriority").alias("platform"),
+        sinks.result_id(F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string")).alias("id"),
+        "o_orderkey", "o_orderdate",
+    )
+    sinks.write_results(records, path, ["o_orderdate", "o_orderkey"])
+    found = [
+        sinks.read_result(spark, path, platform, record_id).select("platform", "id", "o_orderkey")
+        for platform in ("1-URGENT", "2-HIGH")
+        for record_id in ("bulk_0", "bulk_3")
+    ]
+    return found[0].unionAll(found[1]).unionAll(found[2]).unionAll(found[3])
+
+
+@query("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def appended_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """Two appends to one CSV sink, read back."""
+    path = fresh_dir(spark, "appended")
+    supplier = load(spark, sf, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    for half in (0, 1):
+        sinks.append_csv_sink(supplier.where(F.col("s_suppkey") % 2 == half), path)
+    return spark.read.schema("s_suppkey bigint, s_name string, s_acctbal double").csv(path)
+
+
+@query("SELECT DISTINCT c_mktsegment AS folder, CAST(1 AS BIGINT) AS files, true AS sized FROM customer")
+def file_listing(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of a tree by folder, listed without reading them."""
+    path = fresh_dir(spark, "tree")
+    load(spark, sf, "customer").coalesce(1).write.partitionBy("c_mktsegment").csv(path)
+    listed = files.list_source_files(spark, path, "*.csv", recursive=True)
+    folder = F.regexp_extract("path", "c_mktsegment=([^/]+)/", 1).alias("folder")
+    return listed.groupBy(folder).agg(F.count("*").alias("files"), F.min(F.col("length") > 0).alias("sized"))
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN age >= 365 THEN 'archive' WHEN age >= 30 THEN 'compress' ELSE 'keep' END AS class
+FROM (SELECT o_orderkey, date_diff('day', CAST(o_orderdate AS DATE), DATE '2001-08-02') AS age FROM orders)"""
+)
+def retention_rewrite(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders rewritten by retention class, each class with its codec."""
+    path = fresh_dir(spark, "retention")
+    as_of = F.lit("2001-08-02").cast("timestamp_ntz")
+    sinks.rewrite_by_retention(load(spark, sf, "orders"), "o_orderdate", as_of, path)
+    return spark.read.parquet(path).select("o_orderkey", "class")
+
+
+@query(
+    """SELECT c_custkey, upper(reverse(c_name)) || '!' AS shouted,
+  CASE WHEN c_custkey % 2 = 1 THEN 'Field ''c_custkey'' must be even' ELSE '' END AS errors FROM customer"""
+)
+def registered_extensions(spark: SparkSession, sf: str) -> DataFrame:
+    """A transform and a rule of the user's own, used by name like the built-in ones."""
+    register_transform("shout_backwards", lambda value, config: F.concat(F.upper(F.reverse(value)), F.lit(config.get("mark", ""))))
+    register_rule("even", lambda field, value, wanted: F.when(value % 2 != 0, F.lit(f"Field '{field}' must be even")))
+    shouted = transform_column("shout_backwards", F.col("c_name"), {"mark": "!"})
+    rows = load(spark, sf, "customer").select("c_custkey", shouted.alias("shouted"))
+    checked = V.validate_records(rows, {"fields": {"c_custkey": {"even": True}}})
+    return checked.select("c_custkey", "shouted", F.array_join("errors", "; ").alias("errors"))
+
+
 @query("SELECT CAST(count(*) AS BIGINT) AS rows FROM orders")
 def source_row_count(spark: SparkSession, sf: str) -> DataFrame:
     return files.source_row_count(load(spark, sf, "orders"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from parcelweave.operators.lifecycle import retention_class
 from parcelweave.operators.upsert import last_write_wins
 
+
 def result_id(parcel_id: Column, fallback: Column) -> Column:
     """``bulk_{parcel_id}``, or a hash of ``fallback`` for records without one."""
     return F.when(parcel_id != "", F.concat(F.lit("bulk_"), parcel_id)).otherwise(F.sha2(fallback, 256))
@@ -56,3 +58,17 @@ def read_checked(spark: SparkSession, path: str, form: str = "parquet") -> tuple
     # Partition values are read back as text.
     valid = F.col("is_valid").cast("string") == "true"
     return rows.where(valid).drop("is_valid", "errors"), rows.where(~valid).drop("is_valid")
+
+
+# Codec by retention class: what is read often stays cheap to read, what is archived is small.
+CLASS_CODECS = {"keep": "snappy", "compress": "zstd", "archive": "gzip"}
+
+
+def rewrite_by_retention(df: DataFrame, saved_at: str, as_of: Column, path: str, codecs: Mapping[str, str] = CLASS_CODECS) -> None:
+    """Write rows into one folder per retention class (``class=...``), each with its codec.
+
+    A class is one filtered pass over the source. Writes a new directory; switch readers to it.
+    """
+    own = retention_class(F.col(saved_at), as_of)
+    for name, codec in codecs.items():
+        df.where(own == name).write.option("compression", codec).mode("error").parquet(f"{path}/class={name}")
