@@ -17,8 +17,8 @@ from parcelweave.operators.mapping import (
 )
 
 TEXTS = [
-    "", " ", "APN: 123-456", "apn:77", "IDAHO-1", "ID_5_x", "Parcel  9/8 b", "JOHN DOE LLC", "o'brien mc-donald",
-    "ACME  corp.", "Trust", "The Trust", "éCOLE élan", "straße ßa", "a1b2 c3d", "$1,234.56", "(5)", "1_000", "1.0d",
+    "", " ", "APN: 908-177", "apn:77", "IDAHO-1", "ID_5_x", "Parcel  9/8 b", "MARIE CURIE LLC", "o'brien mc-donald",
+    "ACME  corp.", "Trust", "The Trust", "éCOLE élan", "straße ßa", "a1b2 c3d", "$9,876.54", "(5)", "1_000", "1.0d",
     "nan", "-inf", "12.50", "1-2", "0", "-7", "1e3", ".5", "5.", "_1", "1__0", "  42 ", "\t tab\x1f", "2024-02-30",
     "2/3/2024", "02/03/2024", "2024-02-03", "中文 字", "x,y,,z", "＄", "l.l.c.", "Foo L.L.C.", "ab co", "123abc",
 ]
