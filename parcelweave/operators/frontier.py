@@ -81,33 +81,36 @@ def task_state_fold(events: DataFrame, key: str = "id", chunk: str = "1 hour") -
     """Latest state per task from its event log: (key, ts, seq, type, detail).
 
     Types are start, complete, fail and retry; others are ignored. A start counts only when
-    the task is pending, that is when the event before it is a retry or there is none. Events
-    of a task are reduced in one step; those of a heavy task per time chunk first, so that
-    its log is spread over tasks.
+    the task is pending, that is when the event before it is a retry or there is none. All but
+    that follows from aggregates that combine before the shuffle; only order, place and type of events
+    travel to find what came before a start. Events of a heavy task do so per time chunk first, so
+    that its log is spread over tasks; to know heavy tasks, one job runs when this is called.
     """
     known = events.where(F.col("type").isin("start", "complete", "fail", "retry"))
-    heavy = heavy_keys(known, [key])
-    slot = F.lit(None).cast("timestamp")
-    if heavy:
-        hot = F.array_contains(F.array(*[F.lit(h) for h in heavy]), F.xxhash64(key))
-        slot = F.when(hot, F.window("ts", chunk)["start"])
     at, event = F.struct("ts", "seq"), F.struct("ts", "seq", "type")
     starts, is_end = F.col("type") == "start", F.col("type").isin("complete", "fail")
 
     def latest(kind: str) -> Column:
-        return F.max(F.when(F.col("type") == kind, F.struct("ts", "seq", "detail")))
+        return F.max(F.when(F.col("type") == kind, F.struct("ts", "seq", "detail")))["detail"]
+
+    settled = known.groupBy(key).agg(
+        F.max(F.when(~starts, event)).alias("set"),
+        F.count_if(F.col("type") == "retry").alias("retry_count"),
+        F.max(F.when(is_end, F.col("ts"))).alias("completed_at"),
+        latest("complete").alias("result_path"),
+        latest("fail").alias("error"),
+    )
 
+    heavy = heavy_keys(known, [key])
+    slot = F.lit(None).cast("timestamp")
+    if heavy:
+        slot = F.when(F.xxhash64(key).isin(list(heavy)), F.window("ts", chunk)["start"])
     inside = Window.partitionBy(key, "__chunk").orderBy("ts", "seq")
-    prior = known.withColumn("__chunk", slot).withColumn("__prior", F.lag("type").over(inside))
-    chunks = prior.groupBy(key, "__chunk").agg(
+    narrow = known.select(key, "ts", "seq", "type", slot.alias("__chunk"))
+    chunks = narrow.withColumn("__prior", F.lag("type").over(inside)).groupBy(key, "__chunk").agg(
         F.min(event).alias("first"),
         F.max(event).alias("last"),
-        F.max(F.when(~starts, event)).alias("set"),
         F.max(F.when(starts & (F.col("__prior") == "retry"), at)).alias("accepted"),
-        F.count_if(F.col("type") == "retry").alias("retries"),
-        F.max(F.when(is_end, F.col("ts"))).alias("completed_at"),
-        latest("complete").alias("result"),
-        latest("fail").alias("failure"),
     )
     # The first event of a chunk follows the last one of the chunk before.
     before = F.lag("last.type").over(Window.partitionBy(key).orderBy("__chunk"))
@@ -115,14 +118,10 @@ def task_state_fold(events: DataFrame, key: str = "id", chunk: str = "1 hour") -
     first_accepted = F.when(
         (F.col("first.type") == "start") & follows_retry, F.struct(F.col("first.ts"), F.col("first.seq"))
     )
-    folded = chunks.withColumn("first_accepted", first_accepted).groupBy(key).agg(
-        F.max("set").alias("set"),
-        F.max(F.greatest("accepted", "first_accepted")).alias("accepted"),
-        F.sum("retries").alias("retry_count"),
-        F.max("completed_at").alias("completed_at"),
-        F.max("result")["detail"].alias("result_path"),
-        F.max("failure")["detail"].alias("error"),
+    accepted = chunks.withColumn("first_accepted", first_accepted).groupBy(key).agg(
+        F.max(F.greatest("accepted", "first_accepted")).alias("accepted")
     )
+    folded = settled.join(accepted.withColumnRenamed(key, "__key"), F.col(key).eqNullSafe(F.col("__key"))).drop("__key")
     set_at = F.struct(F.col("set.ts"), F.col("set.seq"))
     running = F.col("accepted").isNotNull() & (F.col("set").isNull() | (F.col("accepted") > set_at))
     status = (

@@ -187,10 +187,23 @@ def starvation_check(picks: DataFrame, cycles: int = 10) -> DataFrame:
 
 
 def rate_slots(
-    tasks: DataFrame, order: Sequence[Column], per_minute: int, start: Column, key: str = "platform"
+    tasks: DataFrame,
+    order: Sequence[Column],
+    per_minute: int,
+    start: Column,
+    key: str = "platform",
+    id_col: str | None = None,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """Planned start of each task when every platform takes ``per_minute`` tasks a minute."""
-    ranked = global_rank(tasks, [key], order, "__rn")
+    """Planned start of each task when every platform takes ``per_minute`` tasks a minute.
+
+    Ranking checkpoints the rows it ranks. For wide tasks give ``id_col`` and the columns that ``order``
+    reads as ``by``: then those alone are ranked, and the rest is joined back by id.
+    """
+    narrow = tasks if id_col is None else tasks.select(*dict.fromkeys([id_col, key, *by]))
+    ranked = global_rank(narrow, [key], order, "__rn")
+    if id_col is not None:
+        ranked = tasks.join(ranked.select(F.col(id_col).alias("__id"), "__rn"), F.col(id_col) == F.col("__id"))
     slot = F.floor((F.col("__rn") - 1) / per_minute)
     return ranked.select(
         *tasks.columns, slot.alias("slot"), F.timestamp_add("MINUTE", slot, start).alias("planned_at")

@@ -411,6 +411,6 @@ SELECT id, platform, CAST((rn - 1) // 5 AS BIGINT) AS slot,
   strftime(TIMESTAMP '2024-02-01' + INTERVAL 1 MINUTE * ((rn - 1) // 5), '%Y-%m-%d %H:%M:%S') AS planned_at FROM r"""
 )
 def rate_slots(spark: SparkSession, sf: str) -> DataFrame:
-    waiting = tasks(spark, sf).where("status = 'pending'").select("id", "platform", "priority", "created_at")
-    slots = S.rate_slots(waiting, R.pull_order(), 5, as_ts("2024-02-01"))
+    waiting = tasks(spark, sf).where("status = 'pending'")
+    slots = S.rate_slots(waiting, R.pull_order(), 5, as_ts("2024-02-01"), id_col="id", by=["priority", "created_at"])
     return slots.select("id", "platform", "slot", text("planned_at").alias("planned_at"))

@@ -604,10 +604,15 @@ def jsonl_bad_lines(spark: SparkSession, sf: str) -> DataFrame:
     cut = F.when(F.col("o_orderkey") % 10 == 3, F.substring(line, 1, 30)).otherwise(line)
     load(spark, sf, "orders").select(cut.alias("value")).write.text(path)
     rows, rejects = files.split_json_lines(spark, path, ORDER_LINES)
-    good = rows.agg(F.count("*").alias("rows"), F.sum(F.col("price").cast("decimal(12,2)")).cast("decimal(20,2)").alias("price"))
     key = F.regexp_extract("line", r'"key":(\d+)', 1).cast("bigint")
-    bad = rejects.agg(F.count("*").alias("bad_lines"), F.sum(key).alias("bad_keys"))
-    return good.join(bad, F.lit(True))
+    both = rows.select(F.col("price").cast("decimal(12,2)").alias("price"), F.lit(None).cast("bigint").alias("bad_key"), F.lit(False).alias("bad"))
+    both = both.unionAll(rejects.select(F.lit(None).cast("decimal(12,2)"), key, F.lit(True)))
+    return both.agg(
+        F.count_if(~F.col("bad")).alias("rows"),
+        F.sum("price").cast("decimal(20,2)").alias("price"),
+        F.count_if("bad").alias("bad_lines"),
+        F.sum("bad_key").alias("bad_keys"),
+    )
 
 
 @query(

