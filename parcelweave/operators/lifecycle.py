@@ -97,7 +97,7 @@ def json_object(members: dict[str, Column], kinds: Mapping[str, T.DataType] | No
     return ascii_json(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}))
 
 
-def notification_outbox(ended: DataFrame, secret: str | None = None) -> DataFrame:
+def notification_outbox(ended: DataFrame, secret: str | Column | None = None) -> DataFrame:
     """A payload per ended task or job, and its signature when a key is given.
 
     Reads event, task_id, job_id, platform, timestamp (ISO text), result, raw_paths, stats and

@@ -126,12 +126,14 @@ def stream_dedup(
 ) -> DataFrame:
     """First arrival of each URL within the horizon; state is dropped behind the watermark.
 
-    ``spread_by`` names a column that differs between arrivals of one URL. Arrivals then
-    shrink to one per URL and salt before they meet, so a hot URL is spread over tasks.
+    Arrivals shrink to one per URL and salt before they meet, so a hot URL is spread over tasks. The
+    salt is a hash of ``spread_by``, a column that differs between arrivals of one URL, or else of all
+    columns but the key.
     """
     marked = links.withWatermark(event_time, horizon)
-    if spread_by is not None:
-        salted = marked.withColumn("__salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)))
+    others = [c for c in links.columns if c not in key] if spread_by is None else [spread_by]
+    if others:
+        salted = marked.withColumn("__salt", F.pmod(F.xxhash64(*others), F.lit(salts)))
         marked = salted.dropDuplicatesWithinWatermark([*key, "__salt"]).drop("__salt")
     return marked.dropDuplicatesWithinWatermark(list(key))
 

@@ -58,9 +58,11 @@ def test_event_triggers(spark, no_broadcast):
 def test_signing(spark):
     messages = ['{"a":1}', "naïve ☃", ""]
     df = spark.createDataFrame([(m,) for m in messages], "m string")
-    for secret in ("k", "s" * 100):
+    for secret in ("k", "s" * 64, "s" * 100, "clé"):
         got = [r[0] for r in df.select(signing.sign(F.col("m"), secret)).collect()]
         assert got == ["sha256=" + hmac.new(secret.encode(), m.encode(), hashlib.sha256).hexdigest() for m in messages]
+        keyed = df.withColumn("k", F.lit(secret)).select(signing.sign(F.col("m"), F.col("k")))
+        assert [r[0] for r in keyed.collect()] == got
     bare = spark.createDataFrame([("sha256=ab",), ("sha256:ab",), ("ab",), ("a:b=c",)], "h string")
     assert [r[0] for r in bare.select(signing.bare_signature(F.col("h"))).collect()] == ["ab", "ab", "ab", "c"]
 
