@@ -33,6 +33,7 @@ from pyspark.sql.types import (
 )
 
 from parcelweave.llm.arrays import Texts, blocks, lower_ascii, mix
+from parcelweave.llm.ship import ship
 from parcelweave.session import fresh_dir
 
 END = 0x5851F42D4C957F2D
@@ -52,18 +53,25 @@ class Settings:
     levels: int = 24
 
 
+#: Arrays below this many bytes are packed as they are: on a very large corpus a record sends few
+#: hashes to each range, and a frame would outweigh them.
+PLAIN_BYTES = 512
+
+
 def _pack(values: np.ndarray) -> bytes:
     """Equal-width numbers, bytes of one rank together, compressed: high bytes are nearly constant."""
     values = np.ascontiguousarray(values)
-    width = values.dtype.itemsize
-    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, width).T).tobytes()
-    return len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True) if planes else b""
+    if values.nbytes < PLAIN_BYTES:
+        return b"\0" + values.tobytes()
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.dtype.itemsize).T).tobytes()
+    return b"\1" + len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
 
 
 def _unpack(raw: bytes, kind: type) -> np.ndarray:
-    if not raw:
-        return np.zeros(0, kind)
-    planes = pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd", asbytes=True)
+    """The numbers of ``_pack``; nothing at all unpacks as none."""
+    if raw[:1] != b"\1":
+        return np.frombuffer(raw[1:], kind)
+    planes = pa.decompress(raw[9:], int.from_bytes(raw[1:9], "little"), "zstd", asbytes=True)
     width = np.dtype(kind).itemsize
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
@@ -356,6 +364,7 @@ def score(
     Returns ``id_col``, ``learnt``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` (log10 with one
     added to every count of single tokens) and ``score`` (log10 of the mixture).
     """
+    ship(docs.sparkSession)
     learn = F.coalesce(learn, F.lit(False))
     if dev is None:
         dev = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(settings.dev_folds)) == 0
