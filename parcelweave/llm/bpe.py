@@ -21,6 +21,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 
 from parcelweave.llm import pretoken
 from parcelweave.llm.arrays import Texts, blocks
+from parcelweave.llm.ship import ship
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Pre-tokens longer than this many bytes are merged with a heap instead of repeated scans.
@@ -155,6 +156,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
         StructField("ids", ArrayType(IntegerType())),
         StructField("byte_starts", ArrayType(IntegerType())),
     ])
+    ship(docs.sparkSession)
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
@@ -177,4 +179,5 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", path: str = RANKS) -> Dat
 
     names = [id_col, "ids", "decoded"]
     schema = StructType([encoded.schema[id_col], encoded.schema["ids"], StructField("decoded", BinaryType())])
+    ship(encoded.sparkSession)
     return encoded.select(id_col, "ids").mapInArrow(run, schema)

@@ -33,6 +33,7 @@ from pyspark.sql.types import (
 from parcelweave.llm.arrays import BACK, BASE, Texts, blocks, lower, mix, powers
 from parcelweave.llm.components import components
 from parcelweave.llm.pretoken import LETTER, NUMBER, classes
+from parcelweave.llm.ship import ship
 from parcelweave.session import fresh_dir
 
 #: Buckets of more distinct sets than this are compared block by block.
@@ -237,6 +238,7 @@ def near_duplicates(
     row's id and text stand for the class), and the text's key ``k1``, ``k2``.
     """
     spark = docs.sparkSession
+    ship(spark)
     rows = sketches(docs, id_col, text_col, settings)
     me = F.struct(F.col("id").isNull().alias("no_id"), "id", "k1", "k2")
     nodes = rows.filter("set_key is not null").groupBy("set_key").agg(

@@ -27,6 +27,7 @@ from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, St
 
 from parcelweave.llm.arrays import Texts, blocks
 from parcelweave.llm.bpe import RANKS, encode_block, load_ranks
+from parcelweave.llm.ship import ship
 from parcelweave.session import fresh_dir
 
 SEQUENCE = 1024
@@ -140,6 +141,7 @@ def token_pieces(
     spark_kinds = [docs.schema[id_col].dataType, LongType(), LongType(), LongType(), BinaryType(), IntegerType(), LongType()]
     schema = StructType([StructField(n, k) for n, k in zip(names, spark_kinds)])
     spark = docs.sparkSession
+    ship(spark)
     at = fresh_dir(spark, "token-pieces")
     docs.select(id_col, text_col).mapInArrow(run, schema).write.option("compression", "zstd").parquet(at)
     return spark.read.schema(schema).parquet(at)
@@ -167,6 +169,7 @@ def place_pieces(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *added], names=[*kept, "sequence_id", "offset"])
 
     schema = StructType([*[pieces.schema[c] for c in kept], StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    ship(pieces.sparkSession)
     return ranked.mapInArrow(run, schema)
 
 

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
+from parcelweave.llm.ship import ship
 from parcelweave.session import fresh_dir
 
 
@@ -185,6 +186,7 @@ def top_k(
     ``is_query`` is a condition on the id column.
     """
     spark, k = vectors.sparkSession, settings.k
+    ship(spark)
     at = fresh_dir(spark, "integer-vectors")
     integer_vectors(vectors, id_col, vector_col, settings.scale).write.parquet(at)
     every = spark.read.schema(VECTORS).parquet(at)
