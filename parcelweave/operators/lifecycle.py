@@ -70,20 +70,20 @@ def ascii_json(text: Column) -> Column:
     def escape(unit: Column) -> Column:
         return F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(unit)), 4, "0"))
 
-    code = lambda c: F.ascii(c)
-    high = lambda c: F.shiftright(code(c) - 0x10000, 10) + 0xD800
-    low = lambda c: (code(c) - 0x10000).bitwiseAND(F.lit(0x3FF)) + 0xDC00
-    escaped = F.transform(
-        F.split(text, ""),
-        lambda c: F.when(c.rlike("^[ -~]*$"), c)
-        .when(code(c) > 0xFFFF, F.concat(escape(high(c)), escape(low(c))))
-        .otherwise(escape(code(c))),
-    )
-    plain = F.when(text.rlike("[^ -~]"), F.array_join(escaped, "")).otherwise(text)
+    def escaped(char: Column) -> Column:
+        code = F.ascii(char)
+        above = code - 0x10000
+        pair = F.concat(escape(F.shiftright(above, 10) + 0xD800), escape(above.bitwiseAND(F.lit(0x3FF)) + 0xDC00))
+        return F.when(code > 0xFFFF, pair).otherwise(escape(code))
+
     # The writer's own escapes of control characters have capitals.
+    lower = text
     for control in (0x0B, 0x0E, 0x0F, *range(0x1A, 0x20)):
-        plain = F.regexp_replace(plain, rf"(?<!\\)((?:\\\\)*)\\u{control:04X}", rf"$1\\u{control:04x}")
-    return plain
+        lower = F.regexp_replace(lower, rf"(?<!\\)((?:\\\\)*)\\u{control:04X}", rf"$1\\u{control:04x}")
+    text = F.when(text.contains("\\u00"), lower).otherwise(text)
+    # Few different characters need an escape: each is replaced throughout.
+    strange = F.array_distinct(F.regexp_extract_all(text, F.lit("[^ -~]"), F.lit(0)))
+    return F.aggregate(strange, text, lambda done, char: F.replace(done, char, escaped(char)))
 
 
 def json_object(members: dict[str, Column], kinds: Mapping[str, T.DataType] | None = None) -> Column:
