@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelweave.llm import bpe, lm, near, packing, preference, quality, secrets, sharding, topk, toxicity
+from parcelweave.llm.sql import near_sql, quality_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -25,7 +26,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, repetition coverage and verdict of every document."""
-    return quality.quality(table(spark, sf_dir, "documents"))
+    rules = quality.Rules()
+    found = quality.quality(table(spark, sf_dir, "documents"), rules=rules)
+    by_length = [
+        F.get(measures, F.lit(i)).alias(f"{name}_{k}_chars")
+        for name, measures, lengths in (("dup", "dup_gram_chars", rules.repeated), ("top", "top_gram_chars", rules.top))
+        for i, k in enumerate(lengths)
+    ]
+    return found.select("doc_id", *quality.COUNTS, *by_length, *quality.FLAGS)
+
+
+SQL["op1_repetition"] = quality_sql(quality.Rules())
 
 
 def remainder(folds: int) -> Column:
@@ -60,6 +71,9 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "n_links", "n_copies")
 
 
+SQL["op4_jaccard_join"] = near_sql(near.Settings())
+
+
 @query
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity, learnt from labels whose remainder by 5 isn't 0."""
