@@ -38,8 +38,9 @@ from parcelweave.session import fresh_dir
 
 #: Buckets of more distinct sets than this are compared block by block.
 SMALL = 32
-#: Sets of one block of a crowd.
+#: Sets of one block of a crowd, and hashes in them, on average: what bounds a task's memory.
 BLOCK = 256
+BLOCK_HASHES = 500_000
 
 
 @dataclass(frozen=True)
@@ -258,7 +259,9 @@ def near_duplicates(
     crowds = components(
         members.filter(f"n > {SMALL} and set_key <> leader").select(F.col("leader").alias("a"), F.col("set_key").alias("b"))
     )
-    crowded = crowds.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
+    crowds = crowds.join(nodes.select(F.col("set_key").alias("node"), "size"), "node")
+    blocks_of = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_HASHES))
+    crowded = crowds.groupBy("label").agg(blocks_of.cast("int").alias("n_blocks"))
     crowds = crowds.join(crowded, "label").select(
         F.col("node").alias("set_key"),
         F.col("label").alias("crowd"),
