@@ -78,9 +78,7 @@ def test_repetition_is_rejected_and_prose_kept(spark):
 def plain_base(text):
     """The base forms as stated: leftmost, failing matches dropped."""
     text, out = text or "", []
-    letters = "".join(f"[{c.upper()}{c.lower()}]" if c.isalpha() else c for c in "password")
-    name = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token"))
-    assert letters in name
+    name = "|".join("".join(f"[{c.upper()}{c}]" for c in word) for word in ("password", "passwd", "secret", "token"))
     assign = rf"""({name}|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
     out += [(m.start(), 0, m.end()) for m in re.finditer(assign, text) if len(m[2]) >= 6]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
