@@ -54,9 +54,11 @@ def next_tasks_per_platform(tasks: DataFrame, n: int) -> DataFrame:
     return top_per_group(tasks.where(F.col("status") == "pending"), ["platform"], pull_order(), n)
 
 
-def list_tasks(tasks: DataFrame, platform: str | None = None, limit: int = 1000) -> DataFrame:
+def list_tasks(tasks: DataFrame, platform: str | None = None, limit: int | None = 1000) -> DataFrame:
+    """Tasks, newest first. The limit is that of a listing a person reads; ``None`` lists all of them."""
     chosen = tasks if platform is None else tasks.where(F.col("platform") == platform)
-    return chosen.orderBy(F.col("created_at").desc_nulls_last(), F.col("id").asc()).limit(limit)
+    ordered = chosen.orderBy(F.col("created_at").desc_nulls_last(), F.col("id").asc())
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def count_by_status(tasks: DataFrame) -> DataFrame:

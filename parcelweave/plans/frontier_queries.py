@@ -58,6 +58,11 @@ def task_list(spark: SparkSession, sf: str) -> DataFrame:
     return listed.select("id", "status", text("created_at").alias("created_at"))
 
 
+@query(f"WITH {BARE_TASKS_SQL} SELECT id, status, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at FROM tasks")
+def task_list_all(spark: SparkSession, sf: str) -> DataFrame:
+    return R.list_tasks(bare_tasks(spark, sf), limit=None).select("id", "status", text("created_at").alias("created_at"))
+
+
 @query(f"WITH {BARE_TASKS_SQL} SELECT status, CAST(count(*) AS BIGINT) AS n FROM tasks GROUP BY 1")
 def count_by_status(spark: SparkSession, sf: str) -> DataFrame:
     return R.count_by_status(bare_tasks(spark, sf))
