@@ -194,9 +194,9 @@ def train(
     terms = sample.column("terms").combine_chunks()
     if isinstance(terms, pa.ChunkedArray):
         terms = pa.concat_arrays(terms.chunks) if terms.num_chunks else pa.array([], pa.list_(pa.int32()))
-    place = terms.flatten().to_numpy().astype(np.int64)
+    place = terms.flatten().to_numpy()  # 32-bit, as the driver holds all terms of the sample
     size = np.diff(terms.offsets.to_numpy()) if len(terms) else np.zeros(0, np.int64)
-    return fit(np.repeat(np.arange(len(label)), size), place, label, settings)
+    return fit(np.repeat(np.arange(len(label), dtype=np.int32), size), place, label, settings)
 
 
 def score(
