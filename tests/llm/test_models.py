@@ -169,6 +169,53 @@ def test_pairs_say_what_single_terms_do_not():
     assert (margin[:3] < 0).all() and margin[3] > 0
 
 
+def pair_rows(seed, n=4000):
+    """A tenth is toxic: most by a word of their own, some by two words that clean texts hold as often, one at a time."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        words = [f"w{k}" for k in rng.integers(0, 900, 40)]
+        kind = i % 100
+        if kind < 2:
+            words[3], words[30] = "marrow", "kindle"
+        elif kind < 10:
+            words[5] = "zorky"
+        elif kind < 28:
+            words[7] = "marrow"
+        elif kind < 46:
+            words[9] = "kindle"
+        rows.append((i, " ".join(words), int(kind < 10), kind))
+    return rows
+
+
+def test_pairs_of_neutral_terms_are_learnt_with_the_default_settings(spark):
+    learnt = spark.createDataFrame(pair_rows(1), "doc_id long, text string, toxic int, kind int")
+    held = spark.createDataFrame(pair_rows(2), "doc_id long, text string, toxic int, kind int")
+    model = toxicity.train(learnt.select("doc_id", "text"), learnt.select("doc_id", "toxic"))
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score(held, model).collect()}
+    assert all((scores[i] >= 0.5) == bool(toxic) for i, _, toxic, _ in pair_rows(2))
+
+
+def test_pairs_that_tell_nothing_stay_out():
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.zipf(1.3, 60) % 3000) for _ in range(2000)]
+    label = (rng.random(2000) < 0.1).astype(float)
+    owner = np.repeat(np.arange(2000), [len(r) for r in rows])
+    found = toxicity.telling_pairs(owner, np.concatenate(rows), label, np.zeros(1 << 20, bool), toxicity.Settings())
+    assert not found.any()
+
+
+def test_a_second_term_can_redeem_a_first():
+    rows = [[1]] * 150 + [[2]] * 400 + [[1, 2]] * 60 + [[3]] * 1500
+    label = np.array([1.0] * 150 + [0.0] * 1960)
+    label[150:190] = 1  # term 2 alone is as toxic as all texts
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    clear = np.zeros(1 << 20, bool)
+    clear[1] = True
+    found = toxicity.telling_pairs(owner, np.concatenate(rows), label, clear, toxicity.Settings())
+    assert np.flatnonzero(found).tolist() == [1, 2]
+
+
 def test_terms_are_pairs_once(spark):
     import pyarrow as pa
 
