@@ -9,7 +9,8 @@ product of their factors, so that two terms can say together what neither says a
 Labels are learnt from a bounded sample of labelled rows (``Settings.sample``); every text is
 scored whole. Null and empty texts have no terms and get the bias. A null label teaches nothing;
 of several labels of one id the highest counts, and of several texts of one id in the sample the
-first by term order. Without any usable label every score is 0.5 or below (the prior). Rows that
+first by term order. Without any usable label, with labels of one kind alone, or if no term takes
+part, nothing was learnt: every score is the same and 0.25 or below, so all texts stay. Rows that
 repeat are scored each. Only the named columns are read.
 """
 
@@ -187,7 +188,7 @@ def fit(owner: np.ndarray, place: np.ndarray, label: np.ndarray, settings: Setti
     toxic = int(label.sum())
     prior = np.log((toxic + 0.5) / (n - toxic + 0.5)) if toxic < n - toxic else 0.0
     index = np.full(width, -1, np.int64)
-    none = Machine(index, float(prior), np.zeros(0), np.zeros((0, settings.factors)))
+    none = Machine(index, float(min(prior, -np.log(3))), np.zeros(0), np.zeros((0, settings.factors)))
     if not toxic or toxic == n:
         return none
     have = np.bincount(place, minlength=width)
@@ -196,6 +197,8 @@ def fit(owner: np.ndarray, place: np.ndarray, label: np.ndarray, settings: Setti
     error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / toxic + 1 / (n - toxic)))
     clear = (have >= settings.least) & (np.abs(bad / toxic - (have - bad) / (n - toxic)) >= settings.clear * error)
     clear |= telling_pairs(owner, place, label, clear, settings)
+    if not clear.any():
+        return none
     index[clear] = np.arange(int(clear.sum()))
     hit = index[place] >= 0
     owner, row = owner[hit], index[place[hit]]

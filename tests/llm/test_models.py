@@ -239,6 +239,12 @@ def test_odd_rows_and_missing_labels(spark, odd_docs, odd_texts, no_docs):
     assert toxicity.score(no_docs, toxicity.train(no_docs, labels)).collect() == []
 
 
+@pytest.mark.parametrize("labels", [[], [(1, None), (2, None)], [(999, 1)], [(1, 1), (2, 1)], [(1, 1), (2, 0), (8, 0)]])
+def test_nothing_learnt_drops_nothing(spark, odd_docs, odd_texts, labels):
+    model = toxicity.train(odd_docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert Counter(texts_of(toxicity.keep_civil(odd_docs, model))) == Counter(odd_texts)
+
+
 def test_query_learns_from_no_held_out_label(spark):
     rows = QUERIES["op5_toxicity"](spark, SF).collect()
     assert len(rows) == 200
