@@ -6,6 +6,9 @@ longest first, each onto the shortest pattern it fits, with a count per pattern.
 find their slot by their rank among the pieces of their length; the rank is the number of such
 pieces in earlier chunks, summed by Spark, plus the place within their own chunk.
 
+Added tokens of the tokenizer's json are matched inside texts, as its own library does; the rest is
+encoded from the rank file of the same name.
+
 Null and empty texts are one closing id. Rows that repeat are packed as often as they come. An
 empty table gives no pieces. Only the two named columns are read.
 """
@@ -13,6 +16,9 @@ empty table gives no pieces. Only the two named columns are read.
 from __future__ import annotations
 
 import functools
+import json
+import os
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -40,8 +46,29 @@ def _encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@functools.cache
+def _added(path: str) -> tuple[dict[str, int], re.Pattern | None]:
+    """Added tokens of the json beside the rank file, and a pattern that finds them, the longest first."""
+    with open(os.path.splitext(path)[0] + ".json", encoding="utf-8") as file:
+        tokens = json.load(file)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in tokens):
+        raise ValueError("added tokens that depend on their surroundings are not supported")
+    ids = {t["content"]: t["id"] for t in tokens}
+    found = "|".join(re.escape(t) for t in sorted(ids, key=len, reverse=True))
+    return ids, re.compile(f"({found})") if ids else None
+
+
 def token_ids(text: str, path: str = RANKS) -> np.ndarray:
-    """Ids of one text. The library's pattern engine gives up on some very long runs; ours doesn't."""
+    """Ids of one text, added tokens included; what stands between them is encoded by itself."""
+    ids, pattern = _added(path)
+    if pattern is None or not pattern.search(text):
+        return _ordinary_ids(text, path)
+    parts = [np.array([ids[p]], np.uint32) if p in ids else _ordinary_ids(p, path) for p in pattern.split(text) if p]
+    return np.concatenate(parts)
+
+
+def _ordinary_ids(text: str, path: str) -> np.ndarray:
+    """The library's pattern engine gives up on some very long runs; ours doesn't."""
     try:
         return np.array(_encoding(path).encode_ordinary(text), np.uint32)
     except (KeyboardInterrupt, SystemExit, MemoryError):

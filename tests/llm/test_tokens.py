@@ -132,6 +132,24 @@ def test_packing(request, which, tokenizer):
     placed.unpersist()
 
 
+def test_added_tokens_inside_texts(spark):
+    """Against the library as the contract has it: added tokens are matched wherever they stand."""
+    from pyspark.sql import functions as F
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"end {end} next", end, f"{end}{end}x", f" a  {end}  b\n{end}", f"<|endoftext{end}|>", "<|endoftext |>", f"don{end}'t"]
+    for text in texts:
+        assert packing.token_ids(text).tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert packing.token_ids(texts[0]).tolist().count(50256) == 1
+    long = " " * 1_200_000 + end + "x"
+    spaces = bpe.encode_block(Texts(pa.array([" " * 1_200_000])))[0].tolist()
+    assert packing.token_ids(long).tolist() == [*spaces, 50256, *packing.token_ids("x").tolist()]
+    docs = spark.createDataFrame(list(enumerate([*texts, "a b " * 700 + end + " c" * 900])), "doc_id long, text string")
+    placed = packing.place_pieces(packing.token_pieces(docs).withColumn("ids_crc32", F.crc32("ids")))
+    check_packing(placed.collect(), texts_of(docs), plain)
+
+
 def test_extreme_runs_fall_back():
     text = " " * 1_200_000 + "x"
     assert packing.token_ids(text).tolist() == bpe.encode_block(Texts(pa.array([text])))[0].tolist()
