@@ -1,7 +1,7 @@
 """Secret scans: fixed forms, and strings whose sliding windows have high Shannon entropy.
 
 Fixed forms are assignments to a telling name, access key ids and long runs of hex digits. Beyond
-them, every run of token characters is a candidate: a window slides over it, its entropy kept up
+them, every run of token characters, or what fixed forms leave of it, is a candidate: a window slides over it, its entropy kept up
 by adding one character's count and taking one away, and the run is reported if a window reaches
 the limit of its character class. Placeholders, identifiers and plain words are suppressed.
 
@@ -91,6 +91,14 @@ def window_entropy(text: str, window: int) -> float:
     return math.log2(window) - least / window
 
 
+def remains(start: int, end: int, cuts: list[tuple[int, int]], least: int) -> Iterator[tuple[int, int]]:
+    """What sorted ``cuts`` leave of a range, in stretches of at least ``least`` characters."""
+    for s, e in [*cuts, (end, end)]:
+        if min(s, end) - start >= least:
+            yield start, min(s, end)
+        start = max(start, e)
+
+
 def scan(texts: Texts, limits: Limits, allowed: re.Pattern) -> list[list[tuple[int, int, str, float]]]:
     """For each text: (start, end, kind, entropy; 0 for fixed forms) by start, then kind."""
     found: list[list[tuple[int, int, str, float]]] = [[] for _ in range(texts.n)]
@@ -116,12 +124,14 @@ def scan(texts: Texts, limits: Limits, allowed: re.Pattern) -> list[list[tuple[i
     digits = np.concatenate(([0], np.cumsum(_DIGIT[codes])))
     long = (ends - begins >= limits.window) & (digits[ends] > digits[begins])
     for a, b, i in zip(begins[long].tolist(), ends[long].tolist(), texts.owners(begins[long]).tolist()):
-        start, end, own = a - bounds[i], b - bounds[i], text[a:b]
-        if any(s < end and start < e for s, e, _, _ in found[i]) or allowed.fullmatch(own):
-            continue
-        entropy = window_entropy(own, limits.window)
-        if entropy >= getattr(limits, char_class(own)):
-            found[i].append((start, end, "entropy", entropy))
+        fixed = sorted((s, e) for s, e, kind, _ in found[i] if kind != "entropy")
+        for start, end in remains(a - bounds[i], b - bounds[i], fixed, limits.window):
+            own = text[bounds[i] + start : bounds[i] + end]
+            if allowed.fullmatch(own):
+                continue
+            entropy = window_entropy(own, limits.window)
+            if entropy >= getattr(limits, char_class(own)):
+                found[i].append((start, end, "entropy", entropy))
     for spans in found:
         spans.sort(key=lambda s: (s[0], KINDS.index(s[2])))
     return found

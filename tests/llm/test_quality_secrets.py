@@ -137,3 +137,23 @@ def test_redaction(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in secrets.redact(docs, length_col="n_chars").collect()}
     assert got == {1: ("say [SECRET] now", 16), 2: (None, None), 3: ("clean", 5)}
+
+
+def spans_of(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r["doc_id"]: [tuple(s)[:3] for s in r["spans"]] for r in secrets.find_secrets(docs).collect()}
+
+
+TOKEN = "wJ4lrXUtnFq9K7MDvNGbPxRfiCY3zTQ8hLs2Ae5u"
+
+
+def test_rest_of_a_run_beside_a_fixed_form(spark):
+    access, digits = "AKIA" + "Q3ZT7XW9RB2MKD5H", "9f86d081884c7d659a2feaa0"
+    texts = [f"a {access}/{TOKEN} b", f"a {digits}_{TOKEN} b", f"a {TOKEN}_{digits}_{TOKEN} b", f"a {access}/short1 b"]
+    got = spans_of(spark, texts)
+    assert got[0] == [(2, 22, "access"), (22, 63, "entropy")]
+    assert got[1] == [(2, 26, "hex"), (26, 67, "entropy")]
+    assert got[2] == [(2, 43, "entropy"), (43, 67, "hex"), (67, 108, "entropy")]
+    assert got[3] == [(2, 22, "access")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert not any(TOKEN[8:16] in r["text"] for r in secrets.redact(docs).collect())
