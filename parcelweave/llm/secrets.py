@@ -3,7 +3,8 @@
 Fixed forms are assignments to a telling name, access key ids and long runs of hex digits. Beyond
 them, every run of token characters, or what fixed forms leave of it, is a candidate: a window slides over it, its entropy kept up
 by adding one character's count and taking one away, and the run is reported if a window reaches
-the limit of its character class. Placeholders, identifiers and plain words are suppressed.
+the limit of the window's own character class. Identifiers and placeholders are cut out of a run
+and what they leave is scanned; plain words and numbers are suppressed.
 
 Null texts have no spans. Texts are scanned whole. Places are code points, ends exclusive. Equal
 begins are ordered by kind. Repeated rows are scanned each. Only the named columns are read.
@@ -40,15 +41,17 @@ _TOKEN[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012
 _DIGIT = np.zeros(128, bool)
 _DIGIT[[ord(c) for c in "0123456789"]] = True
 
-#: A candidate that matches is no secret: identifiers in canonical form, paths and dashed or
-#: underscored words, numbers, rules, and placeholders.
+#: A candidate that matches is no secret: paths and dashed or underscored words, numbers, rules.
 ALLOWED = (
-    r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
     r"[0-9+/=_-]*",
     r"[A-Za-z+/=_-]*",
     r"[+/=_-]*([A-Za-z]+[0-9]{0,4}|[0-9]+)([+/=_-]+([A-Za-z]+[0-9]{0,4}|[0-9]+))*[+/=_-]*",
-    r"(?i:.*(example|sample|placeholder|changeme|your[_-]|xxxx).*)",
 )
+# Parts of a run that are no secret: identifiers in canonical form, and placeholders between signs.
+_IDENTIFIER = re.compile(r"(?<![0-9A-Za-z])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![0-9A-Za-z])")
+_PLACEHOLDER = re.compile(r"example|sample|placeholder|changeme|your(?=[_-])|xxxx", re.ASCII | re.IGNORECASE)
+_BETWEEN_SIGNS = re.compile(r"[0-9A-Za-z]+[_-]?")
+_SIGNS = str.maketrans("", "", "+/_=-")
 
 
 @dataclass(frozen=True)
@@ -62,21 +65,22 @@ class Limits:
 
 
 def char_class(text: str) -> str:
-    """hex, alnum (letters of one case and digits) or mixed (both cases, or signs)."""
-    if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text):
+    """hex (also in groups between signs), alnum (letters of one case and digits) or mixed (both cases, or signs)."""
+    plain = text.translate(_SIGNS)
+    if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", plain) and (plain == text or not (plain.isdigit() or plain.isalpha())):
         return "hex"
     return "alnum" if re.fullmatch(r"[0-9a-z]+|[0-9A-Z]+", text) else "mixed"
 
 
-def window_entropy(text: str, window: int) -> float:
-    """Largest Shannon entropy, in bits a character, of any window; of the whole if it is shorter."""
+def entropies(text: str, window: int) -> list[float]:
+    """Shannon entropy, in bits a character, of every window; of the whole if it is shorter."""
     window = min(window, len(text))
     if not window:
-        return 0.0
+        return []
     part = [0.0, *(c * math.log2(c) for c in range(1, window + 2))]  # one more enters before one leaves
     counts: dict[str, int] = {}
     total = 0.0  # sum of c * log2(c) over the counts c in the window
-    least = math.inf
+    found = []
     for i, char in enumerate(text):
         c = counts.get(char, 0)
         total += part[c + 1] - part[c]
@@ -87,8 +91,32 @@ def window_entropy(text: str, window: int) -> float:
             total += part[c - 1] - part[c]
             counts[old] = c - 1
         if i >= window - 1:
-            least = min(least, total)
-    return math.log2(window) - least / window
+            found.append(math.log2(window) - total / window)
+    return found
+
+
+def window_entropy(text: str, window: int) -> float:
+    """Largest entropy of any window."""
+    return max(entropies(text, window), default=0.0)
+
+
+def telling_entropy(text: str, limits: Limits) -> float | None:
+    """Largest entropy of the windows that reach the limit of their own class; None if none does."""
+    most = None
+    for k, entropy in enumerate(entropies(text, limits.window)):
+        if entropy >= min(limits.hex, limits.alnum, limits.mixed) and (most is None or entropy > most):
+            own = text[k : k + limits.window]
+            if not own.isdigit() and entropy >= getattr(limits, char_class(own)):
+                most = entropy
+    return most
+
+
+def harmless(run: str) -> list[tuple[int, int]]:
+    """Where identifiers and placeholders stand in a run."""
+    found = [m.span() for m in _IDENTIFIER.finditer(run)]
+    if _PLACEHOLDER.search(run):
+        found += [m.span() for m in _BETWEEN_SIGNS.finditer(run) if _PLACEHOLDER.search(m[0])]
+    return found
 
 
 def remains(start: int, end: int, cuts: list[tuple[int, int]], least: int) -> Iterator[tuple[int, int]]:
@@ -124,13 +152,14 @@ def scan(texts: Texts, limits: Limits, allowed: re.Pattern) -> list[list[tuple[i
     digits = np.concatenate(([0], np.cumsum(_DIGIT[codes])))
     long = (ends - begins >= limits.window) & (digits[ends] > digits[begins])
     for a, b, i in zip(begins[long].tolist(), ends[long].tolist(), texts.owners(begins[long]).tolist()):
-        fixed = sorted((s, e) for s, e, kind, _ in found[i] if kind != "entropy")
-        for start, end in remains(a - bounds[i], b - bounds[i], fixed, limits.window):
+        if allowed.fullmatch(text, a, b):
+            continue
+        first, last = a - bounds[i], b - bounds[i]
+        cuts = [(s, e) for s, e, kind, _ in found[i] if kind != "entropy" and s < last and first < e]
+        cuts += [(first + s, first + e) for s, e in harmless(text[a:b])]
+        for start, end in remains(first, last, sorted(cuts), limits.window):
             own = text[bounds[i] + start : bounds[i] + end]
-            if allowed.fullmatch(own):
-                continue
-            entropy = window_entropy(own, limits.window)
-            if entropy >= getattr(limits, char_class(own)):
+            if not allowed.fullmatch(own) and (entropy := telling_entropy(own, limits)) is not None:
                 found[i].append((start, end, "entropy", entropy))
     for spans in found:
         spans.sort(key=lambda s: (s[0], KINDS.index(s[2])))

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -157,3 +158,19 @@ def test_rest_of_a_run_beside_a_fixed_form(spark):
     assert got[3] == [(2, 22, "access")]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert not any(TOKEN[8:16] in r["text"] for r in secrets.redact(docs).collect())
+
+
+def test_classes_and_placeholders_of_parts(spark):
+    pick = random.Random(6)
+    keys = ["".join(pick.choice("0123456789ABCDEF") for _ in range(40)) for _ in range(200)]
+    dashed = ["-".join(k[i : i + 8] for i in range(0, 40, 8)) for k in keys]
+    for texts in ([f"{name}={k} ok" for k in keys for name in ("x", "sig")], [f"key {k.lower()} ok" for k in dashed], dashed):
+        got = spans_of(spark, texts)
+        assert sum(any(kind == "entropy" for _, _, kind in got[i]) for i in range(len(texts))) > 0.99 * len(texts)
+    got = spans_of(spark, [f"/sample/uploads/{TOKEN}", f"example_key={TOKEN} end", f"your_{TOKEN}"])
+    assert [any(a <= t and t + 40 <= b for a, b, _ in got[i]) for i, t in enumerate((16, 12, 5))] == [True] * 3
+    harmless = [
+        "id=123e4567-e89b-12d3-a456-426614174000", "123E4567-E89B-12D3-A456-426614174000/123e4567-e89b-12d3-a456-426614174001",
+        "your_api_key_goes_here_1234", "EXAMPLEq8Zr2Lw9TnVb4XsKd7", "/data/2024/report-2024-03-17_12-30-45", "x=98765432109876543210",
+    ]
+    assert not any(spans_of(spark, harmless).values())
