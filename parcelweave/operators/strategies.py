@@ -26,8 +26,8 @@ def chronos(tasks: DataFrame, n: int) -> DataFrame:
     return idle.orderBy(F.col("last_scraped_at").asc_nulls_first(), F.col("id").asc()).limit(n)
 
 
-def hotspot(tasks: DataFrame, signals: DataFrame, as_of: Column, n: int) -> DataFrame:
-    """Tasks in regions with user signals of the last hour, strongest signal first.
+def hotspot(tasks: DataFrame, signals: DataFrame, as_of: Column, n: int | None) -> DataFrame:
+    """Tasks in regions with user signals of the last hour, strongest signal first; all, unordered, without ``n``.
 
     Signals shrink to one row per region before the join, so they never repeat a task.
     """
@@ -38,6 +38,8 @@ def hotspot(tasks: DataFrame, signals: DataFrame, as_of: Column, n: int) -> Data
         .agg(F.max("signal_strength").alias("signal_strength"))
     )
     hot = salted_join(tasks, live, ["county"], spread="all", unique="id")
+    if n is None:
+        return hot
     return hot.orderBy(
         F.col("signal_strength").desc(), F.col("last_scraped_at").asc_nulls_first(), F.col("id").asc()
     ).limit(n)
@@ -126,8 +128,9 @@ def strategy_mix(
     Candidates give (rows with id and url, order). Strategies take turns in the given order: each
     takes its best URLs that none before it took, up to its quota. Slots left over go to the best
     URLs that nobody took, again in the order of strategies. ``forced`` names starved strategies (see
-    ``starvation_check``): each gets one slot at least. Every list is a distributed top-k of ``limit``
-    rows, so what follows works on ``limit`` rows per strategy; URLs should be unique in a list.
+    ``starvation_check``): each gets one slot at least. Of the rows of a URL in a list the best one
+    counts; Spark's window group limit leaves one per task before the shuffle. Every list is a distributed
+    top-k of ``limit`` URLs, so what follows works on ``limit`` rows per strategy.
     """
     least = {**(MIN_SHARE if min_share is None else min_share)}
     for name in forced:
@@ -135,13 +138,12 @@ def strategy_mix(
     share = quotas(weights or DEFAULT_WEIGHTS, limit, least)
     lists = None
     for rank, (_, (rows, order)) in enumerate(candidates.items()):
-        best = rows.orderBy(*order).limit(limit).withColumn("__pos", F.row_number().over(Window.orderBy(*order)))
+        own = F.row_number().over(Window.partitionBy("url").orderBy(*order, "id"))
+        single = rows.withColumn("__own", own).where("__own = 1").drop("__own")
+        best = single.orderBy(*order).limit(limit).withColumn("__pos", F.row_number().over(Window.orderBy(*order)))
         best = best.select("id", "url", F.lit(rank).alias("__rank"), "__pos")
         lists = best if lists is None else lists.unionAll(best)
-    # Of one strategy's rows of a URL the best one counts.
-    own = Window.partitionBy("__rank", "url").orderBy("__pos", "id")
-    state = lists.withColumn("__own", F.row_number().over(own)).where("__own = 1").drop("__own")
-    state = state.withColumns({"__picked": F.lit(False), "__taken": F.lit(False)})
+    state = lists.withColumns({"__picked": F.lit(False), "__taken": F.lit(False)})
     turn = Window.partitionBy("__rank").orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0)
     for rank, name in enumerate(candidates):
         free = (F.col("__rank") == rank) & ~F.col("__taken")

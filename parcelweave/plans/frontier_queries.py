@@ -384,7 +384,7 @@ def strategy_mix(spark: SparkSession, sf: str) -> DataFrame:
             "risk": (pool, [tagged.desc(), F.col("priority").desc(), F.col("id").asc()]),
             "chronos": (pool.where("status <> 'processing'"), oldest),
             "hotspot": (
-                S.hotspot(placed, _signals(spark, sf), as_ts("2024-01-30 23:58:00"), limit),
+                S.hotspot(placed, _signals(spark, sf), as_ts("2024-01-30 23:58:00"), None),
                 [F.col("signal_strength").desc(), *oldest],
             ),
         },

@@ -204,6 +204,15 @@ def test_mix_gives_a_url_to_the_first_strategy(spark):
     assert rows(mixed, "id", "strategy") == [(i, "chronos" if i < 16 else "risk") for i in range(12, 20)]
 
 
+def test_mix_fills_its_limit_when_a_url_repeats(spark):
+    hot = [(i, "hot", 1000 - i) for i in range(50)]
+    pool = spark.createDataFrame([*hot, *[(100 + i, f"u{i}", 20 - i) for i in range(20)]], "id int, url string, p int")
+    order = [F.col("p").desc()]
+    mixed = S.strategy_mix({"risk": (pool, order), "chronos": (pool, order)}, 10, {"risk": 0.5, "chronos": 0.5}, {})
+    want = [(0, "risk"), *[(100 + i, "risk" if i < 4 else "chronos") for i in range(9)]]
+    assert rows(mixed, "id", "strategy") == want
+
+
 def test_mix_fills_its_limit_and_forces_the_starved(spark):
     pool = spark.createDataFrame([(i, f"u{i}", i) for i in range(20)], "id int, url string, p int")
     order = [F.col("p").desc()]
