@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelweave.llm import bpe, lm, near, packing, preference, quality, secrets, sharding, topk, toxicity
+from parcelweave.llm import bpe, lm, near, packing, preference, quality, ranker, secrets, sharding, topk, toxicity
 from parcelweave.llm.sql import near_sql, quality_sql
+from parcelweave.session import fresh_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -231,3 +232,18 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op11_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality, learnt from labels whose remainder by 5 isn't 0; 0.3 lies at the cut."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").filter(~ranker.is_held_out(F.col("doc_id")))
+    model, sample = ranker.train(docs, labels)
+    at = fresh_dir(spark, "strengths")
+    ranker.strengths(docs, model).write.parquet(at)
+    scored = spark.read.parquet(at)
+    score = ranker.chance(F.col("strength"), ranker.strength_cut(scored, sample), 0.3)
+    return scored.select("doc_id", ranker.is_held_out(F.col("doc_id")).alias("held_out"), score.alias("score")).withColumn(
+        "predicted", (F.col("score") >= 0.3).cast("int")
+    )
