@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelweave.llm import bpe, lm, near, packing, preference, quality, ranker, secrets, sharding, topk, toxicity
+from parcelweave.llm import bpe, lm, merkle, near, packing, preference, quality, ranker, secrets, sharding, topk, toxicity
 from parcelweave.llm.sql import near_sql, quality_sql
 from parcelweave.session import fresh_dir
 
@@ -247,3 +247,29 @@ def op11_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", ranker.is_held_out(F.col("doc_id")).alias("held_out"), score.alias("score")).withColumn(
         "predicted", (F.col("score") >= 0.3).cast("int")
     )
+
+
+#: What a document's leaf digests, in this order.
+LEAF_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's proof by descent, and the root it folds to after some texts were lower-cased."""
+    docs = table(spark, sf_dir, "documents").select(*LEAF_FIELDS)
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    tampered = F.coalesce(remainder(5) == 0, F.lit(False))
+    text = F.when(tampered, F.translate("text", capitals, capitals.lower())).otherwise(F.col("text"))
+    changed = F.when(tampered, F.unhex(merkle.digest([text if f == "text" else F.col(f) for f in LEAF_FIELDS])))
+    manifest = merkle.build(docs, LEAF_FIELDS, "source", "doc_id", {"doc_id": F.col("doc_id"), "changed": changed})
+    asked = manifest.leaves(spark).select("tree", "rank", "c_doc_id", "c_changed")
+    found = merkle.proofs(spark, manifest, asked)
+    leaf = merkle.hexadecimal(F.coalesce("c_changed", "leaf"))
+    return found.select(
+        F.col("c_doc_id").alias("doc_id"),
+        merkle.hexadecimal(F.col("leaf")).alias("leaf"),
+        merkle.hexadecimal(F.col("subroot")).alias("subroot"),
+        F.lit(manifest.root).alias("root"),
+        F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"),
+        merkle.fold(leaf, F.col("path")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
