@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelweave.llm import bpe, lm, merkle, near, packing, preference, quality, ranker, secrets, sharding, topk, toxicity
+from parcelweave.llm import bpe, lm, merkle, near, packing, preference, quality, ranker, secrets, sharding, topk, toxicity, trie
 from parcelweave.llm.sql import near_sql, quality_sql
 from parcelweave.session import fresh_dir
 
@@ -273,3 +273,11 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"),
         merkle.fold(leaf, F.col("path")).alias("folded_root"),
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie over conversations that share their first turns with another."""
+    turns = trie.turns_of(table(spark, sf_dir, "conversations"))
+    convs = turns.filter("place = 0").select("conv")
+    return trie.prefix_trie(trie.share_heads(turns), convs)
