@@ -155,27 +155,32 @@ def proofs(spark: SparkSession, manifest: Manifest, requests: DataFrame) -> Data
     """The requests with what the descent from the root finds: ``leaf``, ``subroot`` and ``path``, leaf first.
 
     ``requests`` has ``tree`` and ``rank``, each pair once, and any other columns but the three. A
-    request for a leaf that isn't there has no row. Lazy.
+    request for a leaf that isn't there has no row. Writes what each level of the groups reaches; runs jobs when called.
     """
     if manifest.root is None:
         none = [F.lit(None).cast("binary").alias("leaf"), F.lit(None).cast("binary").alias("subroot"), F.lit(None).cast(_PATH).alias("path")]
         return requests.select("*", *none).filter("false")
     rest = F.struct("rank", *[c for c in requests.columns if c not in ("tree", "rank")])
     # Requests of one run of leaves, at most FAN, travel as one row.
+    folder = fresh_dir(spark, "descent")
     runs = requests.groupBy("tree", F.expr(f"rank div {FAN}").alias("run")).agg(F.collect_list(rest).alias("asked"))
-    wanted = runs.select("tree", F.col("run").alias("rank")).distinct()
+    # What the levels ask for again and again is written once, so that no plan holds it many times.
+    requests.select("tree", F.expr(f"rank div {FAN}").alias("rank")).distinct().write.parquet(f"{folder}/wanted")
+    wanted = spark.read.parquet(f"{folder}/wanted")
 
     frontier = spark.createDataFrame([(0, manifest.root)], "rank long, hex string").select(
         "rank", F.unhex("hex").alias("digest"), F.array().cast(_PATH).alias("path")
     )
-    trees = requests.select("tree").distinct()
     for height in range(manifest.top_height, 0, -1):
-        places = trees.select(F.expr(f"tree div {FAN ** (height - 1)}").alias("rank")).distinct()
+        places = wanted.select(F.expr(f"tree div {FAN ** (height - 1)}").alias("rank")).distinct()
         frontier = _descend(frontier, manifest.records(spark, "top", height)).join(places, "rank", "left_semi")
     # What the digits of the group's place lead to is its subroot; from there the digits of the rank lead on.
-    entered = salted_join(
+    salted_join(
         frontier.withColumnRenamed("rank", "tree"), manifest.groups(spark).select("tree", "height"), ["tree"], heavy=[]
-    ).select("tree", F.col("digest").alias("subroot"), "height", F.lit(0).cast("long").alias("rank"), "digest", "path")
+    ).select("tree", F.col("digest").alias("subroot"), "height", F.lit(0).cast("long").alias("rank"), "digest", "path").write.parquet(
+        f"{folder}/entered"
+    )
+    entered = spark.read.parquet(f"{folder}/entered")
 
     def at_height(height: int) -> DataFrame:
         return entered.filter(F.col("height") == height).drop("height")
@@ -185,7 +190,9 @@ def proofs(spark: SparkSession, manifest: Manifest, requests: DataFrame) -> Data
         frontier = at_height(height) if frontier is None else frontier.unionByName(at_height(height))
         if height > 1:
             places = wanted.select("tree", F.expr(f"rank div {FAN ** (height - 2)}").alias("rank")).distinct()
-            frontier = _descend(frontier, manifest.records(spark, "group", height)).join(places, ["tree", "rank"], "left_semi")
+            at = f"{folder}/reached-{height - 1}"
+            _descend(frontier, manifest.records(spark, "group", height)).join(places, ["tree", "rank"], "left_semi").write.parquet(at)
+            frontier = spark.read.parquet(at)
     # The last run: its leaves meet the requests for them, one row a request.
     single = at_height(0).select("tree", "rank", "subroot", F.array("digest").alias("children"), "path", F.lit(False).alias("in_run"))
     if frontier is not None:
