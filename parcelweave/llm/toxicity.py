@@ -28,6 +28,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, S
 from parcelweave.llm.arrays import Texts, blocks, lower
 from parcelweave.llm.pretoken import LETTER, NUMBER, classes
 from parcelweave.llm.ship import ship
+from parcelweave.session import fresh_dir
 
 
 @dataclass(frozen=True)
@@ -106,61 +107,91 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
 
-def telling_pairs(owner: np.ndarray, place: np.ndarray, label: np.ndarray, clear: np.ndarray, settings: Settings) -> np.ndarray:
-    """Which places belong to a pair that says together what neither says alone.
+@dataclass
+class Sample:
+    """What the counts of the sample say: its labels by text number, and which places may take part.
+
+    ``owner`` and ``place`` are the entries (text, term place) of the places in ``among`` and ``clear`` alone, by place. Pairs that
+    raise the share of the rarer label are sought among the places in ``among``, those that lower it between
+    ``clear`` ones, which tell by themselves, and all others. ``bound`` is what a pair's departure must reach.
+    """
+
+    label: np.ndarray
+    prior: float
+    bound: float
+    among: np.ndarray
+    clear: np.ndarray
+    owner: np.ndarray
+    place: np.ndarray
+
+
+def rarer(label: np.ndarray) -> np.ndarray:
+    return label if 2 * label.sum() <= len(label) else 1 - label
+
 
-    Of a pair's N common texts a share r has the rarer label. Expected is a share q: what the odds of the
-    two places in their other texts make together, and not less than the share of either place. By the
-    Chernoff bound so clear a departure has a chance of exp(-N * KL(r, q)) at most, which must stay below
-    ``chance`` over the number of pairs. Pairs that raise the share are sought among all places but
-    those in too few texts of the label to pass with any partner; pairs that lower it between the
-    ``clear`` places, which alone raise it much, and all others. Counts come in blocks of pairs.
+def tables(owner: np.ndarray, place: np.ndarray, chosen: np.ndarray, turn: np.ndarray, block: int):
+    """Reads the texts (in the order ``turn`` gives) by one block of the chosen places as 0 and 1; entries ascend by place."""
+    begin, end = np.searchsorted(place, chosen), np.searchsorted(place, chosen, "right")
+
+    def read(k: int) -> np.ndarray:
+        first, size = begin[k * block : (k + 1) * block], (end - begin)[k * block : (k + 1) * block]
+        rows = np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
+        table = np.zeros((len(turn), len(size)), np.float32)
+        table[turn[owner[rows]], np.repeat(np.arange(len(size)), size)] = 1
+        return table
+
+    return read, -(-len(chosen) // block)
+
+
+def telling_pairs(owner: np.ndarray, place: np.ndarray, sample: Sample, settings: Settings, block: int = 512) -> np.ndarray:
+    """Places that belong to a pair that says together what neither says alone, of pairs with one of the given places.
+
+    ``owner`` and ``place`` are all entries of some places; every place must come whole. Of a pair's N common texts a
+    share r has the rarer label. Expected is a share q: what the odds of the two places in their other texts make
+    together, and not less than the share of either place. By the Chernoff bound so clear a departure has a chance of
+    exp(-N * KL(r, q)) at most, which must stay below ``chance`` over the number of pairs. A pair of two places in
+    ``among`` is met from the greater one. Counts come in blocks of pairs.
     """
-    n, width, block = len(label), 1 << settings.bits, 512
-    rare = label if 2 * label.sum() <= n else 1 - label
-    prior = float(rare.mean())
-    turn = np.argsort(np.argsort(-rare, kind="stable"))  # texts of the rarer label first
-    few = int(rare.sum())
-    have = np.bincount(place, minlength=width)
-    bad = np.bincount(place, weights=rare[owner], minlength=width)
-    enough = have >= settings.least
-    bound = np.log(max(int(enough.sum()) ** 2 / 2, 1) / settings.chance)
+    label, prior, bound = rarer(sample.label), sample.prior, sample.bound
+    turn = np.argsort(np.argsort(-label, kind="stable"))  # texts of the rarer label first
+    few = int(label.sum())
     odds = np.log(prior / (1 - prior))
+    width = 1 << settings.bits
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    have, bad = np.bincount(sample.place, minlength=width), np.bincount(sample.place, weights=label[sample.owner], minlength=width)
+    own, times = np.unique(place, return_counts=True)
+    have[own] = times
+    bad[own] = np.bincount(place, weights=label[owner], minlength=width)[own]
+    own = own[times >= settings.least]
 
     def alone(bad: np.ndarray, have: np.ndarray) -> np.ndarray:
         """Log odds beyond the prior's, drawn to it by two texts."""
         share = (bad + 2 * prior) / (have + 2)
         return np.log(share / (1 - share)) - odds
 
-    def tables(chosen: np.ndarray):
-        """Reads the texts by one block of the chosen places as 0 and 1."""
-        column = np.full(width, -1, np.int32)
-        column[chosen] = np.arange(len(chosen))
-        at = column[place]
-        order = np.argsort(at, kind="stable")
-        cuts = np.searchsorted(at, np.arange(0, len(chosen) + block, block), sorter=order)
-
-        def read(k: int) -> np.ndarray:
-            rows = order[cuts[k] : cuts[k + 1]]
-            table = np.zeros((n, min(block, len(chosen) - k * block)), np.float32)
-            table[turn[owner[rows]], at[rows] - k * block] = 1
-            return table
-
-        return read, len(cuts) - 1
-
-    telling = np.zeros(width, bool)
-    among = np.flatnonzero(enough & (bad * -np.log(prior) >= bound))
-    for raises, ones, twos in ((True, among, among), (False, np.flatnonzero(clear), np.flatnonzero(enough))):
-        (one, m_one), (two, m_two) = tables(ones), tables(twos)
-        for i in range(m_one):
-            left = one(i)
-            for j in range(i if raises else 0, m_two):
-                right = two(j)
-                common, hits = left.T @ right, left[:few].T @ right[:few]
+    # A pair that lowers the share has at least so many common texts: even if none of them has the label, fewer can't reach the bound.
+    need = np.zeros(width)
+    need[sample.clear] = bound / -np.log1p(-np.minimum(bad[sample.clear] / have[sample.clear], 1 - 1e-9)) * (1 - 1e-9)
+    telling = [np.zeros(0, np.int64)]
+    for raises, ones, twos in ((True, sample.among, own[np.isin(own, sample.among)]), (False, sample.clear, own)):
+        if raises:
+            ones = ones[ones <= twos[-1]] if len(twos) else ones[:0]
+        elif len(ones):
+            twos = twos[have[twos] >= need[ones].min()]
+        (one, m_one), (two, m_two) = tables(sample.owner, sample.place, ones, turn, block), tables(owner, place, twos, turn, block)
+        for j in range(m_two):
+            right = two(j)
+            for i in range(m_one):
+                left = one(i)
+                hits = left[:few].T @ right[:few]
+                if raises and hits.max() * -np.log(prior) < bound:
+                    continue
+                common = left.T @ right
                 if raises:
                     a, b = np.nonzero((hits * -np.log(prior) >= bound) & (hits > common * prior))
                 else:
-                    a, b = np.nonzero(common >= settings.least)
+                    a, b = np.nonzero(common >= np.maximum(settings.least, need[ones[i * block : (i + 1) * block]])[:, None])
                 both, hit = common[a, b].astype(np.float64), hits[a, b].astype(np.float64)
                 a, b = ones[i * block + a], twos[j * block + b]
                 share = hit / both
@@ -178,12 +209,15 @@ def telling_pairs(owner: np.ndarray, place: np.ndarray, label: np.ndarray, clear
                     gain = np.where(share > 0, share * np.log(share / expected), 0)
                     gain += np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - expected)), 0)
                 told = both * gain >= bound
-                telling[a[told]] = telling[b[told]] = True
-    return telling
+                telling += [a[told], b[told]]
+    return np.unique(np.concatenate(telling))
+
 
+def fit(owner: np.ndarray, place: np.ndarray, label: np.ndarray, chosen: np.ndarray, settings: Settings) -> Machine:
+    """Fit on the (text, term) pairs of the sample, sorted by text, and one 0/1 label per text.
 
-def fit(owner: np.ndarray, place: np.ndarray, label: np.ndarray, settings: Settings) -> Machine:
-    """Fit on the (text, term) pairs of the sample, sorted by text, and one 0/1 label per text."""
+    ``chosen`` are the places that take part; entries of others are left out.
+    """
     n, width = len(label), 1 << settings.bits
     toxic = int(label.sum())
     prior = np.log((toxic + 0.5) / (n - toxic + 0.5)) if toxic < n - toxic else 0.0
@@ -191,18 +225,12 @@ def fit(owner: np.ndarray, place: np.ndarray, label: np.ndarray, settings: Setti
     none = Machine(index, float(min(prior, -np.log(3))), np.zeros(0), np.zeros((0, settings.factors)))
     if not toxic or toxic == n:
         return none
-    have = np.bincount(place, minlength=width)
-    bad = np.bincount(place, weights=label[owner], minlength=width)
-    share = have / n
-    error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / toxic + 1 / (n - toxic)))
-    clear = (have >= settings.least) & (np.abs(bad / toxic - (have - bad) / (n - toxic)) >= settings.clear * error)
-    clear |= telling_pairs(owner, place, label, clear, settings)
-    if not clear.any():
+    if not len(chosen):
         return none
-    index[clear] = np.arange(int(clear.sum()))
+    index[chosen] = np.arange(len(chosen))
     hit = index[place] >= 0
     owner, row = owner[hit], index[place[hit]]
-    m = int(clear.sum())
+    m = len(chosen)
     rng = np.random.default_rng(settings.seed)
     model = Machine(index, float(prior), np.zeros(m), rng.normal(0, 0.01, (m, settings.factors)))
     cuts = np.searchsorted(owner, np.arange(n + 1))
@@ -241,6 +269,22 @@ def is_held_out(id_column: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
+def entries(rows: DataFrame, wanted: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """The (text, place) entries of the sample whose place is wanted, by text and place."""
+    known = np.zeros(1 << settings.bits, bool)
+    known[wanted] = True
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = known[batch.column(1).to_numpy()]
+            yield batch.filter(pa.array(hit))
+
+    found = rows.select("__at", F.explode("__terms").alias("__place")).mapInArrow(run, "__at int, __place int").toArrow()
+    owner, place = (found.column(c).to_numpy() for c in ("__at", "__place"))
+    order = np.lexsort((place, owner))
+    return owner[order], place[order]
+
+
 def train(
     docs: DataFrame,
     labels: DataFrame,
@@ -249,7 +293,12 @@ def train(
     label_col: str = "toxic",
     settings: Settings = Settings(),
 ) -> Machine:
-    """Fit on the labelled sample; runs one job when called. ``labels`` decides what may be learnt from."""
+    """Fit on the labelled sample; runs jobs when called. ``labels`` decides what may be learnt from.
+
+    The sample's terms lie in a table of the shared folder. Places are counted by one aggregate, pairs in tasks that
+    hold a share of the places each; the driver sees the places that can take part and their entries.
+    """
+    spark = docs.sparkSession
     chosen = (
         labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
         .groupBy(F.col(id_col).alias("__id"))
@@ -270,16 +319,66 @@ def train(
                 yield pa.RecordBatch.from_arrays([*block.columns[:2], lists], names=["__id", "__label", "__terms"])
 
     schema = StructType([found.schema["__id"], StructField("__label", IntegerType()), StructField("__terms", ArrayType(IntegerType()))])
-    ship(docs.sparkSession)
-    rows = found.mapInArrow(run, schema).groupBy("__id").agg(F.max("__label").alias("label"), F.min("__terms").alias("terms"))
-    sample = rows.orderBy(F.xxhash64("__id"), "__id").select("label", "terms").toArrow().combine_chunks()
-    label = np.array(sample.column("label").to_pylist(), np.float64)
-    terms = sample.column("terms").combine_chunks()
-    if isinstance(terms, pa.ChunkedArray):
-        terms = pa.concat_arrays(terms.chunks) if terms.num_chunks else pa.array([], pa.list_(pa.int32()))
-    place = terms.flatten().to_numpy()  # 32-bit, as the driver holds all terms of the sample
-    size = np.diff(terms.offsets.to_numpy()) if len(terms) else np.zeros(0, np.int64)
-    return fit(np.repeat(np.arange(len(label), dtype=np.int32), size), place, label, settings)
+    ship(spark)
+    at = fresh_dir(spark, "sample")
+    once = found.mapInArrow(run, schema).groupBy("__id").agg(F.max("__label").alias("__label"), F.min("__terms").alias("__terms"))
+    once.write.parquet(f"{at}/terms")
+    terms = spark.read.parquet(f"{at}/terms")
+    ids = terms.select("__id", "__label").orderBy(F.xxhash64("__id"), "__id").toArrow()  # at most ``sample`` rows
+    label = np.array(ids.column("__label").to_pylist(), np.float64)
+    numbers = spark.createDataFrame(
+        [(i, n) for n, i in enumerate(ids.column("__id").to_pylist())], StructType([terms.schema["__id"], StructField("__at", IntegerType())])
+    )
+    rows = terms.join(F.broadcast(numbers), "__id").select("__at", "__label", "__terms")
+    n, toxic = len(label), int(label.sum())
+    none = np.zeros(0, np.int64)
+    if not toxic or toxic == n:
+        return fit(none, none, label, none, settings)
+
+    prior = float(rarer(label).mean())
+    rare = F.col("__label") if 2 * toxic <= n else 1 - F.col("__label")
+    counts = (
+        rows.select(F.explode("__terms").alias("__place"), F.col("__label"), rare.alias("__rare"))
+        .groupBy("__place")
+        .agg(F.count("*").alias("have"), F.sum("__label").alias("toxic"), F.sum("__rare").alias("rare"))
+        .filter(F.col("have") >= settings.least)
+    )
+    counts.write.parquet(f"{at}/counts")
+    counts = spark.read.parquet(f"{at}/counts")
+    bound = float(np.log(max(counts.count() ** 2 / 2, 1) / settings.chance))
+    share = F.col("have") / n
+    error = F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / toxic + 1 / (n - toxic)))
+    apart = F.abs(F.col("toxic") / toxic - (F.col("have") - F.col("toxic")) / (n - toxic)) >= settings.clear * error
+    able = counts.select("__place", (F.col("rare") * -float(np.log(prior)) >= bound).alias("among"), apart.alias("clear"))
+    able = able.filter("among OR clear").orderBy("__place").toArrow()
+    place = able.column("__place").to_numpy().astype(np.int64)
+    among, clear = (place[able.column(c).to_numpy(zero_copy_only=False)] for c in ("among", "clear"))
+    owner, held = entries(rows, place, settings)
+    order = np.argsort(held, kind="stable")
+    sample = Sample(label, prior, bound, among, clear, owner[order], held[order])
+    told = place_pairs(rows, sample, settings)
+    taking_part = np.union1d(clear, told)
+    return fit(*entries(rows, taking_part, settings), label, taking_part, settings)
+
+
+def place_pairs(rows: DataFrame, sample: Sample, settings: Settings) -> np.ndarray:
+    """``telling_pairs`` over all places of the sample: each task tests a share of the places against the sample's able ones.
+
+    What travels to the tasks is bounded by the sample, as is a group: the sample's texts with 2 ** 13 places.
+    """
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(sample)
+
+    def test(group: pa.Table) -> pa.Table:
+        owner, place = (group.column(c).to_numpy() for c in ("__at", "__place"))
+        return pa.table({"__place": pa.array(telling_pairs(owner, place, shared.value, settings), pa.int64())})
+
+    dealt = rows.select("__at", F.explode("__terms").alias("__place")).withColumn("__share", F.shiftright("__place", 13))
+    # By number, as a share is little to read and much to compute.
+    shares = dealt.repartition(1 << max(settings.bits - 13, 0), "__share").groupBy("__share")
+    told = shares.applyInArrow(test, "__place long").distinct().toArrow().column("__place").to_numpy()
+    shared.destroy()
+    return np.sort(told)
 
 
 def score(
