@@ -164,7 +164,7 @@ def test_pairs_say_what_single_terms_do_not():
     texts = [[1], [2], [3], [1, 2]] * 200
     owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
     label = np.array([float(len(t) == 2) for t in texts])
-    model = toxicity.fit(owner, np.concatenate(texts), label, settings)
+    model = toxicity.fit(owner, np.concatenate(texts), label, np.array([1, 2, 3]), settings)
     margin = model.margin(np.array([0, 1, 2, 3, 3]), model.index[np.array([1, 2, 3, 1, 2])], 4)
     assert (margin[:3] < 0).all() and margin[3] > 0
 
@@ -196,24 +196,120 @@ def test_pairs_of_neutral_terms_are_learnt_with_the_default_settings(spark):
     assert all((scores[i] >= 0.5) == bool(toxic) for i, _, toxic, _ in pair_rows(2))
 
 
+def told(rows, label, clear=()):
+    """``telling_pairs`` of a sample of term places, in two shares as tasks would test them."""
+    settings = toxicity.Settings()
+    owner, place = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows).astype(np.int64)
+    rare = toxicity.rarer(label)
+    prior, have, bad = rare.mean(), np.bincount(place), np.bincount(place, weights=rare[owner])
+    bound = np.log(max((have >= settings.least).sum() ** 2 / 2, 1) / settings.chance)
+    among = np.flatnonzero((have >= settings.least) & (bad * -np.log(prior) >= bound))
+    able = np.isin(place, np.union1d(among, clear))
+    order = np.argsort(place[able], kind="stable")
+    sample = toxicity.Sample(label, prior, bound, among, np.array(clear, np.int64), owner[able][order], place[able][order])
+    halves = [place % 2 == half for half in (0, 1)]
+    return np.unique(np.concatenate([toxicity.telling_pairs(owner[h], place[h], sample, settings, block=7) for h in halves])), sample
+
+
+def plain_told(rows, label, clear=()):
+    """The same by a loop over all pairs of places."""
+    settings, rare = toxicity.Settings(), toxicity.rarer(label)
+    sets = {}
+    for i, row in enumerate(rows):
+        for p in row:
+            sets.setdefault(int(p), set()).add(i)
+    held = sorted(p for p, texts in sets.items() if len(texts) >= settings.least)
+    prior, hits_of = rare.mean(), {p: sum(rare[i] for i in sets[p]) for p in held}
+    bound, odds = math.log(max(len(held) ** 2 / 2, 1) / settings.chance), math.log(prior / (1 - prior))
+
+    def alone(hits, n):
+        share = (hits + 2 * prior) / (n + 2)
+        return math.log(share / (1 - share)) - odds
+
+    out = set()
+    for x, a in enumerate(held):
+        for b in held[x + 1 :]:
+            common = sets[a] & sets[b]
+            n, hits = len(common), sum(rare[i] for i in common)
+            if not n:
+                continue
+            share = hits / n
+            sum_odds = odds + sum(alone(hits_of[p] - hits, len(sets[p]) - n) for p in (a, b))
+            product = 1 / (1 + math.exp(-sum_odds))
+            tests = []
+            if share > prior:
+                tests.append(min(max(product, prior, *[hits_of[p] / len(sets[p]) for p in (a, b)]), 1 - 1e-9))
+            for p in (a, b):
+                q = min(product, hits_of[p] / len(sets[p]), 1 - 1e-9)
+                if p in clear and n >= settings.least and q > prior:
+                    tests.append(-q)
+            for q in tests:
+                if (share > q) if q > 0 else (share < -q):
+                    q = abs(q)
+                    gain = (share * math.log(share / q) if share else 0) + ((1 - share) * math.log((1 - share) / (1 - q)) if share < 1 else 0)
+                    if n * gain >= bound:
+                        out |= {a, b}
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_telling_pairs_by_a_loop_over_all_pairs(seed):
+    rng = np.random.default_rng(seed)
+    rows, label = [], []
+    for i in range(900):
+        terms = set(rng.integers(10, 40, 6).tolist())
+        kind = i % 20
+        terms |= {1, 2} if kind == 0 else {1} if kind < 4 else {2} if kind < 7 else {3} if kind == 7 else {3, 4} if kind == 8 else {4} if kind < 12 else set()
+        rows.append(np.array(sorted(terms)))
+        label.append(float(kind in (0, 7) or rng.random() < 0.02))
+    label = np.array(label)
+    found, _ = told(rows, label, clear=[3])
+    assert found.tolist() == plain_told(rows, label, clear=[3]) and {1, 2, 3, 4} <= set(found.tolist())
+
+
+def test_margin_is_the_double_sum_over_pairs(spark):
+    """Terms by plain Python, margins by the definition, and with them the scores of the operator."""
+    docs = spark.createDataFrame(pair_rows(1, 800), "doc_id long, text string, toxic int, kind int")
+    settings = toxicity.Settings()
+    model = toxicity.train(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), settings=settings)
+    texts = dict(texts_of(docs)) | {-1: "ZORKY zorky marrow kindle quastik", -2: "", -3: None}
+
+    def place(term, length):
+        import pyarrow as pa
+
+        from parcelweave.llm.arrays import Texts
+
+        one = Texts(pa.array([term]))
+        return int(one.hashes(np.array([0]), np.array([len(term)]))[0] * np.uint64(2 * length + 1) >> np.uint64(64 - settings.bits))
+
+    def score(text):
+        words = re.findall(r"[^\W_]+", (text or "").lower())
+        terms = {(w, 0) for w in words} | {(w[:k], k) for w in words for k in settings.prefixes if len(w) > k}
+        rows = sorted({int(model.index[place(t, k)]) for t, k in terms} - {-1})
+        unit = 1 / math.sqrt(len(rows)) if rows else 0
+        margin = model.bias + sum(model.weight[r] * unit for r in rows)
+        for i, a in enumerate(rows):
+            for b in rows[i + 1 :]:
+                margin += float(model.factor[a] @ model.factor[b]) * unit * unit
+        return 1 / (1 + math.exp(-margin))
+
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for r in toxicity.score(frame, model).collect():
+        assert math.isclose(r["score"], score(texts[r["doc_id"]]), rel_tol=1e-9)
+
+
 def test_pairs_that_tell_nothing_stay_out():
     rng = np.random.default_rng(3)
     rows = [np.unique(rng.zipf(1.3, 60) % 3000) for _ in range(2000)]
     label = (rng.random(2000) < 0.1).astype(float)
-    owner = np.repeat(np.arange(2000), [len(r) for r in rows])
-    found = toxicity.telling_pairs(owner, np.concatenate(rows), label, np.zeros(1 << 20, bool), toxicity.Settings())
-    assert not found.any()
+    assert told(rows, label)[0].tolist() == []
 
 
 def test_a_second_term_can_redeem_a_first():
     rows = [[1]] * 150 + [[2]] * 400 + [[1, 2]] * 60 + [[3]] * 1500
     label = np.array([1.0] * 150 + [0.0] * 1960)
     label[150:190] = 1  # term 2 alone is as toxic as all texts
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    clear = np.zeros(1 << 20, bool)
-    clear[1] = True
-    found = toxicity.telling_pairs(owner, np.concatenate(rows), label, clear, toxicity.Settings())
-    assert np.flatnonzero(found).tolist() == [1, 2]
+    assert told([np.array(r) for r in rows], label, clear=[1])[0].tolist() == [1, 2]
 
 
 def test_terms_are_pairs_once(spark):
