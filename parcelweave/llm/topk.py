@@ -2,18 +2,20 @@
 
 Components are integers: ``floor(scale * x)``. The candidates' second moments give a rotation (their
 singular vectors) that gathers length in the first axes. Candidates are cut into blocks by falling
-length. The longest block gives every query a first threshold: its k-th best score there. After
-that a block is skipped if its longest vector cannot reach any threshold, a candidate if its
-length cannot (Cauchy-Schwarz), and what is left if the product over the first axes plus the
-product of what remains of both lengths cannot. Survivors are scored in integers, so pruning,
-which works in floating point with slack, never changes a result.
+length, some successive blocks make a group. Queries meet the group of the longest vectors first: each
+walks its blocks by falling length, and its k-th best score so far is a floor that rises from block to
+block. A group is met by a chunk of queries only if its longest vector can reach one of their floors. Within
+a group a candidate is skipped if its length cannot reach the floor (Cauchy-Schwarz), and what is left if
+the product over the first axes plus the product of what remains of both lengths cannot. Survivors are
+scored in integers, so pruning, which works in floating point with slack, never changes a result.
 
-Queries meet candidates block by block: what is paired without a key is one row per block.
+A task holds one group and one chunk, both of bounded size; what is paired without a key is one row per
+group and chunk.
 
 Vectors that are null or hold null or non-finite components, and rows without an id, take no part;
-shorter vectors count as filled up with zeros. A query is never its own result: rows of its id are
-left out. Rows that repeat are candidates each. No candidate or no query gives an empty result.
-Only the named columns are read. Scores must fit in a long.
+shorter vectors count as filled up with zeros. Every query row has its own results, also where ids
+repeat; only the row itself is left out of them. Rows that repeat are candidates each. No candidate or no
+query gives an empty result. Only the named columns are read. Scores must fit in a long.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from parcelweave.llm.ship import ship
-from parcelweave.session import fresh_dir
+from parcelweave.session import fresh_dir, shuffle_parts
 
 
 @dataclass(frozen=True)
@@ -38,15 +40,22 @@ class Settings:
     scale: int = 64
     #: Vectors of a block of candidates, and of queries.
     block: int = 4096
-    queries: int = 2048
-    #: Axes of the partial sum, as a share of all.
+    queries: int = 1024
+    #: Blocks of a group of candidates, and of a chunk of queries.
+    group: int = 8
+    chunk: int = 8
+    #: Share of the axes that the partial product covers.
     head: float = 0.25
+    #: Wider vectors aren't rotated: the driver would see the square of the width.
+    widest: int = 2048
 
 
-VECTORS = StructType([StructField("id", LongType()), StructField("ints", BinaryType()), StructField("norm", DoubleType())])
+VECTORS = StructType([
+    StructField("__id", LongType()), StructField("__row", LongType()), StructField("__ints", BinaryType()), StructField("__norm", DoubleType())
+])
 BLOCK = StructType([
-    StructField("block", LongType()), StructField("longest", DoubleType()), StructField("n", IntegerType()),
-    StructField("ids", BinaryType()), StructField("ints", BinaryType()), StructField("norms", BinaryType()),
+    StructField("block", LongType()), StructField("longest", DoubleType()), StructField("n", IntegerType()), StructField("ids", BinaryType()),
+    StructField("rows", BinaryType()), StructField("ints", BinaryType()), StructField("norms", BinaryType()),
 ])
 
 
@@ -66,9 +75,10 @@ def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: int
                     ints.append(whole.tobytes())
                     norms.append(float(np.sqrt((whole.astype(np.float64) ** 2).sum())))
             columns = [pa.array(ids, pa.int64()), pa.array(ints, pa.binary()), pa.array(norms, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=VECTORS.names)
+            yield pa.RecordBatch.from_arrays(columns, names=["__id", "__ints", "__norm"])
 
-    return vectors.select(F.col(id_col).cast("long"), vector_col).mapInArrow(run, VECTORS)
+    whole = StructType([VECTORS["__id"], VECTORS["__ints"], VECTORS["__norm"]])
+    return vectors.select(F.col(id_col).cast("long"), vector_col).mapInArrow(run, whole)
 
 
 def _matrix(ints: list[bytes], width: int) -> np.ndarray:
@@ -91,7 +101,7 @@ def rotation(vectors: DataFrame, width: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(width * width)), pa.array(moment.ravel())], names=["at", "value"])
 
     schema = StructType([StructField("at", LongType()), StructField("value", DoubleType())])
-    rows = vectors.select("ints").mapInArrow(run, schema).groupBy("at").agg(F.sum("value").alias("value")).collect()
+    rows = vectors.select("__ints").mapInArrow(run, schema).groupBy("at").agg(F.sum("value").alias("value")).collect()
     moment = np.zeros(width * width)
     for row in rows:
         moment[row["at"]] = row["value"]
@@ -122,14 +132,15 @@ def to_blocks(vectors: DataFrame, width: int, most: int) -> DataFrame:
 
     def block(number: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(held)
-        norms = table.column("norm").to_numpy()
-        ints = _matrix(table.column("ints").to_pylist(), width)
-        row = [number, float(norms.max()), len(norms), table.column("id").to_numpy().tobytes(), ints.tobytes(), norms.tobytes()]
+        norms = table.column("__norm").to_numpy()
+        ints = _matrix(table.column("__ints").to_pylist(), width)
+        ids, rows = (table.column(c).to_numpy().tobytes() for c in ("__id", "__row"))
+        row = [number, float(norms.max()), len(norms), ids, rows, ints.tobytes(), norms.tobytes()]
         return pa.RecordBatch.from_pydict({k: [v] for k, v in zip(BLOCK.names, row)}, pa.schema(
-            [("block", pa.int64()), ("longest", pa.float64()), ("n", pa.int32()), ("ids", pa.binary()), ("ints", pa.binary()), ("norms", pa.binary())]
+            [("block", pa.int64()), ("longest", pa.float64()), ("n", pa.int32()), ("ids", pa.binary()), ("rows", pa.binary()), ("ints", pa.binary()), ("norms", pa.binary())]
         ))
 
-    order = [F.col("norm").desc(), F.col("id")]
+    order = [F.col("__norm").desc(), F.col("__id"), F.col("__row")]
     sorted_ = vectors.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     at = fresh_dir(vectors.sparkSession, "vector-blocks")
     sorted_.mapInArrow(run, BLOCK).write.parquet(at)
@@ -140,7 +151,7 @@ class Block:
     """A block unpacked, with its rotated first axes and the length of the rest."""
 
     def __init__(self, row: dict, width: int, axes: np.ndarray, head: int):
-        self.ids = np.frombuffer(row["ids"], np.int64)
+        self.ids, self.rows = (np.frombuffer(row[c], np.int64) for c in ("ids", "rows"))
         self.ints = np.frombuffer(row["ints"], np.int64).reshape(-1, width)
         self.norms = np.frombuffer(row["norms"], np.float64)
         self.exact = self.ints.astype(np.float64)
@@ -148,19 +159,17 @@ class Block:
         self.rest = np.sqrt(np.maximum(self.norms**2 - (self.first**2).sum(axis=1), 0))
 
 
-def best(queries: Block, candidates: Block, floor: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query: its place, and the ids and scores of its k best candidates at or above its floor."""
+def best(queries: Block, candidates: Block, floor: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query: its place, and the places and scores of the candidates at or above its floor."""
     large = len(candidates.ints[0]) * float(np.abs(queries.ints).max(initial=0)) * float(np.abs(candidates.ints).max(initial=0)) >= 2**53
     bound = queries.first @ candidates.first.T + np.outer(queries.rest, candidates.rest)
     slack = 1e-6 * (1 + np.outer(queries.norms, candidates.norms[:1]))
     # Candidates come by falling length: the first that is too short ends a query's list.
-    reach = np.divide(floor, queries.norms, out=np.full(len(floor), -np.inf), where=queries.norms > 0) * (1 - 1e-9)
+    reach = reaches(queries.norms, floor) * (1 - 1e-9)
     ends = np.searchsorted(-candidates.norms, -reach, "right")
-    ends[queries.norms == 0] = len(candidates.norms)
-    ends[floor <= 0] = len(candidates.norms)
     for i in range(len(queries.ids)):
         alive = np.flatnonzero(bound[i, : ends[i]] + slack[i, 0] >= floor[i])
-        alive = alive[candidates.ids[alive] != queries.ids[i]]
+        alive = alive[candidates.rows[alive] != queries.rows[i]]
         if not len(alive):
             continue
         if large:
@@ -168,10 +177,44 @@ def best(queries: Block, candidates: Block, floor: np.ndarray, k: int) -> Iterat
         else:
             score = (candidates.exact[alive] @ queries.exact[i]).astype(np.int64)
         keep = score >= floor[i]
-        alive, score = alive[keep], score[keep]
-        ids = candidates.ids[alive]
-        order = np.lexsort((ids, -score))[:k]
-        yield i, ids[order], score[order]
+        if keep.any():
+            yield i, alive[keep], score[keep]
+
+
+def reaches(norms: np.ndarray, floor: np.ndarray) -> np.ndarray:
+    """The least length of a candidate that can reach the floor of each query."""
+    return np.divide(floor, norms, out=np.full(len(floor), -np.inf), where=(norms > 0) & (floor > 0))
+
+
+class Walk:
+    """The best results of a block of queries so far, and the floors that they set."""
+
+    def __init__(self, queries: Block, k: int, floor: np.ndarray | None = None):
+        self.queries, self.k = queries, k
+        self.floor = np.full(len(queries.ids), -np.inf) if floor is None else floor.copy()
+        self.held: dict[int, np.ndarray] = {}
+
+    def meet(self, candidates: Block) -> None:
+        if candidates.norms[0] * (1 + 1e-9) < reaches(self.queries.norms, self.floor).min():
+            return
+        for i, places, score in best(self.queries, candidates, self.floor):
+            found = np.column_stack([score, candidates.ids[places], candidates.rows[places]])
+            if i in self.held:
+                found = np.concatenate([self.held[i], found])
+            found = found[np.lexsort((found[:, 2], found[:, 1], -found[:, 0]))[: self.k]]
+            self.held[i] = found
+            if len(found) == self.k:
+                self.floor[i] = max(self.floor[i], found[-1, 0])
+
+    def results(self) -> pa.Table:
+        """Row and id of the query, score, id and row of the candidate."""
+        places = np.repeat(np.fromiter(self.held, np.int64, len(self.held)), [len(f) for f in self.held.values()])
+        found = np.concatenate(list(self.held.values())) if self.held else np.zeros((0, 3), np.int64)
+        columns = [self.queries.rows[places], self.queries.ids[places], *found.T]
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=FOUND)
+
+
+FOUND = ["__query", "__query_id", "__score", "__id", "__row"]
 
 
 def top_k(
@@ -183,66 +226,81 @@ def top_k(
 ) -> DataFrame:
     """``query_id``, ``rank``, the result's id as ``id_col``, and ``score``. Runs jobs when called.
 
-    ``is_query`` is a condition on the id column.
+    ``is_query`` is a condition on the id column, which can't be called like one of the other three or a name used inside.
     """
+    if id_col in ("query_id", "rank", "score", *VECTORS.names):
+        raise ValueError(f"the id column can't be called {id_col}")
     spark, k = vectors.sparkSession, settings.k
     ship(spark)
     at = fresh_dir(spark, "integer-vectors")
-    integer_vectors(vectors, id_col, vector_col, settings.scale).write.parquet(at)
+    numbered = integer_vectors(vectors, id_col, vector_col, settings.scale).withColumn("__row", F.monotonically_increasing_id())
+    numbered.select(*VECTORS.names).write.parquet(at)
     every = spark.read.schema(VECTORS).parquet(at)
-    width = (every.agg(F.max(F.octet_length("ints"))).first()[0] or 8) // 8
-    axes = rotation(every, width)
+    width = (every.agg(F.max(F.octet_length("__ints"))).first()[0] or 8) // 8
     head = max(1, round(settings.head * width))
-    candidates = to_blocks(every, width, settings.block)
-    queries = to_blocks(every.withColumn(id_col, F.col("id")).filter(is_query).drop(id_col), width, settings.queries)
-
-    top = candidates.orderBy(F.col("longest").desc(), "block").limit(1)
-    first = top.select(*[F.col(c).alias(f"c_{c}") for c in BLOCK.names])
-
-    def split(row: dict) -> tuple[Block, Block]:
-        own = {c: row[c] for c in BLOCK.names}
-        other = {c: row[f"c_{c}"] for c in BLOCK.names}
-        return Block(own, width, axes, head), Block(other, width, axes, head)
-
-    def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                q, c = split(row)
-                floor = np.full(len(q.ids), -np.inf)
-                for j, _, score in best(q, c, floor, k):
-                    if len(score) == k:
-                        floor[j] = score[-1]
-                near = np.divide(floor, q.norms, out=np.full(len(floor), -np.inf), where=(q.norms > 0) & (floor > 0))
-                out = [*(pa.array([row[n]], t) for n, t in zip(BLOCK.names, (pa.int64(), pa.float64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())))]
-                yield pa.RecordBatch.from_arrays([*out, pa.array([floor.tobytes()]), pa.array([float(near.min())])], names=floor_schema.names)
-
-    floor_schema = StructType([*BLOCK.fields, StructField("floors", BinaryType()), StructField("reach", DoubleType())])
+    axes = rotation(every, width) if width <= settings.widest else np.eye(width, head)
+    asked = every.withColumn(id_col, F.col("__id")).filter(is_query).select(*VECTORS.names)
+    parts = shuffle_parts(spark)
+
+    def dealt(blocks: DataFrame, most: int, name: str) -> DataFrame:
+        """Runs of at most ``most`` blocks, fewer if that leaves cores idle; blocks are numbered by falling length."""
+        most = max(1, min(most, blocks.count() // spark.sparkContext.defaultParallelism))
+        place = F.row_number().over(Window.orderBy("block")) - 1  # over one narrow row a block
+        return blocks.join(blocks.select("block", F.floor(place / most).alias(name)), "block")
+
+    candidates = dealt(to_blocks(every, width, settings.block), settings.group, "group")
+    queries = dealt(to_blocks(asked, width, settings.queries), settings.chunk, "chunk")
+
+    def walk(floors: bool):
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            """A chunk of queries meets the blocks of one group."""
+            out = []
+            blocks = [Block(row, width, axes, head) for row in right.sort_by("block").to_pylist()]
+            for row in left.to_pylist():
+                own = Walk(Block(row, width, axes, head), k, np.frombuffer(row["floors"], np.float64) if floors else None)
+                for block in blocks:
+                    own.meet(block)
+                if not floors:
+                    near = reaches(own.queries.norms, own.floor)
+                    table = own.results()
+                    out.append(pa.table({
+                        "block": [row["block"]], "floors": [own.floor.tobytes()], "reach": [float(near.min())],
+                        **{c: [table.column(c).to_numpy().tobytes()] for c in FOUND},
+                    }))
+                else:
+                    out.append(own.results())
+            return pa.concat_tables(out) if out else pa.schema([(c, pa.int64()) for c in FOUND]).empty_table()
+
+        return run
+
+    start = ", ".join(["block long", "floors binary", "reach double", *[f"{c} binary" for c in FOUND]])
     at = fresh_dir(spark, "query-floors")
-    # One block of bounded size against every block of queries.
-    queries.crossJoin(F.broadcast(first)).mapInArrow(floors, floor_schema).write.parquet(at)
-    queries = spark.read.schema(floor_schema).parquet(at)
-
-    thin = queries.select(F.col("block").alias("q"), "reach").crossJoin(candidates.select(F.col("block").alias("c"), "longest"))
-    pairs = thin.filter(F.col("longest") * (1 + 1e-9) >= F.col("reach")).select("q", "c")
-    joined = pairs.join(queries, pairs["q"] == queries["block"]).join(
-        candidates.select(*[F.col(c).alias(f"c_{c}") for c in BLOCK.names]), F.col("c") == F.col("c_block")
-    )
-    joined = joined.select(*BLOCK.names, "floors", *[f"c_{c}" for c in BLOCK.names])
-    joined = joined.repartition("block", "c_block")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    chunks = queries.agg(F.max("chunk")).first()[0]
+    # The first group has a bounded size; it goes to every chunk.
+    first = candidates.filter("group = 0").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks or 0)).cast("array<bigint>")))
+    sides = (df.repartition(parts, "chunk").groupBy("chunk") for df in (queries, first))
+    next(sides).cogroup(next(sides)).applyInArrow(walk(False), start).write.parquet(at)
+    begun = spark.read.parquet(at)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                q, c = split(row)
-                found = list(best(q, c, np.frombuffer(row["floors"], np.float64), k))
-                if found:
-                    own = np.repeat([q.ids[j] for j, _, _ in found], [len(ids) for _, ids, _ in found])
-                    columns = [own, np.concatenate([ids for _, ids, _ in found]), np.concatenate([s for _, _, s in found])]
-                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in columns], names=found_schema.names)
-
-    found_schema = StructType([StructField("query_id", LongType()), StructField(id_col, LongType()), StructField("score", LongType())])
-    by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(id_col))
-    ranked = joined.mapInArrow(search, found_schema).withColumn("rank", F.row_number().over(by))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", id_col, "score")
+            for row in batch.to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row[c], np.int64)) for c in FOUND], names=FOUND)
+
+    kinds = ", ".join(f"{c} long" for c in FOUND)
+    found = begun.select(*FOUND).mapInArrow(unpack, kinds)
+    floored = queries.join(begun.select("block", "floors", "reach"), "block")
+    thin = floored.groupBy("chunk").agg(F.min("reach").alias("reach"))
+    heads = candidates.filter("group > 0").groupBy("group").agg(F.max("longest").alias("longest"))
+    met = thin.join(heads, F.col("longest") * (1 + 1e-9) >= F.col("reach")).select("chunk", "group")
+    # Whole queries and candidates travel once for each meeting of a chunk and a group.
+    def tiles(blocks: DataFrame, own: str):
+        names = {c: f"{own}_side_{c}" for c in ("chunk", "group")}
+        pairs = met.select(*[F.col(c).alias(name) for c, name in names.items()])
+        both = list(names.values())
+        return blocks.join(pairs, F.col(own) == F.col(names[own])).repartition(parts, *both).groupBy(*both)
+
+    later = tiles(floored, "chunk").cogroup(tiles(candidates, "group")).applyInArrow(walk(True), kinds)
+    by = Window.partitionBy("__query").orderBy(F.col("__score").desc(), F.col("__id"), F.col("__row"))
+    ranked = found.unionByName(later).withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
+    return ranked.select(F.col("__query_id").alias("query_id"), "rank", F.col("__id").alias(id_col), F.col("__score").alias("score"))

@@ -120,9 +120,9 @@ def plain_top(vectors, k=20, scale=64):
         if own is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
             rows.append((own, [math.floor(scale * x) for x in v]))
     out = []
-    for own, q in rows:
+    for at, (own, q) in enumerate(rows):
         if own % 20 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(q, c)), other) for other, c in rows if other != own)
+            scored = sorted((-sum(a * b for a, b in zip(q, c)), other) for place, (other, c) in enumerate(rows) if place != at)
             out += [(own, rank, other, -score) for rank, (score, other) in enumerate(scored[:k], 1)]
     return sorted(out)
 
@@ -141,6 +141,29 @@ def test_top_k(spark, block, queries):
     assert sorted(map(tuple, got.collect())) == plain_top(vectors)
 
 
+@pytest.mark.parametrize("id_col", ["id", "norm", "block", "vec_id"])
+def test_top_k_of_repeated_rows_under_any_name(spark, id_col):
+    import random
+
+    pick = random.Random(3)
+    vectors = [(i, [pick.gauss(0, 1) for _ in range(4)]) for i in range(90)]
+    vectors += [vectors[0]] * 3 + [vectors[20]] + [(40, [5.0, 0.0, 0.0, 0.0])] + [vectors[7]] * 30
+    df = spark.createDataFrame(vectors, f"{id_col} long, embedding array<double>").repartition(4)
+    few = topk.Settings(block=10, queries=2, group=2, chunk=2)
+    got = topk.top_k(df, F.col(id_col) % 20 == 0, id_col=id_col, settings=few)
+    assert got.columns == ["query_id", "rank", id_col, "score"]
+    assert sorted(map(tuple, got.collect())) == plain_top(vectors)
+
+
+def test_top_k_refuses_clashing_names_and_skips_the_rotation_of_wide_vectors(spark):
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0, -2.0]) for i in range(50)], "vec_id long, embedding array<double>")
+    got = topk.top_k(df, F.col("vec_id") % 20 == 0, settings=topk.Settings(widest=2))
+    assert sorted(map(tuple, got.collect())) == plain_top([tuple(r) for r in df.collect()])
+    for name in ("rank", "__row"):
+        with pytest.raises(ValueError):
+            topk.top_k(df.withColumnRenamed("vec_id", name), F.col(name) % 20 == 0, id_col=name)
+
+
 def test_top_k_of_little(spark):
     schema = "vec_id long, embedding array<double>"
     few = [(0, [1.0, 2.0]), (20, [-1.0, 0.5]), (3, [0.0, 0.0])]
