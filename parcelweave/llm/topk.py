@@ -269,15 +269,17 @@ def top_k(
                     }))
                 else:
                     out.append(own.results())
-            return pa.concat_tables(out) if out else pa.schema([(c, pa.int64()) for c in FOUND]).empty_table()
+            return pa.concat_tables(out)
 
         return run
 
     start = ", ".join(["block long", "floors binary", "reach double", *[f"{c} binary" for c in FOUND]])
     at = fresh_dir(spark, "query-floors")
     chunks = queries.agg(F.max("chunk")).first()[0]
+    if chunks is None:
+        return spark.createDataFrame([], f"query_id long, rank int, `{id_col}` long, score long")
     # The first group has a bounded size; it goes to every chunk.
-    first = candidates.filter("group = 0").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks or 0)).cast("array<bigint>")))
+    first = candidates.filter("group = 0").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks)).cast("array<bigint>")))
     sides = (df.repartition(parts, "chunk").groupBy("chunk") for df in (queries, first))
     next(sides).cogroup(next(sides)).applyInArrow(walk(False), start).write.parquet(at)
     begun = spark.read.parquet(at)
