@@ -193,39 +193,67 @@ def _read(page: Page, css: str) -> list[list[tuple[str, list[Test]]]]:
     return alternatives
 
 
-# How an element ``n`` stands to an earlier one ``e``.
-_RELATIONS: dict[str, Callable[[Column, Column], Column]] = {
-    " ": lambda e, n: (e["pre"] < n["pre"]) & (n["pre"] <= e["post"]),
-    ">": lambda e, n: e["pre"] == n["parent"],
-    "+": lambda e, n: e["pre"] == n["prev"],
-    "~": lambda e, n: (e["parent"] == n["parent"]) & (e["pre"] < n["pre"]),
-}
-
-
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use`` of a value that is worked out once, however often it is referred to."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _matches(page: Page, steps: list[tuple[str, list[Test]]]) -> Column:
-    """Elements that match the last step, worked out from the first step on."""
+def _at(values: Column, place: Column) -> Column:
+    """Value for the element of a place, which counts from 1; null for place 0."""
+    return F.get(values, place - 1)
+
+
+def _chained(page: Page, flags: Column, pointer: str) -> Column:
+    """For every element, whether one is flagged among those that its pointers lead to, one after the other.
+
+    Pointers are followed by doubling: each round adds what the element a pointer leads to has found and takes
+    over its pointer, so rounds grow with the logarithm of the longest chain; after the last pointer they do nothing.
+    """
+    start = F.transform(
+        page.nodes,
+        lambda n: F.struct(F.coalesce(_at(flags, n[pointer]), F.lit(False)).alias("hit"), F.coalesce(n[pointer], F.lit(0)).alias("to")),
+    )
+
+    def round_of(states: Column) -> Column:
+        def step(state: Column) -> Column:
+            target = _at(states, state["to"])
+            return F.when(state["to"] > 0, F.struct((state["hit"] | target["hit"]).alias("hit"), target["to"].alias("to"))).otherwise(state)
+
+        return F.when(F.exists(states, lambda state: state["to"] > 0), F.transform(states, step)).otherwise(states)
+
+    most = F.sequence(F.lit(0), F.ceil(F.log2(F.size(page.nodes) + 1)).cast("int"))
+    return F.transform(F.aggregate(most, start, lambda states, _: round_of(states)), lambda state: state["hit"])
+
+
+# For every element, whether a flagged one stands in the relation to it; one pass over the elements or a few.
+_RELATIONS: dict[str, Callable[[Page, Column], Column]] = {
+    " ": lambda page, flags: _chained(page, flags, "parent"),
+    ">": lambda page, flags: F.transform(page.nodes, lambda n: _at(flags, n["parent"])),
+    "+": lambda page, flags: F.transform(page.nodes, lambda n: _at(flags, n["prev"])),
+    "~": lambda page, flags: _chained(page, flags, "prev"),
+}
+
+
+def _related(page: Page, steps: list[tuple[str, list[Test]]], use: Callable[[Test], Column]) -> Column:
+    """``use`` of the test whether an element matches the last step; earlier steps are flags by place."""
     relation, tests = steps[-1]
     if len(steps) == 1:
-        return F.filter(page.nodes, lambda n: _all(tests, n))
-    near = _RELATIONS[relation]
-    return bound(
-        _matches(page, steps[:-1]),
-        lambda earlier: F.filter(page.nodes, lambda n: _all(tests, n) & F.exists(earlier, lambda e: near(e, n))),
-    )
+        return use(lambda n: _all(tests, n))
+    flags = _related(page, steps[:-1], lambda test: F.transform(page.nodes, lambda n: F.coalesce(test(n), F.lit(False))))
+    near = bound(flags, lambda earlier: _RELATIONS[relation](page, earlier))
+    return bound(near, lambda by_place: use(lambda n: _all(tests, n) & _at(by_place, n["pre"])))
 
 
 def select_css(page: Page, css: str) -> Column:
     """Matching elements in document order."""
-    options = [_matches(page, steps) for steps in _read(page, css)]
-    if len(options) == 1:
-        return options[0]
-    places = F.concat(*[F.transform(option, lambda n: n["pre"]) for option in options])
-    return bound(places, lambda found: F.filter(page.nodes, lambda n: F.array_contains(found, n["pre"])))
+    options = _read(page, css)
+
+    def any_of(rest: list, tests: list[Test]) -> Column:
+        if not rest:
+            return F.filter(page.nodes, lambda n: functools.reduce(Column.__or__, [F.coalesce(test(n), F.lit(False)) for test in tests]))
+        return _related(page, rest[0], lambda test: any_of(rest[1:], [*tests, test]))
+
+    return any_of(options, [])
 
 
 def xpath_to_css(xpath: str) -> str | None:

@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from parcelweave.functions import urls
 from parcelweave.operators import pages as P
 from parcelweave.operators.html import shred, shred_html
-from parcelweave.operators.selectors import Page, UnsupportedSelector, extract, extract_all, xpath_to_css
+from parcelweave.operators.selectors import Page, UnsupportedSelector, extract, extract_all, select, xpath_to_css
 
 HTML = """<html><head><title> Record </title><style>.x{background:url('//cdn.a/bg.png')} .logo{background:url(logo.png)}</style>
 <script>var a = "</p><b>";</script></head><body>
 <div id="lot">77-0420-9</div><div id="holder"> Ada <i>Lovelace</i> </div><div class="address big">8 Mill Lane</div>
 <a href="https://example.com/owner/1" class="own">O</a><a href="/local">L</a><a>none</a>
-<table class="tabular-data-two-column"><tr><td id="ctl_lblParcelID">R-1<tr><td id="ctl_lblOther">two</table>
-<table id="ctl_grdValuation"><tr class="double-total-line"><td class="value-column">1</td></tr>
-<tr class="double-total-line"><td class="value-column">2</td></tr>
-<tr class="double-total-line"><th>t</th><td class="value-column">30</td><td class="value-column">31</td></tr></table>
+<table class="pair-grid"><tr><td id="lot_plotNo">R-1<tr><td id="lot_second">two</table>
+<table id="lot_amounts"><tr class="sum-row"><td class="amount">1</td></tr>
+<tr class="sum-row"><td class="amount">2</td></tr>
+<tr class="sum-row"><th>t</th><td class="amount">30</td><td class="amount">31</td></tr></table>
 <p>one<p>two <b>bold<p>three</p>
 <img src="//cdn.a/house.jpg?w=1" srcset="/a.png 1x, //b.c/d.webp 2x, data:zzz 3x"><img src="/icon.png"><img src="data:image/png;x">
 <div style="background-image: url('/bg2.GIF')"></div><img src="/page.html"><img src="/a.png" data-zoom="/z.jpeg">
@@ -45,11 +45,11 @@ def one(page, column):
         ({"selector": "a", "index": -1}, "none"),
         ({"selector": "a", "index": 9}, None),
         ({"selector": "a", "index": -9}, None),
-        ({"selector": "[id*='_lblParcelID']"}, "R-1"),
-        ({"selector": "[id^=ctl_lbl][id$=Other]"}, "two"),
+        ({"selector": "[id*='_plotNo']"}, "R-1"),
+        ({"selector": "[id^=lot_][id$=second]"}, "two"),
         ({"selector": "td + td"}, "31"),
         ({"selector": "table > tr > td"}, "R-1"),
-        ({"selector": "body table tr td.value-column", "index": 1}, "2"),
+        ({"selector": "body table tr td.amount", "index": 1}, "2"),
         ({"selector": "h9, th , #nope"}, "t"),
         ({"selector": "div:contains('Mill')"}, "8 Mill Lane"),
         ({"selector": "title"}, "Record"),
@@ -60,7 +60,7 @@ def one(page, column):
         ({"selector": "p ~ p", "index": 1}, "three"),
         ({"selector": "div:not(.address):not(#lot)", "index": 0}, "AdaLovelace"),
         ({"selector": "td:last-of-type", "index": -1}, "31"),
-        ({"selector": "tr:nth-child(2n+1) > .value-column", "index": 1}, "30"),
+        ({"selector": "tr:nth-child(2n+1) > .amount", "index": 1}, "30"),
         ({"selector": "tr:nth-last-child(-n+1) td"}, "two"),
         ({"selector": "p:first-of-type"}, "one"),
         ({"selector": "p:only-child"}, None),
@@ -98,9 +98,9 @@ def test_images(page):
 
 
 def test_table_extract(page):
-    value = P.table_extract(Page.columns(), "#ctl_grdValuation .double-total-line", ".value-column", 2)
+    value = P.table_extract(Page.columns(), "#lot_amounts .sum-row", ".amount", 2)
     assert one(page, value) == "30"
-    assert one(page, P.table_extract(Page.columns(), "#ctl_grdValuation tr", ".value-column", 7)) is None
+    assert one(page, P.table_extract(Page.columns(), "#lot_amounts tr", ".amount", 7)) is None
 
 
 def test_shred_positions():
@@ -209,3 +209,52 @@ def test_the_tokeniser_travels_without_the_package(tmp_path):
     )
     done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, capture_output=True, text=True, timeout=120)
     assert "TEXT x" in done.stdout, done.stderr[-2000:]
+
+
+def random_page(seed, size):
+    import random
+
+    pick, out, opened = random.Random(seed), [], []
+    while len(out) < size:
+        if opened and pick.random() < 0.45:
+            out.append(f"</{opened.pop()}>")
+        else:
+            opened.append(pick.choice(["div", "span", "section", "b"]))
+            out.append(f'<{opened[-1]} class="k{pick.randint(0, 2)}">')
+    return "".join(out + [f"</{tag}>" for tag in reversed(opened)])
+
+
+def related(nodes, css):
+    """Places that match, by comparing every element with every earlier match."""
+    near = {
+        " ": lambda e, n: e["pre"] < n["pre"] <= e["post"],
+        ">": lambda e, n: e["pre"] == n["parent"],
+        "+": lambda e, n: e["pre"] == n["prev"],
+        "~": lambda e, n: e["parent"] == n["parent"] and e["pre"] < n["pre"],
+    }
+
+    def fits(n, simple):
+        tag, _, kind = simple.partition(".")
+        return tag in ("", "*", n["tag"]) and (not kind or kind in n["classes"])
+
+    found = set()
+    for option in css.split(","):
+        relation, earlier = None, []
+        for part in option.split():
+            if part in near:
+                relation = part
+                continue
+            matched = [n for n in nodes if fits(n, part) and (relation is None or any(near[relation](e, n) for e in earlier))]
+            relation, earlier = " ", matched
+        found |= {n["pre"] for n in earlier}
+    return sorted(found)
+
+
+def test_relations_by_comparing_all_pairs(spark):
+    pages = [(i, "u", random_page(i, size)) for i, size in enumerate([0, 1, 30, 300, 900])] + [(9, "u", "<div>" * 150 + "<b>deep</b>")]
+    shredded = shred_html(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    chosen = ["div b", "div > b", "* + b", "div ~ b", "div.k1 span ~ b", ".k0 .k1 > .k2", "section b , div + div span , b", "div div div div b", "span ~ span ~ span"]
+    columns = [F.transform(select(Page.columns(), css), lambda n: n["pre"]).alias(f"c{i}") for i, css in enumerate(chosen)]
+    for row in shredded.select("page_id", "nodes", *columns).collect():
+        for i, css in enumerate(chosen):
+            assert row[f"c{i}"] == related(row["nodes"], css), (row["page_id"], css)

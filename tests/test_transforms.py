@@ -1,4 +1,4 @@
-"""Transforms against an independent restatement of their rules in plain Python."""
+"""Transforms: expected values as literals, and properties."""
 
 import re
 from datetime import datetime
@@ -16,37 +16,53 @@ from parcelweave.operators.mapping import (
     suggest_mapping,
 )
 
-TEXTS = [
-    "", " ", "APN: 908-177", "apn:77", "IDAHO-1", "ID_5_x", "Parcel  9/8 b", "MARIE CURIE LLC", "o'brien mc-donald",
-    "ACME  corp.", "Trust", "The Trust", "éCOLE élan", "straße ßa", "a1b2 c3d", "$9,876.54", "(5)", "1_000", "1.0d",
-    "nan", "-inf", "12.50", "1-2", "0", "-7", "1e3", ".5", "5.", "_1", "1__0", "  42 ", "\t tab\x1f", "2024-02-30",
-    "2/3/2024", "02/03/2024", "2024-02-03", "中文 字", "x,y,,z", "＄", "l.l.c.", "Foo L.L.C.", "ab co", "123abc",
-]
-
-
-def py_float(s):
-    try:
-        return float(s)
-    except ValueError:
-        return None
-
-
-def py_clean(s):
-    s = re.sub(r"^(APN|PARCEL|ID)[:\s]*", "", s, flags=re.I)
-    return re.sub(r"[^\w\-]", "", s).replace("_", "-").strip().upper()
-
-
-def py_name(s):
-    s = re.sub(r"\s+(LLC|L\.L\.C\.|INC|CORP|CO|TRUST|TRUSTEE)\.?$", "", s, flags=re.I)
-    return re.sub(r"\s+", " ", s).title().strip()
-
-
-def py_int(s):
-    kept = re.sub(r"[^\d\-]", "", s)
-    try:
-        return int(kept)
-    except ValueError:
-        return None
+#: Text, and what it is as a parcel id, a name, a decimal and an integer.
+CLEANED = [
+    ("", "", "", None, None),
+    (" ", "", "", None, None),
+    ("APN: 908-177", "908-177", "Apn: 908-177", None, None),
+    ("apn:77", "77", "Apn:77", None, 77),
+    ("IDAHO-1", "AHO-1", "Idaho-1", None, -1),
+    ("ID_5_x", "-5-X", "Id_5_X", None, 5),
+    ("Parcel  9/8 b", "98B", "Parcel 9/8 B", None, 98),
+    ("MARIE CURIE LLC", "MARIECURIELLC", "Marie Curie", None, None),
+    ("o'brien mc-donald", "OBRIENMC-DONALD", "O'Brien Mc-Donald", None, None),
+    ("ACME  corp.", "ACMECORP", "Acme", None, None),
+    ("Trust", "TRUST", "Trust", None, None),
+    ("The Trust", "THETRUST", "The", None, None),
+    ("éCOLE élan", "ÉCOLEÉLAN", "École Élan", None, None),
+    ("straße ßa", "STRASSESSA", "Straße Ssa", None, None),
+    ("a1b2 c3d", "A1B2C3D", "A1B2 C3D", None, 123),
+    ("$9,876.54", "987654", "$9,876.54", 9876.54, 987654),
+    ("(5)", "5", "(5)", None, 5),
+    ("1_000", "1-000", "1_000", 1000.0, 1000),
+    ("1.0d", "10D", "1.0D", None, 10),
+    ("nan", "NAN", "Nan", float("nan"), None),
+    ("-inf", "-INF", "-Inf", float("-inf"), None),
+    ("12.50", "1250", "12.50", 12.5, 1250),
+    ("1-2", "1-2", "1-2", None, None),
+    ("0", "0", "0", 0.0, 0),
+    ("-7", "-7", "-7", -7.0, -7),
+    ("1e3", "1E3", "1E3", 1000.0, 13),
+    (".5", "5", ".5", 0.5, 5),
+    ("5.", "5", "5.", 5.0, 5),
+    ("_1", "-1", "_1", None, 1),
+    ("1__0", "1--0", "1__0", None, 10),
+    ("  42 ", "42", "42", 42.0, 42),
+    ("\t tab\x1f", "TAB", "Tab", None, None),
+    ("2024-02-30", "2024-02-30", "2024-02-30", None, None),
+    ("2/3/2024", "232024", "2/3/2024", None, 232024),
+    ("02/03/2024", "02032024", "02/03/2024", None, 2032024),
+    ("2024-02-03", "2024-02-03", "2024-02-03", None, None),
+    ("中文 字", "中文字", "中文 字", None, None),
+    ("x,y,,z", "XYZ", "X,Y,,Z", None, None),
+    ("＄", "", "＄", None, None),
+    ("l.l.c.", "LLC", "L.L.C.", None, None),
+    ("Foo L.L.C.", "FOOLLC", "Foo", None, None),
+    ("ab co", "ABCO", "Ab", None, None),
+    ("123abc", "123ABC", "123Abc", None, 123),
+]
+TEXTS = [row[0] for row in CLEANED]
 
 
 def py_date(s):
@@ -57,10 +73,6 @@ def py_date(s):
 
 
 RESTATED = {
-    "clean_parcel_id": (T.clean_parcel_id, py_clean, {}),
-    "normalize_name": (T.normalize_name, py_name, {}),
-    "to_decimal": (T.to_decimal, lambda s: py_float(re.sub("[$,]", "", s)) if s else None, {}),
-    "to_integer": (T.to_integer, py_int, {}),
     "to_date": (T.to_date, py_date, {"format": "%m/%d/%Y"}),
     "trim": (lambda v, c: T.strip(v), lambda s: s.strip(), {}),
     "title": (lambda v, c: T.title_case(v), lambda s: s.title(), {}),
@@ -71,6 +83,28 @@ RESTATED = {
 }
 
 
+def cleaned(spark):
+    columns = [build(F.col("t"), {}) for build in (T.clean_parcel_id, T.normalize_name, T.to_decimal, T.to_integer)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "i int, t string")
+    return [tuple(r)[1:] for r in df.select("i", *columns).orderBy("i").collect()]
+
+
+def test_cleaned_values(spark):
+    for (text, *want), got in zip(CLEANED, cleaned(spark)):
+        assert all(a == b or (a != a and b != b) for a, b in zip(want, got)), (text, want, got)
+
+
+def test_properties_of_cleaned_values(spark):
+    found = cleaned(spark)
+    for parcel, name, _, _ in found:
+        assert not re.search(r"[^\w-]|_", parcel) and parcel == parcel.upper()
+        assert name == name.strip() and "  " not in name
+    again = spark.createDataFrame([(i, p, n) for i, (p, n, _, _) in enumerate(found)], "i int, p string, n string")
+    row = again.select("i", "p", "n", T.strip(F.col("n")).alias("stripped"), T.normalize_name(F.col("n"), {}).alias("name")).orderBy("i").collect()
+    assert all(r["n"] == r["stripped"] for r in row)
+    assert all(r["name"] == r["n"] for r in row if not re.search(r"(?i)\b(trust|co|corp|inc|llc)\W*$", r["n"]))
+
+
 @pytest.mark.parametrize("name", list(RESTATED))
 def test_transform_matches_restatement(spark, name):
     build, restated, config = RESTATED[name]
