@@ -182,20 +182,26 @@ def _in_ranges(events: DataFrame, as_of: Column) -> DataFrame:
 def range_stats(events: DataFrame, as_of: Column) -> DataFrame:
     """Totals, success rate and runtime figures per range, by task type and platform.
 
-    Null task type or platform marks a subtotal.
+    ``grouping`` tells subtotals from unknown values: 0 by type and platform, 1 by type, 2 by platform, 3 for
+    the whole range. A dimension that is summed over is null.
     """
-    dims = ["range", "task_type", "platform"]
+    finest_dims = ["range", "task_type", "platform"]
+    dims = ["range", "grouping", "task_type", "platform"]
     ranged = _in_ranges(events, as_of)
-    all_kinds = F.array(
-        F.struct(F.col("task_type").alias("t"), F.col("platform").alias("p")),
-        F.struct(F.col("task_type").alias("t"), F.lit(None).cast("string").alias("p")),
-        F.struct(F.lit(None).cast("string").alias("t"), F.col("platform").alias("p")),
-        F.struct(F.lit(None).cast("string").alias("t"), F.lit(None).cast("string").alias("p")),
-    )
+
+    def kind(number: int) -> Column:
+        by_type, by_platform = number in (0, 1), number in (0, 2)
+        return F.struct(
+            F.lit(number).alias("g"),
+            (F.col("task_type") if by_type else F.lit(None).cast("string")).alias("t"),
+            (F.col("platform") if by_platform else F.lit(None).cast("string")).alias("p"),
+        )
+
+    all_kinds = F.array(*[kind(number) for number in range(4)])
     done = F.col("type").isin("succeeded", "failed")
     timed = F.when(done, F.col("runtime"))
     # Events are aggregated once; subtotals come from the few rows that are left.
-    finest = ranged.groupBy(*dims).agg(
+    finest = ranged.groupBy(*finest_dims).agg(
         F.count_if(done).alias("total"),
         _count("succeeded").alias("succeeded"),
         _count("failed").alias("failed"),
@@ -207,7 +213,8 @@ def range_stats(events: DataFrame, as_of: Column) -> DataFrame:
 
     def every_kind(rows: DataFrame, *columns: str) -> DataFrame:
         exploded = rows.select("range", F.explode(all_kinds).alias("k"), *columns)
-        return exploded.select("range", F.col("k.t").alias("task_type"), F.col("k.p").alias("platform"), *columns)
+        names = {"k.g": "grouping", "k.t": "task_type", "k.p": "platform"}
+        return exploded.select("range", *[F.col(c).alias(name) for c, name in names.items()], *columns)
 
     sums = ["total", "succeeded", "failed", "runtime", "timed"]
     stats = every_kind(finest, *sums, "min_runtime", "max_runtime").groupBy(*dims).agg(
@@ -245,12 +252,15 @@ def platform_health(events: DataFrame) -> DataFrame:
 
 
 def queue_depth(tasks: DataFrame) -> DataFrame:
-    """Waiting tasks per level and platform with subtotals; the urgent total carries the alert."""
+    """Waiting tasks per level and platform with subtotals; the urgent total carries the alert.
+
+    ``grouping`` tells subtotals from unknown values: 0 by level and platform, 1 by level, 3 for the whole queue.
+    """
     waiting = tasks.where(F.col("status") == "pending").select("level", "platform")
-    depth = waiting.rollup("level", "platform").agg(F.count("*").alias("depth"), F.grouping_id().alias("__g"))
-    urgent = (F.col("level") == 1) & (F.col("__g") == 1)
+    depth = waiting.rollup("level", "platform").agg(F.count("*").alias("depth"), F.grouping_id().cast("int").alias("grouping"))
+    urgent = (F.col("level") == 1) & (F.col("grouping") == 1)
     alert = F.when(urgent, alert_level(F.col("depth"), *DEPTH_LIMITS)).otherwise("ok")
-    return depth.select("level", "platform", "depth", alert.alias("alert"))
+    return depth.select("grouping", "level", "platform", "depth", alert.alias("alert"))
 
 
 def wait_limit(level: Column) -> Column:

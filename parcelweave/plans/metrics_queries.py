@@ -136,9 +136,9 @@ def tasks_per_worker(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""{_T}, r AS (SELECT t.*, rg.range FROM telemetry t, (SELECT unnest(['1h', '24h', '7d']) AS range, unnest([3600, 86400, 604800]) AS secs) rg
+    f"""{_T}, r AS (SELECT t.* REPLACE (nullif(task_type, 'fast') AS task_type, nullif(platform, 'p1') AS platform), rg.range FROM telemetry t, (SELECT unnest(['1h', '24h', '7d']) AS range, unnest([3600, 86400, 604800]) AS secs) rg
   WHERE ts <= TIMESTAMP '2024-01-30 23:59:00' AND date_sub('second', ts, TIMESTAMP '2024-01-30 23:59:00') < secs)
-SELECT range, task_type, platform, CAST(count(*) FILTER (WHERE type IN ('succeeded', 'failed')) AS BIGINT) AS total, {_GOOD} AS succeeded, {_BAD} AS failed,
+SELECT range, CAST(grouping(task_type, platform) AS INT) AS grouping, task_type, platform, CAST(count(*) FILTER (WHERE type IN ('succeeded', 'failed')) AS BIGINT) AS total, {_GOOD} AS succeeded, {_BAD} AS failed,
   round(CASE WHEN count(*) FILTER (WHERE type IN ('succeeded', 'failed')) > 0 THEN
     count(*) FILTER (WHERE type = 'succeeded') / count(*) FILTER (WHERE type IN ('succeeded', 'failed')) END, 4) AS success_rate,
   round(avg(runtime) FILTER (WHERE type IN ('succeeded', 'failed')), 4) AS avg_runtime,
@@ -148,7 +148,9 @@ SELECT range, task_type, platform, CAST(count(*) FILTER (WHERE type IN ('succeed
 FROM r GROUP BY GROUPING SETS ((range, task_type, platform), (range, task_type), (range, platform), (range))"""
 )
 def range_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return I.range_stats(_events(spark, sf), as_ts("2024-01-30 23:59:00"))
+    """Events of the type ``fast`` and of platform ``p1`` come as of unknown type and platform."""
+    unknown = {c: F.nullif(F.col(c), F.lit(value)) for c, value in (("task_type", "fast"), ("platform", "p1"))}
+    return I.range_stats(_events(spark, sf).withColumns(unknown), as_ts("2024-01-30 23:59:00"))
 
 
 @query(
@@ -162,13 +164,14 @@ def platform_health(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {TASKS_SQL}, d AS (SELECT level, platform, count(*) AS depth, grouping(level, platform) AS g FROM tasks WHERE status = 'pending'
-  GROUP BY ROLLUP (level, platform))
-SELECT CAST(level AS INT) AS level, platform, CAST(depth AS BIGINT) AS depth, CASE WHEN level = 1 AND g = 1 AND depth > 500 THEN 'critical'
+    f"""WITH {TASKS_SQL}, q AS (SELECT level, nullif(platform, 'FRANCE') AS platform FROM tasks WHERE status = 'pending'),
+d AS (SELECT level, platform, count(*) AS depth, grouping(level, platform) AS g FROM q GROUP BY ROLLUP (level, platform))
+SELECT CAST(g AS INT) AS grouping, CAST(level AS INT) AS level, platform, CAST(depth AS BIGINT) AS depth, CASE WHEN level = 1 AND g = 1 AND depth > 500 THEN 'critical'
   WHEN level = 1 AND g = 1 AND depth > 100 THEN 'warning' ELSE 'ok' END AS alert FROM d"""
 )
 def queue_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    return I.queue_depth(tasks(spark, sf))
+    """Tasks of one country come as of an unknown platform."""
+    return I.queue_depth(tasks(spark, sf).withColumn("platform", F.nullif(F.col("platform"), F.lit("FRANCE"))))
 
 
 @query(

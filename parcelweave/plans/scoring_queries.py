@@ -240,7 +240,13 @@ def _ended(spark: SparkSession, sf: str) -> DataFrame:
         F.col("id").cast("string").alias("task_id"), "platform",
         F.when(good, "task.completed").otherwise("task.failed").alias("event"),
         F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"),
-        F.when(good, F.struct(F.col("priority").alias("priority"), F.concat(F.lit("Señor 😀 "), "county").alias("county"))).alias("result"),
+        F.when(
+            good,
+            F.struct(
+                F.col("priority").alias("priority"), F.concat(F.lit("Señor 😀 "), "county").alias("county"),
+                (F.col("amount") * 1000).alias("amount"), (F.col("priority") / 1e5).alias("share"),
+            ),
+        ).alias("result"),
         F.when(
             good, F.create_map(F.lit("pdf"), F.lit("raw/p"), F.lit("html"), F.concat(F.lit("raw/"), F.col("id").cast("string")))
         ).alias("raw_paths"),
@@ -254,7 +260,7 @@ _OUTBOX_SQL = f"""{TASKS_SQL}, o AS (SELECT CAST(id AS VARCHAR) AS task_id,
   ',"event":"' || CASE WHEN status = 'completed' THEN 'task.completed' ELSE 'task.failed' END ||
   '","job_id":null,"platform":"' || platform || '","raw_paths":' ||
   CASE WHEN status = 'completed' THEN '{{"html":"raw/' || id || '","pdf":"raw/p"}}' ELSE 'null' END || ',"result":' ||
-  CASE WHEN status = 'completed' THEN '{{"county":"Se\\u00f1or \\ud83d\\ude00 ' || county || '","priority":' || priority || '}}' ELSE 'null' END ||
+  CASE WHEN status = 'completed' THEN '{{"amount":' || CAST(amount * 1000 AS VARCHAR) || ',"county":"Se\\u00f1or \\ud83d\\ude00 ' || county || '","priority":' || priority || ',"share":' || CAST(priority / 1e5 AS VARCHAR) || '}}' ELSE 'null' END ||
   ',"stats":null,"task_id":"' || id || '","timestamp":"' || strftime(created_at, '%Y-%m-%dT%H:%M:%S') || '"}}' AS payload
   FROM tasks WHERE status <> 'pending')"""
 

@@ -117,3 +117,55 @@ def test_queue_alerts(spark):
     df = spark.range(101).selectExpr("'pending' AS status", "1 AS level", "'p' AS platform")
     got = {(r["level"], r["platform"]): (r["depth"], r["alert"]) for r in I.queue_depth(df).collect()}
     assert got == {(1, "p"): (101, "ok"), (1, None): (101, "warning"), (None, None): (101, "ok")}
+
+
+def test_unknown_dimensions_are_no_subtotals(spark):
+    rows = [("succeeded", None, "p", 3.0), ("succeeded", "t", "p", 1.0), ("failed", "t", None, 5.0), ("failed", None, None, 9.0)]
+    events = spark.createDataFrame(rows, "type string, task_type string, platform string, runtime double").withColumn(
+        "ts", F.lit("2024-01-01 00:00:00").cast("timestamp")
+    )
+    stats = I.range_stats(events, F.lit("2024-01-01 00:00:10").cast("timestamp")).where("range = '1h'").collect()
+    got = {(r["grouping"], r["task_type"], r["platform"]): (r["total"], r["median_runtime"]) for r in stats}
+    assert len(stats) == len(got) and got == {
+        (0, None, "p"): (1, 3.0), (0, "t", "p"): (1, 1.0), (0, "t", None): (1, 5.0), (0, None, None): (1, 9.0),
+        (1, None, None): (2, 6.0), (1, "t", None): (2, 3.0), (2, None, "p"): (2, 2.0), (2, None, None): (2, 7.0), (3, None, None): (4, 4.0),
+    }
+    queue = spark.createDataFrame([("pending", 1, None), ("pending", None, "p"), ("pending", None, None)], "status string, level int, platform string")
+    depth = {(r["grouping"], r["level"], r["platform"]): r["depth"] for r in I.queue_depth(queue).collect()}
+    assert depth == {(0, 1, None): 1, (0, None, "p"): 1, (0, None, None): 1, (1, 1, None): 1, (1, None, None): 2, (3, None, None): 3}
+
+
+def test_fractions_are_written_as_a_receiver_writes_them(spark):
+    import json
+    import random
+    import struct
+
+    pick = random.Random(6)
+    values = [struct.unpack("<d", struct.pack("<Q", pick.getrandbits(64)))[0] for _ in range(4000)]
+    values = [v for v in values if v == v and abs(v) != float("inf")]
+    values += [pick.uniform(-1e6, 1e6) for _ in range(2000)] + [round(pick.uniform(0, 1e9), 2) for _ in range(3000)]
+    values += [float(f"{pick.randint(1, 999)}e{pick.randint(-30, 30)}") for _ in range(1500)]
+    values += [0.0, -0.0, 1e16, 9999999999999998.0, 1e-4, 9.999e-5, 8.41e21, 2e23, 5e-324, 1.7976931348623157e308, 12500000.0, 100.0]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, v double").repartition(4)
+    got = {r["i"]: r["t"] for r in df.select("i", L.plain_number(F.col("v")).alias("t")).collect()}
+    wrong = [(v, got[i]) for i, v in enumerate(values) if got[i] != json.dumps(v)]
+    assert not wrong, wrong[:5]
+
+
+def test_payloads_with_fractions_at_every_depth(spark):
+    import json
+
+    rows = [("7", 12500000.0, 0.00001, "say \"number-\" 1.0E7")]
+    df = spark.createDataFrame(rows, "task_id string, a double, b double, c string").select(
+        "task_id", F.lit("task.completed").alias("event"),
+        F.struct(
+            F.col("a").alias("assessed"), F.array("a", "b", F.lit(None).cast("double")).alias("list"), F.create_map(F.col("c"), F.col("b")).alias("map"),
+            F.lit("12.50").cast("decimal(10,2)").alias("money"), F.lit(3).cast("decimal(10,0)").alias("whole"), F.lit(0.1).cast("float").alias("f"),
+            F.lit(float("nan")).alias("nan"), F.col("c").alias("c"),
+        ).alias("result"),
+    )
+    payload = L.notification_outbox(df).first()["payload"]
+    read = json.loads(payload)
+    assert payload == json.dumps(read, sort_keys=True, separators=(",", ":"))
+    assert read["result"]["assessed"] == 12500000.0 and read["result"]["list"] == [12500000.0, 1e-05, None] and read["result"]["f"] == 0.1
+    assert '"money":12.5,' in payload and '"whole":3' in payload and '"nan":NaN' in payload
