@@ -361,7 +361,8 @@ lists AS (
   UNION ALL SELECT id, url, 1, row_number() OVER (ORDER BY last_scraped_at ASC NULLS FIRST, id) FROM tasks WHERE status <> 'processing'
   UNION ALL SELECT id, url, 2, row_number() OVER (ORDER BY signal_strength DESC, last_scraped_at ASC NULLS FIRST, id)
     FROM tasks JOIN live USING (county)),
-l AS (SELECT * FROM lists WHERE pos <= 100),
+b AS (SELECT id, url, rank, pos AS row_pos FROM lists QUALIFY row_number() OVER (PARTITION BY rank, url ORDER BY pos) = 1),
+l AS (SELECT *, row_number() OVER (PARTITION BY rank ORDER BY row_pos) AS pos FROM b QUALIFY pos <= 100),
 r AS (SELECT * FROM l WHERE rank = 0 ORDER BY pos LIMIT 50),
 c AS (SELECT * FROM l WHERE rank = 1 AND url NOT IN (SELECT url FROM r) ORDER BY pos LIMIT 30),
 h AS (SELECT * FROM l WHERE rank = 2 AND url NOT IN (SELECT url FROM r UNION ALL SELECT url FROM c) ORDER BY pos LIMIT 20),

@@ -81,7 +81,7 @@ def stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
 SELECT user_id, event_id, value FROM r WHERE rn = 1"""
 )
 def stream_compacted(spark: SparkSession, sf: str) -> DataFrame:
-    """Deltas of a first delivery are compacted into a base; those of a second one come on top."""
+    """Deltas of a first delivery are compacted into a base and emptied; those of a second one come on top."""
     base = fresh_dir(spark, "compacted")
     events = load(spark, sf, "events").select("user_id", "event_id", "ts", "value")
     key, order = ["user_id"], ["ts", "event_id"]
@@ -91,6 +91,7 @@ def stream_compacted(spark: SparkSession, sf: str) -> DataFrame:
         K.stream_upsert(rows, key, order, f"{base}/deltas", f"{base}/checkpoint").awaitTermination()
         if delivery == 0:
             K.compact(spark, f"{base}/deltas", key, order)
+            K.drop_deltas(spark, f"{base}/deltas")
     return K.read_upserted(spark, f"{base}/deltas", key, order=order).select("user_id", "event_id", "value")
 
 

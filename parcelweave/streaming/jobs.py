@@ -86,39 +86,74 @@ def read_upserted(
 
     Give ``order`` when a late batch may hold older rows than an earlier one.
     """
-    deltas = spark.read.option("basePath", path).parquet(path)
     compacted = _compacted(spark, path)
-    if compacted is not None:
+    if compacted is None:
+        deltas = spark.read.option("basePath", path).parquet(path)
+    else:
         table, upto = compacted
-        # Deltas that the base holds are pruned by their folder.
-        deltas = deltas.where(F.col("batch") > upto).unionByName(table.withColumn("batch", F.lit(upto).cast(deltas.schema["batch"].dataType)))
+        # Deltas that the base holds are pruned by their folder, and may be gone: the schema is the base's.
+        every = T.StructType([*table.schema.fields, T.StructField("batch", T.IntegerType())])
+        later = spark.read.schema(every).option("basePath", path).parquet(path).where(F.col("batch") > upto)
+        deltas = later.unionByName(table.withColumn("batch", F.lit(upto)))
     latest = last_write_wins(deltas, key, [*order, "batch"]).drop("batch")
     return latest if base is None else upsert(base, latest, key, strategy)
 
 
-def _compacted(spark: SparkSession, path: str) -> tuple[DataFrame, int] | None:
-    """The newest base that ``compact`` wrote, and the last batch it holds."""
+def _listed(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+    """A Parquet folder, or nothing where there is none."""
+    reader = spark.read.option("basePath", path)
     try:
-        bases = spark.read.option("basePath", f"{path}/_base").parquet(f"{path}/_base")
+        return (reader.schema(schema) if schema else reader).parquet(path)
     except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
-    upto = bases.agg(F.max("upto")).first()[0]
-    return bases.where(F.col("upto") == upto).drop("upto"), int(upto)
+
+
+def _compacted(spark: SparkSession, path: str) -> tuple[DataFrame, int] | None:
+    """The newest base that ``compact`` published, and the last batch it holds.
+
+    What counts is the manifest, one row written after a base is whole: a base that is still being written has none.
+    """
+    manifest = _listed(spark, f"{path}/_manifest", "upto int")
+    newest = manifest.agg(F.max("upto")).first()[0] if manifest is not None else None
+    if newest is None:
+        return None
+    return spark.read.parquet(f"{path}/_base/upto={newest}"), newest
 
 
 def compact(spark: SparkSession, path: str, key: Sequence[str], order: Sequence[str] = ()) -> int:
     """Resolve all deltas so far into one base; returns the last batch it holds.
 
-    Run it between runs of the job. A base appears when its write is committed and never changes;
-    readers then skip the deltas it holds, which may be deleted. The work is that of one read.
+    Run it between runs of the job. A base is published by one row of a manifest when all its files are
+    written, and never changes; readers then skip the deltas it holds, which ``drop_deltas`` empties or you
+    may delete. Without newer deltas nothing is written. The work is that of one read.
     """
-    upto = spark.read.option("basePath", path).parquet(path).agg(F.max("batch")).first()[0]
     known = _compacted(spark, path)
-    if known is None or known[1] < upto:
-        read_upserted(spark, path, key, order=order).write.mode("overwrite").parquet(f"{path}/_base/upto={upto}")
-    return int(upto)
+    # The kind of the rows is of no interest here, and there may be no file left to tell it.
+    deltas = spark.read.schema("batch int").option("basePath", path).parquet(path)
+    newest = deltas.agg(F.max("batch")).first()[0]
+    if newest is None and known is None:
+        raise ValueError(f"{path} holds no delta")
+    if known is not None and (newest is None or newest <= known[1]):
+        return known[1]
+    read_upserted(spark, path, key, order=order).write.mode("overwrite").parquet(f"{path}/_base/upto={newest}")
+    spark.createDataFrame([(newest,)], "upto int").coalesce(1).write.mode("append").parquet(f"{path}/_manifest")
+    return newest
+
+
+def drop_deltas(spark: SparkSession, path: str) -> list[int]:
+    """Empty the deltas that the published base holds; returns their batches. Readers never look at them again."""
+    compacted = _compacted(spark, path)
+    if compacted is None:
+        return []
+    table, upto = compacted
+    every = T.StructType([*table.schema.fields, T.StructField("batch", T.IntegerType())])
+    held = spark.read.schema(every).option("basePath", path).parquet(path).where(F.col("batch") <= upto)
+    batches = sorted(row["batch"] for row in held.groupBy("batch").agg(F.count("*")).collect())  # one row a batch
+    for batch in batches:
+        spark.createDataFrame([], table.schema).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    return batches
 
 
 def stream_dedup(

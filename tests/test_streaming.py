@@ -132,3 +132,35 @@ def test_silent_tasks_leave_the_state(spark, feed):
     run()
     # Task 1 was silent for hours: its two tries are forgotten.
     assert rows(K.read_upserted(spark, f"{base}/d", ["id"])) == [(1, "pending", 1), (2, "completed", 0), (3, "failed", 0)]
+
+
+def test_deltas_of_a_base_may_go(spark, feed, tmp_path):
+    """Reading and compacting need no delta that the base holds, and see no base that isn't published."""
+    import shutil
+    from pathlib import Path
+
+    add, stream, base = feed
+    key, order = ["id"], ["ts", "seq"]
+    run = lambda: K.stream_upsert(stream(), key, order, f"{base}/d", f"{base}/cp").awaitTermination()
+    read = lambda: rows(K.read_upserted(spark, f"{base}/d", key, order=order), "id", "type")
+    assert K.drop_deltas(spark, f"{base}/none") == []
+    add([(1, at(0), 1, "a", None), (2, at(0), 1, "a", None)])
+    run()
+    add([(1, at(5), 2, "b", None)])
+    run()
+    # A base that is still being written has no row in the manifest.
+    spark.createDataFrame([(9,)], "id int").write.parquet(f"{base}/d/_base/upto=7")
+    assert read() == [(1, "b"), (2, "a")] and K.compact(spark, f"{base}/d", key, order) == 1
+    assert K.drop_deltas(spark, f"{base}/d") == [0, 1] and K.drop_deltas(spark, f"{base}/d") == []
+    assert read() == [(1, "b"), (2, "a")] and K.compact(spark, f"{base}/d", key, order) == 1
+    for delta in Path(f"{base}/d").glob("batch=*"):
+        shutil.rmtree(delta)
+    assert read() == [(1, "b"), (2, "a")] and K.compact(spark, f"{base}/d", key, order) == 1
+    add([(2, at(9), 3, "c", None), (1, at(1), 9, "late", None), (3, at(1), 1, "n", None)])
+    run()
+    assert read() == [(1, "b"), (2, "c"), (3, "n")] and K.compact(spark, f"{base}/d", key, order) == 2
+    shutil.rmtree(f"{base}/d/batch=2")
+    assert read() == [(1, "b"), (2, "c"), (3, "n")]
+    with pytest.raises(ValueError):
+        spark.createDataFrame([], "id int").write.parquet(f"{tmp_path}/void")
+        K.compact(spark, f"{tmp_path}/void", key)
