@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelweave.llm import bpe, lm, merkle, near, packing, preference, quality, ranker, secrets, sharding, topk, toxicity, trie
-from parcelweave.llm.sql import near_sql, quality_sql
+from parcelweave.llm.sql import merkle_sql, near_sql, quality_sql, trie_sql
 from parcelweave.session import fresh_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -275,9 +275,15 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+SQL["op12_merkle_manifest"] = merkle_sql(LEAF_FIELDS, merkle.FAN)
+
+
 @query
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node of the trie over conversations that share their first turns with another."""
     turns = trie.turns_of(table(spark, sf_dir, "conversations"))
     convs = turns.filter("place = 0").select("conv")
     return trie.prefix_trie(trie.share_heads(turns), convs)
+
+
+SQL["op13_prefix_trie"] = trie_sql()

@@ -100,3 +100,72 @@ FROM k LEFT JOIN sets USING (key) LEFT JOIN class USING (key) LEFT JOIN links US
 def near_sql(settings: near.Settings) -> str:
     """Classes and links by comparing all sets that share an n-gram."""
     return _NEAR.replace("__N__", str(settings.n)).replace("__THRESHOLD__", str(settings.threshold))
+
+
+def crc32_sql(text: str) -> str:
+    """Unsigned crc32 of an ASCII text, bit by bit."""
+    byte = "list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))"
+    codes = f"list_transform(string_split({text}, ''), lambda ch: ascii(ch)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda a, b: {byte}), 4294967295)"
+
+
+def merkle_sql(fields: list[str], fan: int = 16, levels: int = 5) -> str:
+    """Leaves, trees and folded proofs level by level; ``levels`` bounds the rows of a group at ``fan`` to its power."""
+
+    def leaf(replaced: dict[str, str]) -> str:
+        values = [f"({replaced.get(f, f)})::VARCHAR" for f in fields]
+        return "sha256(" + " || ".join(f"coalesce(strlen({v})::VARCHAR || ':' || {v}, '-')" for v in values) + ")"
+
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    parts = [
+        "d AS (SELECT row_number() OVER () AS r, * FROM documents)",
+        f"""e AS (SELECT r, doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS s, {leaf({})} AS leaf,
+  CASE WHEN doc_id IS NOT NULL AND {crc32_sql("doc_id::VARCHAR")} % 5 = 0
+    THEN {leaf({"text": f"translate(text, '{capitals}', '{capitals.lower()}')"})} ELSE leaf END AS changed FROM d)""",
+        """placed AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY s) AS n FROM e)""",
+        "l0 AS (SELECT s, pos, n, leaf AS node FROM placed)",
+        "w0 AS (SELECT r, s, pos, n, changed AS cur, '' AS proof FROM placed)",
+    ]
+
+    def climb(level: str, walk: str) -> None:
+        for h in range(levels):
+            parts.append(f"""{level}{h + 1} AS (SELECT s, run AS pos, (n + {fan - 1}) // {fan} AS n, sha256(string_agg(node, '' ORDER BY pos)) AS node
+  FROM (SELECT *, pos // {fan} AS run FROM {level}{h}) WHERE n > 1 GROUP BY s, run, n UNION ALL SELECT * FROM {level}{h} WHERE n = 1)""")
+            parts.append(f"""{walk}{h + 1} AS (SELECT w.r, w.s, w.pos // {fan} AS pos, (w.n + {fan - 1}) // {fan} AS n,
+    sha256(string_agg(CASE WHEN c.pos = w.pos THEN w.cur ELSE c.node END, '' ORDER BY c.pos)) AS cur,
+    any_value(w.proof) || coalesce(string_agg(c.node, '' ORDER BY c.pos) FILTER (c.pos <> w.pos), '') AS proof
+  FROM {walk}{h} w JOIN {level}{h} c ON c.s = w.s AND c.pos // {fan} = w.pos // {fan} WHERE w.n > 1 GROUP BY w.r, w.s, w.pos, w.n
+  UNION ALL SELECT * FROM {walk}{h} WHERE n = 1)""")
+
+    climb("l", "w")
+    parts.append(f"t0 AS (SELECT 0 AS s, s AS pos, count(*) OVER () AS n, node FROM l{levels})")
+    parts.append(f"v0 AS (SELECT r, 0 AS s, s AS pos, (SELECT count(*) FROM l{levels}) AS n, cur, proof FROM w{levels})")
+    climb("t", "v")
+    return f"""WITH {", ".join(parts)}
+SELECT e.doc_id, e.leaf, l.node AS subroot, t.node AS root, sha256(v.proof) AS proof_sha256, v.cur AS folded_root, v.cur = t.node AS verified
+FROM e JOIN l{levels} l USING (s) JOIN v{levels} v USING (r) CROSS JOIN t{levels} t"""
+
+
+def trie_sql() -> str:
+    """Nodes by the digests of whole paths; subtrees through the path of each node's smallest member."""
+    said = "sha256(strlen(role)::VARCHAR || ':' || role || text)"
+    return f"""WITH said AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+turns AS (SELECT *, {said} AS digest, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, {said}) - 1 AS p FROM said),
+convs AS (SELECT c, {crc32_sql("c::VARCHAR")} % 4 AS h FROM (SELECT DISTINCT c FROM said)),
+rebuilt AS (
+  SELECT k.c, 0 AS side, p, digest, text FROM convs k JOIN turns t ON t.c = k.c - k.c % 20 AND p < h
+  UNION ALL SELECT t.c, 1, p, digest, text FROM turns t JOIN convs USING (c) WHERE p >= h),
+paths AS (SELECT c, row_number() OVER o AS d, len(regexp_extract_all(text, '{_WORD}+')) AS words, sha256(string_agg(digest, '') OVER o) AS key
+  FROM rebuilt WINDOW o AS (PARTITION BY c ORDER BY side, p)),
+members AS (
+  SELECT c, d, words, key, coalesce(lag(key) OVER (PARTITION BY c ORDER BY d), 'root') AS parent FROM paths
+  UNION ALL SELECT c, 0, 0, 'root', NULL FROM convs),
+ends AS (SELECT c, max(d) AS final FROM members GROUP BY c),
+nodes AS (SELECT key, d, any_value(parent) AS parent, min(c) AS conv_id, count(*) AS n, any_value(words) AS words,
+    coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (d = final), '') AS own FROM members JOIN ends USING (c) GROUP BY key, d),
+children AS (SELECT parent AS key, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY parent),
+below AS (SELECT m.key, m.d, count(*) FILTER (k.key IS NULL) AS n_leaves, sum((u.n - 1) * u.words) AS saved
+  FROM nodes u JOIN members m ON m.c = u.conv_id AND m.d <= u.d LEFT JOIN children k ON k.key = u.key GROUP BY m.key, m.d)
+SELECT x.conv_id, x.d::BIGINT AS depth, y.conv_id AS parent_conv_id, x.n::BIGINT AS n_convs, coalesce(n_children, 0)::BIGINT AS n_children,
+  n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(x.own) AS ends_sha256
+FROM nodes x JOIN below USING (key, d) LEFT JOIN children USING (key) LEFT JOIN nodes y ON y.key = x.parent"""
