@@ -8,7 +8,7 @@ large take part in the next, deeper pass.
 The hash has 60 bits: 30 of the id and 30 of the text, so rows of one id can part as well. Rows
 equal in id and text cannot be told apart by any hash: such an entry is dealt out by ``part``, as
 many rows to a part as fit, and at least one. A null id and a null text count as empty strings.
-An empty table has no shards. DataFrame functions only; only the named columns are read.
+An empty table has no shards, and is written as one empty file. DataFrame functions only; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parcelweave.operators.ranking import global_rank
 from parcelweave.session import cut_lineage
 
 BITS = 60
@@ -112,19 +113,33 @@ def shard_rows(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: st
 
 
 def write_shards(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write all columns of ``docs``, one folder a shard (``shard=<depth>-<prefix>``).
+    """Write all columns of ``docs``, one folder a shard (``shard=<depth>-<prefix>-<part>``).
 
-    Equal rows beyond the limit share a folder, in as many files as Spark's record limit makes.
+    Rows equal in id and text beyond the limit are numbered over many tasks and dealt into parts, as many rows to
+    a part as fit, and at least one. An empty table leaves one empty file, so that the folder can be read. A column
+    called ``shard``, or one that begins like the names used inside, is refused.
     """
-    hashed = docs.withColumn("__hash", row_hash(id_col, text_col))
-    sized = hashed.select(F.col("__hash").alias("hash"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("bytes"))
-    entries = directory(sized, limit)
+    taken = [c for c in docs.columns if c == "shard" or c.startswith("__")]
+    if taken:
+        raise ValueError(f"columns that writing shards needs itself: {', '.join(taken)}")
+    size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
+    hashed = docs.withColumns({"__hash": row_hash(id_col, text_col), "__bytes": size})
+    entries = directory(hashed.select(F.col("__hash").alias("hash"), F.col("__bytes").alias("bytes")), limit)
     placed = None
     for depth in sorted(r["cell_depth"] for r in entries.select("cell_depth").distinct().collect()):
         level = entries.filter(F.col("cell_depth") == depth).select(
-            F.col("cell").alias("__cell"), F.format_string("%02d-%015x", "depth", "prefix").alias("shard")
+            F.col("cell").alias("__cell"), F.format_string("%02d-%015x", "depth", "prefix").alias("__name"), (F.col("shard_bytes") > limit).alias("__over")
         )
-        rows = hashed.withColumn("__cell", _prefix(F.col("__hash"), BITS, depth)).join(level, "__cell").drop("__cell", "__hash")
+        rows = hashed.withColumn("__cell", _prefix(F.col("__hash"), BITS, depth)).join(level, "__cell").drop("__cell")
         placed = rows if placed is None else placed.union(rows)
-    if placed is not None:
-        placed.repartition("shard").write.partitionBy("shard").parquet(path)
+    if placed is None:
+        docs.withColumn("shard", F.lit(None).cast("string")).limit(0).write.parquet(path)
+        return
+    whole = placed.filter("not __over").withColumn("__part", F.lit(0).cast("long"))
+    # Equal rows differ in nothing that could part them but their place in the table.
+    equal = placed.filter("__over").withColumn("__place", F.monotonically_increasing_id())
+    numbered = global_rank(equal, ["__hash"], [F.col("__place").asc()], "__number").drop("__place")
+    fit = F.greatest(F.expr(f"{int(limit)}L div greatest(__bytes, 1)"), F.lit(1))
+    dealt = numbered.withColumn("__part", F.floor((F.col("__number") - 1) / fit).cast("long")).drop("__number")
+    every = whole.unionByName(dealt).withColumn("shard", F.format_string("%s-%d", "__name", "__part"))
+    every.drop("__hash", "__bytes", "__name", "__over", "__part").repartition("shard").write.partitionBy("shard").parquet(path)

@@ -217,6 +217,22 @@ def test_shard_files(spark, documents, tmp_path):
     assert all(r["b"] <= 30_000 or r["n"] == 1 for r in sizes)
 
 
+def test_shard_files_of_equal_rows_odd_rows_and_empty_tables(spark, odd_docs, no_docs, tmp_path):
+    same = spark.createDataFrame([(1, "x" * 1000, i % 2) for i in range(40)] + [(2, "y", 0)], "doc_id long, text string, extra int").repartition(4)
+    sharding.write_shards(same, f"{tmp_path}/same", 2000)
+    back = spark.read.parquet(f"{tmp_path}/same")
+    sizes = back.groupBy("shard").agg(F.sum(F.octet_length("text")).alias("b")).collect()
+    assert back.drop("shard").exceptAll(same).isEmpty() and back.count() == 41 and len(sizes) >= 20 and all(r["b"] <= 2000 for r in sizes)
+    sharding.write_shards(odd_docs, f"{tmp_path}/odd", 5000)
+    odd = spark.read.schema(odd_docs.schema).parquet(f"{tmp_path}/odd")
+    assert odd.drop("shard").exceptAll(odd_docs).isEmpty() and odd.count() == odd_docs.count()
+    sharding.write_shards(no_docs, f"{tmp_path}/none", 5000)
+    assert spark.read.parquet(f"{tmp_path}/none").count() == 0
+    for name in ("shard", "__hash"):
+        with pytest.raises(ValueError):
+            sharding.write_shards(same.withColumnRenamed("extra", name), f"{tmp_path}/refused", 2000)
+
+
 def plain_preference(chosen, rejected):
     def render(turns, base):
         text, mask = "", []
