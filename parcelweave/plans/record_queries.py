@@ -635,6 +635,46 @@ def geojson_source(spark: SparkSession, sf: str) -> DataFrame:
     return files.read_geojson(spark, path, "parcel bigint, owner string", lines=True)
 
 
+def _documents(items: DataFrame, key: str, before: str, after: str, path: str) -> None:
+    """Items (key, json) as files that hold one document each, of at most 5000 items."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(key, "json"))), lambda item: item["json"])
+    files_of = items.groupBy((F.col(key) / 5000).cast("bigint").alias("part"))
+    text = F.concat(F.lit(before), F.array_join(ordered, ",\n  "), F.lit(after))
+    files_of.agg(text.alias("value")).write.partitionBy("part").text(path)
+
+
+@query("""SELECT o_orderkey AS "order.key", 'a } "quoted" ] \\ ' || o_orderpriority AS "order.note", o_totalprice AS price FROM orders""")
+def json_array_source(spark: SparkSession, sf: str) -> DataFrame:
+    """Arrays of orders over many lines, with brackets, quotes and backslashes in their strings."""
+    path = fresh_dir(spark, "json")
+    note = F.concat(F.lit('a } "quoted" ] \\ '), "o_orderpriority")
+    order = F.struct(F.col("o_orderkey").alias("key"), note.alias("note"))
+    body = F.to_json(F.struct(order.alias("order"), F.col("o_totalprice").alias("price")))
+    items = load(spark, sf, "orders").select("o_orderkey", body.alias("json"))
+    _documents(items, "o_orderkey", "[\n  ", "\n]\n", path)
+    schema = "order struct<key:bigint,note:string>, price double"
+    return files.read_json_source(spark, path, "array", schema, flatten=True)
+
+
+@query(
+    """SELECT s_suppkey AS parcel, s_name AS owner, 'S' || s_suppkey AS feature_id,
+  CASE WHEN s_nationkey % 2 = 0 THEN CAST(s_nationkey AS DOUBLE) + 0.5 END AS longitude,
+  CASE WHEN s_nationkey % 2 = 0 THEN s_acctbal END AS latitude FROM supplier"""
+)
+def geojson_collection(spark: SparkSession, sf: str) -> DataFrame:
+    """Collections whose features are cut out between other members that hold objects too."""
+    path = fresh_dir(spark, "geojson")
+    point = F.format_string('{"type":"Point","coordinates":[%s,%s]}', (F.col("s_nationkey") + 0.5).cast("double").cast("string"), F.col("s_acctbal").cast("string"))
+    shape = F.when(F.col("s_nationkey") % 2 == 0, point).otherwise('{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,0]]]}')
+    body = F.concat(
+        F.lit('{"type":"Feature","id":"S'), F.col("s_suppkey").cast("string"), F.lit('",\n"geometry":'), shape, F.lit(',"properties":'),
+        F.to_json(F.struct(F.col("s_suppkey").alias("parcel"), F.col("s_name").alias("owner"))), F.lit("}"),
+    )
+    before = '{"type":"FeatureCollection","crs":{"type":"name","properties":{"name":"x"}},\n"features": ['
+    _documents(load(spark, sf, "supplier").select("s_suppkey", body.alias("json")), "s_suppkey", before, '],"notes":[{"n":{"m":1}},{"n":2}]}', path)
+    return files.read_geojson(spark, path, "parcel bigint, owner string")
+
+
 @query(
     """
 SELECT sha256(url) AS id, url, CASE WHEN starts_with(url, 'https') THEN 'secure' ELSE 'web' END AS platform,

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parcelweave.sources.documents import split_document
+
 OVERFLOW = "__overflow"
 BAD_LINE = "__bad_line"
 
@@ -97,12 +99,14 @@ def read_json_source(
 ) -> DataFrame:
     """JSON objects as rows.
 
-    ``lines`` skips blank and malformed lines (``split_json_lines`` keeps them) and splits large files. ``array`` and ``object``
-    parse a whole file in one task, so lines are the form for large drops. Without a schema
-    Spark makes one more pass to infer it.
+    ``lines`` skips blank and malformed lines (``split_json_lines`` keeps them) and splits large files. ``array``
+    first cuts its documents into lines by many tasks (``split_document``, which runs jobs when called). ``object``
+    parses a whole file in one task. Without a schema Spark makes one more pass to infer it.
     """
     if form not in {"lines", "array", "object"}:
         raise ValueError(f"unknown JSON form: {form}")
+    if form == "array":
+        path, form = split_document(spark, path), "lines"
     reader = spark.read.option("mode", "DROPMALFORMED").option("multiLine", form != "lines")
     if schema is not None:
         reader = reader.schema(schema)
@@ -147,8 +151,8 @@ def read_geojson(
 ) -> DataFrame:
     """Features as rows: properties, then feature_id, longitude and latitude.
 
-    A file holds one collection and is parsed in one task; with ``lines`` every line holds
-    one, and large files are split.
+    A file holds one collection, whose features are first cut into lines by many tasks (``split_document``, which runs
+    jobs when called); with ``lines`` every line holds one.
 
     Only points have coordinates. An id of 0 or an empty one counts as none. Coordinates of
     other shapes differ in depth, so they are read as text and parsed for points alone.
@@ -156,9 +160,12 @@ def read_geojson(
     fields = T.StructType.fromDDL(properties) if isinstance(properties, str) else properties
     geometry = "struct<type:string,coordinates:string>"
     feature = f"struct<id:string,geometry:{geometry},properties:{fields.simpleString()}>"
-    collection = T.StructType.fromDDL(f"type string, features array<{feature}>")
-    files = spark.read.schema(collection).option("multiLine", not lines).json(path)
-    rows = files.select(F.explode("features").alias("f"))
+    if lines:
+        collections = spark.read.schema(f"type string, features array<{feature}>").json(path)
+        rows = collections.select(F.explode("features").alias("f"))
+    else:
+        found = spark.read.option("mode", "DROPMALFORMED").schema(T.StructType.fromDDL(feature[7:-1]))
+        rows = found.json(split_document(spark, path, "features")).select(F.struct("*").alias("f"))
     is_point = F.coalesce(F.col("f.geometry.type") == "Point", F.lit(False))
     point = F.when(is_point, F.from_json("f.geometry.coordinates", "array<double>"))
     return rows.select(
