@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import csv
+import re
 from collections.abc import Sequence
 from pathlib import PurePosixPath
 
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parcelweave.sources import streams
 from parcelweave.sources.documents import split_document
 
 OVERFLOW = "__overflow"
@@ -22,16 +23,23 @@ def _header(spark: SparkSession, path: str | Sequence[str], **options: str) -> l
 
 
 def _headers(spark: SparkSession, path: str | Sequence[str], delimiter: str) -> dict[tuple[str, ...], list[str]]:
-    """Files by their header. One pass over the first block of every file; paths come to the driver, as listings do."""
-    lines = spark.read.text(path).where("_metadata.file_block_start = 0").select(
-        F.col("_metadata.file_path").alias("path"), "value", F.monotonically_increasing_id().alias("at")
-    )
-    first = lines.groupBy("path").agg(F.min_by("value", "at").alias("line"))
-    found: dict[tuple[str, ...], list[str]] = {}
-    for row in first.collect():
-        names = next(csv.reader([row["line"].removeprefix("\ufeff")], delimiter=delimiter), [])
-        found.setdefault(tuple(names), []).append(row["path"])
-    return found
+    """Files by their header, grouped before the driver sees them; it gets each header once, and paths as a listing does.
+
+    Tasks read the first bytes of each file. On file systems they can't open, Spark reads the first block of every file.
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+    if all(streams.can_stream(p) for p in paths):
+        listed = spark.read.format("binaryFile").load(paths)
+        first = streams.headers(listed, delimiter)
+    else:
+        lines = spark.read.text(paths).where("_metadata.file_block_start = 0").select(
+            F.col("_metadata.file_path").alias("path"), "value", F.monotonically_increasing_id().alias("at")
+        )
+        first = lines.groupBy("path").agg(F.min_by("value", "at").alias("line"))
+        names = F.transform(F.split(F.ltrim("line", F.lit("\ufeff")), re.escape(delimiter)), lambda n: F.trim(n, F.lit('"')))
+        first = first.select("path", names.alias("names"))
+    grouped = first.groupBy("names").agg(F.sort_array(F.collect_list("path")).alias("files"))
+    return {tuple(row["names"]): row["files"] for row in grouped.collect()}
 
 
 def read_csv_source(
@@ -47,7 +55,7 @@ def read_csv_source(
     """Rows of a CSV with header, every value text; short rows get nulls.
 
     All files must have one header, or reading fails. ``by_name`` admits files whose columns differ in
-    order or are missing: it reads all headers first (UTF-8 only) and then every file by its own.
+    order or are missing: it reads the first bytes of all files (UTF-8 only) and then every file by its own.
     Give ``columns`` to skip the look at the header. ``multiline`` admits line breaks inside
     quotes, at the price of one task per file. ``with_overflow`` adds a column that is not
     null when a row is wider than the header.
@@ -218,8 +226,13 @@ def list_source_files(spark: SparkSession, directory: str, pattern: str = "*", r
 
 
 def file_hashes(spark: SparkSession, directory: str, pattern: str = "*", recursive: bool = False) -> DataFrame:
-    """Content hash per file. A file is one row in memory: drops are to come in parts below 2 GB."""
+    """Content hash per file (SHA-256), read piece by piece inside tasks, whatever the file's size.
+
+    On file systems that tasks can't open, a file is one row in memory and must be below 2 GB.
+    """
     files = _files(spark, directory, pattern, recursive)
+    if streams.can_stream(directory):
+        return streams.digests(files)
     return files.select("path", F.sha2("content", 256).alias("file_hash"), "length")
 
 

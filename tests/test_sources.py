@@ -100,6 +100,28 @@ def test_file_ledger(spark, tmp_path):
     assert files.new_files(hashes, first).count() == 0
 
 
+def test_files_are_read_in_pieces(spark, tmp_path, monkeypatch):
+    import gzip
+    import hashlib
+
+    from parcelweave.sources import streams
+
+    monkeypatch.setattr(streams, "PIECE", 1000)
+    body = bytes(range(256)) * 40
+    (tmp_path / "a b%20.bin").write_bytes(body)
+    (tmp_path / "empty.bin").write_bytes(b"")
+    got = {r["path"].split("/")[-1]: r["file_hash"] for r in files.file_hashes(spark, str(tmp_path), "*.bin").collect()}
+    assert got == {"a b%20.bin": hashlib.sha256(body).hexdigest()}  # a listing leaves empty files out
+    assert streams.digest(f"file:{tmp_path}/a b%20.bin") == hashlib.sha256(body).hexdigest()
+    monkeypatch.setattr(streams, "FIRST", 3)
+    put(tmp_path, "h.csv", '\n"a, b",name\r\n1,2\n')
+    (tmp_path / "h.csv.gz").write_bytes(gzip.compress(b"x,y\n" + b"1,2\n" * 100_000))
+    put(tmp_path, "none.csv", "")
+    found = [streams.header(f"{tmp_path}/{name}", ",") for name in ("h.csv", "h.csv.gz", "none.csv")]
+    assert found == [["a, b", "name"], ["x", "y"], []]
+    assert streams.can_stream("/x") and streams.can_stream("s3a://b/x") and not streams.can_stream("wasb://b/x")
+
+
 def test_seeds(spark, tmp_path):
     path = put(tmp_path, "s.csv", "url,priority\nhttp://a,5\n,1\nhttp://b,x\n")
     assert rows(files.seed_load(spark, path, "web")) == [("http://a", "web", 5), ("http://b", "web", 0)]
