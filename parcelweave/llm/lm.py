@@ -44,7 +44,7 @@ RANGE_KEYS = 1_500_000
 
 @dataclass(frozen=True)
 class Settings:
-    order: int = 2
+    order: int = 3
     #: One of so many texts to learn from is held out of the counts for the mixture weights.
     dev_folds: int = 32
     #: Expectation-maximisation stops after so many rounds, or when no weight moves by ``still``.
