@@ -76,6 +76,26 @@ def _unpack(raw: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
+def _pack_keys(keys: np.ndarray, base: int) -> bytes:
+    """Sorted hashes from ``base`` on as steps: only the two highest bytes of a step can be told beforehand."""
+    steps = np.diff(keys, prepend=np.uint64(base))
+    width = max(2, (int(steps.max()).bit_length() + 7) // 8)
+    planes = steps.view(np.uint8).reshape(-1, 8).T
+    low, top = planes[: width - 2].tobytes(), planes[width - 2 : width].tobytes()
+    packed = pa.compress(top, "zstd", asbytes=True) if len(top) >= PLAIN_BYTES else top
+    return bytes([width]) + len(keys).to_bytes(4, "little") + low + packed
+
+
+def _unpack_keys(raw: bytes, base: int) -> np.ndarray:
+    width, n = raw[0], int.from_bytes(raw[1:5], "little")
+    cut = 5 + (width - 2) * n
+    top = raw[cut:] if 2 * n < PLAIN_BYTES else pa.decompress(raw[cut:], 2 * n, "zstd", asbytes=True)
+    steps = np.zeros((n, 8), np.uint8)
+    steps[:, : width - 2] = np.frombuffer(raw[5:cut], np.uint8).reshape(width - 2, n).T
+    steps[:, width - 2 : width] = np.frombuffer(top, np.uint8).reshape(2, n).T
+    return np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64) + np.uint64(base)
+
+
 def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
     """Rows one by one; records are large."""
     for i in range(batch.num_rows):
@@ -192,7 +212,8 @@ def _sent(settings: Settings, bits: int):
                     cuts = np.flatnonzero(np.diff(span, prepend=-1, append=-1))
                     out: dict[str, list] = {name: [] for name in SENT.names}
                     for a, b in zip(cuts[:-1], cuts[1:]):
-                        values = (order, int(span[a]), row["record"], row["dev"], _pack(keys[a:b]), _pack(times[a:b]))
+                        packed = _pack_keys(keys[a:b], int(span[a]) << (64 - bits))
+                        values = (order, int(span[a]), row["record"], row["dev"], packed, _pack(times[a:b]))
                         for name, value in zip(SENT.names, values):
                             out[name].append(value)
                     yield pa.RecordBatch.from_pydict(out, SENT_ARROW)
@@ -215,13 +236,14 @@ COUNTED = StructType([
 ])
 
 
-def _counted(table: pa.Table) -> pa.Table:
+def _counted(table: pa.Table, bits: int) -> pa.Table:
     """Totals of one range of hashes over all records, returned in each record's own order.
 
     ``all`` counts every text to learn from; ``main``, which only held-out records need, those that
     were not held out.
     """
-    parts = [_unpack(v, np.uint64) for v in table.column("keys").to_pylist()]
+    base = table.column("span")[0].as_py() << (64 - bits)
+    parts = [_unpack_keys(v, base) for v in table.column("keys").to_pylist()]
     times = np.concatenate([_unpack(v, np.uint32) for v in table.column("times").to_pylist()])
     dev = table.column("dev").to_pylist()
     cuts = np.cumsum([0, *map(len, parts)])
@@ -307,7 +329,9 @@ def learn_weights(
         return pa.table([*columns, pa.array(times.astype(np.int64))], names=schema.names)
 
     spark = records.sparkSession
-    held_out = records.filter("dev").groupBy("record").cogroup(counted.filter("dev").groupBy("record"))
+    held_out = records.filter("dev").groupBy("record").cogroup(
+        counted.filter("dev").select("n", "span", "record", "main").groupBy("record")
+    )
     at = fresh_dir(spark, "held-out-shares")
     held_out.applyInArrow(shares, schema).write.parquet(at)
     table = spark.read.schema(schema).parquet(at)
@@ -345,7 +369,8 @@ def corpus_counts(records: DataFrame, settings: Settings) -> DataFrame:
     """Corpus counts of the n-grams of every record, written once to the shared folder. Runs jobs."""
     tokens = records.agg(F.sum("n_tokens")).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(tokens / RANGE_KEYS, 1)))))
-    counted = records.mapInArrow(_sent(settings, bits), SENT).groupBy("n", "span").applyInArrow(_counted, COUNTED)
+    sent = records.mapInArrow(_sent(settings, bits), SENT)
+    counted = sent.groupBy("n", "span").applyInArrow(lambda table: _counted(table, bits), COUNTED)
     spark, at = records.sparkSession, fresh_dir(records.sparkSession, "n-gram-counts")
     counted.write.option("compression", "none").parquet(at)
     return spark.read.schema(COUNTED).parquet(at)
@@ -393,4 +418,5 @@ def score(
         StructField("n_tokens", LongType()), StructField("n_known", LongType()), StructField("train_tokens", LongType()),
         StructField("base_score", DoubleType()), StructField("score", DoubleType()),
     ])
-    return records.groupBy("record").cogroup(counted.groupBy("record")).applyInArrow(run, schema)
+    counts = counted.select("n", "span", "record", "all").groupBy("record")
+    return records.groupBy("record").cogroup(counts).applyInArrow(run, schema)

@@ -347,3 +347,18 @@ def test_query_learns_from_no_held_out_label(spark):
     for r in rows:
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
         assert r["predicted"] == int(r["score"] >= 0.5)
+
+
+def test_sorted_hashes_travel_as_steps():
+    import numpy as np
+
+    from parcelweave.llm import lm
+
+    r = np.random.default_rng(5)
+    for n, bits, span in ((1, 0, 0), (1, 3, 7), (2, 60, 9), (300, 0, 0), (5000, 7, 127), (40, 13, 1)):
+        base = span << (64 - bits)
+        keys = np.unique(r.integers(0, 1 << (64 - bits), n, dtype=np.uint64, endpoint=False) if bits else r.integers(0, 2**64 - 1, n, dtype=np.uint64))
+        keys = keys + np.uint64(base)
+        assert (lm._unpack_keys(lm._pack_keys(keys, base), base) == keys).all()
+    whole = np.array([0, 2**64 - 1], np.uint64)
+    assert (lm._unpack_keys(lm._pack_keys(whole, 0), 0) == whole).all()
