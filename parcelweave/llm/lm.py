@@ -6,7 +6,7 @@ The probability of a token is a mixture of its shares after contexts of every le
 counts: a fixed share of the texts to learn from, so they grow with the corpus. Scoring then uses
 the counts of all texts to learn from.
 
-Counting over any number of texts: texts are tokenised into records of about 900,000 tokens; a
+Counting over any number of texts: texts are tokenised into records of about 1,200,000 tokens; a
 record keeps its distinct n-grams once. Sorted n-gram hashes are cut into ranges, one range of all
 records is counted by one task, and counts return to each record in the order it sent its hashes.
 A frequent n-gram comes once per record, however often it occurs, so no key is hot. Records are
@@ -38,7 +38,7 @@ from parcelweave.session import fresh_dir
 
 END = 0x5851F42D4C957F2D
 #: Bytes of text of a record, and hashes that one task counts: what bounds memory.
-RECORD_BYTES = 6_000_000
+RECORD_BYTES = 8_000_000
 RANGE_KEYS = 1_500_000
 
 
