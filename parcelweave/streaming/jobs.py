@@ -6,7 +6,8 @@ a restart resumes where the last batch was committed.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -84,75 +85,171 @@ def read_upserted(
 ) -> DataFrame:
     """The table after all deltas: the row of the last batch per key, over an optional base.
 
-    Give ``order`` when a late batch may hold older rows than an earlier one.
+    Give ``order`` when a late batch may hold older rows than an earlier one. Where ``compact`` made a base, only
+    buckets that later deltas touch are merged, the others are read as they lie; a job over the keys of
+    later deltas finds them when this is called.
     """
-    compacted = _compacted(spark, path)
-    if compacted is None:
-        deltas = spark.read.option("basePath", path).parquet(path)
+    held = _base(spark, path)
+    if held is None:
+        latest = last_write_wins(spark.read.option("basePath", path).parquet(path), key, [*order, "batch"]).drop("batch")
     else:
-        table, upto = compacted
-        # Deltas that the base holds are pruned by their folder, and may be gone: the schema is the base's.
-        every = T.StructType([*table.schema.fields, T.StructField("batch", T.IntegerType())])
-        later = spark.read.schema(every).option("basePath", path).parquet(path).where(F.col("batch") > upto)
-        deltas = later.unionByName(table.withColumn("batch", F.lit(upto)))
-    latest = last_write_wins(deltas, key, [*order, "batch"]).drop("batch")
+        later = _later(spark, path, held)
+        _, touched = _reach(later, key, held.buckets)
+        merged = _merged(spark, path, held, later, key, order, touched).drop(_BUCKET)
+        calm = held.read(spark, path, [b for b in held.versions if b not in touched])
+        latest = merged if calm is None else calm.drop(_BUCKET).unionByName(merged) if touched else calm.drop(_BUCKET)
     return latest if base is None else upsert(base, latest, key, strategy)
 
 
-def _listed(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+#: Parts of a base unless ``compact`` is told otherwise.
+BUCKETS = 64
+_BUCKET = "__bucket"
+_MANIFEST = "upto int, buckets int, bucket int, version int"
+
+
+@dataclass(frozen=True)
+class _Base:
+    """What the newest manifest says: the last batch held, and the version of every bucket that holds rows."""
+
+    upto: int
+    buckets: int
+    versions: Mapping[int, int]
+    schema: T.StructType
+
+    def read(self, spark: SparkSession, path: str, buckets: Iterable[int]) -> DataFrame | None:
+        folders = [f"{path}/_base/version={self.versions[b]}/{_BUCKET}={b}" for b in buckets]
+        if not folders:
+            return None
+        # Only the folders named are listed, each a whole bucket; their number is that of the buckets.
+        schema = T.StructType([*self.schema.fields, T.StructField(_BUCKET, T.IntegerType())])
+        reader = spark.read.schema(schema).option("basePath", f"{path}/_base")
+        return reader.parquet(*folders).select(*self.schema.names, _BUCKET)
+
+
+def _listed(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
     """A Parquet folder, or nothing where there is none."""
-    reader = spark.read.option("basePath", path)
     try:
-        return (reader.schema(schema) if schema else reader).parquet(path)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+        if error.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
 
 
-def _compacted(spark: SparkSession, path: str) -> tuple[DataFrame, int] | None:
-    """The newest base that ``compact`` published, and the last batch it holds.
+def _base(spark: SparkSession, path: str) -> _Base | None:
+    """The base that ``compact`` published last.
 
-    What counts is the manifest, one row written after a base is whole: a base that is still being written has none.
+    What counts is the manifest, one file of a row a bucket that is written when all files it names are
+    whole: buckets that are still being written are in none.
     """
-    manifest = _listed(spark, f"{path}/_manifest", "upto int")
-    newest = manifest.agg(F.max("upto")).first()[0] if manifest is not None else None
+    manifest = _listed(spark, f"{path}/_manifest", _MANIFEST)
+    if manifest is None:
+        return None
+    # Rows of one manifest come together or not at all; a table of manifests grows by ``buckets`` rows a run.
+    newest = manifest.agg(F.max("upto")).first()[0]
     if newest is None:
         return None
-    return spark.read.parquet(f"{path}/_base/upto={newest}"), newest
+    rows = manifest.where(F.col("upto") == newest).collect()
+    versions = {r["bucket"]: r["version"] for r in rows if r["version"] is not None}
+    if versions:
+        any_bucket, version = next(iter(sorted(versions.items())))
+        schema = spark.read.parquet(f"{path}/_base/version={version}/{_BUCKET}={any_bucket}").schema
+    else:
+        # Nothing was ever held, so some delta still says what rows look like.
+        schema = spark.read.option("basePath", path).parquet(path).drop("batch").schema
+    return _Base(newest, rows[0]["buckets"], versions, schema)
+
 
+def _later(spark: SparkSession, path: str, held: _Base) -> DataFrame:
+    """Deltas that the base doesn't hold. Those that it holds are pruned by their folder, and may be gone: the
+    schema is the base's."""
+    every = T.StructType([*held.schema.fields, T.StructField("batch", T.IntegerType())])
+    deltas = spark.read.schema(every).option("basePath", path).parquet(path)
+    return deltas.where(F.col("batch") > held.upto)
 
-def compact(spark: SparkSession, path: str, key: Sequence[str], order: Sequence[str] = ()) -> int:
-    """Resolve all deltas so far into one base; returns the last batch it holds.
 
-    Run it between runs of the job. A base is published by one row of a manifest when all its files are
-    written, and never changes; readers then skip the deltas it holds, which ``drop_deltas`` empties or you
-    may delete. Without newer deltas nothing is written. The work is that of one read.
+def _bucket_of(key: Sequence[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+
+
+def _reach(deltas: DataFrame, key: Sequence[str], buckets: int) -> tuple[int | None, set[int]]:
+    """The last batch of the deltas and the buckets they touch, from their keys alone."""
+    found = deltas.agg(F.max("batch").alias("newest"), F.collect_set(_bucket_of(key, buckets)).alias("touched")).first()
+    return found["newest"], set(found["touched"])
+
+
+def _merged(
+    spark: SparkSession, path: str, held: _Base, later: DataFrame, key: Sequence[str], order: Sequence[str], touched: set[int]
+) -> DataFrame:
+    """Rows of the touched buckets after the deltas, with their bucket: one shuffle, by bucket."""
+    rows = later.withColumn(_BUCKET, _bucket_of(key, held.buckets))
+    old = held.read(spark, path, [b for b in sorted(touched) if b in held.versions])
+    if old is not None:
+        rows = rows.unionByName(old.withColumn("batch", F.lit(held.upto)))
+    return last_write_wins(rows.repartition(_BUCKET), [_BUCKET, *key], [*order, "batch"]).drop("batch")
+
+
+def compact(
+    spark: SparkSession, path: str, key: Sequence[str], order: Sequence[str] = (), buckets: int | None = None
+) -> int:
+    """Resolve all deltas so far into the base; returns the last batch it holds.
+
+    The base lies in buckets by a hash of the key. Only buckets that newer deltas touch are read and
+    written again, as a new version; the others keep their files, so the work follows the change and not the
+    table. Run it between runs of the job. A base is published by one small manifest when all its files are
+    written, and these never change; readers then skip the deltas it holds, which ``drop_deltas`` empties or
+    you may delete, as you may versions of buckets that ``superseded`` names. Without newer deltas nothing is written.
+
+    ``buckets`` is 64 at first and then stays: choose it so that a bucket fits a task, as one task
+    writes one bucket. Another number than before writes the whole base anew.
     """
-    known = _compacted(spark, path)
-    # The kind of the rows is of no interest here, and there may be no file left to tell it.
-    deltas = spark.read.schema("batch int").option("basePath", path).parquet(path)
-    newest = deltas.agg(F.max("batch")).first()[0]
-    if newest is None and known is None:
-        raise ValueError(f"{path} holds no delta")
-    if known is not None and (newest is None or newest <= known[1]):
-        return known[1]
-    read_upserted(spark, path, key, order=order).write.mode("overwrite").parquet(f"{path}/_base/upto={newest}")
-    spark.createDataFrame([(newest,)], "upto int").coalesce(1).write.mode("append").parquet(f"{path}/_manifest")
+    held = _base(spark, path)
+    if held is None:
+        deltas = spark.read.schema("batch int").option("basePath", path).parquet(path)
+        if deltas.agg(F.max("batch")).first()[0] is None:
+            raise ValueError(f"{path} holds no delta")
+        schema = spark.read.option("basePath", path).parquet(path).drop("batch").schema
+        held = _Base(-1, buckets or BUCKETS, {}, schema)
+    later = _later(spark, path, held)
+    newest, touched = _reach(later, key, held.buckets)
+    if newest is None:
+        # Emptied deltas have no rows; the base is what it was.
+        return held.upto
+    versions = dict(held.versions)
+    if buckets not in (None, held.buckets):
+        whole = read_upserted(spark, path, key, order=order).withColumn(_BUCKET, _bucket_of(key, buckets))
+        rows, touched, versions = whole.repartition(_BUCKET), set(range(buckets)), {}
+    else:
+        rows = _merged(spark, path, held, later, key, order, touched)
+    rows.write.partitionBy(_BUCKET).mode("overwrite").parquet(f"{path}/_base/version={newest}")
+    written = spark.read.schema(f"{_BUCKET} int").parquet(f"{path}/_base/version={newest}")
+    versions |= {r[0]: newest for r in written.select(_BUCKET).distinct().collect()}  # a row a bucket
+    count = buckets or held.buckets
+    listing = [(newest, count, b, v) for b, v in sorted(versions.items())]
+    spark.createDataFrame(listing, _MANIFEST).coalesce(1).write.mode("append").parquet(f"{path}/_manifest")
     return newest
 
 
+def superseded(spark: SparkSession, path: str) -> list[str]:
+    """Folders of bucket versions that earlier manifests named and the newest doesn't: no new reader looks at them."""
+    manifest = _listed(spark, f"{path}/_manifest", _MANIFEST)
+    if manifest is None:
+        return []
+    last = manifest.groupBy("bucket", "version").agg(F.max("upto").alias("last"))
+    stale = last.where(F.col("last") < manifest.agg(F.max("upto")).first()[0])
+    return sorted(f"{path}/_base/version={r['version']}/{_BUCKET}={r['bucket']}" for r in stale.collect())
+
+
 def drop_deltas(spark: SparkSession, path: str) -> list[int]:
     """Empty the deltas that the published base holds; returns their batches. Readers never look at them again."""
-    compacted = _compacted(spark, path)
-    if compacted is None:
+    held = _base(spark, path)
+    if held is None:
         return []
-    table, upto = compacted
-    every = T.StructType([*table.schema.fields, T.StructField("batch", T.IntegerType())])
-    held = spark.read.schema(every).option("basePath", path).parquet(path).where(F.col("batch") <= upto)
-    batches = sorted(row["batch"] for row in held.groupBy("batch").agg(F.count("*")).collect())  # one row a batch
+    every = T.StructType([*held.schema.fields, T.StructField("batch", T.IntegerType())])
+    old = spark.read.schema(every).option("basePath", path).parquet(path).where(F.col("batch") <= held.upto)
+    batches = sorted(row["batch"] for row in old.groupBy("batch").agg(F.count("*")).collect())  # one row a batch
     for batch in batches:
-        spark.createDataFrame([], table.schema).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        spark.createDataFrame([], held.schema).write.mode("overwrite").parquet(f"{path}/batch={batch}")
     return batches
 
 

@@ -164,3 +164,47 @@ def test_deltas_of_a_base_may_go(spark, feed, tmp_path):
     with pytest.raises(ValueError):
         spark.createDataFrame([], "id int").write.parquet(f"{tmp_path}/void")
         K.compact(spark, f"{tmp_path}/void", key)
+
+
+def test_compaction_writes_touched_buckets_only(spark, tmp_path):
+    """Buckets without newer deltas keep their files; rows equal those of one resolved table."""
+    from pathlib import Path
+
+    path, key, order = f"{tmp_path}/t", ["id", "county"], ["seq"]
+    state = {}
+
+    def delta(batch, keys, seq):
+        data = [(k, None if k % 7 == 0 else f"c{k % 3}", seq, f"v{seq}") for k in keys]
+        spark.createDataFrame(data, "id int, county string, seq int, v string").write.parquet(f"{path}/batch={batch}")
+        state.update({(k, county): (seq, v) for k, county, seq, v in data if seq >= state.get((k, county), (0,))[0]})
+
+    def files():
+        return {str(f.relative_to(path)) for f in Path(path).glob("_base/*/*/*.parquet")}
+
+    def check():
+        got = K.read_upserted(spark, path, key, order=order).collect()
+        assert len(got) == len(state) and {(r["id"], r["county"]): (r["seq"], r["v"]) for r in got} == state
+
+    delta(0, range(200), 1)
+    assert K.superseded(spark, path) == []
+    assert K.compact(spark, path, key, order, buckets=8) == 0
+    first = files()
+    assert len({f.split("/")[2] for f in first}) == 8
+    check()
+    delta(1, [5, 500], 2)
+    delta(2, [5], 1)  # older than what is there
+    check()
+    assert K.compact(spark, path, key, order) == 2
+    second = files()
+    rewritten = {f.split("/")[2] for f in second - first}
+    assert first <= second and 1 <= len(rewritten) <= 2
+    old = {s.removeprefix(f"{path}/") for s in K.superseded(spark, path)}
+    assert old and {o.split("/")[2] for o in old} <= rewritten and all("version=0" in o for o in old)
+    check()
+    delta(3, [9], 3)
+    assert K.compact(spark, path, key, order, buckets=3) == 3
+    assert {f.split("/")[2] for f in files() - second} == {f"__bucket={b}" for b in range(3)}
+    check()
+    assert K.drop_deltas(spark, path) == [0, 1, 2, 3]
+    check()
+    assert K.compact(spark, path, key, order) == 3
