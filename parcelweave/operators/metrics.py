@@ -12,8 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelweave.operators.ranking import exact_quantiles
-from parcelweave.session import salted_join
+from parcelweave.operators.ranking import cell_sketch, exact_quantiles, rolled_up_quantile
+from parcelweave.session import cut_lineage, salted_join
 
 # Upper bounds of the runtime histogram in seconds.
 RUNTIME_BOUNDS = (0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0)
@@ -171,23 +171,26 @@ def tasks_per_worker(events: DataFrame, kind: str = "started") -> DataFrame:
     return events.where(F.col("type") == kind).groupBy("worker").agg(F.count("*").alias("tasks"))
 
 
-def _in_ranges(events: DataFrame, as_of: Column) -> DataFrame:
+def _in_slots(events: DataFrame, as_of: Column) -> DataFrame:
+    """Events of the longest range, each with the number of the shortest range that holds it."""
     age = F.timestamp_diff("SECOND", F.col("ts"), as_of)
-    names = F.array_compact(F.array(*[F.when((age >= 0) & (age < s), F.lit(n)) for n, s in RANGES.items()]))
+    slot = F.coalesce(*[F.when((age >= 0) & (age < s), F.lit(i)) for i, s in enumerate(RANGES.values())])
     longest = max(RANGES.values())
     recent = events.where((F.col("ts") <= as_of) & (F.col("ts") > F.timestamp_add("SECOND", F.lit(-longest), as_of)))
-    return recent.withColumn("range", F.explode(names))
+    return recent.withColumn("slot", slot).where(F.col("slot").isNotNull())
 
 
 def range_stats(events: DataFrame, as_of: Column) -> DataFrame:
     """Totals, success rate and runtime figures per range, by task type and platform.
 
     ``grouping`` tells subtotals from unknown values: 0 by type and platform, 1 by type, 2 by platform, 3 for
-    the whole range. A dimension that is summed over is null.
+    the whole range. A dimension that is summed over is null. Runs jobs when called: events are read once for
+    sums and sketches per type, platform and shortest range, which every figure but the median follows from, and
+    once more for counts around the medians. No event is copied for ranges or subtotals.
     """
-    finest_dims = ["range", "task_type", "platform"]
+    cells = ["slot", "task_type", "platform"]
     dims = ["range", "grouping", "task_type", "platform"]
-    ranged = _in_ranges(events, as_of)
+    names = F.array(*[F.lit(n) for n in RANGES])
 
     def kind(number: int) -> Column:
         by_type, by_platform = number in (0, 1), number in (0, 2)
@@ -198,34 +201,39 @@ def range_stats(events: DataFrame, as_of: Column) -> DataFrame:
         )
 
     all_kinds = F.array(*[kind(number) for number in range(4)])
+
+    def every_kind(rows: DataFrame) -> DataFrame:
+        """Cells in every range that holds their events, ranges being nested, and every grouping."""
+        rest = [c for c in rows.columns if c not in cells]
+        ranged = rows.withColumn("range", F.explode(F.slice(names, F.col("slot") + 1, len(RANGES))))
+        exploded = ranged.select("range", F.explode(all_kinds).alias("k"), *rest)
+        parts = {"k.g": "grouping", "k.t": "task_type", "k.p": "platform"}
+        return exploded.select("range", *[F.col(c).alias(part) for c, part in parts.items()], *rest)
+
+    slotted = _in_slots(events, as_of)
     done = F.col("type").isin("succeeded", "failed")
     timed = F.when(done, F.col("runtime"))
-    # Events are aggregated once; subtotals come from the few rows that are left.
-    finest = ranged.groupBy(*finest_dims).agg(
-        F.count_if(done).alias("total"),
-        _count("succeeded").alias("succeeded"),
-        _count("failed").alias("failed"),
-        F.sum(timed).alias("runtime"),
-        F.count(timed).alias("timed"),
-        F.min(timed).alias("min_runtime"),
-        F.max(timed).alias("max_runtime"),
+    finest = cut_lineage(
+        slotted.groupBy(*cells).agg(
+            F.count_if(done).alias("total"),
+            _count("succeeded").alias("succeeded"),
+            _count("failed").alias("failed"),
+            F.sum(timed).alias("runtime"),
+            F.count(timed).alias("timed"),
+            F.min(timed).alias("min_runtime"),
+            F.max(timed).alias("max_runtime"),
+            *cell_sketch(timed),
+        )
     )
-
-    def every_kind(rows: DataFrame, *columns: str) -> DataFrame:
-        exploded = rows.select("range", F.explode(all_kinds).alias("k"), *columns)
-        names = {"k.g": "grouping", "k.t": "task_type", "k.p": "platform"}
-        return exploded.select("range", *[F.col(c).alias(name) for c, name in names.items()], *columns)
-
-    sums = ["total", "succeeded", "failed", "runtime", "timed"]
-    stats = every_kind(finest, *sums, "min_runtime", "max_runtime").groupBy(*dims).agg(
+    sums, ends = ["total", "succeeded", "failed", "runtime", "timed"], ["min_runtime", "max_runtime"]
+    stats = every_kind(finest.select(*cells, *sums, *ends)).groupBy(*dims).agg(
         *[F.sum(c).alias(c) for c in sums],
         F.min("min_runtime").alias("min_runtime"),
         F.max("max_runtime").alias("max_runtime"),
     )
     stats = stats.withColumn("avg_runtime", F.round(F.try_divide("runtime", "timed"), 4))
-    # Only a median needs the values themselves.
-    values = ranged.where(done & F.col("runtime").isNotNull())
-    medians = exact_quantiles(every_kind(values, "runtime"), dims, "runtime", {"median_runtime": 0.5})
+    sketched = finest.select(*cells, "__sketch", "__n", "__min", "__max")
+    medians = rolled_up_quantile(slotted.where(done), cells, sketched, dims, every_kind, "runtime", 0.5, "median_runtime")
     joined = salted_join(stats, medians, dims, "left", null_safe=True, heavy=[])
     return joined.select(
         *dims, "total", "succeeded", "failed", success_rate(F.col("succeeded"), F.col("failed")).alias("success_rate"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -129,8 +129,17 @@ def exact_quantiles(
         .groupBy(*keys, "__q", "__n", "__v")
         .agg(F.sum("__c").alias("__c"))
     )
+    return _at_ranks(counted, keys, quantiles, (size["rows"] or 0) * 2 * margin > WINDOW_ROWS)
+
+
+def _at_ranks(counted: DataFrame, keys: Sequence[str], quantiles: dict[str, float], many: bool) -> DataFrame:
+    """Quantiles from counted values: (keys, __q number of the quantile, __n rows of the key, __v, __c).
+
+    A null value stands for the rows below the bracket. ``many`` spreads the values of a key over tasks.
+    """
+    names = list(quantiles)
     group, ascending = [*keys, "__q", "__n"], [F.col("__v").asc_nulls_first()]
-    if (size["rows"] or 0) * 2 * margin > WINDOW_ROWS:
+    if many:
         ranked = running_sum(counted, group, ascending, "__c", "__cum")
     else:
         upto = Window.partitionBy(*group).orderBy(*ascending).rowsBetween(Window.unboundedPreceding, 0)
@@ -152,3 +161,98 @@ def exact_quantiles(
     return quantile.groupBy(*keys).agg(
         *[F.max(F.when(F.col("__q") == i, F.col("__value"))).alias(name) for i, name in enumerate(names)]
     )
+
+
+#: Size of the sketches of ``rolled_up_quantile``. Their rank error is below a quarter of a percent in 99 of 100 cases.
+SKETCH_K = 2048
+#: Brackets reach this far to both sides, over four times that error.
+SKETCH_MARGIN = 0.01
+
+
+def cell_sketch(value: Column) -> list[Column]:
+    """Aggregates that ``rolled_up_quantile`` expects of every cell. NaN counts as absent."""
+    known = F.when(~F.isnan(value), value.cast("double"))
+    return [
+        F.kll_sketch_agg_double(known, SKETCH_K).alias("__sketch"),
+        F.count(known).alias("__n"),
+        F.min(known).alias("__min"),
+        F.max(known).alias("__max"),
+    ]
+
+
+def rolled_up_quantile(
+    df: DataFrame,
+    cells: Sequence[str],
+    sketched: DataFrame,
+    keys: Sequence[str],
+    spread: Callable[[DataFrame], DataFrame],
+    value: str,
+    quantile: float,
+    name: str,
+) -> DataFrame:
+    """Exact interpolated quantile per key, where rows fall into cells and every key is a union of cells.
+
+    ``sketched`` holds one row per cell with the columns of ``cell_sketch``; it is small, and should be cut off from
+    its past. ``spread`` turns rows of cells into rows of the keys they belong to and keeps other columns; a cell may
+    belong to no more than some dozens of keys, never twice to one. Sketches are merged, never rows copied: a row is
+    compared with the brackets of its cell's keys, those below are counted per cell, and only those inside, about a
+    fiftieth, are sent on for each key. A miss of a bracket raises.
+    """
+    data = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*cells, F.col(value).cast("double").alias("__v"))
+    merged = spread(sketched.where("__n > 0")).groupBy(*keys).agg(
+        F.kll_merge_agg_double("__sketch").alias("__sketch"),
+        F.sum("__n").alias("__n"), F.min("__min").alias("__min"), F.max("__max").alias("__max"),
+    )
+    # Small groups need no sketch: their bracket is the whole group.
+    whole, low, high = F.col("__n") <= SKETCH_K, quantile - SKETCH_MARGIN, quantile + SKETCH_MARGIN
+
+    def bound(edge: Column, rank: float) -> Column:
+        found = F.kll_sketch_get_quantile_double("__sketch", F.lit(min(1.0, max(0.0, rank))))
+        return edge if not 0 < rank < 1 else F.when(whole, edge).otherwise(found)
+
+    brackets = merged.select(
+        *keys, "__n", bound(F.col("__min"), low).alias("__low"), bound(F.col("__max"), high).alias("__high")
+    )
+    # A row a key, written down: both passes must compare with the same brackets.
+    brackets = cut_lineage(brackets)
+    own = F.struct(*[F.col(c) for c in cells]).alias("__cell")
+    of_keys = spread(sketched.where("__n > 0").select(*cells, own)).select(*keys, "__cell")
+    named = brackets.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__n", "__low", "__high")
+    same = F.lit(True)
+    for i, key in enumerate(keys):
+        same = same & F.col(key).eqNullSafe(F.col(f"__k{i}"))
+    bracket = F.struct("__low", "__high", F.struct(*keys).alias("key"), "__n")
+    of_cells = cut_lineage(
+        of_keys.join(named, same).groupBy("__cell").agg(F.sort_array(F.collect_list(bracket)).alias("__brackets"))
+    )
+    size = of_cells.agg(
+        F.count("*").alias("cells"), F.max(F.size("__brackets")).alias("most"),
+        F.max(F.array_max(F.transform("__brackets", lambda b: b["__n"]))).alias("rows"),
+    ).first()
+    lookup = of_cells.select(*[F.col(f"__cell.`{c}`").alias(c) for c in cells], "__brackets")
+    if size["cells"] <= BROADCAST_KEYS:
+        cell = lookup.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(cells)], "__brackets")
+        same = F.lit(True)
+        for i, column in enumerate(cells):
+            same = same & F.col(column).eqNullSafe(F.col(f"__c{i}"))
+        placed = data.join(F.broadcast(cell), same).select(*cells, "__v", "__brackets")
+    else:
+        placed = salted_join(data, lookup, list(cells), null_safe=True, unique="__v")
+    # One counter per place in the list of brackets: rows below are counted where they are.
+    beneath = [F.count_if(F.col("__v") < F.get("__brackets", F.lit(i))["__low"]) for i in range(size["most"] or 1)]
+    counters = placed.groupBy(*cells).agg(F.array(*beneath).alias("__below"))
+    listed = salted_join(counters, lookup, list(cells), null_safe=True, heavy=[])
+    below = listed.select("__below", F.posexplode("__brackets").alias("__at", "__b")).select(
+        F.col("__b"), F.lit(None).cast("double").alias("__v"), F.get("__below", F.col("__at")).alias("__c")
+    )
+    inside = placed.select(
+        F.explode(F.filter("__brackets", lambda b: F.col("__v").between(b["__low"], b["__high"]))).alias("__b"),
+        "__v", F.lit(1).cast("bigint").alias("__c"),
+    )
+    counted = (
+        inside.unionAll(below)
+        .select(*[F.col(f"__b.key.`{k}`").alias(k) for k in keys], F.lit(0).alias("__q"), F.col("__b.__n").alias("__n"), "__v", "__c")
+        .groupBy(*keys, "__q", "__n", "__v")
+        .agg(F.sum("__c").alias("__c"))
+    )
+    return _at_ranks(counted, keys, {name: quantile}, (size["rows"] or 0) * 2 * SKETCH_MARGIN > WINDOW_ROWS)

@@ -127,3 +127,44 @@ def test_exact_quantiles(spark, accuracy, broadcast, request, monkeypatch):
 def test_exact_quantiles_of_everything(spark):
     df = spark.range(10_001).select(F.col("id").cast("double").alias("v"))
     assert tuple(exact_quantiles(df, [], "v", {"p25": 0.25, "p50": 0.5}, accuracy=100).first()) == (2500.0, 5000.0)
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_rolled_up_quantiles(spark, monkeypatch, many):
+    """Medians of cells, of their unions and of everything, from sketches and counts inside brackets."""
+    import random
+    import statistics
+
+    from parcelweave.operators import ranking
+
+    if many:
+        monkeypatch.setattr(ranking, "WINDOW_ROWS", 10)
+        monkeypatch.setattr(ranking, "BROADCAST_KEYS", 0)
+    pick = random.Random(3)
+    data = [(pick.choice(["a", "b", None]), pick.choice([1, 2, 2, 2, None]), pick.choice([pick.gauss(0, 9), 4.0])) for _ in range(30_000)]
+    data += [("lone", 1, 5.0), ("none", 1, None), ("none", 2, float("nan"))]
+    df = spark.createDataFrame(data, "s string, i int, v double").repartition(4)
+    sketched = df.groupBy("s", "i").agg(*ranking.cell_sketch(F.col("v")))
+
+    def spread(rows):
+        rest = [c for c in rows.columns if c not in ("s", "i")]
+        kinds = F.array(
+            F.struct(F.lit(0).alias("g"), F.col("s").alias("s"), F.col("i").alias("i")),
+            F.struct(F.lit(1).alias("g"), F.lit(None).cast("string").alias("s"), F.col("i").alias("i")),
+            F.struct(F.lit(2).alias("g"), F.lit(None).cast("string").alias("s"), F.lit(None).cast("int").alias("i")),
+        )
+        return rows.select(F.explode(kinds).alias("k"), *rest).select("k.g", "k.s", "k.i", *rest)
+
+    found = ranking.rolled_up_quantile(df, ["s", "i"], sketched, ["g", "s", "i"], spread, "v", 0.5, "median")
+    got = {(r["g"], r["s"], r["i"]): r["median"] for r in found.collect()}
+    groups = {}
+    for s, i, v in data:
+        if v is not None and v == v:
+            for key in ((0, s, i), (1, None, i), (2, None, None)):
+                groups.setdefault(key, []).append(v)
+    assert got.keys() == groups.keys()
+    assert all(abs(got[k] - statistics.median(vs)) < 1e-9 for k, vs in groups.items())
+    none = ranking.rolled_up_quantile(
+        df.where("false"), ["s", "i"], sketched.where("false"), ["g", "s", "i"], spread, "v", 0.5, "median"
+    )
+    assert none.columns == ["g", "s", "i", "median"] and none.count() == 0
