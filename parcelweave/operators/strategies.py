@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelweave.operators.ranking import global_rank, in_ranges
-from parcelweave.session import salted_join
+from parcelweave.session import cut_lineage, salted_join
 
 # Tags that mark risky tasks, and the default weights of the mix.
 RISK_TAGS = ("delinquent", "stacking", "auction_feb_2026")
@@ -116,6 +116,34 @@ def quotas(weights: Mapping[str, float], limit: int, min_share: Mapping[str, flo
     return picks
 
 
+#: Rows looked at for each URL wanted, one after the other until there are URLs enough.
+WIDENINGS = (2, 16, 128)
+#: So many rows of a top-k may pass through the driver.
+AT_HAND = 5000
+
+
+def best_urls(rows: DataFrame, order: Sequence[Column], limit: int) -> DataFrame:
+    """The ``limit`` best distinct URLs of a list, each by its best row: (id, url, __pos).
+
+    A top-k of twice as many rows as URLs are wanted, widened while URLs repeat in it; the table is not shuffled for
+    that. Only where a few URLs hold all of the best rows are all rows reduced to one a URL, by shuffle. Ties go
+    to the smaller id. Runs a job of ``limit`` narrow rows a try when called.
+    """
+    by = [*order, F.col("id").asc()]
+    place = F.row_number().over(Window.orderBy(*by)).alias("__pos")
+    own = Window.partitionBy("url")
+    for wide in WIDENINGS:
+        top = rows.orderBy(*by).limit(wide * limit).select("id", "url", place)
+        # A few thousand ids and URLs are kept at hand, more are written down.
+        top = rows.sparkSession.createDataFrame(top.toArrow()) if wide * limit <= AT_HAND else cut_lineage(top)
+        seen = top.agg(F.count("*").alias("rows"), F.count_distinct("url").alias("urls")).first()
+        if seen["urls"] >= limit or seen["rows"] < wide * limit:
+            single = top.withColumn("__own", F.row_number().over(own.orderBy("__pos"))).where("__own = 1").drop("__own")
+            return single.orderBy("__pos").limit(limit)
+    single = rows.withColumn("__own", F.row_number().over(own.orderBy(*by))).where("__own = 1")
+    return single.orderBy(*by).limit(limit).select("id", "url", place)
+
+
 def strategy_mix(
     candidates: Mapping[str, tuple[DataFrame, Sequence[Column]]],
     limit: int,
@@ -129,8 +157,8 @@ def strategy_mix(
     takes its best URLs that none before it took, up to its quota. Slots left over go to the best
     URLs that nobody took, again in the order of strategies. ``forced`` names starved strategies (see
     ``starvation_check``): each gets one slot at least. Of the rows of a URL in a list the best one
-    counts; Spark's window group limit leaves one per task before the shuffle. Every list is a distributed
-    top-k of ``limit`` URLs, so what follows works on ``limit`` rows per strategy.
+    counts. Every list is a distributed top-k of ``limit`` URLs (``best_urls``, whose jobs run when this is called), so
+    what follows works on ``limit`` rows per strategy.
     """
     least = {**(MIN_SHARE if min_share is None else min_share)}
     for name in forced:
@@ -138,10 +166,7 @@ def strategy_mix(
     share = quotas(weights or DEFAULT_WEIGHTS, limit, least)
     lists = None
     for rank, (_, (rows, order)) in enumerate(candidates.items()):
-        own = F.row_number().over(Window.partitionBy("url").orderBy(*order, "id"))
-        single = rows.withColumn("__own", own).where("__own = 1").drop("__own")
-        best = single.orderBy(*order).limit(limit).withColumn("__pos", F.row_number().over(Window.orderBy(*order)))
-        best = best.select("id", "url", F.lit(rank).alias("__rank"), "__pos")
+        best = best_urls(rows, order, limit).select("id", "url", F.lit(rank).alias("__rank"), "__pos")
         lists = best if lists is None else lists.unionAll(best)
     state = lists.withColumns({"__picked": F.lit(False), "__taken": F.lit(False)})
     turn = Window.partitionBy("__rank").orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0)

@@ -122,21 +122,34 @@ def stream_task_state(spark: SparkSession, sf: str) -> DataFrame:
     """Task states kept up to date batch by batch; the last update of each is read."""
     base = fresh_dir(spark, "state")
     log = event_log(_stream(spark, sf, "events")).where(F.col("type").isNotNull())
-    K.write_updates(K.stream_task_state(log), f"{base}/deltas", f"{base}/checkpoint").awaitTermination()
+    K.write_updates(K.stream_task_state(log, silence=None), f"{base}/deltas", f"{base}/checkpoint").awaitTermination()
     return K.read_upserted(spark, f"{base}/deltas", ["id"])
 
 
+_DELIVERIES = ("2024-01-11", "2024-01-21")
+
+
 @query(
-    f"""WITH {LOG_SQL}, f AS (SELECT id, arg_max(type, seq) FILTER (WHERE type <> 'start') AS set_type, max(seq) FILTER (WHERE type <> 'start') AS set_seq,
-  max(seq) FILTER (WHERE type = 'start') AS run_seq, count(*) FILTER (WHERE type = 'retry') AS retries FROM log GROUP BY 1)
+    f"""WITH {LOG_SQL}, d AS (SELECT *, epoch_ms(ts) AS ms, CASE WHEN ts < TIMESTAMP '{_DELIVERIES[0]}' THEN 0 WHEN ts < TIMESTAMP '{_DELIVERIES[1]}' THEN 1 ELSE 2 END AS part FROM log),
+w AS (SELECT p.part, max(ms) - 600000 AS mark FROM (VALUES (1), (2)) p(part) JOIN d ON d.part < p.part GROUP BY 1),
+g AS (SELECT id, part, max(ms) + 6 * 3600000 AS until FROM d GROUP BY 1, 2),
+h AS (SELECT g.id, g.part, lag(until) OVER (PARTITION BY g.id ORDER BY g.part) AS before, w.mark FROM g LEFT JOIN w USING (part)),
+b AS (SELECT id, max(part) AS anew FROM h WHERE before IS NULL OR before < mark GROUP BY 1),
+f AS (SELECT id, arg_max(type, seq) FILTER (WHERE type <> 'start') AS set_type, max(seq) FILTER (WHERE type <> 'start') AS set_seq,
+  max(seq) FILTER (WHERE type = 'start') AS run_seq, count(*) FILTER (WHERE type = 'retry') AS retries FROM d JOIN b USING (id) WHERE part >= anew GROUP BY 1)
 SELECT id, CASE WHEN set_type = 'complete' THEN 'completed' WHEN set_type = 'fail' THEN 'failed'
   WHEN run_seq > coalesce(set_seq, -1) THEN 'processing' ELSE 'pending' END AS status, CAST(retries AS BIGINT) AS retry_count FROM f"""
 )
 def stream_expiring_state(spark: SparkSession, sf: str) -> DataFrame:
-    """Task states that leave the store after silence; the updates written before stay."""
+    """Three deliveries: a task that was silent for six hours before one ended starts anew in the next."""
     base = fresh_dir(spark, "expiring")
-    log = event_log(_stream(spark, sf, "events")).where(F.col("type").isNotNull()).withColumn("ts", K.event_time("ts"))
-    K.write_updates(K.expiring_task_state(log), f"{base}/deltas", f"{base}/checkpoint").awaitTermination()
+    log = event_log(load(spark, sf, "events")).where(F.col("type").isNotNull()).withColumn("ts", K.event_time("ts"))
+    first, second = (F.lit(day).cast("timestamp") for day in _DELIVERIES)
+    for part in (F.col("ts") < first, (F.col("ts") >= first) & (F.col("ts") < second), F.col("ts") >= second):
+        log.where(part).write.mode("append").parquet(f"{base}/in")
+        arriving = K.read_stream(spark, f"{base}/in", log.schema)
+        updates = K.stream_task_state(arriving, silence="6 hours")
+        K.write_updates(updates, f"{base}/deltas", f"{base}/checkpoint").awaitTermination()
     return K.read_upserted(spark, f"{base}/deltas", ["id"])
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -294,12 +295,17 @@ def worker_sessions(events: DataFrame, silence: str = "30 seconds", late: str =
 
 
 
-def stream_task_state(events: DataFrame, key: str = "id") -> DataFrame:
+def stream_task_state(
+    events: DataFrame, key: str = "id", silence: str | None = "90 days", late: str = "10 minutes"
+) -> DataFrame:
     """Running task state, one updated row per task and batch.
 
-    Kept in mergeable aggregates: the newest state-setting event, the newest start, and the
+    The state of a task goes once it was silent for ``silence`` (see ``expiring_task_state``), so the store is
+    bounded by what was active. Without ``silence`` it stays for ever, no event is too late, and it is kept in mergeable aggregates: the newest state-setting event, the newest start, and the
     number of retries. A start after a retry or at the outset means processing.
     """
+    if silence is not None:
+        return expiring_task_state(events, key, silence, late)
     at = F.struct("ts", "seq")
     starts = F.col("type") == "start"
     sets = F.col("type").isin("complete", "fail", "retry")
@@ -320,10 +326,19 @@ def stream_task_state(events: DataFrame, key: str = "id") -> DataFrame:
     return folded.select(key, status.alias("status"), "retry_count")
 
 
+def _last(stamps: np.ndarray, places: np.ndarray, kinds: np.ndarray, chosen: np.ndarray) -> tuple[int, int, str | None]:
+    """Time, place and kind of the last chosen event; (-1, -1, None) where there is none."""
+    found = np.flatnonzero(chosen)
+    if not len(found):
+        return -1, -1, None
+    last = found[np.lexsort((places[found], stamps[found]))[-1]]
+    return int(stamps[last]), int(places[last]), kinds[last]
+
+
 def expiring_task_state(
-    events: DataFrame, key: str = "id", silence: str = "7 days", late: str = "10 minutes"
+    events: DataFrame, key: str = "id", silence: str = "90 days", late: str = "10 minutes"
 ) -> DataFrame:
-    """As ``stream_task_state``, but the state of a task is dropped once it was silent for ``silence``.
+    """Running task state that is dropped once a task was silent for ``silence``.
 
     Events later than ``late`` are dropped, and a task that speaks again after its state is gone starts
     anew, so the state holds only what was active within the time named. ``ts`` is a timestamp.
@@ -341,15 +356,15 @@ def expiring_task_state(
         set_us, set_seq, set_type, start_us, start_seq, retries = state.get if state.exists else (-1, -1, None, -1, -1, 0)
         newest = 0
         for part in parts:
-            stamps = part["ts"].astype("datetime64[us]").astype("int64")
-            for us, seq, what in zip(stamps.tolist(), part["seq"].tolist(), part["type"]):
-                newest = max(newest, us)
-                if what == "start":
-                    start_us, start_seq = max((start_us, start_seq), (us, seq))
-                elif what in ("complete", "fail", "retry"):
-                    retries += what == "retry"
-                    if (us, seq) > (set_us, set_seq):
-                        set_us, set_seq, set_type = us, seq, what
+            stamps = part["ts"].astype("datetime64[us]").astype("int64").to_numpy()
+            places, kinds = part["seq"].to_numpy(), part["type"].to_numpy()
+            newest = max(newest, int(stamps.max()))
+            retries += int((kinds == "retry").sum())
+            us, seq, _ = _last(stamps, places, kinds, kinds == "start")
+            start_us, start_seq = max((start_us, start_seq), (us, seq))
+            us, seq, what = _last(stamps, places, kinds, np.isin(kinds, ("complete", "fail", "retry")))
+            if (us, seq) > (set_us, set_seq):
+                set_us, set_seq, set_type = us, seq, what
         state.update((set_us, set_seq, set_type, start_us, start_seq, retries))
         state.setTimeoutTimestamp(max(newest // 1000, state.getCurrentWatermarkMs()) + wait)
         running = set_type in (None, "retry") and (start_us, start_seq) > (set_us, set_seq)

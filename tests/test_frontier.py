@@ -226,3 +226,32 @@ def test_mix_fills_its_limit_and_forces_the_starved(spark):
     assert {r["strategy"] for r in S.strategy_mix(both, 10, weights, {}).collect()} == {"risk"}
     forced = S.strategy_mix(both, 10, weights, {}, forced=["ripple"])
     assert rows(forced.groupBy("strategy").count()) == [("ripple", 1), ("risk", 9)]
+
+
+def _hot_list(spark, repeats):
+    data = [(i, "hot", 50) for i in range(repeats)] + [(1000 + i, f"u{i % 60}", i // 7) for i in range(100)]
+    return spark.createDataFrame(data, "id int, url string, p int").repartition(3), [F.col("p").desc()]
+
+
+@pytest.mark.parametrize("repeats, tries", [(0, 1), (30, 2), (900, 4)])
+def test_best_urls_widen_until_there_are_enough(spark, monkeypatch, repeats, tries):
+    """One URL in up to nine of ten rows, ties, and a list shorter than asked for; the table is not shuffled by URL."""
+    looked = []
+    at_hand = [(r["url"], r["id"]) for r in S.best_urls(*_hot_list(spark, repeats), 6).orderBy("__pos").collect()]
+    monkeypatch.setattr(S, "AT_HAND", 0)
+
+    def cut(df):
+        looked.append(df._jdf.queryExecution().toString())
+        return df.limit(10_000)
+
+    monkeypatch.setattr(S, "cut_lineage", cut)
+    df, order = _hot_list(spark, repeats)
+    plain = {}
+    for i, url, _ in sorted(df.collect(), key=lambda r: (-r["p"], r["id"])):
+        plain.setdefault(url, i)
+    got = [(r["url"], r["id"]) for r in S.best_urls(df, order, 6).orderBy("__pos").collect()]
+    assert got == at_hand == list(plain.items())[:6]
+    assert len(looked) == min(tries, len(S.WIDENINGS))
+    assert all("TakeOrderedAndProject" in plan and "hashpartitioning(url" not in plan for plan in looked)
+    every = [(r["url"], r["id"]) for r in S.best_urls(df, order, 2000).orderBy("__pos").collect()]
+    assert every == list(plain.items())
