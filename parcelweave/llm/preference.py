@@ -5,9 +5,10 @@ once as the prompt, what follows it as the two completions. A loss mask says whi
 completion are learnt: the bodies and closings of assistant turns, not their headers and not what
 others say.
 
-The comparison is a join by pair and position with one aggregate, so no conversation is gathered
-for it; ``segments`` stays at one row a turn. ``examples`` gathers the turns of one pair, as one
-training example is one row by definition.
+One training example is one row by definition, so ``format_preferences`` gathers each conversation once, as an array
+of its turns, and compares, renders and masks arrays inside the row: texts are shuffled once for that. ``segments``
+and ``examples`` are the same in rows of turns, for those who want these: there the comparison is a join by pair and
+position with one aggregate, and no conversation is gathered for it. Both count characters, and give equal examples.
 
 A null role or text renders as empty, and two nulls are equal. Turns are ordered by their number;
 of turns that share a number and a side, the first by role and text counts, so repeated rows are
@@ -98,9 +99,84 @@ def examples(rendered: DataFrame) -> DataFrame:
     return gathered.select("pair", "prompt_turns", "prompt", *kept, *[f"{side}_mask" for side in SIDES])
 
 
+def gathered(turns: DataFrame) -> DataFrame:
+    """One row a conversation: ``pair`` and ``said``, its turns (turn, role, text) in order."""
+    said = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
+    return turns.groupBy("pair").agg(said.alias("said"))
+
+
+def paired_examples(pairs: DataFrame, trained_role: str = "assistant") -> DataFrame:
+    """As ``examples``, from ``pair`` and the arrays ``chosen`` and ``rejected`` (see ``gathered``), null where a side is absent.
+
+    Work is linear in the turns but for the ranges of a mask, which are copied once for each range added.
+    """
+    nothing = F.array().cast("array<struct<turn:bigint,role:string,text:string>>")
+    sides = {side: F.coalesce(F.col(side), nothing) for side in SIDES}
+    same = F.zip_with(
+        *sides.values(), lambda a, b: F.coalesce((a["role"] == b["role"]) & (a["text"] == b["text"]), F.lit(False))
+    )
+    differs = F.array_position(same, F.lit(False)).cast("int")
+    common = F.when(differs > 0, differs - 1).otherwise(F.size(same)).alias("common")
+    measured = pairs.select("pair", *SIDES, common)
+
+    def body(turn: Column) -> Column:
+        return F.concat(turn["text"], F.lit("<|end|>\n"))
+
+    def rendered(turns: Column) -> Column:
+        return F.concat_ws("", F.transform(turns, lambda t: F.concat(header(t["role"]), body(t))))
+
+    def mask(turns: Column) -> Column:
+        def step(seen: Column, turn: Column) -> Column:
+            begin = seen["at"] + F.length(header(turn["role"]))
+            end = begin + F.length(body(turn))
+            own = F.array(F.struct(begin.alias("begin"), end.alias("end")))
+            ranges = F.when(turn["role"] == trained_role, F.concat(seen["ranges"], own)).otherwise(seen["ranges"])
+            return F.struct(end.alias("at"), ranges.alias("ranges"))
+
+        none = F.array().cast("array<struct<begin:int,end:int>>")
+        return F.aggregate(turns, F.struct(F.lit(0).alias("at"), none.alias("ranges")), step, lambda seen: seen["ranges"])
+
+    def completion(side: str) -> Column:
+        turns = F.coalesce(F.col(side), nothing)
+        return F.slice(turns, F.col("common") + 1, F.greatest(F.size(turns), F.lit(1)))
+
+    prompt = F.slice(F.coalesce(F.col("chosen"), nothing), F.lit(1), F.col("common"))
+    return measured.select(
+        "pair",
+        F.col("common").cast("long").alias("prompt_turns"),
+        rendered(prompt).alias("prompt"),
+        *[F.when(F.col(side).isNotNull(), rendered(completion(side))).alias(side) for side in SIDES],
+        *[mask(completion(side)).alias(f"{side}_mask") for side in SIDES],
+    )
+
+
 def format_preferences(chosen: DataFrame, rejected: DataFrame, trained_role: str = "assistant") -> DataFrame:
-    """``examples`` of the ``segments`` of both sides."""
-    return examples(segments(chosen, rejected, trained_role))
+    """One example a pair from the turns of both sides (see ``turns_of``)."""
+    a, b = (gathered(turns).withColumnRenamed("said", side) for side, turns in zip(SIDES, (chosen, rejected)))
+    return paired_examples(a.join(b, "pair", "full"), trained_role)
+
+
+def swapped_pairs(conversations: DataFrame, role: str = "assistant") -> DataFrame:
+    """``swapped_answers`` for gathered conversations: ``pair``, ``chosen`` as given, and ``rejected``.
+
+    Only last answers travel, to the conversation whose id differs in the lowest bit.
+    """
+    known = conversations.withColumn("last", F.try_element_at(F.filter("said", lambda t: t["role"] == role), F.lit(-1)))
+    other = known.filter(F.col("last").isNotNull()).select(
+        F.col("pair").bitwiseXOR(F.lit(1).cast("long")).alias("pair"), F.col("last.text").alias("other")
+    )
+    upto = F.filter("said", lambda t: t["turn"] <= F.col("last.turn"))
+    swapped = F.transform(
+        upto,
+        lambda t: F.struct(
+            t["turn"].alias("turn"),
+            t["role"].alias("role"),
+            F.when(t["turn"] == F.col("last.turn"), F.col("other")).otherwise(t["text"]).alias("text"),
+        ),
+    )
+    met = known.join(other, "pair", "left")
+    rejected = F.when(F.col("last").isNotNull() & F.col("other").isNotNull(), swapped)
+    return met.select("pair", F.col("said").alias("chosen"), rejected.alias("rejected"))
 
 
 def swapped_answers(turns: DataFrame, role: str = "assistant") -> DataFrame:

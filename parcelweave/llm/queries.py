@@ -114,7 +114,7 @@ def op7_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation against itself with another's last answer: one prompt, two masked completions."""
     turns = preference.turns_of(table(spark, sf_dir, "conversations"), "conv_id")
     chosen = turns.withColumn("pair", F.col("pair").cast("long"))
-    found = preference.format_preferences(chosen, preference.swapped_answers(chosen))
+    found = preference.paired_examples(preference.swapped_pairs(preference.gathered(chosen)))
 
     def ranges(mask: str) -> Column:
         return F.expr(f"array_join(transform({mask}, r -> concat_ws('-', r.begin, r.end)), ',')").alias(mask)

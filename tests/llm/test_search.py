@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -287,3 +288,30 @@ def test_swapped_answers(spark):
     turns = preference.turns_of(spark.createDataFrame(rows, "conv long, turn int, role string, text string"), "conv")
     got = sorted(map(tuple, preference.swapped_answers(turns).collect()))
     assert got == [(2, 0, "user", "q"), (2, 1, "assistant", "b"), (3, 0, "assistant", "a")]
+
+
+def test_gathered_and_row_forms_agree(spark):
+    """Examples from arrays of turns equal those from rows of turns, for sides that are absent, equal, prefixes or long."""
+    pick = random.Random(8)
+    rows = []
+    for conv in range(120):
+        if conv % 11 == 0:
+            continue
+        for turn in range(pick.randint(1, 9)):
+            # Conversations of two neighbours often say the same.
+            text = pick.choice(["a", "b", "", None, "\u00e9\U0001f600" * pick.randint(0, 400)])
+            rows.append((conv, turn * 2, pick.choice(["user", "assistant", None]), text))
+    rows += rows[:40]
+    rows.append((7, 2, "assistant", "two turns of one number"))
+    df = spark.createDataFrame(rows, "conv long, turn int, role string, text string").repartition(3)
+    turns = preference.turns_of(df, "conv")
+    plain = preference.examples(preference.segments(turns, preference.swapped_answers(turns)))
+    pairs = preference.swapped_pairs(preference.gathered(turns))
+    columns = plain.columns
+    want = sorted(map(repr, plain.collect()))
+    assert want == sorted(map(repr, preference.paired_examples(pairs).select(columns).collect()))
+    assert want == sorted(map(repr, preference.format_preferences(turns, preference.swapped_answers(turns)).select(columns).collect()))
+    half = turns.filter("pair % 2 = 0")
+    want = sorted(map(repr, preference.examples(preference.segments(half, turns)).collect()))
+    assert want == sorted(map(repr, preference.format_preferences(half, turns).collect()))
+    assert preference.paired_examples(preference.swapped_pairs(preference.gathered(turns.limit(0)))).collect() == []
