@@ -162,9 +162,9 @@ def swapped_pairs(conversations: DataFrame, role: str = "assistant") -> DataFram
     Only last answers travel, to the conversation whose id differs in the lowest bit.
     """
     known = conversations.withColumn("last", F.try_element_at(F.filter("said", lambda t: t["role"] == role), F.lit(-1)))
-    other = known.filter(F.col("last").isNotNull()).select(
-        F.col("pair").bitwiseXOR(F.lit(1).cast("long")).alias("pair"), F.col("last.text").alias("other")
-    )
+    # Behind a generator the key adds no filter below the gathering, so that one gathering serves both sides.
+    neighbour = F.explode(F.array(F.col("pair").bitwiseXOR(F.lit(1).cast("long"))))
+    other = known.filter(F.col("last").isNotNull()).select(neighbour.alias("pair"), F.col("last.text").alias("other"))
     upto = F.filter("said", lambda t: t["turn"] <= F.col("last.turn"))
     swapped = F.transform(
         upto,
