@@ -203,7 +203,7 @@ def _at(values: Column, place: Column) -> Column:
     return F.get(values, place - 1)
 
 
-def _chained(page: Page, flags: Column, pointer: str) -> Column:
+def _chained(page: Page, ends: Column, pointer: str) -> Column:
     """For every element, whether one is flagged among those that its pointers lead to, one after the other.
 
     Pointers are followed by doubling: each round adds what the element a pointer leads to has found and takes
@@ -211,7 +211,7 @@ def _chained(page: Page, flags: Column, pointer: str) -> Column:
     """
     start = F.transform(
         page.nodes,
-        lambda n: F.struct(F.coalesce(_at(flags, n[pointer]), F.lit(False)).alias("hit"), F.coalesce(n[pointer], F.lit(0)).alias("to")),
+        lambda n: F.struct(F.coalesce(_at(ends, n[pointer]) > 0, F.lit(False)).alias("hit"), F.coalesce(n[pointer], F.lit(0)).alias("to")),
     )
 
     def round_of(states: Column) -> Column:
@@ -225,23 +225,54 @@ def _chained(page: Page, flags: Column, pointer: str) -> Column:
     return F.transform(F.aggregate(most, start, lambda states, _: round_of(states)), lambda state: state["hit"])
 
 
-# For every element, whether a flagged one stands in the relation to it; one pass over the elements or a few.
-_RELATIONS: dict[str, Callable[[Page, Column], Column]] = {
-    " ": lambda page, flags: _chained(page, flags, "parent"),
-    ">": lambda page, flags: F.transform(page.nodes, lambda n: _at(flags, n["parent"])),
-    "+": lambda page, flags: F.transform(page.nodes, lambda n: _at(flags, n["prev"])),
-    "~": lambda page, flags: _chained(page, flags, "prev"),
+#: Elements of a block, as a power of two.
+_BLOCK = 6
+
+
+def _inside(ends: Column, use: Callable[[Test], Column]) -> Column:
+    """``use`` of the test whether an element lies inside a flagged one.
+
+    Elements lie in document order, so one does if a flagged one before it ends there or later. The latest end
+    before each block of elements is worked out once; an element looks there, then at those before it in its block.
+    """
+    blocks = F.sequence(F.lit(0), F.shiftright(F.size(ends), _BLOCK))
+    latest = F.transform(blocks, lambda block: F.array_max(F.slice(ends, F.shiftleft(block, _BLOCK) + 1, F.lit(1 << _BLOCK))))
+    before = bound(latest, lambda by_block: F.transform(blocks, lambda block: F.array_max(F.slice(by_block, F.lit(1), block))))
+
+    def test(by_block: Column, n: Column) -> Column:
+        block = F.shiftright(n["pre"] - 1, _BLOCK)
+        begin = F.shiftleft(block, _BLOCK) + 1
+        near = F.array_max(F.slice(ends, begin, n["pre"] - begin))
+        return F.coalesce(F.get(by_block, block) >= n["pre"], F.lit(False)) | F.coalesce(near >= n["pre"], F.lit(False))
+
+    return bound(before, lambda by_block: use(lambda n: test(by_block, n)))
+
+
+def _after(page: Page, ends: Column, use: Callable[[Test], Column]) -> Column:
+    """``use`` of the test whether a flagged sibling lies before an element."""
+    return bound(_chained(page, ends, "prev"), lambda by_place: use(lambda n: _at(by_place, n["pre"])))
+
+
+# ``use`` of the test whether a flagged element stands in the relation to an element. For every element there is
+# the position of its last descendant if it is flagged, else 0.
+_RELATIONS: dict[str, Callable[[Page, Column, Callable[[Test], Column]], Column]] = {
+    " ": lambda page, ends, use: _inside(ends, use),
+    ">": lambda page, ends, use: use(lambda n: _at(ends, n["parent"]) > 0),
+    "+": lambda page, ends, use: use(lambda n: _at(ends, n["prev"]) > 0),
+    "~": _after,
 }
 
 
 def _related(page: Page, steps: list[tuple[str, list[Test]]], use: Callable[[Test], Column]) -> Column:
-    """``use`` of the test whether an element matches the last step; earlier steps are flags by place."""
+    """``use`` of the test whether an element matches the last step; earlier steps are flags by place.
+
+    Relations are looked up only for elements that pass the tests of their own.
+    """
     relation, tests = steps[-1]
     if len(steps) == 1:
         return use(lambda n: _all(tests, n))
-    flags = _related(page, steps[:-1], lambda test: F.transform(page.nodes, lambda n: F.coalesce(test(n), F.lit(False))))
-    near = bound(flags, lambda earlier: _RELATIONS[relation](page, earlier))
-    return bound(near, lambda by_place: use(lambda n: _all(tests, n) & _at(by_place, n["pre"])))
+    ends = _related(page, steps[:-1], lambda test: F.transform(page.nodes, lambda n: F.when(test(n), n["post"]).otherwise(0)))
+    return bound(ends, lambda earlier: _RELATIONS[relation](page, earlier, lambda near: use(lambda n: _all([*tests, near], n))))
 
 
 def select_css(page: Page, css: str) -> Column:

@@ -1,11 +1,13 @@
 import subprocess
 import sys
+from html.parser import HTMLParser
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from parcelweave.functions import urls
+from parcelweave.operators import html as html_operator
 from parcelweave.operators import pages as P
 from parcelweave.operators.html import shred, shred_html
 from parcelweave.operators.selectors import Page, UnsupportedSelector, extract, extract_all, select, xpath_to_css
@@ -258,3 +260,36 @@ def test_relations_by_comparing_all_pairs(spark):
     for row in shredded.select("page_id", "nodes", *columns).collect():
         for i, css in enumerate(chosen):
             assert row[f"c{i}"] == related(row["nodes"], css), (row["page_id"], css)
+
+
+def test_plain_tags_skip_the_standard_parser(monkeypatch):
+    read, parse = [], HTMLParser.parse_starttag
+    monkeypatch.setattr(HTMLParser, "parse_starttag", lambda self, i: read.append(i) or parse(self, i))
+    nodes, text = shred('<div class="wrap">' * 300 + "<p>x<b id=y>z</b>" + "</div>" * 300)
+    # Only the unquoted attribute needs it; every tag went through it before.
+    assert (len(nodes), text, len(read)) == (302, "xz", 1)
+
+
+def test_ancestors_are_found_without_rounds(spark):
+    assert "aggregate" in repr(select(Page.columns(), "h1 ~ b"))
+    assert "aggregate" not in repr(select(Page.columns(), "div.wrap div.wrap nav > ul li a"))
+    # 130 elements before, so that ends are looked up across blocks and inside one.
+    html = "<i></i>" * 60 + "<u><b>1</b>" + "<i></i>" * 70 + "<b>2</b></u><b>3</b><u></u><b>4</b><u><b>5</b></u>"
+    shredded = shred_html(spark.createDataFrame([(1, "u", html), (2, "u", None), (3, "u", "<b>")], "page_id int, url string, html string"))
+    rows = shredded.select("page_id", F.transform(select(Page.columns(), "u b"), lambda n: Page.columns().node_text(n)).alias("t")).collect()
+    assert {r["page_id"]: r["t"] for r in rows} == {1: ["1", "2", "5"], 2: [], 3: []}
+
+
+def test_plain_tags_read_as_the_standard_parser_reads_them(monkeypatch):
+    import random
+
+    parts = (
+        '<div class="a  b">', "<DIV ID='x'>", '<a href="/x" Href="y">', '<a href="a&amp;b">', "<a b=c>", '<a b="c"d="e">', '<a b="x', "</div >", "</a x>",
+        "</DIV>", "<p>", "</p>", "<li>", "<br>", "<br/>", "<b/>", "<script>", "</script>", "<title>", "</title>", "<template>", "</template>", "<!-- c -->",
+        "<!doctype html>", "&lt", "&#39;", "&", "t ", "\n", "x<y", "<", ">", '"', "</", "<a\x0bb=\"c\">", "<table>", "<td>", "<tr>", "<1>", "</>", "\x00",
+    )
+    pick = random.Random(3)
+    pages = ["".join(pick.choice(parts) for _ in range(pick.randint(0, 30))) for _ in range(1500)]
+    fast = [shred(page) for page in pages]
+    monkeypatch.setattr(html_operator._Shredder, "_plain", lambda self, i: i)
+    assert fast == [shred(page) for page in pages]
